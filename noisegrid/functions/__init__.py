@@ -1 +1 @@
-
+"""Column functions: every one takes and returns Columns and stays in the JVM."""

@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = None
+from noisegrid.plans.queries import FLAGSHIP, ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
