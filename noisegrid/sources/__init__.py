@@ -1 +1 @@
-
+"""Readers and writers of the formats that noise data come in."""
