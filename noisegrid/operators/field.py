@@ -223,7 +223,8 @@ def box_share(grid: DataFrame, mask: Column, reach: int) -> DataFrame:
     rows = grid.select("row", "col", mask.cast("double").alias("m"), F.lit(1.0).alias("n"))
     offsets = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
     for axis, other in (("col", "row"), ("row", "col")):
-        rows = rows.select(other, "m", "n", (F.col(axis) + F.explode(offsets)).alias(axis)).groupBy(other, axis).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+        moved = rows.select(other, axis, "m", "n", F.explode(offsets).alias("o")).select(other, (F.col(axis) + F.col("o")).alias(axis), "m", "n")
+        rows = moved.groupBy(other, axis).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
     return grid.select("row", "col").join(rows.select("row", "col", (F.col("m") / F.col("n")).alias("share")), ["row", "col"])
 
 

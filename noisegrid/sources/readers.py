@@ -67,8 +67,11 @@ def read_station_hours(spark: SparkSession, path: str, variables: tuple[str, ...
 
 
 def read_semicolon(spark: SparkSession, path: str) -> DataFrame:
-    """A table of the aircraft data set: semicolons, Windows-1252."""
-    return spark.read.option("header", True).option("sep", ";").option("encoding", "windows-1252").csv(path)
+    """A table of the aircraft data set: semicolons, Windows-1252 (read as Latin-1; the 27 letters that differ follow)."""
+    raw = spark.read.option("header", True).option("sep", ";").option("encoding", "iso-8859-1").csv(path)
+    differ = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    latin, own = "".join(map(chr, differ)), bytes(differ).decode("cp1252")
+    return raw.select(*[F.translate(f"`{c}`", latin, own).alias(c) for c in raw.columns])
 
 
 def read_npd_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ("NPD_data", "Default_fixed_point_profiles", "Aircraft")) -> dict[str, DataFrame]:
@@ -182,7 +185,7 @@ def read_ascii_grid(spark: SparkSession, glob: str) -> DataFrame:
 
     Header lines and rows are told apart by their first word; a grid is one split, for its rows have no number.
     """
-    raw = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\r?\n").alias("lines"))
+    raw = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     head = F.map_from_entries(F.transform(F.filter("lines", lambda x: x.rlike("^[A-Za-z]")), lambda x: F.struct(F.lower(F.split(x, r"\s+")[0]).alias("k"), F.split(x, r"\s+")[1].cast("double").alias("v"))))
     rows = raw.select("file", head.alias("h"), F.filter("lines", lambda x: ~x.rlike("^[A-Za-z]")).alias("lines"))
     rows = rows.select("file", "h", F.size("lines").alias("n"), F.posexplode("lines").alias("top", "line")).select("file", "h", (F.col("n") - 1 - F.col("top")).alias("row"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "z"))

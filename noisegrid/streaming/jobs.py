@@ -31,10 +31,11 @@ PATHS = "ident string, path_no long, start double, end double, points long"
 
 
 def stream_paths(points: DataFrame, gap_s: float = 90.0) -> DataFrame:
-    """Finished paths of live points (ident, epoch): a gap over gap_s, or that much silence, ends a path.
+    """Finished paths of live points (ident, ts, epoch in seconds): a gap over gap_s ends a path, in the points or once
+    the watermark has passed it.
 
-    State is one open path per trace; points of a batch are taken in order of time, earlier ones than the path's end
-    are late and count for nothing.
+    State is one open path per trace; points of a batch are taken in order of time, those before the path's end are
+    late and count for nothing.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,21 +44,21 @@ def stream_paths(points: DataFrame, gap_s: float = 90.0) -> DataFrame:
         if state.hasTimedOut:
             if n:
                 done.append((key[0], no, start, end, n))
-            state.update((no + 1, 0.0, 0.0, 0))
+            state.update((no + 1, 0.0, end, 0))
         else:
-            times = sorted(t for b in batches for t in b["epoch"].tolist())
-            for t in times:
-                if n and t < end:
+            for t in sorted(t for b in batches for t in b["epoch"].tolist()):
+                if t < end:
                     continue
                 if n and t - end > gap_s:
                     done.append((key[0], no, start, end, n))
                     no, n = no + 1, 0
                 start, end, n = (start if n else t), t, n + 1
             state.update((no, start, end, n))
-            state.setTimeoutDuration(max(1, int(gap_s * 1000)))
+            state.setTimeoutTimestamp(max(int((end + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["ident", "path_no", "start", "end", "points"])
 
-    return points.groupBy("ident").applyInPandasWithState(run, PATHS, "no long, start double, end double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    live = points.withWatermark("ts", f"{int(gap_s)} seconds")
+    return live.groupBy("ident").applyInPandasWithState(run, PATHS, "no long, start double, end double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_release(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
