@@ -1,5 +1,6 @@
 """Registered queries and their SQL."""
 
+from noisegrid.plans import checks  # noqa: F401  registers its queries
 from noisegrid.plans.queries import FLAGSHIP, ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
