@@ -340,7 +340,7 @@ def _sel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "obs").select("receiver_id", F.col("ts").cast("timestamp").alias("ts"), F.col("laeq").alias("sel"))
 
 
-@query(ctes("obs") + " SELECT receiver_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(10 * log10(sum(pow(10.0::DOUBLE, laeq / 10) * CASE period WHEN 'D' THEN 1 WHEN 'E' THEN 3 ELSE 10 END) / 86400), 2) AS cnel, count(*) AS n FROM obs GROUP BY 1, 2")
+@query(ctes("obs") + " SELECT receiver_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(10 * log10(sum(pow(10.0::DOUBLE, laeq / 10) * CASE period WHEN 'D' THEN 1 WHEN 'E' THEN 3 ELSE 10 END) / 86400), 2) + 0.0::DOUBLE AS cnel, count(*) AS n FROM obs GROUP BY 1, 2")
 def daily_cnel(spark, sf_dir):
     return _round_all(events.daily_cnel(_sel(spark, sf_dir), "UTC", ["receiver_id"]).withColumn("day", F.col("day").cast("string")))
 
