@@ -10,6 +10,7 @@ from noisegrid.functions import acoustics as A
 from noisegrid.functions import geometry as G
 from noisegrid.functions import levels as L
 from noisegrid.functions import timefns as T
+from noisegrid.operators.small import hinted
 
 
 def laeq_from_sel(events: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
@@ -87,7 +88,7 @@ def event_sel(segments: DataFrame, receivers: DataFrame, npd_sel: DataFrame, npd
     """(keys, site_id, sel): exposure of each site (site_id, ox, oy, oz) to each event's segments (with npd_id and
     operation), all terms of a segment summed, then the energies of the segments."""
     c = F.col
-    g = A.segment_geometry(segments.crossJoin(F.broadcast(receivers.limit(100_000)))).withColumn("distance_m", c("slant_m"))
+    g = A.segment_geometry(segments.crossJoin(hinted(receivers))).withColumn("distance_m", c("slant_m"))
     ids = [*keys, "seq", "site_id"]
     sel = A.npd_level(g, npd_sel, ids).select(*ids, c("level_db").alias("sel0"))
     top = A.npd_level(g, npd_max, ids).select(*ids, c("level_db").alias("max0"))
@@ -102,7 +103,7 @@ def event_sel(segments: DataFrame, receivers: DataFrame, npd_sel: DataFrame, npd
 def scenario_grid(events: DataFrame, sites: DataFrame, sides: list[str], heights_ft: list[float], offsets_m: list[float]) -> DataFrame:
     """Every event x site x runway side x height x offset. Sites are few; the lists are literals."""
     values = lambda xs, n: F.explode(F.array(*[F.lit(x) for x in xs])).alias(n)
-    rows = events.crossJoin(F.broadcast(sites.limit(100_000)))
+    rows = events.crossJoin(hinted(sites))
     for n, xs in (("side", sides), ("height_ft", heights_ft), ("offset_m", offsets_m)):
         rows = rows.select("*", values(xs, n))
     return rows
@@ -116,7 +117,7 @@ def moving_source_sel(tracks: DataFrame, receivers: DataFrame, spectrum: list[tu
     substitution that makes the integrand smooth (the angle seen from the receiver).
     """
     c = F.col
-    met = tracks.crossJoin(F.broadcast(receivers.limit(100_000)))
+    met = tracks.crossJoin(hinted(receivers))
     dx, dy, dt = c("x2") - c("x1"), c("y2") - c("y1"), c("t2") - c("t1")
     long = F.sqrt(dx * dx + dy * dy)
     near = G.point_segment(c("ox"), c("oy"), c("x1"), c("y1"), c("x2"), c("y2"))

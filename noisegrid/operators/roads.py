@@ -10,6 +10,7 @@ from noisegrid.functions import geometry as G
 from noisegrid.functions import timefns as T
 from noisegrid.functions import traffic
 from noisegrid.operators import spatial as S
+from noisegrid.operators.small import hinted
 
 
 def directions(segments: DataFrame, key: str) -> DataFrame:
@@ -160,7 +161,7 @@ def classify_lines(df: DataFrame, classes: DataFrame) -> DataFrame:
     """The first class (class_order, class, pattern, x1, y1, x2, y2) whose name pattern and box a line (edge_id, name,
     x, y) fits. Classes are a handful of configured rows."""
     fits = F.expr("rlike(name, pattern)") & F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2"))
-    return df.join(F.broadcast(classes.limit(1000)), fits).groupBy("edge_id").agg(F.min_by("class", "class_order").alias("class"))
+    return df.join(hinted(classes), fits).groupBy("edge_id").agg(F.min_by("class", "class_order").alias("class"))
 
 
 def filter_edges(df: DataFrame, box: tuple[float, float, float, float], classes: list[str] | None = None, least_m: float = 1.0) -> DataFrame:
