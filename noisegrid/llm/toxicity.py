@@ -80,7 +80,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 4.0, beta: flo
     return Model(places.astype(np.int32), w[places].astype(np.float32), float(w[-1]), bool(rows))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 5000) -> Model:
     """A model of labels.toxic from at most most_rows labelled documents, those with the least hash of their id.
 
     Labels teach only where crc32(doc_id) mod 4 is not 2. Null labels and labels without a document are ignored; of
