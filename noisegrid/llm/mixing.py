@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -33,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, share: float
     return rows.select("source", "source_size", "weight", F.least(F.lit(level) * F.col("weight"), most).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS, seed: int = 0, per_bucket: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """Weighted fair queueing of all documents: (doc_id, source, size, source_size, target, weight, position, taken).
 
     Documents of a source queue in an order shuffled by a hash of their id. A copy of a document finishes at the
@@ -42,15 +44,15 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS,
     1, 2 or 3 (epochs) times; `position` is the first copy's finish time.
 
     A null text has size 0 and is never taken; rows that repeat an id queue one by one; an empty table gives no rows.
-    Queue positions come from sums over hash ranges of a source, each of about per_bucket documents, and a window in
-    each range: no task holds a whole source.
+    Queue positions come from sums over hash ranges of a source, about as many as each range of the largest source
+    has documents, and a window in each range: no task holds a whole source.
     """
     rows = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
     rows = checkpoint(rows.withColumn("order", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(by_source, epochs=epochs).select(F.col("source").alias("t_source"), "source_size", "weight", "target")
     largest = by_source.agg(F.max("n")).first()[0] or 0
-    buckets = max(1, largest // per_bucket)
+    buckets = max(1, isqrt(largest))
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 33), F.lit(1 << 31)) * F.lit(buckets) / F.lit(float(1 << 31)))
     rows = rows.withColumn("bucket", F.floor("bucket"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

@@ -449,7 +449,7 @@ def test_mixing(spark, real):
     for _, t, _, s in rows:
         sizes[s] += size(t)
     target = brute_targets(sizes)
-    got = mixing.mix(docs_of(spark, rows), per_bucket=8).collect()
+    got = mixing.mix(docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
     taken = defaultdict(int)
     for r in got:
@@ -460,7 +460,7 @@ def test_mixing(spark, real):
     for s in sizes:
         assert abs(taken[s] - target[s]) <= largest[s] + 1, s
     assert sum(taken.values()) <= sum(sizes.values())
-    again = mixing.mix(docs_of(spark, rows).repartition(3), per_bucket=8).collect()
+    again = mixing.mix(docs_of(spark, rows).repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert {r.taken for r in mixing.mix(docs_of(spark, [(1, None), (2, "")])).collect()} == {0}
