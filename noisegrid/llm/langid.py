@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noisegrid.llm._common import held_out
+from noisegrid.llm._common import held_out, most_frequent, write_table
 
 LONGEST = 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,10 +86,9 @@ def train(docs: DataFrame, most_docs: int = 16_000, most_words: int = 120_000, m
     n = usable.count()
     if n > most_docs:
         usable = usable.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_docs / n))
-    found = counts(usable).where("n > 1 or length = 1")
-    order = [F.col("n").desc(), "lang", "length", "gram"]
-    table = [found.where("length = 0").orderBy(*order).limit(most_words), found.where("length > 0").orderBy(*order).limit(most_grams)]
-    table = table[0].union(table[1]).toPandas()
+    found = write_table(counts(usable).where("n > 1 or length = 1"), "lang-counts")
+    table = most_frequent(found.where("length = 0"), "n", most_words).union(most_frequent(found.where("length > 0"), "n", most_grams))
+    table = table.toPandas().sort_values(["length", "gram", "lang"])
     languages = sorted(table["lang"].unique())
     place = {x: i for i, x in enumerate(languages)}
     totals = np.zeros((LONGEST + 1, max(1, len(languages))))
