@@ -62,7 +62,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
         F.col("tag").rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*["']?[^"'>]*canonical"""), F.regexp_extract("tag", rf"(?i)\bhref\s*=\s*{value}", 1)
     ).when(F.col("tag").rlike(r"""(?i)^<meta\b[^>]*http-equiv\s*=\s*["']?refresh"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'>]+)""", 1))
     href = F.trim(href)
-    full = F.when(href.contains("://"), href).when(href.startswith("/") & (host_of(url) != ""), F.concat(F.lit("http://"), host_of(url), href))
+    full = F.when(href.startswith("//"), F.concat(F.lit("http:"), href)).when(href.contains("://"), href).when(href.startswith("/") & (host_of(url) != ""), F.concat(F.lit("http://"), host_of(url), href))
     return tag.select(url_key(url).alias("a"), url_key(full).alias("b")).where("a is not null and b is not null and a <> b")
 
 
