@@ -77,20 +77,28 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS,
     return queued.select("doc_id", "source", "size", "source_size", "target", "weight", F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("position"), taken.alias("taken"))
 
 
-def cutoff(copies: DataFrame, budget: float) -> float:
+def cutoff(copies: DataFrame, budget: float, most: int = 1_000_000) -> float:
     """The largest finish time up to which the copies (size, finish) fit the budget; -1 if none does.
 
-    The copies are range-sorted; each partition's total is added up on the driver (a number for each partition), and
-    only the partition in which the budget runs out is added up row by row.
+    The copies are range-sorted; each partition's total is added up on the driver (a number for each partition). The
+    partition in which the budget runs out is range-sorted again while it has more than `most` rows, so that the rows
+    which one task adds up one by one stay few at every size. Copies with equal times fit or fail together.
     """
-    ranged = copies.repartitionByRange("finish").sortWithinPartitions("finish").withColumn("part", F.spark_partition_id())
-    ranged = checkpoint(ranged)
-    parts = sorted(ranged.groupBy("part").agg(F.sum("size"), F.max("finish")).collect())
-    used, last = 0.0, -1.0
-    for part, size, end in parts:
-        if used + size > budget:
+    used, last, left = 0.0, -1.0, copies
+    while True:
+        ranged = checkpoint(left.repartitionByRange("finish").sortWithinPartitions("finish").withColumn("part", F.spark_partition_id()))
+        parts = sorted(ranged.groupBy("part").agg(F.sum("size"), F.min("finish"), F.max("finish"), F.count("*")).collect())
+        for part, size, first, end, n in parts:
+            if used + size > budget:
+                break
+            used, last = used + size, end
+        else:
+            return last
+        if first == end:
+            return last
+        left = ranged.where(F.col("part") == part).select("size", "finish", "part")
+        if n <= most or len(parts) == 1:
             running = F.sum("size").over(W.partitionBy("part").orderBy("finish").rangeBetween(W.unboundedPreceding, 0))
-            inner = ranged.where(F.col("part") == part).withColumn("used", running + used).where(F.col("used") <= budget).agg(F.max("finish")).first()[0]
+            inner = left.withColumn("used", running + used).where(F.col("used") <= budget).agg(F.max("finish")).first()[0]
             return last if inner is None else inner
-        used, last = used + size, end
-    return last
+        left = left.drop("part")
