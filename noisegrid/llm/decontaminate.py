@@ -20,6 +20,8 @@ RADIUS = 19
 #: Bits at which the blocks begin and end.
 EDGES = (0, 13, 26, 39, 52, 64)
 BLOCKS = len(EDGES) - 1
+#: Windows of a text that are fingerprinted at once, so that memory doesn't grow with the text.
+WINDOWS_AT_ONCE = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,18 +136,26 @@ def search(text: bytes | None, block: Block, vocabulary: dict[bytes, int]) -> li
 def _best_window(words: list[bytes], ids: np.ndarray, at_words: list[int], block: Block, k: int, width: int) -> tuple[int, int, int, float] | None:
     length = min(len(block.words[k]), len(ids))
     total = len(block.words[k]) - width + 1
+    mine = length - width + 1
+    at = np.array(at_words)
     marks = np.zeros(len(ids) + 1, np.int64)
-    marks[np.array(at_words) + 1] = 1
+    marks[at + 1] = 1
     upto = np.cumsum(marks)
-    at = np.array(at_words)
-    near = np.unique((at[:, None] - np.arange(length - width + 1)[None, :]).ravel())
-    starts = near[(near >= 0) & (near + length <= len(ids))]
     # a window with too few of the item's shingles can't be similar enough
-    inside = upto[starts + length - width + 1] - upto[starts]
-    mine = length - width + 1
-    starts = starts[inside * (1 + SIMILARITY) >= SIMILARITY * (mine + total) - 1e-9]
-    if not len(starts):
-        return None
+    inside = upto[mine : len(ids) - width + 2] - upto[: len(ids) - length + 1]
+    starts = np.flatnonzero((inside > 0) & (inside * (1 + SIMILARITY) >= SIMILARITY * (mine + total) - 1e-9))
+    best = None
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 64) + 1):
+        for at_once in np.array_split(run, -(-len(run) // WINDOWS_AT_ONCE) or 1):
+            if len(at_once):
+                one = _best_of(words, ids, at_once, block, k, width, length)
+                if one and (best is None or one[3] > best[3]):
+                    best = one
+    return best
+
+
+def _best_of(words: list[bytes], ids: np.ndarray, starts: np.ndarray, block: Block, k: int, width: int, length: int) -> tuple[int, int, int, float] | None:
+    """The best of the windows that begin at `starts`, which lie close to each other."""
     low, high = int(starts[0]), int(starts[-1]) + length
     own = ids[low:high].copy()
     for j in np.flatnonzero(own == 0).tolist():
@@ -162,7 +172,7 @@ def _best_window(words: list[bytes], ids: np.ndarray, at_words: list[int], block
     shingles = _shingles(own) if len(own) >= width else own
     for j in np.flatnonzero(listed & (apart <= RADIUS)).tolist():
         s = int(starts[j]) - low
-        alike = similarity(Counter(shingles[s : s + mine].tolist()), block.shingles[k])
+        alike = similarity(Counter(shingles[s : s + length - width + 1].tolist()), block.shingles[k])
         if alike >= SIMILARITY and (best is None or alike > best[3]):
             best = (int(starts[j]), length, int(apart[j]), alike)
     return best
