@@ -116,6 +116,18 @@ def test_leaks_equal_brute_force(spark, real, sf):
     assert decontaminate.drop_leaking(docs_of(spark, ODD), frame.limit(0)).count() == len(ODD)
 
 
+def test_long_texts_go_in_parts(spark, monkeypatch):
+    item = " ".join(f"w{i * i % 97}" for i in range(60))
+    words = item.split()
+    text = " ".join([*["w1 w4 w9"] * 200, *words[:30], "x", *words[31:], *["pad"] * 500, *words, *["w1 w4 w9"] * 200])
+    frame = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (block,) = decontaminate.blocks_of(frame)
+    whole = decontaminate.search(text.encode(), block, block.vocabulary)
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 3)
+    assert whole == decontaminate.search(text.encode(), block, block.vocabulary)
+    assert [(k, start, s) for k, start, _, _, s in whole] == [(1, 600 + 60 + 500, 1.0)]
+
+
 def test_blocks_hold_all_within_the_radius():
     rng = np.random.default_rng(0)
     words = [rng.integers(1, 1 << 60, 20).astype(np.uint64) for _ in range(20)]
@@ -466,6 +478,18 @@ def test_mixing(spark, real):
     assert {r.taken for r in mixing.mix(docs_of(spark, [(1, None), (2, "")])).collect()} == {0}
 
 
+def test_cutoff_narrows_down(spark):
+    rows = [(i % 5 + 1, float(i * 7919 % 1000) // 3) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "size long, finish double").repartition(5)
+    for budget in (0.0, 0.5, 40.0, 4321.0, 8999.0, 1e9):
+        want, used = -1.0, 0
+        for finish in sorted({f for _, f in rows}):
+            used += sum(s for s, f in rows if f == finish)
+            want = finish if used <= budget else want
+        assert mixing.cutoff(frame, budget, most=50) == want
+    assert mixing.cutoff(frame.limit(0), 5.0) == -1.0
+
+
 # 10. URLs
 
 
@@ -502,6 +526,9 @@ def test_url_decisions_follow_links(spark):
     assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
     got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame([p for p in pages if p[0] != 6], "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 7: "allow"}
+    pages = [(1, "http://e.net/1", canonical.format("//shop.com/de/9")), (2, "http://e.net/shop.com/de/9", None)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow"}
 
 
 # Everything
