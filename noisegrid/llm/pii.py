@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noisegrid.llm._common import checkpoint, private, write_table
+from noisegrid.llm._common import checkpoint, most_frequent, private, write_table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: The patterns of the contract, possessive and anchored to the start of a run so that long runs take linear time:
@@ -27,6 +27,7 @@ NEEDS = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": lambda t: t.contains("+"),
 }
+WORD = r"\p{L}{3,}+"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -57,70 +58,114 @@ def _passes(kind: str, value: Column) -> Column:
     return F.length(digits).between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def _spans_of(text: Column, k: int, kind: str, around: int) -> Column:
+def _spans_of(text: Column, k: int, kind: str) -> Column:
     def one(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - around, F.lit(0)) + 1, F.least(s["start"], F.lit(around)))
-        right = F.substring(text, s["end"] + 1, F.lit(around))
-        return F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), right.alias("right"))
+        return F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), s["value"].alias("value"))
 
     return F.transform(F.filter(find_spans(text, PATTERNS[kind]), lambda s: _passes(kind, s["value"])), one)
 
 
-def base_spans(text: Column, around: int = 0) -> Column:
-    """All base spans of a text as array<struct<start, k, end, value, left, right>>, by start, then kind."""
-    found = [F.when(NEEDS[kind](text), _spans_of(text, k, kind, around)) for k, kind in enumerate(KINDS[:4])]
-    none = F.array().cast("array<struct<start:int,k:int,end:int,value:string,left:string,right:string>>")
+def base_spans(text: Column) -> Column:
+    """All base spans of a text as array<struct<start, k, end, value>>, by start, then kind."""
+    found = [F.when(NEEDS[kind](text), _spans_of(text, k, kind)) for k, kind in enumerate(KINDS[:4])]
+    none = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
     some = F.coalesce(*[F.when(NEEDS[kind](text), F.lit(True)) for kind in KINDS[:4]])
     return F.when(some, F.sort_array(F.concat(*[F.coalesce(f, none) for f in found]))).otherwise(none)
 
 
-def scan(docs: DataFrame, around: int = 80) -> DataFrame:
-    """(doc_id, text) -> (doc_id, digest, n, spans): digest tells texts apart, n is the length in code points."""
+def masked(text: Column, spans: Column) -> Column:
+    """The text with a digit for every code point of a span, so that what remains stays in place."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        over = F.repeat(F.lit("0"), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, over).alias("out"))
+
+    return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, row, digest, spans, rest, words): one line per row, in the shared folder.
+
+    digest tells texts apart; rest is the text without its spans, null where there are none; words are the different
+    words of three letters or more outside of spans, in small letters.
+    """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("t"))
-    return rows.select("doc_id", F.xxhash64("t").alias("digest"), F.length("t").alias("n"), base_spans(F.col("t"), around).alias("spans"))
+    rows = docs.select("doc_id", text.alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("spans"))
+    rows = rows.select("doc_id", "t", "spans", F.when(F.size("spans") > 0, masked(F.col("t"), F.col("spans"))).alias("rest"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("rest", "t"), F.lit(WORD), F.lit(0)), F.lower))
+    return write_table(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("t").alias("digest"), "spans", "rest", words.alias("words")), "pii-scan")
 
 
-def disclosing_terms(scanned: DataFrame, around: int = 80, least_texts: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
-    """Terms near base spans that disclose the entity beside them: (digest, start, end, action).
+def _broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df for a broadcast where it has at most `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Each distinct text counts once. With n_e contexts of an entity among N, n_t contexts of any entity that hold the
-    term and n_te of this entity that do, pointwise mutual information log2(n_te N / (n_t n_e)) is compared with the
-    entity's information content log2(N / n_e). A ratio of `generalise` or more generalises the term in those
-    contexts, of `remove` or more removes it; least_texts different texts must show the pair. Entities in all
-    contexts have no information to disclose. A copy adds no evidence.
+
+def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float = 0.9, most_common: int = 100_000, most_broadcast: int = 200_000) -> DataFrame:
+    """Terms that disclose an entity of their text: (digest, term, removes).
+
+    Each distinct text counts once, as a whole. With n_t of all N texts that hold the term, n_e that hold the entity
+    and n_te that hold both, the chance of the entity given the term is (n_te + n_e / N) / (n_t + 1): one more text
+    with the term is assumed, as likely to hold the entity as any. Its pointwise mutual information log2(chance N / n_e)
+    is compared with the entity's information content log2(N / n_e). A ratio of `generalise` or more generalises the
+    term in the texts that hold the entity, of `remove` or more removes it. Entities in all texts have no information
+    to disclose. A copy adds no evidence.
+
+    Entities that the same texts hold have the same counts and are taken as one, by two hashes over their texts. Of the
+    terms too common to disclose anything, up to most_common are dropped before pairs meet.
     """
-    each = scanned.where(F.size("spans") > 0).select("digest", "n", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"), F.explode("spans").alias("s"))
-    value = F.when(F.col("s.k") >= 2, _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    each = each.select("digest", "n", "taken", F.concat(F.col("s.k").cast("string"), F.lit(":"), value).alias("entity"), "s.start", "s.end", "s.left", "s.right").distinct()
-    word = r"\p{L}{3,}+"
-    left_at = F.greatest(F.col("start") - around, F.lit(0))
-    shift = lambda spans, by: F.transform(spans, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term")))
-    left = F.filter(shift(find_spans(F.col("left"), word), left_at), lambda x: (x["start"] > left_at) | (left_at == 0))
-    right_end = F.col("end") + F.length("right")
-    right = F.filter(shift(find_spans(F.col("right"), word), F.col("end")), lambda x: (x["end"] < right_end) | (right_end == F.col("n")))
-    free = F.filter(F.concat(left, right), lambda x: ~F.exists("taken", lambda b: (x["start"] < b["end"]) & (x["end"] > b["start"])))
-    near = checkpoint(each.select("digest", "entity", F.explode(free).alias("x")).select("digest", "entity", "x.term", "x.start", "x.end"))
-    pairs = near.select("digest", "entity", "term").distinct()
-    contexts = each.select("digest", "entity").distinct()
-    total = contexts.count()
-    of_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_texts)
-    of_pair = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    of_term = of_pair.groupBy("term").agg(F.sum("n_te").alias("n_t"))
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    first = checkpoint(scanned.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    total = float(first.count())
+    kept = scanned.join(first, "row", "left_semi")
+    of_term = checkpoint(kept.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    value = lambda s: F.when(s["k"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"]))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat(s["k"].cast("string"), F.lit(":"), value(s))))
+    texts = checkpoint(kept.where(F.size("spans") > 0).select("digest", entities.alias("entities"), "words"))
+    holds = texts.select("digest", F.explode("entities").alias("entity"))
+    mark = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    of_entity = checkpoint(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *mark, F.min("digest").alias("digest")))
+    several = _broadcast(of_entity.where(F.col("n_e") > 1).drop("digest"), most_broadcast)
+    group = ["n_e", "h1", "h2"]
+    held = of_entity.where(F.col("n_e") == 1).select("digest", *group).union(holds.join(several, "entity").select("digest", *group)).distinct()
+    most = of_entity.agg(F.max("n_e")).first()[0] or 1
+    common = most_frequent(of_term.where(F.col("n_t") + 1 > most * (1 + 1 / total) * (total / most) ** (1 - generalise)), "n_t", most_common) if total else of_term
+    words = texts.select("digest", F.explode("words").alias("term")).join(F.broadcast(common.select("term")), "term", "left_anti")
+    near = checkpoint(held.join(words, "digest"))
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    mutual = F.log2((F.col("n_te") + F.col("n_e") / F.lit(total)) / (F.col("n_t") + 1) * F.lit(total) / F.col("n_e"))
     told = (
-        of_pair.where(F.col("n_te") >= least_texts)
-        .join(of_entity, "entity")
+        near.groupBy(*group, "term")
+        .agg(F.count("*").alias("n_te"))
         .join(of_term, "term")
         .where((information > 0) & (mutual >= generalise * information))
-        .select("entity", "term", F.when(mutual >= remove * information, 1).otherwise(0).alias("removes"))
+        .select(*group, "term", F.when(mutual >= remove * information, 1).otherwise(0).alias("removes"))
     )
-    return near.join(told, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.when(F.max("removes") == 1, "remove").otherwise("generalise").alias("action"))
+    told = _broadcast(checkpoint(told), most_broadcast)
+    return near.join(told, [*group, "term"]).groupBy("digest", "term").agg(F.max("removes").alias("removes"))
 
 
 def _by_text(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("k"), "end", "action"))).alias("terms"))
+    """(digest, gone, hidden): the terms to remove and to generalise in each text that has some."""
+    pick = lambda n: F.collect_list(F.when(F.col("removes") == n, F.col("term")))
+    return checkpoint(terms.groupBy("digest").agg(pick(1).alias("gone"), pick(0).alias("hidden")))
+
+
+def term_spans(rest: Column, gone: Column, hidden: Column, base: Column, around: int = 80) -> Column:
+    """Where the terms stand in a masked text, as array<struct<start, k, end, action>>."""
+    parts = F.arrays_zip(F.split(rest, WORD, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)).alias("value"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,action:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start, term = acc["at"] + F.length(x["gap"]), F.lower(x["value"])
+        end = start + F.length(x["value"])
+        action = F.when(F.array_contains(gone, term), "remove").when(F.array_contains(hidden, term), "generalise")
+        one = F.array(F.struct(start.alias("start"), F.lit(4).alias("k"), end.alias("end"), action.alias("action")))
+        return F.struct(F.coalesce(end, start).alias("at"), F.when(action.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    return F.filter(found, lambda x: F.exists(base, lambda b: (x["start"] < b["end"] + around) & (x["end"] > b["start"] - around)))
 
 
 def _joined(spans: Column) -> Column:
@@ -128,18 +173,19 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     """Counts of base spans, the hash of their list, and all spans, for every document.
 
     A null text is empty; texts without personal data have empty lists. Spans of a text depend on the corpus through
     the terms alone.
     """
-    scanned = write_table(scan(docs), "pii-scan")
-    terms = _by_text(disclosing_terms(scanned))
-    short = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    more = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    rows = scanned.select("doc_id", "digest", short.alias("base"))
-    rows = rows.where(F.size("base") > 0).join(terms, "digest", "left").select("doc_id", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", more))).alias("all")).union(rows.where(F.size("base") == 0).select("doc_id", "base", "base"))
+    scanned = scan(docs)
+    terms = _broadcast(_by_text(disclosing_terms(scanned)), most_broadcast)
+    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
+    rows = scanned.select("doc_id", "digest", "rest", short("spans").alias("base"))
+    some = rows.where(F.size("base") > 0).join(terms, "digest", "left")
+    every = F.when(F.col("gone").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", short(term_spans(F.col("rest"), F.col("gone"), F.col("hidden"), F.col("base"))))))
+    rows = some.select("doc_id", "base", every.alias("all")).union(rows.where(F.size("base") == 0).select("doc_id", "base", "base"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return rows.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
 
@@ -163,14 +209,15 @@ def sanitise(docs: DataFrame, broadcast_terms: int = 500_000) -> DataFrame:
     Texts without base spans pass unchanged. Terms are broadcast only where all texts together have at most
     broadcast_terms of them (a few dozen bytes each), else joined.
     """
-    text, own, other, mine = F.col("text"), private(docs, "_base"), private(docs, "_terms"), private(docs, "_digest")
-    terms = checkpoint(_by_text(disclosing_terms(write_table(scan(docs).where(F.size("spans") > 0), "pii-scan"))))
-    terms = terms.select(F.col("digest").alias(mine), F.col("terms").alias(other))
-    terms = F.broadcast(terms) if (terms.agg(F.sum(F.size(other))).first()[0] or 0) <= broadcast_terms else terms
+    text, own, mine, gone, hidden = F.col("text"), *[private(docs, f"_{name}") for name in ("base", "digest", "gone", "hidden")]
+    terms = _by_text(disclosing_terms(scan(docs)))
+    few = (terms.agg(F.sum(F.size("gone") + F.size("hidden"))).first()[0] or 0) <= broadcast_terms
+    terms = terms.select(F.col("digest").alias(mine), F.col("gone").alias(gone), F.col("hidden").alias(hidden))
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit("mark").alias("action")))
     marked = docs.withColumn(own, F.coalesce(base, F.array().cast("array<struct<start:int,k:int,end:int,action:string>>")))
-    joined = marked.where(F.size(own) > 0).join(terms, F.xxhash64(text) == F.col(mine), "left")
-    spans = F.when(F.col(other).isNull(), F.col(own)).otherwise(F.sort_array(F.concat(own, other)))
+    joined = marked.where(F.size(own) > 0).join(F.broadcast(terms) if few else terms, F.xxhash64(text) == F.col(mine), "left")
+    more = term_spans(masked(text, F.col(own)), F.col(gone), F.col(hidden), F.col(own))
+    spans = F.when(F.col(gone).isNull(), F.col(own)).otherwise(F.sort_array(F.concat(own, more)))
     changed = joined.withColumn("text", redact(text, spans))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -214,6 +214,17 @@ def test_pii_terms_disclose(spark):
     assert clean[100] == texts[100] and clean[101] is None and "@" not in clean[12]
 
 
+def test_pii_terms_of_entities_in_one_text(spark):
+    rows = [(i, f"some people write notes from user{i}@host.org today") for i in range(40)]
+    rows += [(50, "some people write notes with zorblax from captain@ship.org today"), (51, "some people write notes without address today")]
+    out = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
+    at = rows[40][1].index("zorblax")
+    assert f"term:{at}:{at + 7}" in out[50].spans.split(",")
+    assert not any("term" in r.spans for d, r in out.items() if d != 50)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert "zorblax" not in clean[50] and clean[51] == rows[41][1] and clean[3] == "some people write notes from <EMAIL> today"
+
+
 def test_pii_redacts_in_place(spark, real):
     rows = [(r.doc_id + 50, r.text, r.lang, r.source, r.n_chars) for r in real] + ODD
     out = pii.sanitise(docs_of(spark, rows)).collect()
