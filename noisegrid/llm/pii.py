@@ -103,7 +103,7 @@ def _broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float = 0.9, most_common: int = 100_000, most_broadcast: int = 200_000) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float = 0.9, most_common: int = 100_000, most_broadcast: int = 200_000, most_copies: int = 1_000_000) -> DataFrame:
     """Terms that disclose an entity of their text: (digest, term, removes).
 
     Each distinct text counts once, as a whole. With n_t of all N texts that hold the term, n_e that hold the entity
@@ -118,7 +118,8 @@ def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float
     """
     first = checkpoint(scanned.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
     total = float(first.count())
-    kept = scanned.join(first, "row", "left_semi")
+    copies = scanned.select("row").join(first, "row", "left_anti")
+    kept = scanned.join(_broadcast(checkpoint(copies), most_copies), "row", "left_anti")
     of_term = checkpoint(kept.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
     value = lambda s: F.when(s["k"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"]))
     entities = F.array_distinct(F.transform("spans", lambda s: F.concat(s["k"].cast("string"), F.lit(":"), value(s))))
@@ -152,8 +153,8 @@ def _by_text(terms: DataFrame) -> DataFrame:
     return checkpoint(terms.groupBy("digest").agg(pick(1).alias("gone"), pick(0).alias("hidden")))
 
 
-def term_spans(rest: Column, gone: Column, hidden: Column, base: Column, around: int = 80) -> Column:
-    """Where the terms stand in a masked text, as array<struct<start, k, end, action>>."""
+def term_spans(rest: Column, gone: Column, hidden: Column) -> Column:
+    """Everywhere the terms stand in a masked text, as array<struct<start, k, end, action>>."""
     parts = F.arrays_zip(F.split(rest, WORD, -1).alias("gap"), F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)).alias("value"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,action:string>>").alias("out"))
 
@@ -164,8 +165,7 @@ def term_spans(rest: Column, gone: Column, hidden: Column, base: Column, around:
         one = F.array(F.struct(start.alias("start"), F.lit(4).alias("k"), end.alias("end"), action.alias("action")))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(action.isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
-    return F.filter(found, lambda x: F.exists(base, lambda b: (x["start"] < b["end"] + around) & (x["end"] > b["start"] - around)))
+    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
 
 
 def _joined(spans: Column) -> Column:
@@ -184,7 +184,7 @@ def find(docs: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
     rows = scanned.select("doc_id", "digest", "rest", short("spans").alias("base"))
     some = rows.where(F.size("base") > 0).join(terms, "digest", "left")
-    every = F.when(F.col("gone").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", short(term_spans(F.col("rest"), F.col("gone"), F.col("hidden"), F.col("base"))))))
+    every = F.when(F.col("gone").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", short(term_spans(F.col("rest"), F.col("gone"), F.col("hidden"))))))
     rows = some.select("doc_id", "base", every.alias("all")).union(rows.where(F.size("base") == 0).select("doc_id", "base", "base"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return rows.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
@@ -216,7 +216,7 @@ def sanitise(docs: DataFrame, broadcast_terms: int = 500_000) -> DataFrame:
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit("mark").alias("action")))
     marked = docs.withColumn(own, F.coalesce(base, F.array().cast("array<struct<start:int,k:int,end:int,action:string>>")))
     joined = marked.where(F.size(own) > 0).join(F.broadcast(terms) if few else terms, F.xxhash64(text) == F.col(mine), "left")
-    more = term_spans(masked(text, F.col(own)), F.col(gone), F.col(hidden), F.col(own))
+    more = term_spans(masked(text, F.col(own)), F.col(gone), F.col(hidden))
     spans = F.when(F.col(gone).isNull(), F.col(own)).otherwise(F.sort_array(F.concat(own, more)))
     changed = joined.withColumn("text", redact(text, spans))
     if "n_chars" in docs.columns:

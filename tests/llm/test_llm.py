@@ -225,6 +225,17 @@ def test_pii_terms_of_entities_in_one_text(spark):
     assert "zorblax" not in clean[50] and clean[51] == rows[41][1] and clean[3] == "some people write notes from <EMAIL> today"
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    far = "some people write notes today " * 10
+    rows = [(i, f"some people write notes from user{i}@host.org today") for i in range(40)]
+    rows += [(50, f"Zorblax {far}captain@ship.org {far}zorblax"), (51, "zorblaxian people write notes")]
+    out = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
+    text = rows[40][1]
+    assert {f"term:{a}:{a + 7}" for a in (0, len(text) - 7)} <= set(out[50].spans.split(",")) and not out[51].spans
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert "orblax" not in clean[50] and clean[50].count("people") == 20 and clean[51] == rows[41][1]
+
+
 def test_pii_redacts_in_place(spark, real):
     rows = [(r.doc_id + 50, r.text, r.lang, r.source, r.n_chars) for r in real] + ODD
     out = pii.sanitise(docs_of(spark, rows)).collect()
