@@ -216,9 +216,9 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(texts: DataFrame, subwords: Subwords, tokenizer: str = TOKENIZER, rounds: int = 2, share: int = 48, batch: int = 128, rate: float = 0.02) -> dict[str, np.ndarray]:
-    """Local training with averaging: in each round every task runs Adam over the windows of its part of one share-th
-    of the documents, another one each round, and the parameters are averaged by windows seen.
+def train(texts: DataFrame, subwords: Subwords, tokenizer: str = TOKENIZER, rounds: int = 2, batch: int = 128, rate: float = 0.02) -> dict[str, np.ndarray]:
+    """Local training with averaging: in each round every task runs Adam over the windows of its part of a rounds-th
+    of the documents, another one each round, so that all are learned from once, and the parameters are averaged by windows seen.
 
     What is learned from grows with the corpus; what reaches the driver is one set of parameters a round.
     """
@@ -262,7 +262,7 @@ def train(texts: DataFrame, subwords: Subwords, tokenizer: str = TOKENIZER, roun
                 values = _flat(params).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], ["place", "value", "seen"])
 
-        part = texts.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(share)) == turn).select("text")
+        part = texts.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(rounds)) == turn).select("text")
         mean = part.mapInArrow(run, "place int, value double, seen double").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
         if len(mean):
             params = _shaped(mean["value"].to_numpy(), params)

@@ -369,6 +369,14 @@ def test_lm_is_causal_and_normalised_and_gradients_hold():
     assert np.allclose(np.bincount(share.classes, 10**share.inside), 1) and np.exp(share.prior).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_learns_from_every_document(spark):
+    subwords = lm.Subwords.of(np.ones(lm.IDS))
+    start = lm.new_parameters(subwords.prior)
+    for i in range(4):
+        params = lm.train(docs_of(spark, [(i, f"one text of number {i}")]).select("doc_id", "text"), subwords)
+        assert any((params[k] != start[k]).any() for k in start)
+
+
 def test_lm_learns(spark):
     rows = queries.op7_lm(spark, "/root/testdata/sf0.01").collect()
     prior = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(0))
