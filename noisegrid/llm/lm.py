@@ -1,351 +1,479 @@
-"""Language-model scoring: exact word counts, and a causal self-attention model over subword ids, trained in numpy."""
+"""Language-model scoring: exact word counts, and a causal self-attention model over subword ids, trained in numpy.
+
+The model: every subword id has a row of its own with a query, a key, a value and a hidden part; ids beyond the ROWS - 1
+most frequent share the last row. A position attends to itself and the positions before it in its window; what it
+gathers is mixed into its hidden part, and a softmax over classes of ids and one over the ids of the class give the
+next id. Windows are spans of SPAN ids, each with the span before it as context: they overlap by half, and each id is
+scored once, after SPAN to 2 SPAN - 1 ids of context.
+"""
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from numpy.lib.stride_tricks import as_strided
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisegrid.llm._common import crc_rest, most_frequent, write_table
 
+#: The vocabulary file; spark.noisegrid.tokenizer names another one. It is read on the driver and sent to the tasks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 50256
 IDS = 50257
-#: A word never holds a line break, so this can stand for the end among word hashes.
+#: A word never holds a line break, so this can stand for the end among words.
 END = b"\n"
-WINDOW, STEP, WIDTH, CLASSES, ROWS = 24, 20, 8, 32, 1024
-
-
-def signed_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def load_tokenizer(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def word_ids(encoding: tiktoken.Encoding, word: bytes) -> list[int]:
-    """Subword ids of a word with the space before it."""
-    return encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
-
-
-def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER, most_held: int = 250_000) -> DataFrame:
-    """(kind, key, n) over all texts: kind 0 counts words by hash, the end included; kind 1 counts subword ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, held, ends = load_tokenizer(tokenizer), Counter(), 0
-
-        def flush() -> pa.RecordBatch:
-            subwords: Counter = Counter()
-            for w, n in held.items():
-                for i in word_ids(encoding, w):
-                    subwords[i] += n
-            if ends:
-                subwords[END_ID] += ends
-                held[END] += ends
-            kinds = np.repeat(np.array([0, 1], np.int32), [len(held), len(subwords)])
-            keys = np.array([signed_hash(w) for w in held] + list(subwords), np.int64)
-            ns = np.array(list(held.values()) + list(subwords.values()), np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(ns)], ["kind", "key", "n"])
-
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                held.update((text.as_py() or b"").lower().split())
-                ends += 1
-                if len(held) > most_held:
-                    yield flush()
-                    ends = 0
-        yield flush()
-
-    return texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+#: Rows of the embedding; classes; sizes of queries and of values and hidden parts; ids of a span; spans of a window.
+ROWS, CLASSES, QUERY, WIDTH, SPAN, SPANS = 2048, 24, 4, 8, 8, 16
 
 
 @dataclass
-class Subwords:
-    """For each subword id its class, the log10 share it has of the class, and the class log shares (natural)."""
+class Vocabulary:
+    """Subword ids as rows in order of frequency: row of an id, natural log share of its row, and the classes, which
+    are runs of rows from bounds[c] to bounds[c + 1]; of_class and of_row are log shares of all and of the class."""
 
-    classes: np.ndarray
+    rows: np.ndarray
     inside: np.ndarray
-    prior: np.ndarray
+    bounds: list[int]
+    classes: np.ndarray
+    of_class: np.ndarray
+    of_row: np.ndarray
 
     @staticmethod
-    def of(counts: np.ndarray) -> Subwords:
-        """The most frequent half of the classes are single ids; the other ids fill classes of about equal mass."""
-        mass = counts + 1.0
-        order = np.argsort(-mass, kind="stable")
-        classes = np.zeros(IDS, np.int64)
-        alone = CLASSES // 2
-        classes[order[:alone]] = np.arange(alone)
-        rest = np.cumsum(mass[order[alone:]])
-        classes[order[alone:]] = alone + np.minimum((rest - mass[order[alone:]]) * (CLASSES - alone) // rest[-1], CLASSES - alone - 1).astype(np.int64)
+    def of(counts: np.ndarray) -> Vocabulary:
+        """Sizes of the classes go with the inverse root of their ids' mass, which makes the mean cost least."""
+        order = np.argsort(-counts, kind="stable")
+        rows, inside = np.full(IDS, ROWS - 1, np.uint16), np.zeros(IDS)
+        rows[order[: ROWS - 1]] = np.arange(ROWS - 1)
+        rest = counts[order[ROWS - 1 :]] + 1.0
+        inside[order[ROWS - 1 :]] = np.log(rest / rest.sum())
+        mass = np.bincount(rows, counts + 1.0, ROWS)
+        cost = np.cumsum(np.sqrt(np.maximum(mass - 1, 0.01)))
+        ends = np.searchsorted(cost, cost[-1] * np.arange(1, CLASSES) / CLASSES) + 1
+        ends = np.minimum(np.maximum.accumulate(np.maximum(ends - np.arange(CLASSES - 1), 1)) + np.arange(CLASSES - 1), ROWS - CLASSES + np.arange(1, CLASSES))
+        classes = np.searchsorted(ends, np.arange(ROWS), side="right").astype(np.uint8)
         total = np.bincount(classes, mass, CLASSES)
-        return Subwords(classes, np.log10(mass / total[classes]), np.log(np.maximum(total, 1e-9) / mass.sum()).astype(np.float32))
+        return Vocabulary(rows, inside, [0, *ends.tolist(), ROWS], classes, np.log(total / mass.sum()), np.log(mass / total[classes]))
 
 
-def new_parameters(prior: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+def new_parameters(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
+    """rows: query, key, value, a one, and hidden part of each row; lag: score by distance; the last column of outputs
+    is the bias."""
     rng = np.random.default_rng(seed)
-    shapes = {"rows": (ROWS, WIDTH), "places": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mixed": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
-    made = {k: (rng.standard_normal(s) * (0.3 if k in ("rows", "places") else 0.3 / np.sqrt(WIDTH))).astype(np.float32) for k, s in shapes.items()}
-    return made | {"bias": prior.astype(np.float32)}
+    draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    p = {"rows": draw(0.3, ROWS, _H + WIDTH), "lag": np.zeros(2 * SPAN, np.float32), "mixed": draw(WIDTH**-0.5, WIDTH, WIDTH), "classes": draw(0.1, CLASSES, WIDTH + 1), "members": draw(0.1, ROWS, WIDTH + 1)}
+    p["rows"][:, _H - 1] = 1
+    p["classes"][:, -1], p["members"][:, -1] = vocabulary.of_class, vocabulary.of_row
+    return p
+
+
+_LAG = np.clip(SPAN + np.arange(SPAN)[:, None] - np.arange(2 * SPAN)[None, :], 0, 2 * SPAN - 1)
+_LATER = np.arange(2 * SPAN)[None, :] > SPAN + np.arange(SPAN)[:, None]
+_K, _V, _H = QUERY, 2 * QUERY, 2 * QUERY + WIDTH + 1
+
+
+def _with_before(z: np.ndarray) -> np.ndarray:
+    """(windows, spans + 1, SPAN, d) seen as (windows, spans, 2 SPAN, d): each span after the one before it."""
+    n, spans, size, d = z.shape
+    return as_strided(z, (n, spans - 1, 2 * size, d), z.strides)
+
+
+def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
+    """Natural log probabilities of the rows y (n, spans SPAN), which follow the last spans SPAN of the rows x
+    (n, (spans + 1) SPAN), and what backward needs. Only ids up to a position bear on the row that follows it."""
+    row = p["rows"].take(x, axis=0).reshape(len(x), -1, SPAN, _H + WIDTH)
+    q, k, v = row[:, 1:, :, :_K], _with_before(row[..., _K:_V]), _with_before(row[..., _V:_H])
+    e = q @ k.swapaxes(-1, -2)
+    e *= np.float32(QUERY**-0.5)
+    e += np.where(_LATER, np.float32(-200), p["lag"][_LAG])
+    np.minimum(e, 30, out=e)
+    np.exp(e, out=e)
+    u = (e @ v).reshape(-1, WIDTH + 1)
+    total = u[:, WIDTH:]
+    u = u[:, :WIDTH] / total
+    h = np.ones((len(u), WIDTH + 1), np.float32)
+    np.matmul(u, p["mixed"], out=h[:, :WIDTH])
+    h[:, :WIDTH] += row[:, 1:, :, _H:].reshape(-1, WIDTH)
+    np.maximum(h, 0, out=h)
+    target = y.ravel()
+    of, place = vocabulary.classes[target], np.arange(len(target))
+    a = p["classes"] @ h.T
+    np.clip(a, -60, 60, out=a)
+    out = a[of, place]
+    np.exp(a, out=a)
+    sums = a.sum(axis=0)
+    out -= np.log(sums)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES)).tolist()
+    sorted_h, sorted_target = h.take(order, axis=0), target[order]
+    picked, totals, kept, start = np.zeros(len(target), np.float32), np.ones(len(target), np.float32), [], 0
+    for c, end in enumerate(ends):
+        low, high = vocabulary.bounds[c : c + 2]
+        if end > start and high > low + 1:
+            b = p["members"][low:high] @ sorted_h[start:end].T
+            np.clip(b, -60, 60, out=b)
+            picked[start:end] = b[sorted_target[start:end] - low, place[: end - start]]
+            np.exp(b, out=b)
+            b.sum(axis=0, out=totals[start:end])
+            if keep:
+                b /= totals[start:end]
+                kept.append((low, high, start, end, b))
+        start = end
+    picked -= np.log(totals)
+    out[order] += picked
+    if not keep:
+        return out.reshape(y.shape), None
+    a /= sums
+    return out.reshape(y.shape), (x, row, q, k, v, e, u, total, h, a, of, order, sorted_h, sorted_target, kept)
+
+
+def backward(p: dict[str, np.ndarray], kept: tuple, weight: np.ndarray) -> dict[str, np.ndarray | tuple]:
+    """Gradients of the mean cross entropy, weighted by position; for rows, the rows seen and their gradients."""
+    x, row, q, k, v, e, u, total, h, a, of, order, sorted_h, sorted_target, parts = kept
+    w = weight.ravel().astype(np.float32)
+    w /= max(w.sum(), 1)
+    place = np.arange(len(w))
+    a[of, place] -= 1
+    a *= w
+    g: dict = {"classes": a @ h, "members": np.zeros_like(p["members"])}
+    dh, sorted_w, sorted_dh = a.T @ p["classes"][:, :WIDTH], w[order], np.zeros((len(w), WIDTH), np.float32)
+    for low, high, start, end, b in parts:
+        b[sorted_target[start:end] - low, place[: end - start]] -= 1
+        b *= sorted_w[start:end]
+        np.matmul(b, sorted_h[start:end], out=g["members"][low:high])
+        np.matmul(b.T, p["members"][low:high, :WIDTH], out=sorted_dh[start:end])
+    dh[order] += sorted_dh
+    dh *= h[:, :WIDTH] > 0
+    g["mixed"] = u.T @ dh
+    du = np.empty((len(dh), WIDTH + 1), np.float32)
+    np.divide(dh @ p["mixed"].T, total, out=du[:, :WIDTH])
+    du[:, WIDTH] = -np.einsum("ij,ij->i", du[:, :WIDTH], u)
+    du = du.reshape(*q.shape[:3], WIDTH + 1)
+    de = du @ v.swapaxes(-1, -2)
+    de *= e
+    g["lag"] = np.bincount(_LAG.ravel(), de.sum(axis=(0, 1)).ravel(), 2 * SPAN).astype(np.float32)
+    de *= np.float32(QUERY**-0.5)
+    dk, dv = de.swapaxes(-1, -2) @ q, e.swapaxes(-1, -2) @ du[..., :WIDTH]
+    d = np.zeros_like(row)
+    d[:, 1:, :, :_K] = de @ k
+    d[:, 1:, :, _H:] = dh.reshape(*q.shape[:3], WIDTH)
+    for grad, at in ((dk, slice(_K, _V)), (dv, slice(_V, _H - 1))):
+        d[:, :-1, :, at] = grad[:, :, :SPAN]
+        d[:, 1:, :, at] += grad[:, :, SPAN:]
+    seen = x.ravel()
+    by_row = np.argsort(seen, kind="stable")
+    seen = seen[by_row]
+    firsts = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+    g["rows"] = seen[firsts], np.add.reduceat(d.reshape(len(seen), -1).take(by_row, axis=0), firsts, axis=0)
+    return g
 
 
-_HIDDEN = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], gradients: dict, rate: float) -> None:
+    """A step of AdaGrad: rates go with the inverse root of each parameter's sum of squared gradients."""
+    for name, g in gradients.items():
+        if name == "rows":
+            at, g = g
+            total = sums[name][at] + g * g
+            sums[name][at] = total
+            p[name][at] -= rate * g / np.sqrt(total + 1e-12)
+        else:
+            sums[name] += g * g
+            p[name] -= rate * g / np.sqrt(sums[name] + 1e-12)
 
 
-def forward(p: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Class log probabilities (natural) after each position of windows of ids (windows, length), and what backward
-    needs. A position attends to itself and those before it. Row ids % ROWS embeds a subword."""
-    n = ids.shape[1]
-    x = p["rows"][ids % ROWS] + p["places"][:n]
-    q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(WIDTH))
-    a += _HIDDEN[:n, :n]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    u = a @ v
-    h = np.tanh(x + u @ p["mixed"])
-    y = h @ p["out"]
-    y += p["bias"]
-    y -= y.max(axis=2, keepdims=True)
-    y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
-    return y, {"ids": ids, "x": x, "q": q, "k": k, "v": v, "a": a, "u": u, "h": h}
-
-
-def backward(p: dict[str, np.ndarray], kept: dict, y: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross entropy of target classes, weighted by position."""
-    scale = weight / max(weight.sum(), 1)
-    d = np.exp(y)
-    d[np.arange(d.shape[0])[:, None], np.arange(d.shape[1])[None, :], target] -= 1
-    d *= scale[:, :, None]
-    flat = lambda z: z.reshape(-1, z.shape[2])
-    g = {"out": flat(kept["h"]).T @ flat(d), "bias": flat(d).sum(axis=0)}
-    dh = (d @ p["out"].T) * (1 - kept["h"] ** 2)
-    g["mixed"] = flat(kept["u"]).T @ flat(dh)
-    du = dh @ p["mixed"].T
-    da = du @ kept["v"].transpose(0, 2, 1)
-    dv = kept["a"].transpose(0, 2, 1) @ du
-    ds = kept["a"] * (da - (da * kept["a"]).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ kept["k"], ds.transpose(0, 2, 1) @ kept["q"]
-    dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
-    for name, z in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = flat(kept["x"]).T @ flat(z)
-    g["places"] = np.zeros_like(p["places"])
-    g["places"][: dx.shape[1]] = dx.sum(axis=0)
-    g["rows"] = np.zeros_like(p["rows"])
-    np.add.at(g["rows"], (kept["ids"] % ROWS).ravel(), flat(dx))
-    return g
+def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts whose ids stand one after the other, `sizes` of them each: (inputs, targets, scored, text).
 
+    A window scores SPANS spans of a text; its inputs begin one span earlier. Before a text stand ends; its last window
+    is padded. Every id is a scored target once.
+    """
+    long = SPAN * SPANS
+    counts = -(-sizes // long)
+    starts = np.cumsum(SPAN + 1 + counts * long) - (SPAN + 1 + counts * long)
+    full = np.full(int((SPAN + 1 + counts * long).sum()), end, ids.dtype)
+    full[np.arange(len(ids)) + np.repeat(starts + SPAN + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids
+    text = np.repeat(np.arange(len(sizes)), counts)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * long
+    at = first + starts[text]
+    return full[at[:, None] + np.arange(SPAN + long)], full[at[:, None] + np.arange(SPAN + 1, SPAN + 1 + long)], first[:, None] + np.arange(long) < sizes[text][:, None], text
 
-def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows over one text's ids, which end with END_ID: (inputs, targets, scored).
 
-    The first input is END_ID. The first window scores all its targets, each later one its last STEP, so that every
-    id is scored once, after WINDOW - STEP or more ids of context but at the text's start. The last is padded.
-    """
-    n = len(ids)
-    count = 1 + max(0, -(-(n - WINDOW) // STEP))
-    starts = np.arange(count) * STEP
-    full = np.full(starts[-1] + WINDOW + 1, END_ID, np.int64)
-    full[1 : n + 1] = ids
-    at = starts[:, None] + np.arange(WINDOW)[None, :]
-    scored = (at < n) & ((np.arange(WINDOW)[None, :] >= WINDOW - STEP) | (starts[:, None] == 0))
-    return full[at], full[at + 1], scored
+def tokenizer_of(spark: SparkSession) -> Broadcast:
+    with open(spark.conf.get("spark.noisegrid.tokenizer", TOKENIZER), "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def load_tokenizer(ranks: bytes) -> tiktoken.Encoding:
+    return tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
 class Pieces(dict):
     """Word -> number; the subword ids of word k are flat[starts[k]:starts[k] + sizes[k]]."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, encoding: tiktoken.Encoding):
         super().__init__()
-        self.encoding, self.tokenizer = load_tokenizer(tokenizer), tokenizer
-        self.words: list[bytes] = []
-        self.new: list[list[int]] = []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.encoding, self.new = encoding, []
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.words)
-        self.words.append(word)
-        self.new.append([END_ID] if word == END else word_ids(self.encoding, word))
+        """The ids of a word are those of the word with a space before it, so the ids tell where words begin."""
+        self[word] = k = len(self)
+        self.new.append([END_ID] if word == END else self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")))
         return k
 
     def settle(self) -> None:
         """Take up the words seen since the last call."""
         if self.new:
-            sizes = np.array([len(x) for x in self.new])
-            starts = len(self.flat) + np.cumsum(sizes) - sizes
-            self.starts, self.sizes = np.r_[self.starts, starts], np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, np.concatenate([np.array(x, np.int64) for x in self.new])]
+            sizes = np.fromiter(map(len, self.new), np.int64, len(self.new))
+            self.starts, self.sizes = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
+            self.flat = np.r_[self.flat, np.concatenate([np.array(x, np.uint16) for x in self.new])]
             self.new = []
 
-    def reset(self) -> None:
-        self.clear()
-        self.words, self.new = [], []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in sorted(p)])
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The values as binaries of `sizes` values each."""
+    offsets = np.r_[0, np.cumsum(sizes * flat.itemsize)]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
+def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 250_000) -> DataFrame:
+    """Rows (doc_id, held_out, ids) for the documents and rows (word, n) that count words of training documents; a
+    word is given by its ids, as is the end. ids are 16-bit numbers. A table in the shared folder."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = load_tokenizer(tokenizer.value)
+        pieces, counts = Pieces(encoding), np.zeros(0, np.int64)
+        names, none = ["doc_id", "held_out", "ids", "word", "n"], lambda n, t: pa.nulls(n, t)
+        id_type = None
+
+        def flush() -> pa.RecordBatch:
+            used = np.flatnonzero(counts)
+            words = _binary(pieces.ids(used), pieces.sizes[used]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([none(len(used), id_type), none(len(used), pa.bool_()), none(len(used), pa.binary()), words, pa.array(counts[used])], names)
+
+        for batch in batches:
+            id_type = batch.column("doc_id").type
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                numbers = [np.fromiter(map(pieces.__getitem__, [*(t.as_py() or b"").lower().split(), END]), np.int64) for t in part.column("text").cast(pa.binary())]
+                pieces.settle()
+                flat = np.concatenate(numbers)
+                trains = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), [len(x) for x in numbers])
+                counts = np.r_[counts, np.zeros(len(pieces) - len(counts), np.int64)]
+                counts += np.bincount(flat[trains], minlength=len(counts))
+                sizes = np.array([pieces.sizes[x].sum() for x in numbers])
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), _binary(pieces.ids(flat), sizes).cast(pa.binary()), none(n, pa.binary()), none(n, pa.int64())], names)
+                if len(pieces) > most_held:
+                    yield flush()
+                    pieces, counts = Pieces(encoding), np.zeros(0, np.int64)
+        if counts.any():
+            yield flush()
+
+    return write_table(docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, ids binary, word binary, n long"), "lm-tokens")
+
+
+def subword_counts(of_words: DataFrame) -> np.ndarray:
+    """How often each subword id stands in the counted words; one number an id reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(IDS)
+        for batch in batches:
+            column = batch.column("word").cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+            ids = np.frombuffer(column.buffers()[2], np.uint16)[offsets[0] : offsets[-1]]
+            sums += np.bincount(ids, np.repeat(batch.column("n").to_numpy(), np.diff(offsets)), IDS)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["id", "n"])
+
+    found = of_words.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(IDS)
+    out[found["id"]] = found["n"]
     return out
 
 
-def train(texts: DataFrame, subwords: Subwords, tokenizer: str = TOKENIZER, rounds: int = 2, batch: int = 128, rate: float = 0.02) -> dict[str, np.ndarray]:
-    """Local training with averaging: in each round every task runs Adam over the windows of its part of a rounds-th
-    of the documents, another one each round, so that all are learned from once, and the parameters are averaged by windows seen.
+def word_starts(ranks: bytes) -> np.ndarray:
+    """For each subword id whether it begins a word: its bytes begin with a space, or it is the end."""
+    out = np.zeros(IDS, bool)
+    out[END_ID] = True
+    for a, b in map(bytes.split, ranks.splitlines()):
+        out[int(b)] = base64.b64decode(a).startswith(b" ")
+    return out
+
+
+def _groups(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The documents of a batch in groups of about `most` ids: (place of the first, ids, ids of each)."""
+    column = batch.column("ids").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    ids = np.frombuffer(column.buffers()[2], np.uint16)
+    group = (offsets[:-1] - offsets[0]) // most
+    for a, b in zip(cuts := np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), [*cuts[1:], len(column)], strict=True):
+        yield int(a), ids[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])
+
+
+def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int = 64, rate: float = 0.2) -> dict[str, np.ndarray]:
+    """Local training with averaging: in each round every task runs AdaGrad over the windows of its part of a rounds-th
+    of the documents, another one each round, so that all are learned from once; parameters and sums of squared
+    gradients are averaged by windows seen.
 
     What is learned from grows with the corpus; what reaches the driver is one set of parameters a round.
     """
-    params = new_parameters(subwords.prior)
+    params = new_parameters(vocabulary)
+    state = [params, {k: np.zeros_like(v) for k, v in params.items()}]
+    shapes = [(which, name, params[name].shape) for which in (0, 1) for name in sorted(params)]
     for turn in range(rounds):
-        sent = texts.sparkSession.sparkContext.broadcast((params, subwords.classes))
+        sent = ids.sparkSession.sparkContext.broadcast((state, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            params, classes = sent.value
-            params = {k: v.copy() for k, v in params.items()}
-            pieces, steps, seen = Pieces(tokenizer), 0, 0
-            first, second = {k: np.zeros_like(v) for k, v in params.items()}, {k: np.zeros_like(v) for k, v in params.items()}
-            held: list[tuple[np.ndarray, ...]] = []
-
-            def learn() -> None:
-                nonlocal steps, seen
+            state, vocabulary = sent.value
+            params, sums = ({k: v.copy() for k, v in part.items()} for part in state)
+            end, seen, held = vocabulary.rows[END_ID], 0, []
+
+            def take() -> None:
+                nonlocal seen
                 x, y, w = (np.concatenate(z) for z in zip(*held, strict=True))
                 held.clear()
-                for at in np.array_split(np.random.default_rng(steps).permutation(len(x)), -(-len(x) // batch)):
-                    out, kept = forward(params, x[at])
-                    grads = backward(params, kept, out, classes[y[at]], w[at].astype(np.float32))
-                    steps += 1
-                    for k, g in grads.items():
-                        first[k] += 0.1 * (g - first[k])
-                        second[k] += 0.01 * (g * g - second[k])
-                        params[k] -= rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
+                for at in np.array_split(np.random.default_rng(seen).permutation(len(x)), -(-len(x) // batch)):
+                    _, kept = forward(params, vocabulary, x[at], y[at], keep=True)
+                    learn(params, sums, backward(params, kept, w[at]), rate)
                 seen += len(x)
 
             for rows in batches:
-                for text in rows.column("text").cast(pa.binary()):
-                    numbers = np.array([pieces[w] for w in [*(text.as_py() or b"").lower().split(), END]])
-                    pieces.settle()
-                    held.append(windows(pieces.ids(numbers)))
-                    if sum(len(h[0]) for h in held) >= 32 * batch:
-                        learn()
-                    if len(pieces) > 100_000:
-                        pieces.reset()
+                for _, flat, sizes in _groups(rows):
+                    held.append(windows(vocabulary.rows[flat], sizes, end)[:3])
+                    if sum(len(h[0]) for h in held) >= 64 * batch:
+                        take()
             if held:
-                learn()
+                take()
             if seen:
-                values = _flat(params).astype(np.float64)
+                values = np.concatenate([(params, sums)[which][name].ravel() for which, name, _ in shapes]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], ["place", "value", "seen"])
 
-        part = texts.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(rounds)) == turn).select("text")
+        part = ids.where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "ids"), F.lit(rounds)) == turn).select("ids")
         mean = part.mapInArrow(run, "place int, value double, seen double").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
+        sent.unpersist()
         if len(mean):
-            params = _shaped(mean["value"].to_numpy(), params)
-    return params
+            flat, at = mean["value"].to_numpy(np.float32), 0
+            state = [{}, {}]
+            for which, name, shape in shapes:
+                size = int(np.prod(shape))
+                state[which][name], at = flat[at : at + size].reshape(shape), at + size
+    return state[0]
 
 
-def log10_probability(params: dict[str, np.ndarray], subwords: Subwords, x: np.ndarray, y: np.ndarray, scored: np.ndarray, at_once: int = 512) -> np.ndarray:
-    """The sum over scored positions of log10 P(class | context) P(id | class), for each window."""
+def log10_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, at_once: int = 64) -> np.ndarray:
+    """The log10 probability of each text's ids: of their rows by the model, and of ids in the last row by their share."""
+    x, y, scored, text = windows(vocabulary.rows[ids], sizes, vocabulary.rows[END_ID])
     out = np.empty(len(x))
     for k in range(0, len(x), at_once):
-        logs, _ = forward(params, x[k : k + at_once])
-        target = y[k : k + at_once]
-        picked = np.take_along_axis(logs, subwords.classes[target][:, :, None], 2)[:, :, 0] * np.float32(1 / np.log(10)) + subwords.inside[target]
-        out[k : k + at_once] = np.where(scored[k : k + at_once], picked, 0).sum(axis=1)
-    return out
-
-
-def score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = 100_000) -> DataFrame:
+        out[k : k + at_once] = np.where(scored[k : k + at_once], forward(p, vocabulary, x[k : k + at_once], y[k : k + at_once])[0], 0).sum(axis=1, dtype=np.float64)
+    inside = np.add.reduceat(vocabulary.inside[ids], np.cumsum(sizes) - sizes) if len(sizes) else 0
+    return (np.bincount(text, out, len(sizes)) + inside) / np.log(10)
+
+
+class Known:
+    """Counts of the most frequent words, found by two 64-bit hashes of their ids."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, starts: np.ndarray):
+        """starts[i] tells whether subword i begins a word."""
+        self.starts = starts
+        rng = np.random.default_rng(7)
+        self.marks = rng.integers(0, 1 << 63, (2, IDS), np.uint64) * np.uint64(2) + np.uint64(1)
+        flat = np.frombuffer(b"".join(words), np.uint16)
+        sizes = np.array([len(w) // 2 for w in words], np.int64)
+        h = self.hashes(flat, sizes)
+        self.bits = max(10, int(len(words)).bit_length() + 2)
+        self.counts, self.first, self.second = np.r_[counts, 0], np.r_[h[0], 0], np.r_[h[1], 0]
+        self.table = np.full(1 << self.bits, len(words), np.int32)
+        left, step = np.arange(len(words)), 0
+        while len(left):
+            slot = self._slot(h[0][left], step)
+            free = self.table[slot] == len(words)
+            self.table[slot[free]] = left[free]
+            left, step = left[self.table[slot] != left], step + 1
+        self.steps = step
+
+    def _slot(self, h: np.ndarray, step: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - self.bits)) + np.uint64(step)) & np.uint64((1 << self.bits) - 1)
+
+    def hashes(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(sizes):
+            return np.zeros((2, 0), np.uint64)
+        at = np.cumsum(sizes) - sizes
+        power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))[np.arange(len(flat)) - np.repeat(at, sizes)]
+        return np.array([np.add.reduceat(marks[flat] * power, at) for marks in self.marks])
+
+    def find(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, known) for each word."""
+        h = self.hashes(flat, sizes)
+        place = np.full(len(sizes), len(self.counts) - 1, np.int64)
+        for step in range(self.steps):
+            slot = self.table[self._slot(h[0], step)]
+            place = np.where((self.first[slot] == h[0]) & (self.second[slot] == h[1]), slot, place)
+        return self.counts[place], place < len(self.counts) - 1
+
+
+def score(docs: DataFrame, frequent: int = 100_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
     Words are what ASCII white space divides, A-Z in lower case, then one end. base_score uses exact counts of all
     training documents, those whose crc32(doc_id) mod 7 is not 2 (a null id trains). The `frequent` most frequent
-    words are broadcast; a document's other words are joined with the count table by hash. score is the attention
+    words are broadcast; a document's other words are joined with the count table by their ids. score is the attention
     model's log10 probability of the text's subwords and end. A null text is empty: its one token is the end. With
-    nothing to learn from, all counts are 0.
+    nothing to learn from, all counts are 0. Texts are tokenised once; later passes read their ids.
     """
     spark = docs.sparkSession
+    tokenizer = tokenizer_of(spark)
     out_of = F.coalesce(crc_rest(F.col("doc_id"), 7) == 2, F.lit(False))
-    rows = docs.select("doc_id", out_of.alias("held_out"), "text")
-    texts = rows.where(~F.col("held_out")).select("doc_id", "text")
-    counts = write_table(token_counts(texts, tokenizer), "lm-counts")
-    of_words = counts.where("kind = 0").select("key", "n")
+    tokens = tokenise(docs.select("doc_id", out_of.alias("held_out"), "text"), tokenizer)
+    texts = tokens.where("ids is not null").select("doc_id", "held_out", "ids")
+    of_words = write_table(tokens.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total, distinct = of_words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(total), int(distinct)
-    ids = counts.where("kind = 1").select("key", "n").toPandas()
-    by_id = np.zeros(IDS)
-    by_id[ids["key"]] = ids["n"]
-    subwords = Subwords.of(by_id)
-    params = train(texts, subwords, tokenizer)
-    head = most_frequent(of_words, "n", frequent).toPandas().sort_values("key")
-    sent = spark.sparkContext.broadcast((params, subwords, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
+    vocabulary = Vocabulary.of(subword_counts(of_words))
+    params = train(texts.where(~F.col("held_out")), vocabulary)
+    head = most_frequent(of_words, "n", frequent).toPandas().sort_values("word")
+    known = Known([bytes(w) for w in head["word"]], head["n"].to_numpy(np.int64), word_starts(tokenizer.value))
+    sent = spark.sparkContext.broadcast((params, vocabulary, known))
     size = total + distinct + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, keys array<bigint>, times array<int>"
+    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, words array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, subwords, keys, ns = sent.value
-        pieces, row = Pieces(tokenizer), (TaskContext.get().partitionId() << 40) - 1
-        hashes, logs = np.zeros(0, np.int64), np.zeros(0)  # of the words in pieces; the log is nan for rarer words
+        params, vocabulary, known = sent.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            step = 128
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                numbers = [np.fromiter(map(pieces.__getitem__, [*(t.as_py() or b"").lower().split(), END]), np.int64) for t in part.column("text").cast(pa.binary())]
-                pieces.settle()
-                if len(hashes) < len(pieces.words):
-                    more = np.array([signed_hash(w) for w in pieces.words[len(hashes) :]], np.int64)
-                    found = np.minimum(np.searchsorted(keys, more), max(0, len(keys) - 1))
-                    hit = keys[found] == more if len(keys) else np.zeros(len(more), bool)
-                    hashes, logs = np.r_[hashes, more], np.r_[logs, np.where(hit, np.log10(((ns[found] if len(keys) else 0) + 1) / size), np.nan)]
-                cut = [windows(pieces.ids(k)) for k in numbers]
-                own = np.repeat(np.arange(len(cut)), [len(c[0]) for c in cut])
-                sums = np.bincount(own, log10_probability(params, subwords, *(np.concatenate(z) for z in zip(*cut, strict=True))), len(cut))
-                base, known, rare, times = [], [], [], []
-                for k in numbers:
-                    own_logs = logs[k]
-                    tail = np.isnan(own_logs)
-                    base.append(float(np.where(tail, 0, own_logs).sum()))
-                    known.append(int(len(k) - tail.sum()))
-                    r, n = np.unique(hashes[k[tail]], return_counts=True)
-                    rare.append(r)
-                    times.append(n)
-                offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(z).astype(t))) for z, t in ((rare, np.int64), (times, np.int32))]
-                numbered = row + 1 + np.arange(len(part))
-                row += len(part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(numbered), pa.array([len(k) for k in numbers], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(sums), *lists], [x.split()[0] for x in schema.split(", ")])
-                if len(pieces) > 150_000:
-                    pieces.reset()
-                    hashes, logs = hashes[:0], logs[:0]
-
-    scored = write_table(rows.mapInArrow(run, schema), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(of_words, "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
-    joined = scored.drop("keys", "times").join(rare, "row", "left")
+            for first, ids, sizes in _groups(batch):
+                n = len(sizes)
+                begins = np.flatnonzero(known.starts[ids])
+                text = np.searchsorted(np.cumsum(sizes), begins, side="right")
+                lengths = np.diff(np.r_[begins, len(ids)])
+                count, hit = known.find(ids, lengths)
+                base = np.bincount(text[hit], np.log10((count[hit] + 1) / size), n)
+                rare = np.flatnonzero(~hit)
+                flat = ids[np.repeat(begins[rare] - np.cumsum(lengths[rare]) + lengths[rare], lengths[rare]) + np.arange(lengths[rare].sum())]
+                offsets = pa.array(np.searchsorted(text[rare], np.arange(n + 1)).astype(np.int32))
+                words = pa.ListArray.from_arrays(offsets, _binary(flat, lengths[rare]).cast(pa.binary()))
+                columns = [batch.column(c).slice(first, n) for c in ("doc_id", "held_out")]
+                columns += [pa.array(row + np.arange(n)), pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[hit], minlength=n)), pa.array(base), pa.array(log10_probability(params, vocabulary, ids, sizes)), words]
+                row += n
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    scored = write_table(texts.mapInArrow(run, schema), "lm-scored")
+    rare = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rare = rare.join(of_words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
+    joined = scored.drop("words").join(rare, "row", "left")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
