@@ -1,4 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted shingles."""
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted shingles.
+
+Every text's windows of every item length are fingerprinted, from running sums of bits, at starts at most a STRIDE-th of
+the length apart and at both ends of the text. A window whose fingerprint is within RADIUS bits of an item of its length is
+a candidate; the blocks find all of them. A candidate and the windows around it up to the next starts are then compared
+with the item shingle by shingle.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +17,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from noisegrid.llm._common import n_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
+#: At similarity 0.8 an aligned window is expected within 5 bits of its item, one half a start away within 8.
+RADIUS = 14
+#: Starts of windows lie the largest of these words apart that is at most a STRIDE-th of their length.
+STRIDE, STRIDES = 12, (1, 2, 3, 4, 6, 12)
 #: Bits at which the blocks begin and end.
 EDGES = (0, 13, 26, 39, 52, 64)
 BLOCKS = len(EDGES) - 1
-#: Windows of a text that are fingerprinted at once, so that memory doesn't grow with the text.
-WINDOWS_AT_ONCE = 4096
+#: Words of texts whose windows are fingerprinted at once; a longer text goes in parts that overlap by an item.
+WORDS_AT_ONCE = 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = 22
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -30,209 +41,247 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _shingles(ids: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the SHINGLE-word runs of word hashes; shorter sequences are one shingle."""
-    n = min(SHINGLE, len(ids))
-    out = np.zeros(len(ids) - n + 1 if n else 0, np.uint64)
-    for k in range(n):
-        out = (out ^ ids[k : len(ids) - n + 1 + k]) * _MIX
+def shingle_hashes(ids: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the runs of `width` word hashes."""
+    out = np.zeros(len(ids) - width + 1 if width else 0, np.uint64)
+    for k in range(width):
+        out = (out ^ ids[k : len(ids) - width + 1 + k]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    """A row of 64 signs for each word hash."""
-    return (np.unpackbits(ids.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) << 1) - 1
+def block_values(prints: np.ndarray, b: int) -> np.ndarray:
+    return (prints >> np.uint64(EDGES[b])).astype(np.uint16) & np.uint16((1 << (EDGES[b + 1] - EDGES[b])) - 1)
+
+
+def _packed(above: np.ndarray) -> np.ndarray:
+    return np.packbits(above, axis=1).view("<u8").ravel()
+
+
+def fingerprint(ids: np.ndarray) -> int:
+    """SimHash of a bag of words: the bits that over half of the words' hashes have."""
+    ones = np.unpackbits(ids.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(_packed((2 * ones > len(ids))[None, :])[0])
+
+
+def similarity(a: Counter, b: Counter) -> float:
+    """Weighted Jaccard similarity; a shingle weighs as often as it occurs."""
+    shared = sum(min(n, b[s]) for s, n in a.items() if s in b)
+    total = sum(a.values()) + sum(b.values()) - shared
+    return shared / total if total else 0.0
 
 
 @dataclass
 class Block:
-    """Items of the benchmark with their fingerprints, and tables from the values of a block of bits to the items near
-    them, an item a bit."""
+    """Items of the benchmark, their fingerprints and shingles, and for each length the items of that length with
+    tables from the values of a block of bits to whether an item is near."""
 
-    ids: list[int]
+    ids: list
     words: list[np.ndarray]
     shingles: list[Counter] = field(default_factory=list)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
     prints: np.ndarray | None = None
-    anchors: np.ndarray | None = None
-    anchor_items: list[list[int]] | None = None
-    near: list[np.ndarray] | None = None
+    lengths: dict[int, np.ndarray] = field(default_factory=dict)
+    near: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    slots: np.ndarray | None = None
 
     def prepare(self) -> Block:
-        """Index the items. A block within RADIUS // BLOCKS bits of an item's names the item: if two fingerprints
-        differ in at most RADIUS bits, they differ in at most RADIUS // BLOCKS bits in one block at least."""
+        """Index the items. If two fingerprints differ in at most RADIUS bits, they differ in at most RADIUS // BLOCKS
+        bits in one block at least, so the tables miss none."""
         self.prints = np.array([fingerprint(w) for w in self.words], np.uint64)
-        by_shingle: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            found = Counter(_shingles(w).tolist())
-            self.shingles.append(found)
-            for s in found:
-                by_shingle.setdefault(s, []).append(k)
-        self.anchors = np.array(sorted(by_shingle), np.uint64)
-        self.anchor_items = [by_shingle[s] for s in self.anchors.tolist()]
-        self.near = []
-        for b in range(BLOCKS):
-            values = np.arange(1 << (EDGES[b + 1] - EDGES[b]), dtype=np.uint16)
-            close = np.bitwise_count(values[:, None] ^ block_values(self.prints, b).astype(np.uint16)[None, :]) <= RADIUS // BLOCKS
-            self.near.append(np.packbits(close, axis=1))
+        self.slots = np.zeros(1 << _SLOTS, bool)
+        for w in self.words:
+            hashes = shingle_hashes(w, min(SHINGLE, len(w)))
+            self.shingles.append(Counter(hashes.tolist()))
+            self.slots[hashes >> np.uint64(64 - _SLOTS)] = True
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        for length in np.unique(sizes).tolist():
+            own = self.lengths[length] = np.flatnonzero(sizes == length)
+            self.near[length] = []
+            for b in range(BLOCKS):
+                values = np.arange(1 << (EDGES[b + 1] - EDGES[b]), dtype=np.uint16)
+                close = np.zeros(len(values), bool)
+                for v in np.unique(block_values(self.prints[own], b)):
+                    close |= np.bitwise_count(values ^ v) <= RADIUS // BLOCKS
+                self.near[length].append(close)
         return self
 
+    def candidates(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): all pairs of fingerprints and items of a length within RADIUS bits."""
+        listed = np.zeros(len(prints), bool)
+        for b in range(BLOCKS):
+            listed |= self.near[length][b].take(block_values(prints, b))
+        at = np.flatnonzero(listed)
+        close = [at[np.bitwise_count(prints[at] ^ self.prints[k]) <= RADIUS] for k in self.lengths[length]]
+        return np.concatenate(close), np.repeat(self.lengths[length], [len(c) for c in close])
 
-def block_values(prints: np.ndarray, b: int) -> np.ndarray:
-    return ((prints >> np.uint64(EDGES[b])) & np.uint64((1 << (EDGES[b + 1] - EDGES[b])) - 1)).astype(np.int64)
-
-
-def fingerprint(ids: np.ndarray) -> int:
-    """SimHash of a bag of words: 64 majority bits."""
-    return int(np.packbits(_bits(ids).sum(axis=0) > 0).view("<u8")[0]) if len(ids) else 0
 
+class Hashes(dict):
+    """Word -> odd 64-bit hash, filled as words are met."""
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity; a shingle weighs as often as it occurs."""
-    shared = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    total = sum(a.values()) + sum(b.values()) - shared
-    return shared / total if total else 0.0
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word) | 1
+        return h
 
 
-def search(text: bytes | None, block: Block, vocabulary: dict[bytes, int]) -> list[tuple[int, int, int, int, float]]:
-    """(item_id, start, words, hamming, similarity) of the best window of the text for each item it leaks.
+def search(texts: list[np.ndarray], block: Block) -> list[tuple[int, int, int, int, int, float]]:
+    """(text, item, start, words, hamming, similarity) of the best window of each text, given by its word hashes, for
+    each item it leaks.
 
-    Windows have the item's length (the whole text if that is shorter). A window that shares no shingle with the item
-    has similarity 0, so only windows around shared shingles are fingerprinted; those within RADIUS of the item in a
-    block table are compared shingle by shingle. The best window is the most similar, then the first.
+    Windows have the item's length (the whole text if that is shorter). The best window is the most similar, then the
+    first; hamming is the distance of its own fingerprint.
     """
-    words = tokens(text)
-    get = vocabulary.get
-    ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-    n = len(ids)
-    found = []
-    for width in sorted({min(SHINGLE, len(w)) for w in block.words} - {0}):
-        if n < width:
+    best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
+    longest = max(block.lengths, default=0)
+    group: list[tuple[int, int, np.ndarray]] = []
+
+    def flush() -> None:
+        for text, k, start, *found in _search_group(group, block):
+            old = best.get((text, k))
+            if old is None or (-found[2], start) < (-old[3], old[0]):
+                best[text, k] = (start, *found)
+        group.clear()
+
+    size, most = 0, max(WORDS_AT_ONCE, 4 * longest)
+    for t, ids in enumerate(texts):
+        for a in range(0, len(ids) - longest + 1, most - longest) if len(ids) > most else [0]:
+            part = ids[a : a + most]
+            if size + len(part) > most and group:
+                flush()
+                size = 0
+            group.append((t, a, part))
+            size += len(part)
+    flush()
+    return [(text, k, *found) for (text, k), found in sorted(best.items())]
+
+
+def _search_group(group: list[tuple[int, int, np.ndarray]], block: Block) -> Iterator[tuple[int, int, int, int, int, float]]:
+    group = [(t, a, w) for t, a, w in group if len(w)]
+    if not group or not block.lengths:
+        return
+    # each text begins at a multiple of all strides, so that its windows don't depend on its neighbours
+    sizes = np.array([len(w) for _, _, w in group])
+    room = -(-sizes // STRIDES[-1]) * STRIDES[-1]
+    starts = np.cumsum(room) - room
+    ends = starts + sizes
+    ids, own = np.zeros(int(room.sum()), np.uint64), np.repeat(np.arange(len(group)), room)
+    for start, (_, _, w) in zip(starts.tolist(), group, strict=True):
+        ids[start : start + len(w)] = w
+    # counts of each bit up to each word; four counts below 2 ** 16 are added at once as a 64-bit number
+    kind = np.uint16 if len(ids) < 1 << 16 else np.uint64
+    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 8), axis=1).astype(kind).view(np.uint64)
+    ones = np.zeros((len(ids) + 1, bits.shape[1]), np.uint64)
+    np.cumsum(bits, axis=0, out=ones[1:])
+    ones = ones.view(kind)
+    marks: dict[int, np.ndarray] = {}
+    for length in block.lengths:
+        width = min(SHINGLE, length)
+        if width not in marks:
+            marks[width] = np.zeros(len(ids) + 1, np.int32)
+            if len(ids) >= width:
+                hit = block.slots[shingle_hashes(ids, width) >> np.uint64(64 - _SLOTS)]
+                np.cumsum(hit, out=marks[width][1 : len(hit) + 1])
+                marks[width][len(hit) + 1 :] = marks[width][len(hit)]
+        stride = max(x for x in STRIDES if x <= max(1, length // STRIDE))
+        inner = np.arange(0, max(0, len(ids) - length + 1), stride)
+        full = sizes >= length
+        edges = np.concatenate([starts[full], ends[full] - length, starts[~full]])
+        long = np.r_[np.full(2 * full.sum(), length), sizes[~full]]
+        prints = [_packed(ones[edges + long] - ones[edges] > (long >> 1).astype(kind)[:, None])]
+        if len(inner):
+            prints.append(_packed(ones[length::stride] - ones[: len(ids) - length + 1 : stride] > kind(length >> 1)))
+        place, items = block.candidates(np.concatenate(prints), length)
+        if not len(place):
             continue
-        known = np.convolve(ids != 0, np.ones(width, np.int8), "valid") == width
-        places = np.flatnonzero(known)
-        if not len(places):
-            continue
-        run = ids[places[:, None] + np.arange(width)]
-        hashes = np.zeros(len(places), np.uint64)
-        for k in range(width):
-            hashes = (hashes ^ run[:, k]) * _MIX
-            hashes ^= hashes >> np.uint64(29)
-        at = np.searchsorted(block.anchors, hashes)
-        at[at == len(block.anchors)] = 0
-        hit = block.anchors[at] == hashes
-        items: dict[int, list[int]] = {}
-        for p, a in zip(places[hit].tolist(), at[hit].tolist(), strict=True):
-            for k in block.anchor_items[a]:
-                if min(SHINGLE, len(block.words[k])) == width:
-                    items.setdefault(k, []).append(p)
-        for k, at_words in items.items():
-            if one := _best_window(words, ids, at_words, block, k, width):
-                found.append((block.ids[k], *one))
-    return found
-
-
-def _best_window(words: list[bytes], ids: np.ndarray, at_words: list[int], block: Block, k: int, width: int) -> tuple[int, int, int, float] | None:
-    length = min(len(block.words[k]), len(ids))
-    total = len(block.words[k]) - width + 1
-    mine = length - width + 1
-    at = np.array(at_words)
-    marks = np.zeros(len(ids) + 1, np.int64)
-    marks[at + 1] = 1
-    upto = np.cumsum(marks)
-    # a window with too few of the item's shingles can't be similar enough
-    inside = upto[mine : len(ids) - width + 2] - upto[: len(ids) - length + 1]
-    starts = np.flatnonzero((inside > 0) & (inside * (1 + SIMILARITY) >= SIMILARITY * (mine + total) - 1e-9))
-    best = None
-    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 64) + 1):
-        for at_once in np.array_split(run, -(-len(run) // WINDOWS_AT_ONCE) or 1):
-            if len(at_once):
-                one = _best_of(words, ids, at_once, block, k, width, length)
-                if one and (best is None or one[3] > best[3]):
-                    best = one
-    return best
-
-
-def _best_of(words: list[bytes], ids: np.ndarray, starts: np.ndarray, block: Block, k: int, width: int, length: int) -> tuple[int, int, int, float] | None:
-    """The best of the windows that begin at `starts`, which lie close to each other."""
-    low, high = int(starts[0]), int(starts[-1]) + length
-    own = ids[low:high].copy()
-    for j in np.flatnonzero(own == 0).tolist():
-        own[j] = xxhash.xxh64_intdigest(words[low + j]) | 1
-    sums = np.zeros((high - low + 1, 64), np.int32)
-    np.cumsum(_bits(own), axis=0, out=sums[1:])
-    windows = sums[starts - low + length] - sums[starts - low]
-    prints = np.packbits(windows > 0, axis=1).view("<u8").ravel()
-    listed = np.zeros(len(starts), bool)
-    for b in range(BLOCKS):
-        listed |= (block.near[b][block_values(prints, b), k >> 3] >> (7 - (k & 7)) & 1).astype(bool)
-    apart = np.bitwise_count(prints ^ block.prints[k])
-    best = None
-    shingles = _shingles(own) if len(own) >= width else own
-    for j in np.flatnonzero(listed & (apart <= RADIUS)).tolist():
-        s = int(starts[j]) - low
-        alike = similarity(Counter(shingles[s : s + length - width + 1].tolist()), block.shingles[k])
-        if alike >= SIMILARITY and (best is None or alike > best[3]):
-            best = (int(starts[j]), length, int(apart[j]), alike)
-    return best
-
-
-def blocks_of(items: DataFrame, words_a_block: int = 50_000) -> Iterator[Block]:
-    """The benchmark in blocks of about words_a_block words, so that what is broadcast at once is bounded.
-
-    Items without words are left out. A block is collected when its turn comes.
-    """
+        at = np.concatenate([edges, inner])[place]
+        size = np.r_[long, np.full(len(inner), length)][place]
+        text = own[at]
+        first, last = np.maximum(at - stride, starts[text]), np.minimum(at + stride + size, ends[text])
+        # exact: no window around a candidate is similar enough if the region has too few shingles of any item
+        inside = marks[width][np.maximum(last - width + 1, first)] - marks[width][first]
+        able = (at + size <= ends[text]) & (inside * (1 + SIMILARITY) >= SIMILARITY * (size + length - 2 * width + 2) - 1e-9)
+        for k, a, b, n, t in zip(items[able].tolist(), first[able].tolist(), last[able].tolist(), size[able].tolist(), text[able].tolist(), strict=True):
+            if found := _best_window(ids[a:b], block, k, n, width):
+                yield group[t][0], k, a + found[0] - int(starts[t]) + group[t][1], n, *found[1:]
+
+
+def _best_window(ids: np.ndarray, block: Block, k: int, n: int, width: int) -> tuple[int, int, float] | None:
+    """(start, hamming, similarity) of the most similar window of n words; None below SIMILARITY."""
+    if len(ids) < max(n, width):
+        return None
+    hashes, item, best = shingle_hashes(ids, width).tolist(), block.shingles[k], None
+    for start in range(len(ids) - n + 1):
+        alike = similarity(Counter(hashes[start : start + n - width + 1]), item)
+        if alike >= SIMILARITY and (best is None or alike > best[1]):
+            best = (start, alike)
+    if best is None:
+        return None
+    apart = np.bitwise_count(np.uint64(fingerprint(ids[best[0] : best[0] + n])) ^ block.prints[k])
+    return best[0], int(apart), best[1]
+
+
+def blocks_of(items: DataFrame, words_a_block: int = 1_000_000) -> Iterator[Block]:
+    """The benchmark in blocks of about words_a_block words, so that what is collected and broadcast at once is bounded:
+    some 50 MB. Items without words are left out. A block is collected when its turn comes."""
     sized = items.select("item_id", "text", n_words(F.col("text")).alias("n")).where("n > 0")
     total = sized.agg(F.sum("n")).first()[0] or 0
     pieces = -(-int(total) // words_a_block)
     for piece in range(pieces):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == piece).select("item_id", "text").collect()
-        vocabulary: dict[bytes, int] = {}
-        lists = []
-        for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text)):
-            ws = tokens(r.text.encode())
-            for w in ws:
-                if w not in vocabulary:
-                    vocabulary[w] = xxhash.xxh64_intdigest(w) | 1
-            lists.append((r.item_id, np.array([vocabulary[w] for w in ws], np.uint64)))
-        yield Block([x for x, _ in lists], [x for _, x in lists], vocabulary=vocabulary).prepare()
-
-
-def leaks(docs: DataFrame, items: DataFrame, words_a_block: int = 50_000) -> DataFrame:
+        hashes = Hashes()
+        rows = sorted(rows, key=lambda r: (r.item_id is None, "" if r.item_id is None else r.item_id, r.text))
+        yield Block([r.item_id for r in rows], [np.array([hashes[w] for w in tokens(r.text.encode())], np.uint64) for r in rows]).prepare()
+
+
+def _found(batch: pa.RecordBatch, block: Block, hashes: Hashes) -> list[tuple]:
+    if len(hashes) > 500_000:
+        hashes.clear()
+    get = hashes.__getitem__
+    return search([np.fromiter(map(get, tokens(t.as_py())), np.uint64) for t in batch.column("text").cast(pa.binary())], block)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def leaks(docs: DataFrame, items: DataFrame, words_a_block: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each leaked item per document.
 
-    Null and empty texts leak nothing; rows that repeat an id each count. Documents are read once for each block of
-    the benchmark and never shuffled.
+    Null and empty texts leak nothing; rows that repeat an id each count; ids may be of any type. Documents are read
+    once for each words_a_block words of the benchmark (once for most benchmarks) and never shuffled.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, start_word int, n_words int, hamming int, similarity double"
+    kind, item_kind = (df.schema[c].dataType for df, c in ((docs, "doc_id"), (items, "item_id")))
+    schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, start_word int, n_words int, hamming int, similarity double"
+    item_type = to_arrow_type(item_kind)
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks_of(items, words_a_block):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                rows = [(k, *x) for k, t in enumerate(batch.column("text").cast(pa.binary())) for x in search(t.as_py(), block, block.vocabulary)]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
+            block, hashes = sent.value, Hashes()
+            for batch in _parts(batches):
+                cols = list(zip(*_found(batch, block, hashes), strict=True)) or [()] * 6
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                ids = pa.array([block.ids[k] for k in cols[1]], item_type)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), ids, *[pa.array(c, k) for c, k in zip(cols[2:], kinds, strict=True)]], ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
         out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, words_a_block: int = 50_000) -> DataFrame:
-    """The documents that leak no item of the benchmark; nothing is shuffled."""
+def drop_leaking(docs: DataFrame, items: DataFrame, words_a_block: int = 1_000_000) -> DataFrame:
+    """The documents that leak no item of the benchmark, with all their columns; nothing is shuffled. Null and empty
+    texts stay, as do repeated rows; without items all stay."""
     for block in blocks_of(items, words_a_block):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                clean = [not search(t.as_py(), block, block.vocabulary) for t in batch.column("text").cast(pa.binary())]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            block, hashes = sent.value, Hashes()
+            for batch in _parts(batches):
+                clean = np.ones(len(batch), bool)
+                clean[[found[0] for found in _found(batch, block, hashes)]] = False
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
