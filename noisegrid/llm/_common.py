@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own;
+    a cluster has none that all could read, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = spark.conf.get("spark.noisegrid.shared", None)
     if at is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="noisegrid-")
         spark.conf.set("spark.noisegrid.shared", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -54,6 +57,19 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_GAP))).cast("long")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 256, most: int = 20_000) -> DataFrame:
+    """rows joined with groups, which holds one row for each key and in `size` the number of the key's rows.
+
+    Keys of more than `hot` rows are joined by a broadcast while they are at most `most`, so that no task gets all rows
+    of a large group; the others, or all where there are more, meet in a shuffle.
+    """
+    large = groups.where(F.col(size) > hot)
+    if not 0 < large.limit(most + 1).count() <= most:
+        return rows.join(groups, key)
+    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(F.col(size) <= hot), key)
+    return rows.join(F.broadcast(large), key).unionByName(small)
+
+
 def crc_rest(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
