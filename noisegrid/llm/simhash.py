@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from noisegrid.llm._common import checkpoint, private
+from noisegrid.llm._common import checkpoint, join_groups, private
 from noisegrid.llm.graph import connected_components
 
 RADIUS = 4
@@ -170,8 +170,9 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_edges(nodes.select("fp"), radius))
     at = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = at.join(best, "root").select(F.col("fp").alias("c_fp"), "component_id")
+    at = checkpoint(at)
+    best = checkpoint(at.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id")))
+    ids = join_groups(at, best, "root", "n").select(F.col("fp").alias("c_fp"), "component_id")
     return rows.join(ids, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -185,9 +186,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and a fingerprint count as copies: one of them stays. Documents without an id are copies
     of each other where their fingerprints are equal; they go where their component holds an id.
     """
-    found = components(docs)
-    ours = checkpoint(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n")))
-    of_id, key, fp = ours.groupBy("doc_id").agg(F.sum("n").alias("n")), private(docs, "_id"), private(docs, "_fp")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = checkpoint(components(docs).groupBy("doc_id", "fp").agg(F.count("*").alias("n"), F.max(own).alias("own")))
+    ours, key, fp = found.where("own"), private(docs, "_id"), private(docs, "_fp")
+    of_id = found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("own").alias("own")).where("own")
     single = of_id.where("n = 1 and doc_id is not null").select(F.col("doc_id").alias(key))
     out = docs.join(single, F.col("doc_id") == F.col(key), "left_semi")
     several = of_id.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(key))
