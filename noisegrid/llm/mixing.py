@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, share: float
 def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """Weighted fair queueing of all documents: (doc_id, source, size, source_size, target, weight, position, taken).
 
-    Documents of a source queue in an order shuffled by a hash of their id. A copy of a document finishes at the
+    Documents of a source queue in an order shuffled by a hash of their id and text. A copy of a document finishes at the
     source's tokens up to its end, divided by the source's target; copies of all sources are range-sorted by that time
     and cut where the total budget is used up. `taken` is the document's size times the copies before the cut, so 0,
     1, 2 or 3 (epochs) times; `position` is the first copy's finish time.
@@ -47,8 +47,9 @@ def mix(docs: DataFrame, size: Column | None = None, epochs: int = MOST_EPOCHS,
     Queue positions come from sums over hash ranges of a source, about as many as each range of the largest source
     has documents, and a window in each range: no task holds a whole source.
     """
-    rows = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
-    rows = checkpoint(rows.withColumn("order", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))))
+    mark = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text") if c in docs.columns])
+    rows = docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"), mark.alias("order"))
+    rows = checkpoint(rows)
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(by_source, epochs=epochs).select(F.col("source").alias("t_source"), "source_size", "weight", "target")
     largest = by_source.agg(F.max("n")).first()[0] or 0
