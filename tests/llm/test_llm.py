@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ import xxhash
 import zstandard
 
 from noisegrid.llm import decontaminate, graph, langid, lm, mixing, pii, quality, queries, simhash, toxicity, urlfilter, warc
+from noisegrid.llm._common import join_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,16 +118,38 @@ def test_leaks_equal_brute_force(spark, real, sf):
     assert decontaminate.drop_leaking(docs_of(spark, ODD), frame.limit(0)).count() == len(ODD)
 
 
+def hashed(text):
+    return np.array([xxhash.xxh64_intdigest(w) | 1 for w in decontaminate.tokens(text.encode())], np.uint64)
+
+
 def test_long_texts_go_in_parts(spark, monkeypatch):
     item = " ".join(f"w{i * i % 97}" for i in range(60))
     words = item.split()
     text = " ".join([*["w1 w4 w9"] * 200, *words[:30], "x", *words[31:], *["pad"] * 500, *words, *["w1 w4 w9"] * 200])
-    frame = spark.createDataFrame([(1, item)], "item_id long, text string")
+    frame = spark.createDataFrame([("one", item)], "item_id string, text string")
     (block,) = decontaminate.blocks_of(frame)
-    whole = decontaminate.search(text.encode(), block, block.vocabulary)
-    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 3)
-    assert whole == decontaminate.search(text.encode(), block, block.vocabulary)
-    assert [(k, start, s) for k, start, _, _, s in whole] == [(1, 600 + 60 + 500, 1.0)]
+    whole = decontaminate.search([hashed("short text"), hashed(text), hashed(item)], block)
+    monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 300)
+    assert whole == decontaminate.search([hashed("short text"), hashed(text), hashed(item)], block)
+    assert [(t, block.ids[k], start, n, h, s) for t, k, start, n, h, s in whole] == [(1, "one", 600 + 60 + 500, 60, 0, 1.0), (2, "one", 0, 60, 0, 1.0)]
+    assert [r.item_id for r in decontaminate.leaks(docs_of(spark, [(1, text)]), frame).collect()] == ["one"]
+
+
+def test_leaks_equal_exact_search_over_all_windows(spark, sf):
+    """On whole sf0.001: every window of every text against every item, exactly."""
+    items = [(r.item_id, hashed(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    grams = lambda ids: Counter(decontaminate.shingle_hashes(ids, 5).tolist())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = set()
+    for r in docs.collect():
+        ids = hashed(r.text or "")
+        own = set(decontaminate.shingle_hashes(ids, 5).tolist()) if len(ids) >= 5 else set()
+        for k, w in items:
+            shared = own & set(grams(w))
+            if len(shared) >= 0.5 * len(w) - 5 and any(decontaminate.similarity(grams(ids[a : a + len(w)]), grams(w)) >= 0.8 for a in range(max(1, len(ids) - len(w) + 1))):
+                want.add((r.doc_id, k))
+    found = decontaminate.leaks(docs.withColumn("item_id", queries.F.lit("x")).withColumn("similarity", queries.F.lit(1)), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want
 
 
 def test_blocks_hold_all_within_the_radius():
@@ -136,7 +160,7 @@ def test_blocks_hold_all_within_the_radius():
         k = int(rng.integers(20))
         flips = rng.choice(64, int(rng.integers(0, decontaminate.RADIUS + 1)), replace=False)
         x = np.array([block.prints[k] ^ np.uint64(sum(1 << int(b) for b in flips))], np.uint64)
-        assert any(block.near[b][decontaminate.block_values(x, b)[0], k >> 3] >> (7 - (k & 7)) & 1 for b in range(decontaminate.BLOCKS))
+        assert k in block.candidates(x, 20)[1]
 
 
 # 3. Toxicity
@@ -526,6 +550,19 @@ def test_deduplicate_keeps_one(spark, real):
     assert simhash.deduplicate(docs_of(spark, [])).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    first, other = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    kept = simhash.deduplicate(docs_of(spark, [(3, first), (5, other), (5, first)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, first), (5, other)]
+
+
+def test_large_groups_join_like_small_ones(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id < 600, 1, id) AS k")
+    groups = rows.groupBy("k").agg(queries.F.count("*").alias("n"), queries.F.max("id").alias("top"))
+    got = {(r.id, r.top) for r in join_groups(rows, groups, "k", "n", hot=10).collect()}
+    assert got == {(i, 599 if i < 600 else i) for i in range(1000)} == {(r.id, r.top) for r in join_groups(rows, groups, "k", "n").collect()} | {(r.id, r.top) for r in join_groups(rows, groups, "k", "n", most=0).collect()}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 499), (499, 500), (7, 7), (None, 3)]
     found = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -606,6 +643,33 @@ def test_url_rules(spark):
     }
 
 
+def test_url_links_resolve_as_browsers_do(spark):
+    bases = ["http://good.net/dir/sub/x.html?p=1#f", "http://Good.net", "http://good.net/a/"]
+    hrefs = ["/go?u=http://example.org/es/a", "z.html", "?id=5", "../a", "./b/./c", "../../../up", "//other.org/q", "a/b/../", "..", "x?y=../z", "/p&amp;q=1", "HTTP://Up.example/Case"]
+    rows, want = [], set()
+    for i, (base, href) in enumerate(itertools.product(bases, hrefs)):
+        quote = ["'", '"', ""][i % 3]
+        tag = f"<link rel={quote}canonical{quote} href={quote}{href}{quote} >" if i % 2 else f"<META http-equiv=refresh content=\"0; url={href}\">"
+        rows.append((i, base, f"<html>{tag}</html>"))
+        want.add(tuple(u.netloc.lower() + (u.path or "/") + ("?" + u.query if u.query else "") for u in (urlsplit(base), urlsplit(urljoin(base, href.replace("&amp;", "&"))))))
+    pages = spark.createDataFrame([*rows, (900, "http://good.net/m", "<link rel=canonical href='mailto:a@b'><link rel=canonical href=''><link rel='alternate' href='/no'>"), (901, None, "<link rel=canonical href='/x'>"), (902, "http://g.net/", None)], "page_id long, url string, html string")
+    assert {(r.a, r.b) for r in urlfilter.link_edges(pages).collect()} == {(a, b) for a, b in want if a != b}
+
+
+def test_url_odd_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert urlfilter.judge(spark.createDataFrame([], schema)).count() == 0
+    row = (1, "http://a.example.com/de/x", "<link rel=canonical href='/fr/y'>")
+    got = urlfilter.judge(spark.createDataFrame([row, row, (None, None, None), (None, None, None), (2, "", "")], schema)).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "allow"), (0, "allow"), (1, "block"), (1, "block"), (2, "allow")]
+
+
+def test_blocked_by_a_relative_link(spark):
+    pages = [(1, "http://good.net/x", "<link rel='canonical' href='/go?u=http://example.org/es/a'>"), (2, "http://good.net/y/z", "<meta http-equiv='refresh' content=\"5;URL='../bad'\">"), (3, "http://good.net/bad", "<link href=http://example.org/es/q rel=canonical>")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block"}
+
+
 def test_url_decisions_follow_links(spark):
     canonical = '<head><link rel="canonical" href="{}"></head>'
     refresh = "<meta http-equiv='refresh' content='0; url={}'>"
