@@ -166,6 +166,16 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.size(F.filter(edges(ring), crossed)) % 2 == 1
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two edges of a closed ring that aren't neighbours cross."""
+    es = edges(ring)
+    n = F.size(es)
+    side = lambda a, b, p: F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+    apart = lambda e, f: (side(e["a"], e["b"], f["a"]) * side(e["a"], e["b"], f["b"]) < 0) & (side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
+    places = F.sequence(F.lit(0), n - 1)
+    return F.exists(places, lambda i: F.exists(places, lambda j: (j > i + 1) & ~((i == 0) & (j == n - 1)) & apart(F.get(es, i), F.get(es, j))))
+
+
 def bbox_intersects(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1: Column, bx2: Column, by2: Column) -> Column:
     return (ax1 <= bx2) & (ax2 >= bx1) & (ay1 <= by2) & (ay2 >= by1)
 

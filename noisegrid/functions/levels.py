@@ -130,6 +130,16 @@ def energy_sum_stable(c: Column) -> Column:
     return top + level_of(F.aggregate(levels, F.lit(0.0), lambda acc, x: acc + energy(x - top)))
 
 
+def exact_sum(c: Column) -> Column:
+    """Aggregate: the sum in millionths as integers, so that it is the same in any order; null without values."""
+    return F.sum(F.round(c * 1_000_000).cast("long")) / F.lit(1e6)
+
+
+def exact_mean(c: Column) -> Column:
+    """Aggregate: the mean of an exact_sum."""
+    return exact_sum(c) / F.count(c)
+
+
 def energy_mean(c: Column) -> Column:
     """Aggregate: the level of the mean energy."""
     return level_of(F.avg(energy(c)))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from noisegrid.functions import levels as L
 from noisegrid.operators import spatial as S
+from noisegrid.operators.tiles import numbered
 
 
 def error_aggregates(error: Column, within: tuple[float, ...] = (1.0, 3.0)) -> list[Column]:
@@ -131,10 +132,9 @@ def recent_runs(df: DataFrame, k: int = 8) -> DataFrame:
 
 
 def stride_sample(df: DataFrame, order: str, most: int = 2200) -> DataFrame:
-    """Every n-th row in an order, at most about `most`: the share is a feature of the map. Ranks come from a hash of
-    the order column, so that no task sorts everything."""
+    """Every n-th row in an order, the first included, with the least n that gives at most `most` rows."""
     step = max(1, -(-df.count() // most))
-    return df.where(F.pmod(F.xxhash64(order), F.lit(step)) == 0)
+    return numbered(df.orderBy(order), "_place").where(F.col("_place") % step == 0).drop("_place")
 
 
 def correction_summary(df: DataFrame, col: str) -> DataFrame:

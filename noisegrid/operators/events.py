@@ -10,6 +10,7 @@ from noisegrid.functions import acoustics as A
 from noisegrid.functions import geometry as G
 from noisegrid.functions import levels as L
 from noisegrid.functions import timefns as T
+from noisegrid.operators import rules
 from noisegrid.operators.small import hinted
 
 
@@ -38,12 +39,15 @@ def subset_cnel(events: DataFrame, zone: str, keys: list[str]) -> DataFrame:
     return sums.select("*", *[(F.col(f"energy_{p}") / total).alias(f"share_{p}") for p in "den"], (10.0 * F.log10(total / 86400.0)).alias("cnel"))
 
 
-def timed_laeq(events: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
-    """(keys, laeq) of level events over a period; the caller refuses what rules.validate_events finds."""
+def timed_laeq(events: DataFrame, start: str, end: str, keys: list[str], refuse: bool = True) -> DataFrame:
+    """(keys, laeq, n) of level events over a period. Events that overlap, repeat, cross an edge of the period or break
+    another rule are refused with an error; without `refuse` those that begin in the period count."""
     a, b = (F.to_timestamp(F.lit(x)) for x in (start, end))
+    if refuse:
+        rules.strict(rules.validate_events(events, a, b), "events")
     rows = events.withColumn("sel", L.sel_from_laeq(F.col("laeq_db"), F.col("duration_s"))).withColumnRenamed("start_ts", "ts")
     seconds = F.unix_seconds(b) - F.unix_seconds(a)
-    return rows.where(T.in_window(F.col("ts"), a, b)).groupBy(*keys).agg((L.energy_sum(F.col("sel")) - 10.0 * F.log10(F.first(seconds))).alias("laeq"))
+    return rows.where(T.in_window(F.col("ts"), a, b)).groupBy(*keys).agg((L.energy_sum(F.col("sel")) - 10.0 * F.log10(F.first(seconds))).alias("laeq"), F.count("*").alias("n"))
 
 
 def segment_profile(points: DataFrame, most_kt: float = 20.0, keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:

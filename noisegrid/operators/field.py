@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noisegrid.functions import geometry as G
+from noisegrid.functions import levels as L
 from noisegrid.operators import spatial as S
 
 
 def bin_points(points: DataFrame, step: float = 5.0, value: str = "laeq") -> DataFrame:
     """(row, col, sum, n) of points in cells of step metres."""
-    return points.groupBy(F.floor(F.col("y") / step).cast("int").alias("row"), F.floor(F.col("x") / step).cast("int").alias("col")).agg(F.sum(value).alias("sum"), F.count(value).alias("n"))
+    return points.groupBy(F.floor(F.col("y") / step).cast("int").alias("row"), F.floor(F.col("x") / step).cast("int").alias("col")).agg(L.exact_sum(F.col(value)).alias("sum"), F.count(value).alias("n"))
 
 
 def kernel(sigma: float, step: float, reach: float = 3.0) -> list[float]:
@@ -175,7 +176,7 @@ def halve(pixels: DataFrame, tile: int = 256) -> DataFrame:
     """The next lower zoom: means of 2 x 2 pixels, nulls left out."""
     wx, wy = F.col("x") * tile + F.col("px"), F.col("y") * tile + F.col("py")
     half = lambda c: F.floor(c / 2).cast("int")
-    up = pixels.groupBy((F.col("z") - 1).alias("z"), half(wx).alias("_x"), half(wy).alias("_y")).agg(F.avg("value").alias("value"))
+    up = pixels.groupBy((F.col("z") - 1).alias("z"), half(wx).alias("_x"), half(wy).alias("_y")).agg(L.exact_mean(F.col("value")).alias("value"))
     return up.select("z", F.floor(F.col("_x") / tile).cast("int").alias("x"), F.floor(F.col("_y") / tile).cast("int").alias("y"), F.pmod(F.col("_y"), F.lit(tile)).alias("py"), F.pmod(F.col("_x"), F.lit(tile)).alias("px"), "value")
 
 

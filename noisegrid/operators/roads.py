@@ -166,10 +166,21 @@ def classify_lines(df: DataFrame, classes: DataFrame) -> DataFrame:
 
 def filter_edges(df: DataFrame, box: tuple[float, float, float, float], classes: list[str] | None = None, least_m: float = 1.0) -> DataFrame:
     """Segments of motor roads clipped to a box; parts under least_m are dropped."""
-    classes = classes or list(traffic.CLASS_DEFAULTS)
+    return clip_roads(df.where(F.col("mtfcc").isin(*(classes or list(traffic.CLASS_DEFAULTS)))), box, least_m)
+
+
+def prepare_footprints(df: DataFrame, least_m2: float = 4.0) -> DataFrame:
+    """Footprints (ring) that are closed, whose edges don't cross, of least_m2 at least, with their area."""
+    ring, area = F.col("ring"), G.ring_stats(F.col("ring"))["area"]
+    valid = (F.size(ring) >= 4) & (ring[0] == F.element_at(ring, -1)) & ~G.crosses_itself(ring)
+    return df.where(valid).withColumn("area", area).where(F.col("area") >= least_m2)
+
+
+def clip_roads(df: DataFrame, box: tuple[float, float, float, float], least_m: float = 0.5) -> DataFrame:
+    """Segments cut to a box, such as a tile's core; parts under least_m are dropped."""
     c = F.col
     part = G.clip_segment(c("ax"), c("ay"), c("bx"), c("by"), *[F.lit(float(v)) for v in box])
-    rows = df.where(c("mtfcc").isin(*classes)).withColumn("_c", part).where("_c is not null")
+    rows = df.withColumn("_c", part).where("_c is not null")
     cut = {n: G.lerp(c(f"a{a}"), c(f"b{a}"), c(f"_c.{p}")) for n, a, p in (("_ax", "x", "lo"), ("_ay", "y", "lo"), ("_bx", "x", "hi"), ("_by", "y", "hi"))}
     rows = rows.withColumns(cut).withColumns({n[1:]: c(n) for n in cut}).drop("_c", *cut)
     return rows.where(F.sqrt(F.pow(c("bx") - c("ax"), 2) + F.pow(c("by") - c("ay"), 2)) >= least_m)

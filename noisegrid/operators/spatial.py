@@ -111,8 +111,9 @@ def sample_raster(points: DataFrame, grid: DataFrame, step: float, bilinear: boo
         return at.join(grid, ["row", "col"]).select(key, "value")
     u, v = F.col("x") / step - 0.5, F.col("y") / step - 0.5
     corners = F.array(*[F.struct((F.floor(v) + i).cast("int").alias("row"), (F.floor(u) + j).cast("int").alias("col"), (((v - F.floor(v)) if i else (1 - v + F.floor(v))) * ((u - F.floor(u)) if j else (1 - u + F.floor(u)))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    met = points.select(key, F.explode(corners).alias("c")).select(key, "c.*").join(grid, ["row", "col"])
-    return met.groupBy(key).agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.count("value").alias("n")).select(key, F.when(F.col("n") == 4, F.col("value")).alias("value"))
+    met = points.select(key, F.posexplode(corners).alias("k", "c")).select(key, "k", "c.*").join(grid, ["row", "col"])
+    parts = [F.max(F.when(F.col("k") == k, F.col("w") * F.col("value"))).alias(f"_{k}") for k in range(4)]
+    return met.groupBy(key).agg(*parts).select(key, (F.col("_0") + F.col("_1") + F.col("_2") + F.col("_3")).alias("value"))
 
 
 def lattice_interpolate(fine: DataFrame, coarse: DataFrame, step: float, key: str = "pk") -> DataFrame:

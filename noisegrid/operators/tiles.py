@@ -164,6 +164,26 @@ def work_order(cells: DataFrame, done: DataFrame, keys: list[str], x: float, y:
     return met.withColumn("_m", F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)).orderBy(F.col("_d").isNotNull(), "_m", *keys).drop("_d", "_m")
 
 
+def ordered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in the order in which files are written: by receiver, building or path key, whatever order they came in."""
+    return df.orderBy(*keys)
+
+
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Sorted rows with their places from 0.
+
+    Places are the row's number in its partition after the counts of the partitions before it, so that no task sees all
+    rows; the rows are kept for the second look.
+    """
+    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).persist()
+    before, starts = 0, []
+    for part, n in sorted(rows.groupBy("_part").count().collect()):
+        starts.append((part, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_start")
+
+
 def changed_files(new: DataFrame, old: DataFrame) -> DataFrame:
     """Files (path, sha) that the published index lacks or has with another hash."""
     return new.join(old.select("path", F.col("sha").alias("_old")), "path", "left").where(~F.col("sha").eqNullSafe(F.col("_old"))).drop("_old")

@@ -64,7 +64,7 @@ def envelope(spark, sf_dir):
     return tiles.envelope(view(spark, sf_dir, "pts"))
 
 
-@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 100) AS INT) AS r, CAST(floor(x / 100) AS INT) AS c, avg(laeq) AS v FROM pts GROUP BY 1, 2) SELECT a.r AS "row", a.c AS col, round(avg(CASE WHEN b.v >= 55 THEN 1.0 ELSE 0.0 END), 6) AS share FROM g a JOIN g b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY 1, 2')
+@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 100) AS INT) AS r, CAST(floor(x / 100) AS INT) AS c, CAST(sum(CAST(round(laeq * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(laeq) AS v FROM pts GROUP BY 1, 2) SELECT a.r AS "row", a.c AS col, round(avg(CASE WHEN b.v >= 55 THEN 1.0 ELSE 0.0 END), 6) AS share FROM g a JOIN g b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY 1, 2')
 def box_share(spark, sf_dir):
     bins = field.bin_points(view(spark, sf_dir, "pts"), 100.0)
     return _round_all(field.box_share(bins, F.col("sum") / F.col("n") >= 55, 2), 6)
@@ -83,11 +83,11 @@ def thin_voxels(spark, sf_dir):
     return lidar.thin_voxels(pts, 200.0).select(F.round(F.col("z") / 40, 6).alias("z")).groupBy("z").agg(F.count("*").alias("n"))
 
 
-@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, avg(laeq) AS v FROM pts GROUP BY 1, 2) SELECT pk, round(v, 4) AS value FROM pts JOIN g ON r = CAST(floor(y / 50) AS INT) AND c = CAST(floor(x / 50) AS INT)')
+@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, CAST(sum(CAST(round(laeq * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(laeq) AS v FROM pts GROUP BY 1, 2) SELECT pk, v AS value FROM pts JOIN g ON r = CAST(floor(y / 50) AS INT) AND c = CAST(floor(x / 50) AS INT)')
 def sample_nearest_cell(spark, sf_dir):
     pts = view(spark, sf_dir, "pts")
     grid = field.bin_points(pts, 50.0).select("row", "col", (F.col("sum") / F.col("n")).alias("value"))
-    return _round_all(S.sample_raster(pts, grid, 50.0), 4)
+    return S.sample_raster(pts, grid, 50.0)
 
 
 @query("SELECT o_custkey AS tile_id, o_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS id FROM orders")

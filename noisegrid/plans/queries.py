@@ -446,7 +446,7 @@ def split_carriageways(spark, sf_dir):
     return roads.detect_split(view(spark, sf_dir, "recs").select("edge_id", (i % 500).alias("record_id"), ((i % 97) * 10.0).alias("from_m"), ((i % 97) * 10.0 + 150).alias("to_m"), ((i % 5) * 3.0).alias("offset_m"), F.col("mtfcc").isin("S1100", "S1630").alias("freeway")))
 
 
-_BINS = ctes("pts") + ", b AS (SELECT CAST(floor(y / {s}) AS INT) AS r, CAST(floor(x / {s}) AS INT) AS c, sum(laeq) AS s, count(laeq) AS n FROM pts GROUP BY 1, 2)"
+_BINS = ctes("pts") + ", b AS (SELECT CAST(floor(y / {s}) AS INT) AS r, CAST(floor(x / {s}) AS INT) AS c, CAST(sum(CAST(round(laeq * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 AS s, count(laeq) AS n FROM pts GROUP BY 1, 2)"
 
 
 @query(_BINS.format(s=5) + ' SELECT r AS "row", c AS col, round(s, 3) AS sum, n FROM b')
@@ -471,24 +471,24 @@ def gaussian_surface(spark, sf_dir):
     return _round_all(field.gaussian_surface(bins, 40.0, 72.0, 240.0, 0.0500001, 0.0200001), 3)
 
 
-@query(ctes("pts") + """, p AS (SELECT 5 AS z, CAST(floor((x - 352000) / 10) AS INT) AS wx, CAST(floor((y - 3784000) / 10) AS INT) AS wy, avg(laeq) AS v FROM pts GROUP BY 2, 3),
-q AS (SELECT 4 AS z, wx // 2 AS wx, wy // 2 AS wy, avg(v) AS v FROM p GROUP BY 2, 3), s AS (SELECT 3 AS z, wx // 2 AS wx, wy // 2 AS wy, avg(v) AS v FROM q GROUP BY 2, 3), u AS (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM s)
-SELECT z, CAST(wx // 256 AS INT) AS x, CAST(wy // 256 AS INT) AS y, CAST(wx % 256 AS INT) AS px, CAST(wy % 256 AS INT) AS py, round(v, 3) AS value FROM u""")
+@query(ctes("pts") + """, p AS (SELECT 5 AS z, CAST(floor((x - 352000) / 10) AS INT) AS wx, CAST(floor((y - 3784000) / 10) AS INT) AS wy, CAST(sum(CAST(round(laeq * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(laeq) AS v FROM pts GROUP BY 2, 3),
+q AS (SELECT 4 AS z, wx // 2 AS wx, wy // 2 AS wy, CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(v) AS v FROM p GROUP BY 2, 3), s AS (SELECT 3 AS z, wx // 2 AS wx, wy // 2 AS wy, CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(v) AS v FROM q GROUP BY 2, 3), u AS (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM s)
+SELECT z, CAST(wx // 256 AS INT) AS x, CAST(wy // 256 AS INT) AS y, CAST(wx % 256 AS INT) AS px, CAST(wy % 256 AS INT) AS py, v AS value FROM u""")
 def pyramid_mean(spark, sf_dir):
     wx, wy = F.floor((F.col("x") - 352000) / 10).cast("int"), F.floor((F.col("y") - 3784000) / 10).cast("int")
-    px = view(spark, sf_dir, "pts").groupBy(wx.alias("wx"), wy.alias("wy")).agg(F.avg("laeq").alias("value"))
+    px = view(spark, sf_dir, "pts").groupBy(wx.alias("wx"), wy.alias("wy")).agg(L.exact_mean(F.col("laeq")).alias("value"))
     px = px.select(F.lit(5).alias("z"), F.floor(F.col("wx") / 256).cast("int").alias("x"), F.floor(F.col("wy") / 256).cast("int").alias("y"), (F.col("wy") % 256).alias("py"), (F.col("wx") % 256).alias("px"), "value")
     out = field.build_pyramid(px, 3, 5)
-    return _round_all(out.select("z", "x", "y", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "value"), 3)
+    return out.select("z", "x", "y", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "value")
 
 
-@query(_BINS.format(s=50) + """, g AS (SELECT r, c, s / n AS v FROM b), q AS (SELECT pk, x / 50 - 0.5 AS u, y / 50 - 0.5 AS w FROM pts), h AS (SELECT pk, CAST(floor(u) AS INT) AS c0, CAST(floor(w) AS INT) AS r0, u - floor(u) AS fu, w - floor(w) AS fw FROM q)
-SELECT pk, round(CASE WHEN a.v IS NULL OR b.v IS NULL OR c.v IS NULL OR d.v IS NULL THEN NULL ELSE a.v * (1 - fu) * (1 - fw) + b.v * fu * (1 - fw) + c.v * (1 - fu) * fw + d.v * fu * fw END, 3) AS value
+@query(_BINS.format(s=50) + """, g AS (SELECT r, c, s / n AS v FROM b), q AS (SELECT pk, x / 50 - 0.5 AS u, y / 50 - 0.5 AS w FROM pts), h AS (SELECT pk, CAST(floor(u) AS INT) AS c0, CAST(floor(w) AS INT) AS r0, u - floor(u) AS fu, 1 - u + floor(u) AS gu, w - floor(w) AS fw, 1 - w + floor(w) AS gw FROM q)
+SELECT pk, (gw * gu) * a.v + (gw * fu) * b.v + (fw * gu) * c.v + (fw * fu) * d.v AS value
 FROM h LEFT JOIN g a ON a.r = r0 AND a.c = c0 LEFT JOIN g b ON b.r = r0 AND b.c = c0 + 1 LEFT JOIN g c ON c.r = r0 + 1 AND c.c = c0 LEFT JOIN g d ON d.r = r0 + 1 AND d.c = c0 + 1 WHERE coalesce(a.v, b.v, c.v, d.v) IS NOT NULL""")
 def sample_raster(spark, sf_dir):
     pts = view(spark, sf_dir, "pts")
     grid = field.bin_points(pts, 50.0).select("row", "col", (F.col("sum") / F.col("n")).alias("value"))
-    return _round_all(S.sample_raster(pts, grid, 50.0, bilinear=True), 3)
+    return S.sample_raster(pts, grid, 50.0, bilinear=True)
 
 
 @query(ctes("pts") + """, l AS (SELECT pk, -119.0::DOUBLE + (x - 352000) / 100000 AS lon, 34.0::DOUBLE + (y - 3784000) / 100000 AS lat FROM pts),
