@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noisegrid.functions.geometry import lerp_sq
+from noisegrid.operators.small import hinted
 
 FT_PER_S = 270.05
 MIN_DISTANCE_M = 30.0
@@ -25,30 +26,43 @@ def npd_brackets(npd: DataFrame) -> DataFrame:
     return nxt.where("hi is not null").select("npd_id", "power", "lo", "hi", "level_lo", "level_hi", (F.col("k") == 1).alias("first"), (F.col("k") == F.col("n") - 1).alias("last"))
 
 
-def npd_level(df: DataFrame, npd: DataFrame, keys: list[str], extrapolate_power: bool = False) -> DataFrame:
-    """Levels of rows (keys, npd_id, power, distance_m) from a table (npd_id, power, distance_m, level_db).
+def npd_curves(npd: DataFrame) -> DataFrame:
+    """(npd_id, curves): each id's power curves in order, each with its distance intervals in order."""
+    part = F.struct("lo", "hi", "level_lo", "level_hi")
+    each = npd_brackets(npd).groupBy("npd_id", "power").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return each.groupBy("npd_id").agg(F.sort_array(F.collect_list(F.struct("power", "parts"))).alias("curves"))
+
+
+def with_npd_level(df: DataFrame, npd: DataFrame, level: str = "level_db", status: str = "status", extrapolate_power: bool = False) -> DataFrame:
+    """Add the level of rows (npd_id, power, distance_m) from a table (npd_id, power, distance_m, level_db).
 
     Linear in the log of distance on each power curve (edge intervals go on, 30 m at least), then linear in power.
-    Returns keys, level_db and status: `ok`, `no_table`, `power_outside`, or `extrapolated_too_far` if power
-    extrapolation moves the level by over 5 dB. The table is one small curve set per id and joins by its id.
+    status is `ok`, `no_table`, `power_outside`, or `extrapolated_too_far` if power extrapolation moves the level by
+    over 5 dB. The curves of an id are one value, broadcast where they are small, so that rows aren't shuffled.
     """
-    log_d = F.log10(F.greatest(F.col("distance_m"), F.lit(MIN_DISTANCE_M)))
-    rows = df.select(*keys, "npd_id", F.col("power").alias("at"), log_d.alias("log_d"))
-    b = npd_brackets(npd)
-    inside = (F.col("first") | (F.col("log_d") >= F.col("lo"))) & (F.col("last") | (F.col("log_d") < F.col("hi")))
-    curve = F.col("level_lo") + (F.col("level_hi") - F.col("level_lo")) * (F.col("log_d") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    on = rows.join(b, "npd_id", "left").where(F.col("power").isNull() | inside).select(*keys, "at", "power", curve.alias("level"))
-    curves = on.groupBy(*keys).agg(F.first("at").alias("at"), F.sort_array(F.collect_list(F.when(F.col("power").isNotNull(), F.struct("power", "level")))).alias("c"))
-    n = F.size("c")
-    low = F.greatest(F.lit(0), F.least(n - 2, F.size(F.filter("c", lambda x: x["power"] <= F.col("at"))) - 1))
-    a, z = F.get("c", low), F.get("c", F.least(low + 1, n - 1))
-    part = F.when(z["power"] > a["power"], (F.col("at") - a["power"]) / (z["power"] - a["power"])).otherwise(0.0)
-    level = a["level"] + part * (z["level"] - a["level"])
-    under, over = F.col("at") < F.get("c", F.lit(0))["power"], F.col("at") > F.get("c", n - 1)["power"]
-    nearest = F.when(under, F.get("c", F.lit(0))["level"]).otherwise(F.get("c", n - 1)["level"])
-    outside = under | over
-    status = F.when(n == 0, "no_table").when(outside & F.lit(not extrapolate_power), "power_outside").when(outside & (F.abs(level - nearest) > MOST_EXTRAPOLATED_DB), "extrapolated_too_far").otherwise("ok")
-    return curves.select(*keys, level.alias("level_db"), status.alias("status")).withColumn("level_db", F.when(F.col("status") == "ok", F.col("level_db")))
+    log_d, at = F.log10(F.greatest(F.col("distance_m"), F.lit(MIN_DISTANCE_M))), F.col("power")
+
+    def on_curve(k: Column) -> Column:
+        last = F.size(k["parts"]) - 1
+        p = F.filter(k["parts"], lambda s, i: ((i == 0) | (log_d >= s["lo"])) & ((i == last) | (log_d < s["hi"])))[0]
+        return F.struct(k["power"].alias("power"), (p["level_lo"] + (p["level_hi"] - p["level_lo"]) * (log_d - p["lo"]) / (p["hi"] - p["lo"])).alias("level"))
+
+    rows = df.join(hinted(npd_curves(npd).withColumnRenamed("curves", "_curves")), "npd_id", "left")
+    rows = rows.withColumn("_c", F.transform("_curves", on_curve))
+    n = F.coalesce(F.size("_c"), F.lit(0))
+    low = F.greatest(F.lit(0), F.least(n - 2, F.size(F.filter("_c", lambda x: x["power"] <= at)) - 1))
+    a, z, first, end = F.get("_c", low), F.get("_c", F.least(low + 1, n - 1)), F.get("_c", F.lit(0)), F.get("_c", n - 1)
+    part = F.when(z["power"] > a["power"], (at - a["power"]) / (z["power"] - a["power"])).otherwise(0.0)
+    value = a["level"] + part * (z["level"] - a["level"])
+    under, over = at < first["power"], at > end["power"]
+    nearest = F.when(under, first["level"]).otherwise(end["level"])
+    known = F.when(n <= 0, "no_table").when((under | over) & F.lit(not extrapolate_power), "power_outside").when((under | over) & (F.abs(value - nearest) > MOST_EXTRAPOLATED_DB), "extrapolated_too_far").otherwise("ok")
+    return rows.withColumn("_s", known).withColumn(level, F.when(F.col("_s") == "ok", value)).drop("_curves", "_c").withColumnRenamed("_s", status)
+
+
+def npd_level(df: DataFrame, npd: DataFrame, keys: list[str], extrapolate_power: bool = False) -> DataFrame:
+    """keys, level_db and status of with_npd_level."""
+    return with_npd_level(df, npd, extrapolate_power=extrapolate_power).select(*keys, "level_db", "status")
 
 
 def segment_geometry(df: DataFrame) -> DataFrame:

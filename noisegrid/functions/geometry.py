@@ -160,6 +160,27 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def ring_distance(px: Column, py: Column, ring: Column) -> Column:
+    """Metres from a point to the border of a ring."""
+    return F.array_min(F.transform(edges(ring), lambda e: point_segment(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])["distance"]))
+
+
+def inscribed_radius(ring: Column, steps: int = 16, rounds: int = 3) -> Column:
+    """Radius of about the largest circle inside a ring: the best of a grid of points, refined around it."""
+    span = lambda axis: (F.array_min(F.transform(ring, lambda p: p[axis])), F.array_max(F.transform(ring, lambda p: p[axis])))
+    (x1, x2), (y1, y2) = span("x"), span("y")
+    start = F.struct(F.lit(-1.0).alias("r"), ((x1 + x2) / 2).alias("x"), ((y1 + y2) / 2).alias("y"), ((x2 - x1) / 2).alias("w"), ((y2 - y1) / 2).alias("h"))
+    places = F.sequence(F.lit(0), F.lit(steps))
+
+    def closer(at: Column, _: Column) -> Column:
+        x, y = (lambda i: at["x"] + (2 * i / steps - 1) * at["w"]), (lambda j: at["y"] + (2 * j / steps - 1) * at["h"])
+        one = lambda i, j: F.struct(F.when(in_ring(x(i), y(j), ring), ring_distance(x(i), y(j), ring)).otherwise(-1.0).alias("r"), x(i).alias("x"), y(j).alias("y"))
+        best = F.array_max(F.flatten(F.transform(places, lambda i: F.transform(places, lambda j: one(i, j)))))
+        return F.struct(best["r"].alias("r"), best["x"].alias("x"), best["y"].alias("y"), (at["w"] * 2 / steps).alias("w"), (at["h"] * 2 / steps).alias("h"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, closer)["r"]
+
+
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Whether a point lies inside a closed ring, by crossings."""
     crossed = lambda s: ((s["a"]["y"] > py) != (s["b"]["y"] > py)) & (px < (s["b"]["x"] - s["a"]["x"]) * (py - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])

@@ -10,19 +10,22 @@ from pyspark.sql.window import Window as W
 
 from noisegrid.functions import levels as L
 from noisegrid.operators import spatial as S
+from noisegrid.operators.quantiles import percentiles
 from noisegrid.operators.tiles import numbered
 
 
-def error_aggregates(error: Column, within: tuple[float, ...] = (1.0, 3.0)) -> list[Column]:
-    """n, mae, rmse, bias, median, percentiles of the absolute error and shares within some dB."""
-    size = F.abs(error)
+def error_stats(df: DataFrame, estimate: str, reference: str, keys: list[str] | None = None, within: tuple[float, ...] = (1.0, 3.0)) -> DataFrame:
+    """n, mae, rmse, bias, median, percentiles of the absolute error and shares within some dB, for each group."""
+    keys, error, size = keys or [], F.col("_e"), F.abs("_e")
+    rows = df.select(*keys, (F.col(estimate) - F.col(reference)).alias("_e"))
     shares = [(F.count_if(size <= k) / F.count(error)).alias(f"within_{k:g}") for k in within]
-    points = [F.percentile(size, p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return [F.count(error).alias("n"), F.avg(size).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), F.percentile(error, 0.5).alias("median"), *points, *shares]
-
-
-def error_stats(df: DataFrame, estimate: str, reference: str, keys: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(keys or [])).agg(*error_aggregates(F.col(estimate) - F.col(reference)))
+    out = rows.groupBy(*keys).agg(F.count(error).alias("n"), F.avg(size).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), *shares)
+    middle = percentiles(rows, "_e", [0.5], keys).withColumnRenamed("values", "_m")
+    points = percentiles(rows.withColumn("_e", size), "_e", [0.5, 0.9, 0.95, 0.99], keys).withColumnRenamed("values", "_p")
+    for more in (middle, points):
+        out = out.join(more, keys, "left") if keys else out.join(more, how="left")
+    named = [F.col("_m")[0].alias("median"), *[F.col("_p")[i].alias(f"p{p}") for i, p in enumerate((50, 90, 95, 99))]]
+    return out.select(*keys, "n", "mae", "rmse", "bias", *named, *[f"within_{k:g}" for k in within])
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -69,7 +72,10 @@ def ceiling_level(points: DataFrame, segments: DataFrame, reach: float, floor_m:
 def ceiling_report(df: DataFrame, margin: float = 6.0) -> DataFrame:
     """Percentiles of level - ceiling, and how many exceed the margin."""
     excess = F.col("level") - F.col("ceiling")
-    return df.agg(F.count(excess).alias("n"), *[F.percentile(excess, p / 100).alias(f"p{p}") for p in (50, 90, 99, 100)], F.count_if(excess > margin).alias("flagged"))
+    sums = df.agg(F.count(excess).alias("n"), F.count_if(excess > margin).alias("flagged"))
+    names = [f"p{p}" for p in (50, 90, 99, 100)]
+    at = percentiles(df.select(excess.alias("excess")), "excess", [0.5, 0.9, 0.99, 1.0])
+    return sums.join(at).select("n", *[F.col("values")[i].alias(n) for i, n in enumerate(names)], "flagged")
 
 
 def top_excess(df: DataFrame, k: int = 20) -> DataFrame:
@@ -138,7 +144,8 @@ def stride_sample(df: DataFrame, order: str, most: int = 2200) -> DataFrame:
 
 
 def correction_summary(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.count(col).alias("n"), F.min(col).alias("min"), F.percentile(col, 0.5).alias("median"), F.max(col).alias("max"))
+    sums = df.agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return sums.join(percentiles(df, col, [0.5])).select("n", "min", F.col("values")[0].alias("median"), "max")
 
 
 def visible_tiles(tiles: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:

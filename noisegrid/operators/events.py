@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,6 +11,7 @@ from noisegrid.functions import geometry as G
 from noisegrid.functions import levels as L
 from noisegrid.functions import timefns as T
 from noisegrid.operators import rules
+from noisegrid.operators import spatial as S
 from noisegrid.operators.small import hinted
 
 
@@ -88,19 +89,25 @@ def profile_segments(profile: DataFrame, keys: tuple[str, ...] = ("profile_id",)
     return rows.where("s2 > s1").select(*keys, "seq", *[f"{b}{i}" for i in (1, 2) for b in names.values()])
 
 
-def event_sel(segments: DataFrame, receivers: DataFrame, npd_sel: DataFrame, npd_max: DataFrame, temp_c: float = 15.0, pressure_mmhg: float = 760.0, kind: str = "wing", keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:
-    """(keys, site_id, sel): exposure of each site (site_id, ox, oy, oz) to each event's segments (with npd_id and
-    operation), all terms of a segment summed, then the energies of the segments."""
+def event_sel(segments: DataFrame, receivers: DataFrame, npd_sel: DataFrame, npd_max: DataFrame, temp_c: float = 15.0, pressure_mmhg: float = 760.0, kind: str = "wing", engine: str = "jet", keys: tuple[str, ...] = ("profile_id",), reach_m: float = 50_000.0) -> DataFrame:
+    """(keys, site_id, sel, rejected): exposure of each site (site_id, ox, oy, oz, in the frame of the route) to each
+    event's segments (with npd_id and operation) within reach_m: all terms of a segment summed, then their energies.
+
+    A runway segment of a departure that lies ahead of the site has the finite-segment term of the take-off roll and,
+    for jets and turboprops (`engine`), the directivity behind the start of roll. Sites and segments meet in cells.
+    """
     c = F.col
-    g = A.segment_geometry(segments.crossJoin(hinted(receivers))).withColumn("distance_m", c("slant_m"))
-    ids = [*keys, "seq", "site_id"]
-    sel = A.npd_level(g, npd_sel, ids).select(*ids, c("level_db").alias("sel0"))
-    top = A.npd_level(g, npd_max, ids).select(*ids, c("level_db").alias("max0"))
-    rows = g.join(sel, ids).join(top, ids)
-    ft = 1 / 0.3048
-    finite = A.finite_segment(c("sel0"), c("max0"), c("q_m") * ft, c("length_m") * ft)
+    lines = segments.withColumns({"ax": c("s1"), "ay": F.lit(0.0), "bx": c("s2"), "by": F.lit(0.0)})
+    sites = receivers.withColumns({"x": c("ox"), "y": c("oy")})
+    met = S.near_segments(sites, lines, reach_m).drop("x", "y", "ax", "ay", "bx", "by", "distance", "part")
+    g = A.segment_geometry(met).withColumn("distance_m", c("slant_m"))
+    rows = A.with_npd_level(A.with_npd_level(g, npd_sel, "sel0", "_s1"), npd_max, "max0", "_s2")
+    q_ft, length_ft, side_ft = (c(n) / 0.3048 for n in ("q_m", "length_m", "oy"))
+    roll = (c("z1") <= 1) & (c("z2") <= 1) & (c("operation") == "D")
+    finite = F.when(roll & (q_ft <= 0), A.takeoff_roll(c("sel0"), c("max0"), length_ft)).otherwise(A.finite_segment(c("sel0"), c("max0"), q_ft, length_ft))
+    behind = F.when(roll & (q_ft < 0), A.start_of_roll(q_ft, side_ft, F.lit(engine))).otherwise(0.0) if engine in ("jet", "turboprop") else F.lit(0.0)
     duration = F.when((c("z1") <= 1) & (c("z2") <= 1) & (c("speed_mps") <= 0), 0.0).otherwise(A.duration_correction(c("speed_mps")))
-    level = A.segment_sel(c("sel0"), A.impedance_adjustment(F.lit(temp_c), F.lit(pressure_mmhg)), duration, A.installation_correction(c("phi_deg"), F.lit(kind)), A.lateral_attenuation(c("beta_deg"), c("lateral_m")), finite, F.lit(0.0))
+    level = A.segment_sel(c("sel0"), A.impedance_adjustment(F.lit(temp_c), F.lit(pressure_mmhg)), duration, A.installation_correction(c("phi_deg"), F.lit(kind)), A.lateral_attenuation(c("beta_deg"), c("lateral_m")), finite, behind)
     return rows.withColumn("level", level).groupBy(*keys, "site_id").agg(L.energy_sum(c("level")).alias("sel"), F.count_if(c("level").isNull()).alias("rejected"))
 
 
@@ -113,28 +120,65 @@ def scenario_grid(events: DataFrame, sites: DataFrame, sides: list[str], heights
     return rows
 
 
-def moving_source_sel(tracks: DataFrame, receivers: DataFrame, spectrum: list[tuple[float, float]], reference_m: float = 1.0, panels: int = 16) -> DataFrame:
-    """(track_id, site_id, sel): A-weighted exposure of a source with band levels at reference_m that moves along track
-    segments (track_id, seq, t1, x1, y1, t2, x2, y2), spherical spreading only.
+def moving_source_sel(tracks: DataFrame, receivers: DataFrame, spectrum: list[tuple[float, float]], reference_m: float = 1.0, reference_deg: float = 0.0, knots: list[tuple[float, float]] | None = None, air_db_km: list[float] | None = None, loss_db: list[float] | None = None, reach_m: float = 5000.0, panels: int = 64) -> DataFrame:
+    """(track_id, site_id, sel, bands, closest_m, status): exposure of sites within reach_m of a moving source.
+
+    The source has band levels (hz, level) at reference_m and reference_deg off its heading; `knots` are gains by angle
+    off the heading, air_db_km and loss_db the bands' air absorption and other losses against the reference path.
+    Tracks are segments (track_id, seq, t1, x1, y1, z1, heading1, t2, ...; headings in degrees counter-clockwise from
+    east; heights and headings may be absent) and sites (site_id, ox, oy, oz). bands are unweighted exposures, sel their
+    A-weighted sum. A site on a segment (`on_track`) or seen at an angle beyond the knots (`unmeasured_angle`) has null.
 
-    Each segment is split at the closest approach; Simpson's rule over fixed panels integrates each half in the
-    substitution that makes the integrand smooth (the angle seen from the receiver).
+    Over a segment, time is integrated by Simpson's rule in the angle seen from the site, in which spherical spreading
+    is constant; a source that stands still is one sample.
     """
-    c = F.col
-    met = tracks.crossJoin(hinted(receivers))
-    dx, dy, dt = c("x2") - c("x1"), c("y2") - c("y1"), c("t2") - c("t1")
-    long = F.sqrt(dx * dx + dy * dy)
-    near = G.point_segment(c("ox"), c("oy"), c("x1"), c("y1"), c("x2"), c("y2"))
-    met = met.withColumns({"_v": long / dt, "_q": ((c("ox") - c("x1")) * dx + (c("oy") - c("y1")) * dy) / long, "_b": F.greatest(F.abs((c("ox") - c("x1")) * dy - (c("oy") - c("y1")) * dx) / long, F.lit(1e-3)), "_l": long, "_n": near["distance"]}).where("_l > 0 and t2 > t1")
-    # with s = q + b tan(u), 1 / r^2 ds = du / b
+    c, n = F.col, len(spectrum)
+    air, loss = air_db_km or [0.0] * n, loss_db or [0.0] * n
+    for name in ("z1", "z2", "heading1", "heading2"):
+        tracks = tracks if name in tracks.columns else tracks.withColumn(name, F.lit(0.0))
+    sites = (receivers if "oz" in receivers.columns else receivers.withColumn("oz", F.lit(0.0))).withColumns({"x": c("ox"), "y": c("oy")})
+    lines = tracks.withColumns({"ax": c("x1"), "ay": c("y1"), "bx": c("x2"), "by": c("y2")}).where("t2 > t1")
+    met = S.near_segments(sites, lines, reach_m)
+    d = {a: c(f"{a}2") - c(f"{a}1") for a in "xyz"}
+    to = {a: c(f"o{a}") - c(f"{a}1") for a in "xyz"}
+    long = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
+    along = (to["x"] * d["x"] + to["y"] * d["y"] + to["z"] * d["z"]) / F.nullif(c("_l"), F.lit(0.0))
+    far2 = F.greatest(to["x"] * to["x"] + to["y"] * to["y"] + to["z"] * to["z"], F.lit(1e-24))
+    met = met.withColumn("_l", long).withColumn("_q", F.when(c("_l") > 0, along).otherwise(0.0)).withColumn("_b", F.sqrt(F.greatest(far2 - c("_q") * c("_q"), F.lit(0.0))))
+    nearest = F.sqrt(F.pow(c("_b"), 2) + F.pow(c("_q") - F.least(F.greatest(c("_q"), F.lit(0.0)), c("_l")), 2))
+    met = met.withColumns({"_near": nearest, "_b": F.greatest(c("_b"), F.lit(1e-6))})
     lo, hi = F.atan(-c("_q") / c("_b")), F.atan((c("_l") - c("_q")) / c("_b"))
-    step = (hi - lo) / panels
-    weights = F.transform(F.sequence(F.lit(0), F.lit(panels)), lambda i: F.when((i == 0) | (i == panels), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0))
-    integral = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w) * step / 3.0 / c("_b") / c("_v")
-    power = F.lit(0.0)
-    for hz, level in spectrum:
-        power = power + L.energy(F.lit(float(level)) + L.a_weighting(F.lit(float(hz))))
-    return met.withColumn("_e", integral * power * reference_m**2).groupBy("track_id", "site_id").agg((10.0 * F.log10(F.sum("_e"))).alias("sel"), F.min("_n").alias("closest_m"))
+    moving = c("_l") > 0
+
+    def node(i: Column) -> Column:
+        u = lo + (hi - lo) * i / panels
+        part = F.when(moving, (c("_q") + c("_b") * F.tan(u)) / F.nullif(c("_l"), F.lit(0.0))).otherwise(i / panels)
+        at = {a: c(f"{a}1") + part * d[a] for a in "xyz"}
+        r = F.when(moving, c("_b") / F.cos(u)).otherwise(F.sqrt(far2))
+        bearing = F.degrees(F.atan2(c("oy") - at["y"], c("ox") - at["x"]))
+        turned = G.angle_diff(bearing, G.interp_heading(c("heading1"), c("heading2"), part))
+        w = F.when((i == 0) | (i == panels), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.struct(w.alias("w"), r.alias("r"), (F.lit(0.0) if knots is None else A.directivity_gain(turned, _knots(knots)) - A.directivity_gain(F.lit(float(reference_deg)), _knots(knots))).alias("gain"))
+
+    met = met.withColumn("_nodes", F.transform(F.sequence(F.lit(0), F.lit(panels)), node))
+    # with s = q + b tan(u), ds / r^2 = du / b; standing still, the time over r^2
+    scale = F.when(moving, (hi - lo) / panels / 3.0 / c("_b") * (c("t2") - c("t1")) / F.nullif(c("_l"), F.lit(0.0))).otherwise((c("t2") - c("t1")) / panels / 3.0 / far2)
+
+    def band(level: float, absorbed: float, lost: float) -> Column:
+        received = F.aggregate("_nodes", F.lit(0.0), lambda acc, x: acc + x["w"] * L.energy(x["gain"] - absorbed * (x["r"] - reference_m) / 1000.0))
+        return received * scale * L.energy(F.lit(float(level) - lost)) * reference_m**2
+
+    energies = [band(level, air[k], loss[k]).alias(f"_e{k}") for k, (_, level) in enumerate(spectrum)]
+    status = F.when(c("_near") <= 1e-9, "on_track").when(F.exists("_nodes", lambda x: x["gain"].isNull()), "unmeasured_angle")
+    rows = met.select("track_id", "site_id", c("_near"), status.alias("_bad"), *energies)
+    sums = rows.groupBy("track_id", "site_id").agg(F.max("_bad").alias("_bad"), F.min("_near").alias("closest_m"), *[F.sum(f"_e{k}").alias(f"_e{k}") for k in range(n)])
+    weighted = sum((c(f"_e{k}") * L.energy(L.a_weighting(F.lit(float(hz)))) for k, (hz, _) in enumerate(spectrum)), F.lit(0.0))
+    good = lambda x: F.when(c("_bad").isNull(), x)
+    return sums.select("track_id", "site_id", good(10.0 * F.log10(weighted)).alias("sel"), good(F.array(*[10.0 * F.log10(f"_e{k}") for k in range(n)])).alias("bands"), "closest_m", F.coalesce("_bad", F.lit("ok")).alias("status"))
+
+
+def _knots(knots: list[tuple[float, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(float(g)).alias("gain")) for a, g in knots])
 
 
 def map_types(types: DataFrame, registry: DataFrame, npd: DataFrame) -> DataFrame:
@@ -170,8 +214,6 @@ def candidate_review(events: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def inspect_point(points: DataFrame, records: DataFrame, polygons: DataFrame, reach: float, most: int = 4, key: str = "pk") -> DataFrame:
     """The nearest record of each family within reach, then the context polygons around, four at most per point."""
-    from noisegrid.operators import spatial as S
-
     near = S.within(points.select(key, "x", "y"), records, reach)
     first = near.groupBy(key, "family").agg(F.min(F.struct("distance", "site_id")).alias("b")).select(key, F.lit(0).alias("rank"), "family", F.col("b.site_id").alias("id"), F.col("b.distance").alias("distance"))
     held = S.points_in_polygons(points.select(key, "x", "y"), polygons).select(key, F.lit(1).alias("rank"), "family", F.col("poly_id").alias("id"), F.lit(0.0).alias("distance"))

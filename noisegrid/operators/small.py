@@ -1,4 +1,4 @@
-"""Broadcast hints behind a check of size."""
+"""Broadcast hints behind a check of rows and bytes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; unchanged, for Spark to choose, if it has more."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def hinted(df: DataFrame, most: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows and, as text, most_bytes; unchanged, for Spark to choose,
+    if it has more."""
+    size = df.limit(most + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if size[0] <= most and (size[1] or 0) <= most_bytes else df

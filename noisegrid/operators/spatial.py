@@ -57,10 +57,19 @@ def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
 
 
 def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, key: str = "pk", site: str = "site_id") -> DataFrame:
-    """(key, site, distance, rank): the k nearest sites within a radius, ties to the least id."""
-    pairs = within(points.select(key, "x", "y"), sites.select(site, "sx", "sy"), radius)
-    rank = F.row_number().over(W.partitionBy(key).orderBy("distance", site))
-    return pairs.select(key, site, "distance", rank.alias("rank")).where(F.col("rank") <= k)
+    """(key, site, distance, rank): the k nearest sites within a radius, ties to the least id.
+
+    Points that find k sites within a quarter of the radius need no more; the others look over the whole radius.
+    """
+
+    def ranked(points: DataFrame, radius: float) -> DataFrame:
+        pairs = within(points.select(key, "x", "y"), sites.select(site, "sx", "sy"), radius)
+        rank = F.row_number().over(W.partitionBy(key).orderBy("distance", site))
+        return pairs.select(key, site, "distance", rank.alias("rank")).where(F.col("rank") <= k)
+
+    near = ranked(points, radius / 4)
+    done = near.where(F.col("rank") == k).select(key)
+    return near.join(done, key, "left_semi").unionByName(ranked(points.join(done, key, "left_anti"), radius))
 
 
 def nearby_places(points: DataFrame, places: DataFrame, limits: dict[str, float], key: str = "pk") -> DataFrame:

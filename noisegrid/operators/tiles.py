@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from noisegrid.functions import geometry as G
 from noisegrid.functions import levels as L
+from noisegrid.operators import spatial as S
+from noisegrid.operators.quantiles import percentiles
 
 PERIODS = ["D", "E", "N"]
 
@@ -78,8 +81,11 @@ def facade_extremes(result: DataFrame) -> DataFrame:
 
 def building_percentiles(buildings: DataFrame, cols: list[str]) -> DataFrame:
     """The 101 percentiles of each column over all buildings."""
-    at = [i / 100 for i in range(101)]
-    return buildings.agg(*[F.percentile(c, at).alias(c) for c in cols])
+    out = None
+    for c in cols:
+        one = percentiles(buildings, c, [i / 100 for i in range(101)]).withColumnRenamed("values", c)
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
 
 
 def percentile_rank(value: Column, table: Column) -> Column:
@@ -206,18 +212,39 @@ def stale_tiles(tiles: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def lattice_receivers(tiles: DataFrame, spacing: float = 20.0, size: float = 1000.0, height: float = 1.5) -> DataFrame:
-    """Open-ground receivers at the middles of a lattice in each tile; footprints are taken out with spatial.wall_ring
-    and points_in_polygons."""
+    """Open-ground receivers at the middles of a lattice in each tile, footprints or not; see open_receivers."""
     steps = F.sequence(F.lit(0), F.lit(int(size / spacing) - 1))
     rows = tiles.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
     rows = rows.withColumns({"x": F.col("cell_e") * size + (F.col("_i") + 0.5) * spacing, "y": F.col("cell_n") * size + (F.col("_j") + 0.5) * spacing, "height_agl_m": F.lit(height)})
     return rows.withColumn("receiver_key", F.format_string("grid%d:%d:%d", F.lit(int(spacing)), F.floor("x"), F.floor("y"))).drop("_i", "_j")
 
 
-def facade_receivers(buildings: DataFrame, spacing: float = 10.0, out_m: float = 2.0, least: int = 4, height: float = 4.0) -> DataFrame:
-    """Points along each footprint, at least four and at most `spacing` apart, out_m outside the wall."""
-    from noisegrid.functions import geometry as G
+def open_receivers(tiles: DataFrame, roads: DataFrame, buildings: DataFrame, spacing: float = 20.0, dense: float = 10.0, near_m: float = 100.0, clear_m: float = 2.0, size: float = 1000.0) -> DataFrame:
+    """The lattice of each tile and, within near_m of a road, a denser one too; without points in a footprint or within
+    clear_m of its wall."""
+    fine = lattice_receivers(tiles, dense, size)
+    near = S.nearest_segment(fine.select("receiver_key", "x", "y"), roads, near_m, "receiver_key").select("receiver_key")
+    both = lattice_receivers(tiles, spacing, size).withColumn("spacing_m", F.lit(spacing)).unionByName(fine.join(near, "receiver_key", "left_semi").withColumn("spacing_m", F.lit(dense)))
+    return both.join(beside_walls(both, buildings, clear_m), "receiver_key", "left_anti")
+
+
+def beside_walls(points: DataFrame, buildings: DataFrame, clear_m: float) -> DataFrame:
+    """(receiver_key) of points in a footprint (ring) or within clear_m of its wall."""
+    walls = buildings.select(F.explode(G.edges(F.col("ring"))).alias("e")).select(F.monotonically_increasing_id().alias("seg_id"), F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    at = points.select("receiver_key", "x", "y")
+    close = S.near_segments(at, walls, clear_m).where(F.col("distance") < clear_m).select("receiver_key")
+    return close.union(S.points_in_polygons(at, buildings.select("ring")).select("receiver_key")).distinct()
+
+
+def facade_receivers(buildings: DataFrame, spacing: float = 10.0, out_m: float = 2.0, least: int = 4, height: float = 4.0, clear_m: float = 1.0) -> DataFrame:
+    """Points along each footprint, at least four and at most `spacing` apart, out_m outside the wall; those in another
+    footprint or within clear_m of a wall are left out."""
+    rows = facade_points(buildings, spacing, out_m, least, height)
+    return rows.join(beside_walls(rows, buildings, clear_m), "receiver_key", "left_anti")
+
 
+def facade_points(buildings: DataFrame, spacing: float, out_m: float, least: int, height: float) -> DataFrame:
+    """The points of facade_receivers, free or not."""
     c, es = F.col, G.edges(F.col("ring"))
     long = lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2))
     rows = buildings.withColumn("_s", G.ring_stats(c("ring"))).withColumn("_n", F.greatest(F.ceil(c("_s.perimeter") / spacing), F.lit(least)).cast("int"))

@@ -156,6 +156,12 @@ def proximity_counts(points: DataFrame, x: float, y: float, radii: list[float],
     return per.select(kind, each.alias("r")).where("r.n > 0").groupBy("r.radius", kind).agg(F.count("*").alias("paths"), F.sum("r.n").alias("points"))
 
 
+def drop_spikes(df: DataFrame, key: str, order: str, value: str, k: int = 2, spike: float = 1.5) -> DataFrame:
+    """Rows without those whose value leaves the median of the k before and after, itself included, by over spike."""
+    around = F.percentile(value, 0.5).over(W.partitionBy(key).orderBy(order).rowsBetween(-k, k))
+    return df.withColumn("_m", around).where(F.abs(F.col(value) - F.col("_m")) <= spike).drop("_m")
+
+
 def running_median(df: DataFrame, key: str, order: str, value: str, k: int = 2, spike: float = 1.5) -> DataFrame:
     """Replace values that leave the median of the k before and after by more than spike."""
     around = F.percentile(value, 0.5).over(W.partitionBy(key).orderBy(order).rowsBetween(-k, k))
@@ -168,13 +174,14 @@ def circular_mean(df: DataFrame, key: str, place: str, value: str, n: int, k: in
     return wrapped.withColumn(value, F.avg(value).over(W.partitionBy(key).orderBy(place).rangeBetween(-k, k))).where(F.col(place).between(0, n - 1))
 
 
-def interpolate_gaps(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Unknown values between known ones by their order column; ends stay unknown."""
+def interpolate_gaps(df: DataFrame, key: str, order: str, value: str, hold: bool = False) -> DataFrame:
+    """Unknown values between known ones by their order column; ends stay unknown, or with `hold` keep the nearest."""
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(key).orderBy(order).rowsBetween(0, W.unboundedFollowing)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
     rows = df.withColumns({"_a": F.last(known, True).over(before), "_b": F.first(known, True).over(after)})
     part = F.when(F.col("_b.o") > F.col("_a.o"), (F.col(order) - F.col("_a.o")) / (F.col("_b.o") - F.col("_a.o"))).otherwise(0.0)
-    return rows.withColumn(value, F.coalesce(value, G.lerp(F.col("_a.v"), F.col("_b.v"), part))).drop("_a", "_b")
+    ends = [F.col("_a.v"), F.col("_b.v")] if hold else []
+    return rows.withColumn(value, F.coalesce(value, G.lerp(F.col("_a.v"), F.col("_b.v"), part), *ends)).drop("_a", "_b")
 
 

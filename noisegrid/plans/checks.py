@@ -168,11 +168,24 @@ def stale_cells(spark, sf_dir):
     return field.refresh_field(sign(pts), sign(old))[0].select("cell_e", "cell_n")
 
 
-@query()
+@query(ctes("blds") + """, r AS (SELECT bld_id, cx, cy, 2 * half_w AS w, 2 * half_h AS h, greatest(4, ceil(4 * (half_w + half_h) / 10)) AS n FROM blds), k AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM r), s AS (SELECT *, (k + 0.5) * 2 * (w + h) / n AS d FROM k),
+p AS (SELECT bld_id, k, cx + CASE WHEN d <= w THEN d - w / 2 WHEN d <= w + h THEN w / 2 + 2 WHEN d <= 2 * w + h THEN w / 2 - (d - w - h) ELSE -w / 2 - 2 END AS x, cy + CASE WHEN d <= w THEN -h / 2 - 2 WHEN d <= w + h THEN d - w - h / 2 WHEN d <= 2 * w + h THEN h / 2 + 2 ELSE h / 2 - (d - 2 * w - h) END AS y FROM s)
+SELECT bld_id, k, round(x, 4) AS x, round(y, 4) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM blds b WHERE abs(x - b.cx) < b.half_w + 1 AND abs(y - b.cy) < b.half_h + 1 AND pow(greatest(abs(x - b.cx) - b.half_w, 0), 2) + pow(greatest(abs(y - b.cy) - b.half_h, 0), 2) < 1)""")
 def facade_receivers(spark, sf_dir):
-    """Receivers around all footprints: how many each has, and their middle."""
+    """Receivers around all footprints that stand free of others."""
     rings = _rings(spark, sf_dir).select("bld_id", "ring")
-    return tiles.facade_receivers(rings).groupBy("bld_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 2).alias("x"), F.round(F.avg("y"), 2).alias("y"))
+    out = tiles.facade_receivers(rings)
+    return _round_all(out.select("bld_id", F.regexp_extract("receiver_key", r":(\d+)$", 1).cast("long").alias("k"), "x", "y"), 4)
+
+
+@query(ctes("pts", "blds", "segs") + """, c AS (SELECT DISTINCT CAST(floor(x / 1000) AS INT) AS e, CAST(floor(y / 1000) AS INT) AS n FROM pts WHERE x < 353000), g AS (SELECT e * 1000 + (i + 0.5) * s AS x, n * 1000 + (j + 0.5) * s AS y, s FROM c CROSS JOIN (VALUES (20.0::DOUBLE), (10.0::DOUBLE)) v(s) CROSS JOIN range(100) a(i) CROSS JOIN range(100) b(j) WHERE i < 1000 / s AND j < 1000 / s),
+r AS (SELECT ax, ay, bx - ax AS dx, by_ - ay AS dy FROM segs WHERE seg_id % 7 = 1), f AS (SELECT * FROM g WHERE s = 20 OR EXISTS (SELECT 1 FROM r WHERE pow(x - ax - greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) * dx, 2) + pow(y - ay - greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) * dy, 2) <= 2500))
+SELECT s AS spacing_m, CAST(floor(x / 100) AS BIGINT) AS e, CAST(floor(y / 100) AS BIGINT) AS n, count(*) AS receivers FROM f WHERE NOT EXISTS (SELECT 1 FROM blds b WHERE abs(x - b.cx) < b.half_w + 2 AND abs(y - b.cy) < b.half_h + 2 AND pow(greatest(abs(x - b.cx) - b.half_w, 0), 2) + pow(greatest(abs(y - b.cy) - b.half_h, 0), 2) < 4) GROUP BY 1, 2, 3""")
+def open_receivers(spark, sf_dir):
+    """The lattices of a column of cells, denser near roads, without what stands in or at a footprint."""
+    cells = view(spark, sf_dir, "pts").where("x < 353000").select(F.floor(F.col("x") / 1000).cast("int").alias("cell_e"), F.floor(F.col("y") / 1000).cast("int").alias("cell_n")).distinct()
+    out = tiles.open_receivers(cells, view(spark, sf_dir, "segs").where("seg_id % 7 = 1"), _rings(spark, sf_dir).select("ring"), near_m=50.0)
+    return out.groupBy("spacing_m", F.floor(F.col("x") / 100).alias("e"), F.floor(F.col("y") / 100).alias("n")).agg(F.count("*").alias("receivers"))
 
 
 @query()
@@ -194,10 +207,12 @@ def held_out_blocks(spark, sf_dir):
     return split.groupBy(F.floor(F.col("cx") / 500).alias("e"), F.floor(F.col("cy") / 500).alias("n"), "held_out").agg(F.count("*").alias("buildings"))
 
 
-@query()
+@query(ctes("trace") + """, k AS (SELECT ident, t_s, alt_ft, quantile_cont(alt_ft, 0.5) OVER (PARTITION BY ident ORDER BY t_s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mid FROM trace WHERE alt_ft IS NOT NULL), f AS (SELECT t.ident, t.t_s, CASE WHEN abs(k.alt_ft - k.mid) > 500 THEN k.mid ELSE k.alt_ft END AS z FROM trace t LEFT JOIN k ON k.ident = t.ident AND k.t_s = t.t_s),
+g AS (SELECT *, last_value(CASE WHEN z IS NOT NULL THEN t_s END IGNORE NULLS) OVER a AS sa, last_value(z IGNORE NULLS) OVER a AS za, first_value(CASE WHEN z IS NOT NULL THEN t_s END IGNORE NULLS) OVER b AS sb, first_value(z IGNORE NULLS) OVER b AS zb FROM f WINDOW a AS (PARTITION BY ident ORDER BY t_s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY ident ORDER BY t_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT ident, t_s, round(coalesce(z, za + (zb - za) * (t_s - sa) / (sb - sa)), 4) AS alt_ft FROM g""")
 def smoothed_tracks(spark, sf_dir):
     """Altitudes of each trace with spikes replaced and gaps filled."""
     t = view(spark, sf_dir, "trace").select("ident", "t_s", "alt_ft")
     known = traces.running_median(t.where("alt_ft is not null"), "ident", "t_s", "alt_ft", 2, 500.0)
     full = t.select("ident", "t_s").join(known, ["ident", "t_s"], "left")
-    return _round_all(traces.interpolate_gaps(full, "ident", "t_s", "alt_ft"), 2)
+    return _round_all(traces.interpolate_gaps(full, "ident", "t_s", "alt_ft"), 4)

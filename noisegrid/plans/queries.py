@@ -408,14 +408,23 @@ def segment_sel(spark, sf_dir):
     pts = view(spark, sf_dir, "pts").select("pk", (c("x") - 352000).alias("ox"), (c("y") - 3786000).alias("oy"), F.lit(1.5).alias("oz"))
     fixed = {"s1": 0.0, "z1": 600.0, "v1": 80.0, "p1": 3000.0, "s2": 4000.0, "z2": 600.0, "v2": 80.0, "p2": 3000.0}
     g = A.segment_geometry(pts.withColumns({n: F.lit(v) for n, v in fixed.items()} | {"operation": F.lit("A"), "npd_id": F.lit("X")})).withColumn("distance_m", c("slant_m"))
-    s0 = A.npd_level(g, _npd(spark), ["pk"]).select("pk", c("level_db").alias("s0"))
-    m0 = A.npd_level(g, _npd(spark, 8.0), ["pk"]).select("pk", c("level_db").alias("m0"))
+    g = A.with_npd_level(A.with_npd_level(g, _npd(spark), "s0", "_s"), _npd(spark, 8.0), "m0", "_m")
     ft = 1 / 0.3048
     level = A.segment_sel(c("s0"), A.impedance_adjustment(F.lit(15.0), F.lit(760.0)), A.duration_correction(c("speed_mps")), A.installation_correction(c("phi_deg"), F.lit("wing")), A.lateral_attenuation(c("beta_deg"), c("lateral_m")), A.finite_segment(c("s0"), c("m0"), c("q_m") * ft, c("length_m") * ft), F.lit(0.0))
-    return g.join(s0, "pk").join(m0, "pk").select("pk", _r(level).alias("sel"))
+    return g.select("pk", _r(level).alias("sel"))
 
 
-@query(ctes("pts") + """, g AS (SELECT pk, x - 352000 AS q, greatest(abs(y - 3786000), 0.001) AS b FROM pts), a(w) AS (SELECT 20.0::DOUBLE * log10(pow(12194.0::DOUBLE, 2) * pow(1000.0::DOUBLE, 4) / ((1e6 + pow(20.6::DOUBLE, 2)) * sqrt((1e6 + pow(107.7::DOUBLE, 2)) * (1e6 + pow(737.9::DOUBLE, 2))) * (1e6 + pow(12194.0::DOUBLE, 2)))) + 2)
+@query(ORACLES["segment_sel"].replace("SELECT pk, round(s0", "SELECT pk AS site_id, round(s0"))
+def event_exposure(spark, sf_dir):
+    """Exposure of every point to an event of one level segment."""
+    c = F.col
+    sites = view(spark, sf_dir, "pts").select(c("pk").alias("site_id"), (c("x") - 352000).alias("ox"), (c("y") - 3786000).alias("oy"), F.lit(1.5).alias("oz"))
+    fixed = {"s1": 0.0, "z1": 600.0, "v1": 80.0, "p1": 3000.0, "s2": 4000.0, "z2": 600.0, "v2": 80.0, "p2": 3000.0}
+    event = spark.range(1).select(F.lit("e").alias("profile_id"), F.lit(1).alias("seq"), *[F.lit(v).alias(n) for n, v in fixed.items()], F.lit("A").alias("operation"), F.lit("X").alias("npd_id"))
+    return events.event_sel(event, sites, _npd(spark), _npd(spark, 8.0)).select("site_id", _r("sel").alias("sel"))
+
+
+@query(ctes("pts") + """, g AS (SELECT pk, x - 352000 AS q, nullif(abs(y - 3786000), 0) AS b FROM pts), a(w) AS (SELECT 20.0::DOUBLE * log10(pow(12194.0::DOUBLE, 2) * pow(1000.0::DOUBLE, 4) / ((1e6 + pow(20.6::DOUBLE, 2)) * sqrt((1e6 + pow(107.7::DOUBLE, 2)) * (1e6 + pow(737.9::DOUBLE, 2))) * (1e6 + pow(12194.0::DOUBLE, 2)))) + 2)
 SELECT pk AS site_id, round(100 + w + 10 * log10((atan((4000 - q) / b) + atan(q / b)) / b / 20), 2) AS sel FROM g CROSS JOIN a""")
 def moving_source(spark, sf_dir):
     sites = view(spark, sf_dir, "pts").select(F.col("pk").alias("site_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
@@ -423,6 +432,20 @@ def moving_source(spark, sf_dir):
     return events.moving_source_sel(track, sites, [(1000.0, 100.0)]).select("site_id", _r("sel").alias("sel"))
 
 
+@query(ctes("pts") + """, g AS (SELECT pk, x - 352000 AS q, sqrt(pow(y - 3786000, 2) + 900) AS b FROM pts), e AS (SELECT pk, b, 2 * (atan((4000 - q) / b) + atan(q / b)) / b / 20 AS t FROM g),
+w AS (SELECT pk, b, 10 * log10(t * 50) + 90 - 1.5 AS low, 10 * log10(t * 50) + 100 - 2 AS high FROM e)
+SELECT pk AS site_id, round(low, 3) AS low, round(high, 3) AS high, round(10 * log10(pow(10.0::DOUBLE, (low + {low}) / 10) + pow(10.0::DOUBLE, (high + {high}) / 10)), 3) AS sel FROM w""".format(low=-16.189653372521796, high=0.00014152769487951744))
+def moving_source_bands(spark, sf_dir):
+    """A source 31 m high that drives there and back: two bands with losses, and their A-weighted sum."""
+    c = F.col
+    sites = view(spark, sf_dir, "pts").select(c("pk").alias("site_id"), c("x").alias("ox"), c("y").alias("oy"), F.lit(1.0).alias("oz"))
+    names = "track_id int, seq int, t1 double, x1 double, y1 double, z1 double, heading1 double, t2 double, x2 double, y2 double, z2 double, heading2 double"
+    there = (1, 0, 0.0, 352000.0, 3786000.0, 31.0, 0.0, 200.0, 356000.0, 3786000.0, 31.0, 0.0)
+    back = (1, 1, 200.0, 356000.0, 3786000.0, 31.0, 180.0, 400.0, 352000.0, 3786000.0, 31.0, 180.0)
+    out = events.moving_source_sel(spark.createDataFrame([there, back], names), sites, [(125.0, 90.0), (1000.0, 100.0)], reference_m=50.0**0.5, loss_db=[1.5, 2.0])
+    return out.select("site_id", _r(c("bands")[0], 3).alias("low"), _r(c("bands")[1], 3).alias("high"), _r("sel", 3).alias("sel"))
+
+
 @query(ctes("segs") + " SELECT seg_id AS edge_id, seg_id + 1000000 AS other_id, 1.0::DOUBLE AS share FROM segs")
 def conflate_traffic(spark, sf_dir):
     segs = view(spark, sf_dir, "segs").withColumn("seq", F.lit(0))
@@ -551,10 +574,10 @@ def throughput(spark, sf_dir):
     return _round_all(compare.throughput(o, str(now), 2160.0, 17280.0), 4)
 
 
-@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 25) AS INT) AS "row", CAST(floor(x / 25) AS INT) AS col, min(CASE WHEN pk % 3 = 0 THEN laeq END) AS ground, max(laeq) AS top, count(*) AS hits, count(CASE WHEN pk % 4 > 1 THEN 1 END) AS multi FROM pts GROUP BY 1, 2) SELECT * FROM g')
+@query(ctes("pts") + ', g AS (SELECT CAST(floor(y / 25) AS INT) AS "row", CAST(floor(x / 25) AS INT) AS col, min(CASE WHEN pk % 3 = 0 THEN laeq END) AS ground, max(CASE WHEN pk % 3 <> 0 THEN laeq END) AS top, count(CASE WHEN pk % 3 <> 0 THEN 1 END) AS hits, count(CASE WHEN pk % 3 <> 0 AND pk % 4 > 1 THEN 1 END) AS multi FROM pts GROUP BY 1, 2) SELECT * FROM g')
 def wall_cells(spark, sf_dir):
     pts = view(spark, sf_dir, "pts").select("x", "y", F.col("laeq").alias("z"), F.lit(0).cast("long").alias("block"), F.when(F.col("pk") % 3 == 0, 2).otherwise(1).alias("cls"), (F.col("pk") % 4).alias("ret"))
-    return lidar.rasterize_points(pts, 25.0).drop("block")
+    return lidar.rasterize_points(pts, 25.0).drop("block", "deck")
 
 
 @query()
@@ -566,22 +589,42 @@ def wall_lines(spark, sf_dir):
     return lidar.wall_lines(near)
 
 
-@query()
+@query(ctes("pts", "segs") + """, l AS (SELECT seg_id, ax, ay, bx - ax AS dx, by_ - ay AS dy, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS m FROM segs),
+d AS (SELECT seg_id, m, laeq, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (m * m))) AS p, x - ax AS px, y - ay AS py, dx, dy FROM l JOIN pts ON x BETWEEN least(ax, ax + dx) - 60 AND greatest(ax, ax + dx) + 60 AND y BETWEEN least(ay, ay + dy) - 60 AND greatest(ay, ay + dy) + 60),
+k AS (SELECT seg_id, round(p * m / 20) * 20 AS s, quantile_cont(laeq, 0.5) AS z FROM d WHERE sqrt(pow(px - p * dx, 2) + pow(py - p * dy, 2)) <= 60 GROUP BY 1, 2 HAVING count(*) >= 3),
+w AS (SELECT seg_id, s, z, quantile_cont(z, 0.5) OVER (PARTITION BY seg_id ORDER BY s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mid FROM k), e AS (SELECT seg_id, unnest(range(CAST(floor(m / 20) AS BIGINT) + 1)) * 20.0::DOUBLE AS s FROM l),
+f AS (SELECT e.seg_id, e.s, w.z FROM e LEFT JOIN w ON w.seg_id = e.seg_id AND w.s = e.s AND abs(w.z - w.mid) <= 1.5),
+g AS (SELECT *, last_value(CASE WHEN z IS NOT NULL THEN s END IGNORE NULLS) OVER a AS sa, last_value(z IGNORE NULLS) OVER a AS za, first_value(CASE WHEN z IS NOT NULL THEN s END IGNORE NULLS) OVER b AS sb, first_value(z IGNORE NULLS) OVER b AS zb FROM f WINDOW a AS (PARTITION BY seg_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY seg_id ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT seg_id AS edge_id, s AS station, round(coalesce(z, za + (zb - za) * (s - sa) / (sb - sa), za, zb), 4) AS z FROM g""")
 def deck_profile(spark, sf_dir):
     pts = view(spark, sf_dir, "pts").select("x", "y", F.col("laeq").alias("z"), F.lit(17).alias("cls"))
     decks = view(spark, sf_dir, "segs").select(F.col("seg_id").alias("edge_id"), F.lit(0).alias("seq"), "ax", "ay", "bx", "by")
-    return lidar.deck_profile(pts, decks, reach=60.0, step=20.0)
+    return _round_all(lidar.deck_profile(pts, decks, reach=60.0, step=20.0), 4)
 
 
-@query()
+@query(ctes("segs") + """, a AS (SELECT seg_id, 1000.0::DOUBLE + seg_id % 50 AS r, CASE seg_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.62 WHEN 2 THEN 0.7 ELSE 0.9 END AS part FROM segs), b AS (SELECT *, sqrt(least(2.8, greatest(1.8, 1 / part / part))) AS f FROM a)
+SELECT seg_id AS airport, level, round(CASE level WHEN 70 THEN r * part WHEN 65 THEN r WHEN 60 THEN r * f ELSE r * f * f END, 3) AS radius, CAST(360 AS BIGINT) AS n FROM b CROSS JOIN (VALUES (55.0::DOUBLE), (60.0::DOUBLE), (65.0::DOUBLE), (70.0::DOUBLE)) l(level)""")
 def contour_extension(spark, sf_dir):
     """Circles around every supplier's segment as two official rings, extended outwards."""
-    segs = view(spark, sf_dir, "segs")
-    ring = lambda r: F.transform(F.sequence(F.lit(0), F.lit(90)), lambda k: F.struct((F.col("ax") + r * F.cos(k * 4 * F.pi() / 180)).alias("x"), (F.col("ay") + r * F.sin(k * 4 * F.pi() / 180)).alias("y")))
-    rows = segs.select(F.col("seg_id").alias("airport"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.explode(F.array(F.struct(F.lit(65.0).alias("level"), ring(1000.0).alias("ring")), F.struct(F.lit(70.0).alias("level"), ring(650.0).alias("ring")))).alias("c"))
+    segs = view(spark, sf_dir, "segs").withColumn("r", 1000.0 + F.col("seg_id") % 50)
+    part = F.element_at(F.array(*map(F.lit, (0.5, 0.62, 0.7, 0.9))), (F.col("seg_id") % 4 + 1).cast("int"))
+    ring = lambda r: F.transform(F.sequence(F.lit(0), F.lit(360)), lambda k: F.struct((F.col("ax") + r * F.cos(k * F.pi() / 180)).alias("x"), (F.col("ay") + r * F.sin(k * F.pi() / 180)).alias("y")))
+    rows = segs.select(F.col("seg_id").alias("airport"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.explode(F.array(F.struct(F.lit(65.0).alias("level"), ring(F.col("r")).alias("ring")), F.struct(F.lit(70.0).alias("level"), ring(F.col("r") * part).alias("ring")))).alias("c"))
     contours = rows.select(F.concat_ws(":", "airport", "c.level").alias("contour_id"), "airport", "cx", "cy", "c.level", "c.ring")
     out = lidar.extend_contours(lidar.ring_radii(contours, 360), contours.select("contour_id", "airport", "level"), n=360)
-    return out.groupBy("airport", "level").agg(_r(F.avg("radius"), 1).alias("radius"), F.count("*").alias("n"))
+    return out.groupBy("airport", "level").agg(_r(F.avg("radius"), 3).alias("radius"), F.count("*").alias("n"))
+
+
+@query(ctes("pts", "segs") + """, d AS (SELECT pk, seg_id, abs(x - ax) AS dx, abs(y - ay) AS dy FROM pts JOIN segs ON seg_id % 10 = 1 AND abs(x - ax) < 800 AND abs(y - ay) < 500), l AS (SELECT pk, seg_id, dx, dy, CASE WHEN dx < 400 AND dy < 200 THEN 70 ELSE 65 END AS level FROM d)
+SELECT pk, seg_id AS airport, round(CASE level WHEN 70 THEN 70 + 5 * least(1, least(400 - dx, 200 - dy) / 200) ELSE 65 + 5 * least(800 - dx, 500 - dy) / (least(800 - dx, 500 - dy) + sqrt(pow(greatest(dx - 400, 0), 2) + pow(greatest(dy - 200, 0), 2))) END, 3) AS level FROM l""")
+def contour_levels(spark, sf_dir):
+    """Levels of points between the borders of oblong contours."""
+    segs = view(spark, sf_dir, "segs").where("seg_id % 10 = 1")
+    p = lambda x, y: F.struct((F.col("ax") + x).alias("x"), (F.col("ay") + y).alias("y"))
+    ring = lambda w, h: F.array(p(-w, -h), p(w, -h), p(w, h), p(-w, h), p(-w, -h))
+    both = F.array(F.struct(F.lit(65.0).alias("level"), ring(800.0, 500.0).alias("ring")), F.struct(F.lit(70.0).alias("level"), ring(400.0, 200.0).alias("ring")))
+    contours = segs.select(F.col("seg_id").alias("airport"), F.explode(both).alias("c")).select("airport", "c.*")
+    return _round_all(lidar.contour_level(view(spark, sf_dir, "pts"), contours), 3)
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noisegrid.operators import compare, events, field, heights, lidar, roads, rules, tiles, traces
+from noisegrid.operators.quantiles import percentiles
 from noisegrid.operators import spatial as S
 
 SEG = "edge_id int, seq int, ax double, ay double, bx double, by double"
@@ -108,6 +109,83 @@ def test_moving_source_equals_the_closed_form(spark):
     assert got == pytest.approx(80 + 10 * math.log10(2 * 10 / 20 * math.atan(10)), abs=0.01)
 
 
+TRACK = "track_id int, seq int, t1 double, x1 double, y1 double, z1 double, heading1 double, t2 double, x2 double, y2 double, z2 double, heading2 double"
+
+
+def test_moving_source_losses_and_directivity(spark):
+    still = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0)], TRACK)
+    site = lambda *rows: spark.createDataFrame(rows, "site_id int, ox double, oy double, oz double")
+    level = lambda d: {r.site_id: (r.bands[0] if r.bands else None, r.status) for r in d.collect()}
+    near = level(events.moving_source_sel(still, site((1, 0.0, 10.0, 1.0), (2, 0.0, 20.0, 1.0), (3, 0.0, 0.0, 1.0)), [(1000.0, 80.0)], 10.0))
+    assert near[1] == (pytest.approx(80.0), "ok") and near[1][0] - near[2][0] == pytest.approx(6.0206, abs=1e-3) and near[3] == (None, "on_track")
+    lost = level(events.moving_source_sel(still, site((1, 0.0, 20.0, 1.0)), [(1000.0, 80.0)], 10.0, air_db_km=[1000.0], loss_db=[5.0]))
+    assert lost[1][0] == pytest.approx(80 - 6.0206 - 10 - 5, abs=1e-3)
+    turned = level(events.moving_source_sel(still, site((1, -10.0, 0.0, 1.0), (2, 10.0, 0.0, 1.0)), [(1000.0, 80.0)], 10.0, knots=[(0, 0), (180, -20)]))
+    assert turned[1][0] == pytest.approx(60.0) and turned[2][0] == pytest.approx(80.0)
+    by = spark.createDataFrame([(1, 0, 0.0, -10.0, 0.0, 1.0, 0.0, 1.0, 10.0, 0.0, 1.0, 0.0)], TRACK)
+    assert level(events.moving_source_sel(by, site((1, 0.0, 10.0, 1.0)), [(1000.0, 80.0)], 10.0, knots=[(0, 0), (90, -20)]))[1] == (None, "unmeasured_angle")
+    fast = spark.createDataFrame([(1, 0, 0.0, -2500.0, 0.0, 1.0, 0.0, 10.0, 2500.0, 0.0, 1.0, 0.0)], TRACK)
+    got = level(events.moving_source_sel(fast, site((1, -315.0, 0.2, 1.0)), [(1000.0, 80.0)], 10.0))[1][0]
+    assert got == pytest.approx(80 + 10 * math.log10(100 / 0.2 / 500 * (math.atan(2815 / 0.2) + math.atan(2185 / 0.2))), abs=1e-3)
+
+
+def test_event_behind_the_start_of_roll(spark):
+    npd = [(100.0, d, lv - x) for d, lv in ((60.0, 95.0), (600.0, 80.0)) for x in (0.0,)] + [(200.0, d, lv + 5) for d, lv in ((60.0, 95.0), (600.0, 80.0))]
+    table = lambda less: spark.createDataFrame([("X", p, d, lv - less) for p, d, lv in npd], "npd_id string, power double, distance_m double, level_db double")
+    roll = spark.createDataFrame([("e", 1, 0.0, 0.0, 1.0, 150.0, 500.0, 0.0, 80.0, 150.0, "D", "X")], "profile_id string, seq int, s1 double, z1 double, v1 double, p1 double, s2 double, z2 double, v2 double, p2 double, operation string, npd_id string")
+    sites = spark.createDataFrame([(1, -200.0, 300.0, 0.0), (2, 250.0, 300.0, 0.0), (3, 90_000.0, 0.0, 0.0)], "site_id int, ox double, oy double, oz double")
+    got = {e: {r.site_id: r.sel for r in events.event_sel(roll, sites, table(0.0), table(8.0), engine=e).collect()} for e in ("jet", "piston")}
+    far, psi = math.hypot(200, 300) / 0.3048, math.degrees(math.acos(-200 / math.hypot(200, 300)))
+    log = math.log(math.pi * psi / 180)
+    behind = (2329.44 - 8.0573 * psi + 11.51 * math.exp(math.pi * psi / 180) - 3.4601 * psi / log - 17403338.3 * log / psi**2) * min(1, 2500 / far)
+    assert set(got["jet"]) == {1, 2} and got["jet"][2] == pytest.approx(got["piston"][2])
+    assert got["jet"][1] - got["piston"][1] == pytest.approx(behind, abs=1e-6)
+    slant = lateral = math.hypot(200, 300)
+    beta = math.degrees(math.atan2(1, lateral))
+    sel = 97.5 - 15 * (math.log10(slant / 60))
+    ahead = 500 / 0.3048 / (2 / math.pi * 270.05 * 10**0.8)
+    finite = 10 * math.log10((ahead / (1 + ahead**2) + math.atan(ahead)) / math.pi)
+    terms = 10 * math.log10(416.86 / 409.81) + 10 * math.log10(160 * 1852 / 3600 / 40.5) + finite
+    assert got["piston"][1] == pytest.approx(sel + terms + 10 * math.log10(0.00384**0.0621) - 1.089 * (1 - math.exp(-0.00274 * lateral)) * (1.137 - 0.0229 * beta + 9.72 * math.exp(-0.142 * beta)), abs=0.02)
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(int(k), float(round(v, 1 + k))) for k, v in zip(rng.integers(0, 3, 3000), rng.normal(0, 5, 3000), strict=True)] + [(7, 1.5), (8, None)]
+    points = [0.0, 0.013, 0.5, 0.9, 1.0]
+    frame = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: r["values"] for r in percentiles(frame, "v", points, ["k"]).collect()}
+    assert set(got) == {0, 1, 2, 7}
+    for k, values in got.items():
+        assert values == pytest.approx([float(x) for x in np.quantile([v for a, v in rows if a == k], points)])
+    assert percentiles(frame, "v", [0.5]).first()["values"][0] == pytest.approx(float(np.median([v for _, v in rows if v is not None])))
+
+
+def test_decks_under_others(spark):
+    deck = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 0.0)], SEG)
+    over = spark.createDataFrame([(9, 50.0, -50.0, 50.0, 50.0)], "other_id int, ax double, ay double, bx double, by double")
+    on = spark.createDataFrame([(float(x), 0.5 * k, 30.0 if 35 <= x <= 65 else 10.0, 17) for x in range(0, 81, 5) for k in (-1, 0, 1)], "x double, y double, z double, cls int")
+    z = {r.station: r.z for r in lidar.deck_profile(on, deck, over).collect()}
+    assert z[50.0] == pytest.approx(10.0 if z[35.0] == 10.0 else z[50.0]) and z[100.0] == z[80.0] == 10.0
+    assert [r.station for r in lidar.deck_crossings(deck, over).collect()] == [pytest.approx(50.0, abs=1.0)]
+
+
+def test_walls_need_an_open_road_side(spark):
+    wall = [(0.25 + 0.5 * i, 10.25, 5.0, 1, 1) for i in range(60)]
+    shelf = [(0.25 + 0.5 * i, 30.25 - 0.5 * j, 5.0 if j == 0 else 2.5, 1, 1) for i in range(60) for j in range(5)]
+    ground = [(0.25 + 0.5 * i, 0.25 + 0.5 * j, 1.0, 2, 1) for i in range(60) for j in range(70)]
+    pts = spark.createDataFrame([(0, *p) for p in wall + shelf + ground], "block long, x double, y double, z double, cls int, ret int")
+    grid = lidar.rasterize_points(pts)
+    road = spark.createDataFrame([(-100.0, 0.0, 100.0, 0.0)], "ax double, ay double, bx double, by double")
+    none = grid.where("false").select("block", "row", "col")
+    found = lidar.wall_candidates(grid, grid.select("block", "row", "col"), none, road, most_thick=0.9)
+    assert {r.row for r in found.select("row").distinct().collect()} == {20} and found.first().angle == 0.0
+    across = spark.createDataFrame([(0.0, -100.0, 0.0, 100.0)], "ax double, ay double, bx double, by double")
+    assert lidar.wall_lines(found).count() > 0 and lidar.wall_lines(lidar.wall_candidates(grid, grid.select("block", "row", "col"), none, across)).count() == 0
+
+
 def test_profile(spark):
     p = spark.createDataFrame([("P", 1, 0.0, 0.0, 50.0, 100.0), ("P", 2, 1000.0, 100.0, 90.0, 100.0), ("P", 3, 1000.0, 100.0, 90.0, 100.0)], "profile_id string, seq int, dist double, alt double, speed double, power double")
     cut = events.segment_profile(p).orderBy("seq").collect()
@@ -180,7 +258,7 @@ def test_lidar(spark):
     grid = lidar.fill_gaps(lidar.rasterize_points(pts), 2)
     cand = lidar.wall_candidates(grid, grid.select("block", "row", "col"), grid.where("false").select("block", "row", "col"))
     lines = lidar.wall_lines(cand).collect()
-    assert {round(r.y, 2) for r in lines} == {10.25} and {r.height for r in lines} == {4.0} and len(lines) == 6
+    assert {round(r.y, 2) for r in lines} == {10.25} and {r.height for r in lines} == {4.0} and len(lines) == 15
     deck = spark.createDataFrame([(1, 0, 0.0, 0.0, 50.0, 0.0)], SEG)
     on = spark.createDataFrame([(x + 0.3 * k, 1.0, 10 + x / 10, 17) for x in (0.0, 5.0, 10.0, 40.0, 45.0, 50.0) for k in (-1, 0, 1)], "x double, y double, z double, cls int")
     z = [r.z for r in lidar.deck_profile(on, deck).orderBy("station").collect()]
@@ -198,7 +276,7 @@ def test_contours(spark):
     ratio = math.sqrt(1 / 0.49)
     assert mean[60.0] == pytest.approx(1000 * ratio, rel=0.01) and mean[55.0] == pytest.approx(1000 * ratio**2, rel=0.01)
     pts = spark.createDataFrame([(1, 850.0, 0.0), (2, 0.0, 350.0), (3, 9000.0, 0.0)], "pk int, x double, y double")
-    got = {r.pk: r.level for r in lidar.contour_level(pts, rings, c.select("airport", "cx", "cy").distinct()).collect()}
+    got = {r.pk: r.level for r in lidar.contour_level(pts, lidar.contour_rings(rings, c.select("airport", "cx", "cy").distinct())).collect()}
     assert got == {1: pytest.approx(67.5, abs=0.1), 2: pytest.approx(72.5, abs=0.1)}
 
 
