@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,11 +102,13 @@ def read_gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     out = {}
     for name, cols in GTFS.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.txt")
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        try:
+            raw = spark.read.option("header", True).csv(f"{folder}/{name}.txt")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             out[name] = spark.createDataFrame([], schema)
             continue
-        raw = spark.read.option("header", True).csv(f"{folder}/{name}.txt")
         out[name] = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in cols])
     return out
 
@@ -203,6 +206,16 @@ def read_line_config(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("s.key").alias("service"), F.col("s.value.trainset").alias("trainset"), *[F.col(f"s.value.{p}").alias(p.lower()) for p in "DEN"], F.col("s.value.speed_kmh").alias("speed_kmh"), at.alias("stops"))
 
 
+def read_line_classes(spark: SparkSession, path: str) -> DataFrame:
+    """Classes of a rail line in order, for roads.classify_lines: (class_order, class, pattern, x1, y1, x2, y2,
+    services). The first that fits a line counts; a missing side of a box is open."""
+    schema = "classes array<struct<name:string,name_contains:string,lon_min:double,lat_min:double,lon_max:double,lat_max:double,services:array<string>>>"
+    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("classes").alias("class_order", "k"))
+    pattern = F.concat(F.lit("\\Q"), F.coalesce("k.name_contains", F.lit("")), F.lit("\\E"))
+    sides = [F.coalesce(f"k.{a}", F.lit(b)).alias(n) for a, b, n in (("lon_min", -180.0, "x1"), ("lat_min", -90.0, "y1"), ("lon_max", 180.0, "x2"), ("lat_max", 90.0, "y2"))]
+    return each.select("class_order", F.col("k.name").alias("class"), pattern.alias("pattern"), *sides, F.col("k.services").alias("services"))
+
+
 def read_dense_shards(spark: SparkSession, glob: str) -> DataFrame:
     """Receivers of shards: arrays of ten numbers; rows that aren't are left out."""
     names = ("id", "lon", "lat", "family", "d23", "e23", "n23", "d585", "e585", "n585")
@@ -210,9 +223,9 @@ def read_dense_shards(spark: SparkSession, glob: str) -> DataFrame:
     return rows.where("size(r) = 10 and r[0] is not null and r[1] is not null and r[2] is not null").select(*[F.col("r")[i].alias(n) for i, n in enumerate(names)])
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Monitors and sites; those without coordinates stay, with their status."""
-    rows = spark.read.schema("id string, airport string, location string, lon double, lat double, position_uncertainty_m double, measured map<string,double>, exclude string").option("multiLine", True).json(path)
+def read_sites(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Monitors and sites, one document or a site a line; those without coordinates stay, with their status."""
+    rows = spark.read.schema("id string, airport string, location string, lon double, lat double, position_uncertainty_m double, measured map<string,double>, exclude string").option("multiLine", not lines).json(path)
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     return rows.withColumn("status", F.when(F.col("exclude").isNotNull(), "excluded").when(known, "located").otherwise("unresolved")).withColumn("utm", F.when(known, G.lonlat_to_utm(F.col("lon"), F.col("lat"))))
 

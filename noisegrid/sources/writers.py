@@ -22,7 +22,8 @@ def write_tile_documents(df: DataFrame, path: str, metadata: DataFrame | None =
 
 def write_cells(df: DataFrame, path: str) -> None:
     """A folder per cell; rows carry `cells`, and are repeated in each."""
-    df.withColumn("c", F.explode("cells")).select("*", "c.cell_e", "c.cell_n").drop("c", "cells").write.mode("overwrite").partitionBy("cell_e", "cell_n").parquet(path)
+    rows = df.withColumn("c", F.explode("cells")).select("*", "c.cell_e", "c.cell_n").drop("c", "cells")
+    rows.repartition("cell_e", "cell_n").write.mode("overwrite").partitionBy("cell_e", "cell_n").parquet(path)
 
 
 def write_pyramid(df: DataFrame, path: str) -> None:

@@ -6,11 +6,14 @@ import pytest
 
 from noisegrid.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
-@pytest.fixture(scope="module")
-def con(sf):
+#: Queries whose results once hung on the order of sums; they are compared on a larger table too.
+SUMS = ["box_share", "pyramid_mean", "sample_nearest_cell", "sample_raster", "padded_pixels", "bin_surface"]
+
+
+def tables(sf):
     import duckdb
 
     c = duckdb.connect()
@@ -19,6 +22,11 @@ def con(sf):
     return c
 
 
+@pytest.fixture(scope="module")
+def con(sf):
+    return tables(sf)
+
+
 def plain(frame, cols):
     def one(v):
         if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
@@ -35,6 +43,15 @@ def test_query_equals_sql(spark, sf, con, name):
     assert plain(got, sorted(got.columns)) == plain(want, sorted(got.columns))
 
 
+@pytest.mark.parametrize("name", SUMS)
+def test_sums_are_the_same_in_any_order(spark, name):
+    sf = "/root/testdata/sf0.01"
+    want = tables(sf).execute(registry.ORACLES[name]).df()
+    cols = sorted(want.columns)
+    got = registry.QUERIES[name](spark, sf).toPandas()
+    assert plain(got, cols) == plain(want, cols)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_gives_rows(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
