@@ -125,10 +125,10 @@ def test_stream_paths_end_at_gaps(spark, tmp_path):
 def test_stream_counts_late_events(spark, tmp_path):
     late = lambda *rows: spark.createDataFrame(rows, "site string, t int").withColumn("ts", F.timestamp_seconds("t")).coalesce(1)
     schema = late(("s", 0)).schema
-    jobs_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for rows in ((("s", 10_000), ("s", 100)), (("s", 9_000), ("s", 9_900), ("u", 5)), (("s", 8_000), ("u", 1))):
         late(*rows).write.mode("append").parquet(str(tmp_path / "in"))
-        drain(jobs.stream_late(jobs_in).writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")))
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        drain(jobs.stream_late(events).writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")))
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("site").agg(F.max("late").alias("late"), F.max("seen").alias("seen")).collect()
     assert {(r.site, r.late, r.seen) for r in got} == {("s", 2, 5), ("u", 0, 2)}
 
