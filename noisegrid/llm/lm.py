@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +204,8 @@ def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     text = np.repeat(np.arange(len(sizes)), counts)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * long
     at = first + starts[text]
-    return full[at[:, None] + np.arange(SPAN + long)], full[at[:, None] + np.arange(SPAN + 1, SPAN + 1 + long)], first[:, None] + np.arange(long) < sizes[text][:, None], text
+    both = full[at[:, None] + np.arange(SPAN + 1 + long)]
+    return both[:, :-1], both[:, SPAN + 1 :], np.arange(long) < (sizes[text] - first)[:, None], text
 
 
 def tokenizer_of(spark: SparkSession) -> Broadcast:
@@ -215,26 +218,47 @@ def load_tokenizer(ranks: bytes) -> tiktoken.Encoding:
 
 
 class Pieces(dict):
-    """Word -> number; the subword ids of word k are flat[starts[k]:starts[k] + sizes[k]]."""
+    """Word -> number; the subword ids of word k are flat[starts[k]:starts[k] + sizes[k]].
 
-    def __init__(self, encoding: tiktoken.Encoding):
+    The ids of a word are those of the word with a space before it, so the ids tell where words begin.
+    """
+
+    def __init__(self, encoding: tiktoken.Encoding, begins: np.ndarray):
         super().__init__()
-        self.encoding, self.new = encoding, []
+        self.encoding, self.begins, self.new = encoding, begins, []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        """The ids of a word are those of the word with a space before it, so the ids tell where words begin."""
         self[word] = k = len(self)
-        self.new.append([END_ID] if word == END else self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")))
+        self.new.append(word)
         return k
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.array(itemgetter(*words)(self) if len(words) > 1 else [self[words[0]]], np.int64)
+
     def settle(self) -> None:
-        """Take up the words seen since the last call."""
-        if self.new:
-            sizes = np.fromiter(map(len, self.new), np.int64, len(self.new))
-            self.starts, self.sizes = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, np.concatenate([np.array(x, np.uint16) for x in self.new])]
-            self.new = []
+        """Take up the words seen since the last call.
+
+        They are encoded as one text where no other white space stands in them, for then each is encoded as by itself.
+        """
+        if not self.new:
+            return
+        words = ["" if w == END else w.decode("utf-8", "replace") for w in self.new]
+        text = " ".join(["", *filter(None, words)])
+        if len(text.split()) == sum(map(bool, words)):
+            flat = np.array(self.encoding.encode_ordinary(text), np.uint16)
+            at = np.flatnonzero(self.begins[flat])
+            if END in self.new:
+                k = self.new.index(END)
+                at = np.r_[at, len(flat)]
+                place = at[k]
+                flat, at = np.insert(flat, place, END_ID), np.r_[at[:k], place, at[k:-1] + 1]
+            sizes = np.diff(np.r_[at, len(flat)])
+        else:
+            each = [[END_ID] if w == END else self.encoding.encode_ordinary(" " + t) for w, t in zip(self.new, words, strict=True)]
+            flat, sizes = np.fromiter(chain.from_iterable(each), np.uint16), np.fromiter(map(len, each), np.int64, len(each))
+        self.starts, self.sizes = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
+        self.flat, self.new = np.r_[self.flat, flat], []
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.sizes[numbers]
@@ -248,14 +272,14 @@ def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 250_000) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 500_000) -> DataFrame:
     """Rows (doc_id, held_out, ids) for the documents and rows (word, n) that count words of training documents; a
     word is given by its ids, as is the end. ids are 16-bit numbers. A table in the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_tokenizer(tokenizer.value)
-        pieces, counts = Pieces(encoding), np.zeros(0, np.int64)
+        encoding, begins = load_tokenizer(tokenizer.value), word_starts(tokenizer.value)
+        pieces, counts = Pieces(encoding, begins), np.zeros(0, np.int64)
         names, none = ["doc_id", "held_out", "ids", "word", "n"], lambda n, t: pa.nulls(n, t)
         id_type = None
 
@@ -268,18 +292,18 @@ def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 250_000) ->
             id_type = batch.column("doc_id").type
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                numbers = [np.fromiter(map(pieces.__getitem__, [*(t.as_py() or b"").lower().split(), END]), np.int64) for t in part.column("text").cast(pa.binary())]
+                numbers = [pieces.numbers([*(t.as_py() or b"").lower().split(), END]) for t in part.column("text").cast(pa.binary())]
                 pieces.settle()
                 flat = np.concatenate(numbers)
                 trains = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), [len(x) for x in numbers])
                 counts = np.r_[counts, np.zeros(len(pieces) - len(counts), np.int64)]
                 counts += np.bincount(flat[trains], minlength=len(counts))
-                sizes = np.array([pieces.sizes[x].sum() for x in numbers])
+                sizes = np.add.reduceat(pieces.sizes[flat], np.cumsum([0, *map(len, numbers[:-1])]))
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), _binary(pieces.ids(flat), sizes).cast(pa.binary()), none(n, pa.binary()), none(n, pa.int64())], names)
                 if len(pieces) > most_held:
                     yield flush()
-                    pieces, counts = Pieces(encoding), np.zeros(0, np.int64)
+                    pieces, counts = Pieces(encoding, begins), np.zeros(0, np.int64)
         if counts.any():
             yield flush()
 
@@ -374,7 +398,7 @@ def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int =
     return state[0]
 
 
-def log10_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, at_once: int = 64) -> np.ndarray:
+def log10_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, at_once: int = 128) -> np.ndarray:
     """The log10 probability of each text's ids: of their rows by the model, and of ids in the last row by their share."""
     x, y, scored, text = windows(vocabulary.rows[ids], sizes, vocabulary.rows[END_ID])
     out = np.empty(len(x))
@@ -404,7 +428,6 @@ class Known:
             free = self.table[slot] == len(words)
             self.table[slot[free]] = left[free]
             left, step = left[self.table[slot] != left], step + 1
-        self.steps = step
 
     def _slot(self, h: np.ndarray, step: int) -> np.ndarray:
         return ((h >> np.uint64(64 - self.bits)) + np.uint64(step)) & np.uint64((1 << self.bits) - 1)
@@ -419,14 +442,17 @@ class Known:
     def find(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, known) for each word."""
         h = self.hashes(flat, sizes)
-        place = np.full(len(sizes), len(self.counts) - 1, np.int64)
-        for step in range(self.steps):
-            slot = self.table[self._slot(h[0], step)]
-            place = np.where((self.first[slot] == h[0]) & (self.second[slot] == h[1]), slot, place)
-        return self.counts[place], place < len(self.counts) - 1
+        none = len(self.counts) - 1
+        place, left, step = np.full(len(sizes), none), np.arange(len(sizes)), 0
+        while len(left):
+            slot = self.table[self._slot(h[0][left], step)]
+            hit = (self.first[slot] == h[0][left]) & (self.second[slot] == h[1][left]) & (slot < none)
+            place[left[hit]] = slot[hit]
+            left, step = left[~hit & (slot < none)], step + 1
+        return self.counts[place], place < none
 
 
-def score(docs: DataFrame, frequent: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 400_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
     Words are what ASCII white space divides, A-Z in lower case, then one end. base_score uses exact counts of all
@@ -473,7 +499,7 @@ def score(docs: DataFrame, frequent: int = 100_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     scored = write_table(texts.mapInArrow(run, schema), "lm-scored")
-    rare = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    rare = rare.join(of_words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("also"))
+    rare = scored.select("row", F.explode("words").alias("word"))
+    rare = rare.join(of_words, "word", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(size)))).alias("more"), F.count("n").alias("also"))
     joined = scored.drop("words").join(rare, "row", "left")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
