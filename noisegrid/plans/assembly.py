@@ -562,3 +562,65 @@ def footprints_kept(spark, sf_dir):
     bow = F.array(ring[0], ring[2], ring[1], ring[3], ring[0])
     rows = _rings(spark, sf_dir).withColumn("ring", F.when(m == 1, tiny).when(m == 2, bow).otherwise(ring))
     return _round_all(roads.prepare_footprints(rows).select("bld_id", "area"), 4)
+
+
+def _apart(spark, sf_dir):
+    """The segments moved so far apart that none is near another."""
+    far = c("seg_id") * 100_000.0
+    return view(spark, sf_dir, "segs").select(c("seg_id").alias("edge_id"), F.lit(0).alias("seq"), (c("ax") + far).alias("ax"), "ay", (c("bx") + far).alias("bx"), "by")
+
+
+_LENGTHS = ctes("segs") + ", l AS (SELECT seg_id, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS m FROM segs)"
+
+
+@query(_LENGTHS + " SELECT seg_id AS edge_id, 1000000 + seg_id AS other_id, 1.0::DOUBLE AS share, CASE WHEN seg_id % 2 = 0 THEN 'primary' ELSE 'service' END AS street FROM l")
+def streets_of_edges(spark, sf_dir):
+    """The tag of the way beside each edge; one that crosses it has none to give."""
+    edges = _apart(spark, sf_dir)
+    tag = F.when(c("edge_id") % 2 == 0, "primary").otherwise("service")
+    beside = edges.select((1_000_000 + c("edge_id")).alias("other_id"), "seq", (c("ax") + 3).alias("ax"), (c("ay") + 3).alias("ay"), (c("bx") + 3).alias("bx"), (c("by") + 3).alias("by"), tag.alias("street"))
+    across = edges.select((2_000_000 + c("edge_id")).alias("other_id"), "seq", c("ax"), c("ay"), (c("ax") - (c("by") - c("ay"))).alias("bx"), (c("ay") + (c("bx") - c("ax"))).alias("by"), F.lit("tertiary").alias("street"))
+    return roads.classify_streets(edges, beside.union(across)).select("edge_id", "other_id", "share", "street")
+
+
+@query(_LENGTHS + ", s AS (SELECT seg_id, m, unnest(range(CAST(greatest(1, ceil(m / 5)) AS BIGINT) + 1)) AS i FROM l) SELECT seg_id AS edge_id, round(i * m / greatest(1, ceil(m / 5)), 4) AS station, seg_id AS deck_id, round(10 + 5 * i / greatest(1, ceil(m / 5)), 4) AS deck_z FROM s")
+def edges_on_decks(spark, sf_dir):
+    """Heights of the decks under each edge's points."""
+    edges = _apart(spark, sf_dir)
+    decks = edges.select(c("edge_id").alias("deck_id"), "seq", "ax", "ay", F.lit(10.0).alias("az"), "bx", "by", F.lit(15.0).alias("bz"))
+    return _round_all(roads.apply_bridges(edges, decks).select("edge_id", "station", "deck_id", "deck_z"), 4)
+
+
+@query(_LENGTHS + ", h AS (SELECT seg_id, m, least(402, greatest(seg_id % 90, 10) / 3.6 * 17.5) AS half FROM l) SELECT seg_id AS crossing_id, seg_id AS edge_id, round(greatest(m / 2 - half, 0), 4) AS start_m, round(least(m / 2 + half, m), 4) AS end_m, CAST(24 AS INTEGER) AS bands, seg_id % 3 = 0 AS silent FROM h")
+def horns_on_tracks(spark, sf_dir):
+    """The stretch of track on which trains sound for a crossing in its middle; -99 dB where none runs at night."""
+    tracks = _apart(spark, sf_dir)
+    k = c("edge_id")
+    crossings = tracks.select(k.alias("crossing_id"), ((c("ax") + c("bx")) / 2).alias("x"), ((c("ay") + c("by")) / 2).alias("y"), (k % 90).cast("double").alias("speed_kmh"), F.lit(2.0).alias("d"), F.lit(1.0).alias("e"), F.when(k % 3 == 0, 0.0).otherwise(1.0).alias("n"))
+    out = roads.horn_sources(tracks, crossings)
+    return _round_all(out.select("crossing_id", "edge_id", "start_m", "end_m", F.size("bands_d").alias("bands"), F.forall("bands_n", lambda x: x == -99.0).alias("silent")), 4)
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders), p AS (SELECT k, 100 + k % 30 AS v, (k % 7) * 15 AS dv FROM k), n AS (SELECT *, greatest(1, ceil(dv / 20.0)) AS n FROM p), i AS (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS i FROM n)
+SELECT k AS profile_id, round(500 + CASE WHEN i = n THEN 1000 ELSE 1000 * (i / n) * (2 * v + (i / n) * dv) / (2 * v + dv) END, 4) AS s FROM i UNION ALL SELECT k, 0 FROM p UNION ALL SELECT k, 2000 FROM p""")
+def placed_profiles(spark, sf_dir):
+    """Profiles cut where the speed changes, set on a route and extended to its ends."""
+    k = c("profile_id")
+    ids = _orders(spark, sf_dir).select(c("o_custkey").alias("profile_id")).distinct()
+    v = (100 + k % 30).cast("double")
+    point = lambda seq, dist, alt, speed: F.struct(F.lit(seq).alias("seq"), F.lit(dist).alias("dist"), F.lit(alt).alias("alt"), speed.alias("speed"), F.lit(100.0).alias("power"))
+    points = ids.select("profile_id", F.explode(F.array(point(1, 0.0, 0.0, v), point(2, 1000.0, 100.0, v + (k % 7) * 15))).alias("p")).select("profile_id", "p.*")
+    return _round_all(events.place_profile(events.segment_profile(points), 500.0, 0.0, 2000.0).select("profile_id", "s"), 4)
+
+
+@query(ctes("trace") + """, f AS (SELECT ident, t_s, x, y, lead(x) OVER (PARTITION BY ident ORDER BY t_s) AS x2, lead(y) OVER (PARTITION BY ident ORDER BY t_s) AS y2 FROM trace), q AS (SELECT ident, t_s, greatest(0, CASE WHEN x2 = x THEN CASE WHEN x >= 353000 THEN 0 ELSE 2 END ELSE (353000 - x) / (x2 - x) END * (x2 >= x)::INT) AS lo, least(1, CASE WHEN x2 < x THEN (353000 - x) / (x2 - x) ELSE 1 END) AS hi FROM f WHERE x2 IS NOT NULL)
+SELECT ident, count(*) AS pieces, round(sum(hi - lo), 4) AS parts FROM q WHERE lo < hi GROUP BY 1""")
+def paths_cut_again(spark, sf_dir):
+    """Paths cut to a half plane: their pieces, and how much of their edges they keep."""
+    t = view(spark, sf_dir, "trace").select(c("ident").alias("path_id"), c("t_s").alias("epoch"), "x", "y")
+    both = t.groupBy("path_id").agg(F.count("*").alias("n"))
+    cut = traces.reclip_paths(t, (353000.0, -1e9, 1e9, 1e9))
+    steps = traces.trace_pairs(t, "path_id").select("path_id", c("a.epoch").alias("e1"), c("b.epoch").alias("e2"))
+    met = cut.join(steps, "path_id").where("epoch_lo >= e1 - 1e-6 and epoch_hi <= e2 + 1e-6 and epoch_hi > epoch_lo")
+    sums = met.groupBy("path_id").agg(F.count("*").alias("pieces"), F.sum((c("epoch_hi") - c("epoch_lo")) / (c("e2") - c("e1"))).alias("parts"))
+    return _round_all(sums.join(both, "path_id").select(c("path_id").alias("ident"), "pieces", "parts"), 4)
