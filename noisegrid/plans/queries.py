@@ -616,7 +616,7 @@ def contour_extension(spark, sf_dir):
 
 
 @query(ctes("pts", "segs") + """, d AS (SELECT pk, seg_id, abs(x - ax) AS dx, abs(y - ay) AS dy FROM pts JOIN segs ON seg_id % 10 = 1 AND x >= ax - 800 AND x < ax + 800 AND y >= ay - 500 AND y < ay + 500), l AS (SELECT pk, seg_id, dx, dy, CASE WHEN dx < 400 AND dy < 200 THEN 70 ELSE 65 END AS level FROM d)
-SELECT pk, seg_id AS airport, round(CASE level WHEN 70 THEN 70 + 5 * least(1, least(400 - dx, 200 - dy) / 200) ELSE 65 + 5 * least(800 - dx, 500 - dy) / (least(800 - dx, 500 - dy) + sqrt(pow(greatest(dx - 400, 0), 2) + pow(greatest(dy - 200, 0), 2))) END, 9) AS level FROM l""")
+SELECT pk, seg_id AS airport, round(CASE level WHEN 70 THEN 70 + 5 * least(1, least(400 - dx, 200 - dy) / 200) ELSE 65 + 5 * least(800 - dx, 500 - dy) / (least(800 - dx, 500 - dy) + sqrt(pow(greatest(dx - 400, 0), 2) + pow(greatest(dy - 200, 0), 2))) END, 7) AS level FROM l""")
 def contour_levels(spark, sf_dir):
     """Levels of points between the borders of oblong contours."""
     segs = view(spark, sf_dir, "segs").where("seg_id % 10 = 1")
@@ -624,7 +624,7 @@ def contour_levels(spark, sf_dir):
     ring = lambda w, h: F.array(p(-w, -h), p(w, -h), p(w, h), p(-w, h), p(-w, -h))
     both = F.array(F.struct(F.lit(65.0).alias("level"), ring(800.0, 500.0).alias("ring")), F.struct(F.lit(70.0).alias("level"), ring(400.0, 200.0).alias("ring")))
     contours = segs.select(F.col("seg_id").alias("airport"), F.explode(both).alias("c")).select("airport", "c.*")
-    return _round_all(lidar.contour_level(view(spark, sf_dir, "pts"), contours), 9)
+    return _round_all(lidar.contour_level(view(spark, sf_dir, "pts"), contours), 7)
 
 
 @query()
