@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noisegrid.shared import new_path, shared_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,21 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local session gets one of its own;
-    a cluster has none that all could read, so that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.conf.get("spark.noisegrid.shared", None)
-    if at is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="noisegrid-")
-        spark.conf.set("spark.noisegrid.shared", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -40,7 +24,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -260,6 +260,36 @@ def test_pii_terms_far_from_the_entity(spark):
     assert "orblax" not in clean[50] and clean[50].count("people") == 20 and clean[51] == rows[41][1]
 
 
+def test_pii_terms_equal_brute_force(spark):
+    """The terms told of each text, counted text by text from the definition."""
+    rng = np.random.default_rng(5)
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}qz" for k in range(60)]
+    mails = [f"a{k}@x.org" for k in range(5)]
+    texts = [" ".join(rng.choice(words, 12, p=np.linspace(2, 0.01, 60) / np.linspace(2, 0.01, 60).sum())) for _ in range(90)]
+    for k in range(0, 40):
+        texts[k] += f" {mails[k % 4 if k < 24 else 4]} {'name' + 'abcd'[k % 4] if k < 24 else ''}"
+    texts[60:62] = [t + " named" for t in texts[60:62]]
+    texts += texts[:7]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    distinct = sorted(set(texts))
+    found = {t: set(re.findall(r"\S+@\S+", t)) for t in distinct}
+    terms = {t: set(re.findall(r"[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))) for t in distinct}
+    n = len(distinct)
+    n_t, n_e = Counter(w for t in distinct for w in terms[t]), Counter(e for t in distinct for e in found[t])
+    n_te = Counter((e, w) for t in distinct for e in found[t] for w in terms[t])
+    want = {}
+    for t in distinct:
+        for e in found[t]:
+            for w in terms[t]:
+                told = math.log2((n_te[e, w] + n_e[e] / n) / (n_t[w] + 1) * n / n_e[e]) / math.log2(n / n_e[e])
+                if told >= 0.75:
+                    want[t, w] = max(want.get((t, w), 0), int(told >= 0.9))
+    scanned = pii.scan(docs_of(spark, rows))
+    text_of = {r.digest: texts[r.doc_id] for r in scanned.select("digest", "doc_id").collect()}
+    got = {(text_of[r.digest], r.term): r.removes for r in pii.disclosing_terms(scanned).collect()}
+    assert got == want and set(want.values()) == {0, 1}
+
+
 def test_pii_redacts_in_place(spark, real):
     rows = [(r.doc_id + 50, r.text, r.lang, r.source, r.n_chars) for r in real] + ODD
     out = pii.sanitise(docs_of(spark, rows)).collect()
@@ -325,6 +355,28 @@ def test_language_held_out(spark):
     assert len(rows) == 1000 and np.mean(test) >= 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_scores_equal_word_by_word(spark, real):
+    docs = docs_of(spark, [(r.doc_id, r.text, r.lang) for r in real] + [(9001, "Zqxj wvvk " * 3)])
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for d, text in [(r.doc_id, r.text) for r in real[:80]] + [(9001, "Zqxj wvvk " * 3)]:
+        total = np.zeros(len(model.languages))
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            if w in model.words:
+                total += model.rows[model.words[w]]
+                continue
+            for n in range(4, 0, -1):
+                known = [model.grams[n][g] for g in (f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)) if g in model.grams[n]]
+                if known:
+                    total += model.rows[known].mean(axis=0)
+                    break
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        best = int(np.argmax(total))
+        assert got[d].lang_pred == model.languages[best] and got[d].score == pytest.approx(1 / np.exp(total - total[best]).sum(), rel=1e-4)
+
+
 def test_language_backs_off(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the thing that", "en"), ("les choses que", "fr")] * 20)]
     model = langid.train(docs_of(spark, rows))
@@ -374,9 +426,9 @@ def naive_log10(p, v, ids):
         at = k + s  # place of the input
         first = at // s * s - s
         scores = [p["rows"][rows[at], :q] @ p["rows"][rows[j], q : 2 * q] / q**0.5 + p["lag"][at - j] for j in range(first, at + 1)]
-        e = np.exp(np.minimum(scores, 30))
+        e = np.exp(scores)
         u = sum(a * p["rows"][rows[j], 2 * q : 2 * q + w] for a, j in zip(e / e.sum(), range(first, at + 1), strict=True))
-        h = np.append(np.maximum(p["rows"][rows[at], 2 * q + w + 1 :] + u @ p["mixed"], 0), 1)
+        h = np.append(np.clip(p["rows"][rows[at], 2 * q + w + 1 :] + u @ p["mixed"], 0, lm.MOST), 1)
         row = int(v.rows[i])
         c = int(v.classes[row])
         low, high = v.bounds[c : c + 2]
