@@ -75,13 +75,14 @@ def _line(text: str) -> str:
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
-    """One record. The HTTP header gives the full payload's length, which a revisit doesn't hold itself."""
+    """One record, known by the page's id and the start of the payload's digest, so that pages which repeat an id, or
+    have none, are told apart. The HTTP header gives the full payload's length, which a revisit doesn't hold itself."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
         VERSION.decode(),
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{digest[:32]}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url) if url else 'urn:page:none'}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -90,7 +91,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{digest[:32]}>"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -257,7 +258,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, permissive: bool =
 
 def page_of(record_id):
     """The page id in a record id that record_bytes() wrote."""
-    return F.regexp_extract(record_id, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return F.regexp_extract(record_id, r"^<urn:page:(-?\d+):[0-9a-f]{32}>$", 1).try_cast("long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
