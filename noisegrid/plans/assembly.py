@@ -624,3 +624,28 @@ def paths_cut_again(spark, sf_dir):
     met = cut.join(steps, "path_id").where("epoch_lo >= e1 - 1e-6 and epoch_hi <= e2 + 1e-6 and epoch_hi > epoch_lo")
     sums = met.groupBy("path_id").agg(F.count("*").alias("pieces"), F.sum((c("epoch_hi") - c("epoch_lo")) / (c("e2") - c("e1"))).alias("parts"))
     return _round_all(sums.join(both, "path_id").select(c("path_id").alias("ident"), "pieces", "parts"), 4)
+
+
+@query(_LENGTHS + """, p AS (SELECT seg_id, m, greatest(1, ceil(m / 2)) AS n, CASE WHEN seg_id % 2 = 0 THEN 60 ELSE 20 END AS reach FROM l), i AS (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS i FROM p WHERE seg_id % 3 <> 1),
+s AS (SELECT seg_id, any_value(n) AS n, count(CASE WHEN i * m / n <= 0.6 * m + sqrt(reach * reach - 9) THEN 1 END) / (any_value(n) + 1) AS part FROM i GROUP BY seg_id)
+SELECT seg_id AS edge_id, CASE WHEN seg_id % 3 = 2 THEN 1000000 ELSE 2000000 END + seg_id AS other_id, round(CASE WHEN seg_id % 3 = 2 THEN 1 ELSE part END, 6) AS share FROM s WHERE NOT (seg_id % 3 = 2 AND part = 1)""")
+def best_records(spark, sf_dir):
+    """Traffic records of edges: a whole parallel one beats a part, a part that covers half will do, and records of the
+    other road kind or at an angle don't count. Edges that the part covers within reach too are left out where both
+    are there, for then traffic decides."""
+    edges = _apart(spark, sf_dir).withColumn("freeway", c("edge_id") % 2 == 0)
+    e, dx, dy = c("edge_id"), c("bx") - c("ax"), c("by") - c("ay")
+    long = F.sqrt(dx * dx + dy * dy)
+    sx, sy = -dy / long * 3, dx / long * 3
+
+    def record(base, ax, ay, bx, by, aadt, freeway):
+        return edges.select((base + e).alias("other_id"), "seq", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), freeway.alias("freeway"), F.lit(aadt).alias("aadt"))
+
+    same, turn = c("freeway"), 0.7
+    whole = record(1_000_000, c("ax") + sx, c("ay") + sy, c("bx") + sx, c("by") + sy, 10.0, same).where("other_id % 3 = (2 + 1000000) % 3")
+    part = record(2_000_000, c("ax") + sx, c("ay") + sy, c("ax") + 0.6 * dx + sx, c("ay") + 0.6 * dy + sy, 99.0, same).where("(other_id - 2000000) % 3 <> 1")
+    bent = record(3_000_000, c("ax"), c("ay"), c("ax") + dx * F.cos(F.lit(turn)) - dy * F.sin(F.lit(turn)), c("ay") + dx * F.sin(F.lit(turn)) + dy * F.cos(F.lit(turn)), 99.0, same)
+    other = record(4_000_000, c("ax"), c("ay"), c("bx"), c("by"), 99.0, ~same)
+    found = roads.assign_traffic(edges, whole.union(part).union(bent).union(other))
+    covered = S.stations(edges).groupBy("edge_id").agg(F.sum("length").alias("m")).where("edge_id % 3 = 2 AND 0.4 * m <= sqrt(if(edge_id % 2 = 0, 3600, 400) - 9)")
+    return _round_all(found.join(covered, "edge_id", "left_anti"), 6)
