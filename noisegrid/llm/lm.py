@@ -34,6 +34,7 @@ IDS = 50257
 END = b"\n"
 #: Rows of the embedding; classes; sizes of queries and of values and hidden parts; ids of a span; spans of a window.
 ROWS, CLASSES, QUERY, WIDTH, SPAN, SPANS = 2048, 24, 4, 8, 8, 16
+MOST = 6.0
 
 
 @dataclass
@@ -95,7 +96,6 @@ def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y:
     e = q @ k.swapaxes(-1, -2)
     e *= np.float32(QUERY**-0.5)
     e += np.where(_LATER, np.float32(-200), p["lag"][_LAG])
-    np.minimum(e, 30, out=e)
     np.exp(e, out=e)
     u = (e @ v).reshape(-1, WIDTH + 1)
     total = u[:, WIDTH:]
@@ -103,11 +103,10 @@ def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y:
     h = np.ones((len(u), WIDTH + 1), np.float32)
     np.matmul(u, p["mixed"], out=h[:, :WIDTH])
     h[:, :WIDTH] += row[:, 1:, :, _H:].reshape(-1, WIDTH)
-    np.maximum(h, 0, out=h)
+    np.clip(h, 0, MOST, out=h)
     target = y.ravel()
     of, place = vocabulary.classes[target], np.arange(len(target))
     a = p["classes"] @ h.T
-    np.clip(a, -60, 60, out=a)
     out = a[of, place]
     np.exp(a, out=a)
     sums = a.sum(axis=0)
@@ -120,7 +119,6 @@ def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y:
         low, high = vocabulary.bounds[c : c + 2]
         if end > start and high > low + 1:
             b = p["members"][low:high] @ sorted_h[start:end].T
-            np.clip(b, -60, 60, out=b)
             picked[start:end] = b[sorted_target[start:end] - low, place[: end - start]]
             np.exp(b, out=b)
             b.sum(axis=0, out=totals[start:end])
@@ -152,7 +150,7 @@ def backward(p: dict[str, np.ndarray], kept: tuple, weight: np.ndarray) -> dict[
         np.matmul(b, sorted_h[start:end], out=g["members"][low:high])
         np.matmul(b.T, p["members"][low:high, :WIDTH], out=sorted_dh[start:end])
     dh[order] += sorted_dh
-    dh *= h[:, :WIDTH] > 0
+    dh *= (h[:, :WIDTH] > 0) & (h[:, :WIDTH] < MOST)
     g["mixed"] = u.T @ dh
     du = np.empty((len(dh), WIDTH + 1), np.float32)
     np.divide(dh @ p["mixed"].T, total, out=du[:, :WIDTH])
@@ -178,16 +176,24 @@ def backward(p: dict[str, np.ndarray], kept: tuple, weight: np.ndarray) -> dict[
 
 
 def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], gradients: dict, rate: float) -> None:
-    """A step of AdaGrad: rates go with the inverse root of each parameter's sum of squared gradients."""
+    """A step of AdaGrad: rates go with the inverse root of each parameter's sum of squared gradients.
+
+    Parameters keep to bounds within which no exponential of forward overflows: MOST for queries and keys, 1 for the
+    weights of hidden values, which are at most MOST.
+    """
     for name, g in gradients.items():
         if name == "rows":
             at, g = g
             total = sums[name][at] + g * g
             sums[name][at] = total
-            p[name][at] -= rate * g / np.sqrt(total + 1e-12)
+            row = p[name][at] - rate * g / np.sqrt(total + 1e-12)
+            row[:, :_V] = np.clip(row[:, :_V], -MOST, MOST)
+            p[name][at] = row
         else:
             sums[name] += g * g
             p[name] -= rate * g / np.sqrt(sums[name] + 1e-12)
+            weights = p[name][:, :-1] if name in ("classes", "members") else p[name]
+            np.clip(weights, *((-1, 1) if name in ("classes", "members") else (-10, 10)), out=weights)
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
