@@ -112,6 +112,29 @@ def validate_spectrum(df: DataFrame) -> DataFrame:
     return broken(df, rules, ["spectrum_id"])
 
 
+def validate_losses(df: DataFrame, losses: list[str]) -> DataFrame:
+    """(spectrum_id, rule): every array of losses has a value of at least 0 for each band, and the reference angle lies
+    within half a turn."""
+    rules = {
+        "losses_paired": F.forall(F.array(*[F.size(c) for c in losses]), lambda n: n == F.size("band_hz")),
+        "losses_positive": F.forall(F.flatten(F.array(*losses)), lambda x: x >= 0),
+        "reference": F.col("reference_deg").between(0, 180),
+    }
+    return broken(df, rules, ["spectrum_id"])
+
+
+def validate_directivity(df: DataFrame) -> DataFrame:
+    """(spectrum_id, rule) of knots (array of angle, gain): they start at angle and gain 0 and increase within half a
+    turn."""
+    angles = F.transform("knots", lambda k: k["angle"])
+    first = F.get("knots", F.lit(0))
+    rules = {
+        "starts_at_zero": (first["angle"] == 0) & (F.abs(first["gain"]) <= 1e-9),
+        "increasing": (angles == F.array_sort(F.array_distinct(angles))) & (F.element_at(angles, -1) <= 180),
+    }
+    return broken(df, rules, ["spectrum_id"])
+
+
 def fill_terrain(a: DataFrame, b: DataFrame, most_empty: float = 0.01) -> DataFrame:
     """Cells (row, col, z) of a, gaps from b; raises if more than most_empty of all stay empty."""
     met = a.withColumnRenamed("z", "_a").join(b.withColumnRenamed("z", "_b"), ["row", "col"], "full_outer").select("row", "col", F.coalesce("_a", "_b").alias("z"))

@@ -649,3 +649,17 @@ def best_records(spark, sf_dir):
     found = roads.assign_traffic(edges, whole.union(part).union(bent).union(other))
     covered = S.stations(edges).groupBy("edge_id").agg(F.sum("length").alias("m")).where("edge_id % 3 = 2 AND 0.4 * m <= sqrt(if(edge_id % 2 = 0, 3600, 400) - 9)")
     return _round_all(found.join(covered, "edge_id", "left_anti"), 6)
+
+
+@query("SELECT o_custkey AS spectrum_id, CASE o_custkey % 6 WHEN 1 THEN 'losses_paired' WHEN 2 THEN 'losses_positive' WHEN 3 THEN 'reference' WHEN 4 THEN 'starts_at_zero' ELSE 'increasing' END AS rule FROM orders WHERE o_custkey % 6 <> 0 GROUP BY 1, 2")
+def loss_rules(spark, sf_dir):
+    """Losses, reference angles and directivity knots that break a rule."""
+    ids = _orders(spark, sf_dir).select(c("o_custkey").alias("spectrum_id")).distinct()
+    m = c("spectrum_id") % 6
+    pair = F.array(F.lit(1.0), F.when(m == 2, -1.0).otherwise(0.0))
+    knot = lambda a, g: F.struct(a.alias("angle"), g.alias("gain"))
+    rows = ids.select(
+        "spectrum_id", F.array(F.lit(125.0), F.lit(250.0)).alias("band_hz"), F.when(m == 1, F.slice(pair, 1, 1)).otherwise(pair).alias("air"), F.array(F.lit(0.0), F.lit(2.0)).alias("ground"),
+        F.when(m == 3, 200.0).otherwise(90.0).alias("reference_deg"), F.array(knot(F.lit(0.0), F.when(m == 4, 1.0).otherwise(0.0)), knot(F.when(m == 5, 180.0).otherwise(90.0), F.lit(-3.0)), knot(F.when(m == 5, 90.0).otherwise(180.0), F.lit(-9.0))).alias("knots"),
+    )
+    return rules.validate_losses(rows, ["air", "ground"]).unionByName(rules.validate_directivity(rows))
