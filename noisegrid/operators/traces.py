@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noisegrid.functions import geometry as G
-from noisegrid.operators.small import hinted
+from noisegrid.operators import spatial as S
 
 GAP_S = 90.0
 
@@ -129,10 +131,10 @@ def classify_paths(points: DataFrame, runways: DataFrame, path: str = "path_id",
 
     Points in the runway's frame within across_m and along_m, low and aligned, tell: heights that fall towards the
     threshold make an arrival, that rise beyond it a departure. Rejected candidates name a reason; candidates of one
-    path and operation count each other. Runways are (runway_end, rx, ry, heading).
+    path and operation count each other. Runways are (runway_end, rx, ry, heading); points and runways meet in cells.
     """
-    frame = G.track_frame(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("heading"))
-    met = points.join(hinted(runways)).withColumn("_f", frame)
+    frame = G.track_frame(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("heading"))
+    met = S.within(points, runways.withColumnsRenamed({"rx": "sx", "ry": "sy"}), math.hypot(across_m, along_m) + 1).withColumn("_f", frame)
     near = (F.abs(F.col("_f.across")) <= across_m) & (F.abs(F.col("_f.along")) <= along_m)
     low = F.col("alt_ft") <= low_ft
     along = G.angle_diff(F.col("track_deg"), F.col("heading")) <= turn_deg

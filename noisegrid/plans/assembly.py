@@ -663,3 +663,15 @@ def loss_rules(spark, sf_dir):
         F.when(m == 3, 200.0).otherwise(90.0).alias("reference_deg"), F.array(knot(F.lit(0.0), F.when(m == 4, 1.0).otherwise(0.0)), knot(F.when(m == 5, 180.0).otherwise(90.0), F.lit(-3.0)), knot(F.when(m == 5, 90.0).otherwise(180.0), F.lit(-9.0))).alias("knots"),
     )
     return rules.validate_losses(rows, ["air", "ground"]).unionByName(rules.validate_directivity(rows))
+
+
+@query(ctes("trace") + """, w(e, rx, ry, h) AS (VALUES ('09', 354000.0::DOUBLE, 3786000.0::DOUBLE, 90.0::DOUBLE), ('36', 353000.0::DOUBLE, 3785000.0::DOUBLE, 0.0::DOUBLE)), p AS (SELECT ident, t_s, alt_ft, e, (x - rx) * sin(radians(h)) + (y - ry) * cos(radians(h)) AS along, (x - rx) * cos(radians(h)) - (y - ry) * sin(radians(h)) AS across, coalesce(alt_ft <= 2000, false) AS low, CASE WHEN abs(track_deg - h) > 180 THEN 360 - abs(track_deg - h) ELSE abs(track_deg - h) END <= 30 AS aligned FROM trace CROSS JOIN w),
+s AS (SELECT ident, e, count(CASE WHEN low AND aligned THEN 1 END) AS n, count(CASE WHEN low THEN 1 END) AS nl, count(CASE WHEN aligned THEN 1 END) AS na, arg_min(alt_ft, t_s) FILTER (WHERE low AND aligned) AS a, arg_max(alt_ft, t_s) FILTER (WHERE low AND aligned) AS b FROM p WHERE abs(across) <= 600.5 AND abs(along) <= 1500.5 GROUP BY 1, 2),
+r AS (SELECT ident, e, n, CASE WHEN a > b THEN 'arrival' WHEN a < b THEN 'departure' END AS operation, CASE WHEN nl = 0 THEN 'too_high' WHEN na = 0 THEN 'not_aligned' WHEN n < 2 THEN 'too_few_points' WHEN a = b THEN 'level' END AS reason FROM s)
+SELECT ident, e AS runway_end, operation, reason, n, CASE WHEN reason IS NULL THEN count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY ident, operation) - 1 ELSE 0 END AS ambiguous FROM r""")
+def path_candidates(spark, sf_dir):
+    """Arrivals and departures that paths may be, with the reasons of those they are not."""
+    points = view(spark, sf_dir, "trace").withColumnRenamed("t_s", "epoch")
+    runways = spark.createDataFrame([("09", 354000.0, 3786000.0, 90.0), ("36", 353000.0, 3785000.0, 0.0)], "runway_end string, rx double, ry double, heading double")
+    out = traces.classify_paths(points, runways, "ident", 600.5, 1500.5, least_points=2)
+    return out.select("ident", "runway_end", "operation", "reason", "n", c("ambiguous").cast("long").alias("ambiguous"))
