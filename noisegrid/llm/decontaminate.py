@@ -31,7 +31,7 @@ STRIDE, STRIDES = 12, (1, 2, 3, 4, 6, 12)
 EDGES = (0, 13, 26, 39, 52, 64)
 BLOCKS = len(EDGES) - 1
 #: Words of texts whose windows are fingerprinted at once; a longer text goes in parts that overlap by an item.
-WORDS_AT_ONCE = 16_384
+WORDS_AT_ONCE = 32_768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
 
@@ -55,7 +55,8 @@ def block_values(prints: np.ndarray, b: int) -> np.ndarray:
 
 
 def _packed(above: np.ndarray) -> np.ndarray:
-    return np.packbits(above, axis=1).view("<u8").ravel()
+    """Rows of 64 bits as numbers."""
+    return np.packbits(above.ravel()).view("<u8")
 
 
 def fingerprint(ids: np.ndarray) -> int:
@@ -81,6 +82,7 @@ class Block:
     shingles: list[Counter] = field(default_factory=list)
     prints: np.ndarray | None = None
     lengths: dict[int, np.ndarray] = field(default_factory=dict)
+    strides: dict[int, int] = field(default_factory=dict)
     near: dict[int, list[np.ndarray]] = field(default_factory=dict)
     slots: np.ndarray | None = None
 
@@ -96,6 +98,7 @@ class Block:
         sizes = np.array([len(w) for w in self.words], np.int64)
         for length in np.unique(sizes).tolist():
             own = self.lengths[length] = np.flatnonzero(sizes == length)
+            self.strides[length] = max(x for x in STRIDES if x <= max(1, length // STRIDE))
             self.near[length] = []
             for b in range(BLOCKS):
                 values = np.arange(1 << (EDGES[b + 1] - EDGES[b]), dtype=np.uint16)
@@ -110,9 +113,9 @@ class Block:
         listed = np.zeros(len(prints), bool)
         for b in range(BLOCKS):
             listed |= self.near[length][b].take(block_values(prints, b))
-        at = np.flatnonzero(listed)
-        close = [at[np.bitwise_count(prints[at] ^ self.prints[k]) <= RADIUS] for k in self.lengths[length]]
-        return np.concatenate(close), np.repeat(self.lengths[length], [len(c) for c in close])
+        at, own = np.flatnonzero(listed), self.lengths[length]
+        k, place = np.nonzero(np.bitwise_count(prints[at] ^ self.prints[own][:, None]) <= RADIUS)
+        return at[place], own[k]
 
 
 class Hashes(dict):
@@ -158,6 +161,7 @@ def _search_group(group: list[tuple[int, int, np.ndarray]], block: Block) -> Ite
     group = [(t, a, w) for t, a, w in group if len(w)]
     if not group or not block.lengths:
         return
+    longest = max(block.lengths)
     # each text begins at a multiple of all strides, so that its windows don't depend on its neighbours
     sizes = np.array([len(w) for _, _, w in group])
     room = -(-sizes // STRIDES[-1]) * STRIDES[-1]
@@ -166,12 +170,15 @@ def _search_group(group: list[tuple[int, int, np.ndarray]], block: Block) -> Ite
     ids, own = np.zeros(int(room.sum()), np.uint64), np.repeat(np.arange(len(group)), room)
     for start, (_, _, w) in zip(starts.tolist(), group, strict=True):
         ids[start : start + len(w)] = w
-    # counts of each bit up to each word; four counts below 2 ** 16 are added at once as a 64-bit number
+    # counts of each bit up to each word; four counts below 2 ** 16 are added at once as a 64-bit number. Counts of short
+    # windows are differences below 256, which the last 8 bits give
     kind = np.uint16 if len(ids) < 1 << 16 else np.uint64
     bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 8), axis=1).astype(kind).view(np.uint64)
     ones = np.zeros((len(ids) + 1, bits.shape[1]), np.uint64)
-    np.cumsum(bits, axis=0, out=ones[1:])
+    ones[1:] = np.cumsum(np.ascontiguousarray(bits.T), axis=1).T  # sums along memory are faster
     ones = ones.view(kind)
+    if longest < 256:
+        kind, ones = np.uint8, ones.astype(np.uint8)
     marks: dict[int, np.ndarray] = {}
     for length in block.lengths:
         width = min(SHINGLE, length)
@@ -181,19 +188,19 @@ def _search_group(group: list[tuple[int, int, np.ndarray]], block: Block) -> Ite
                 hit = block.slots[shingle_hashes(ids, width) >> np.uint64(64 - _SLOTS)]
                 np.cumsum(hit, out=marks[width][1 : len(hit) + 1])
                 marks[width][len(hit) + 1 :] = marks[width][len(hit)]
-        stride = max(x for x in STRIDES if x <= max(1, length // STRIDE))
-        inner = np.arange(0, max(0, len(ids) - length + 1), stride)
-        full = sizes >= length
-        edges = np.concatenate([starts[full], ends[full] - length, starts[~full]])
-        long = np.r_[np.full(2 * full.sum(), length), sizes[~full]]
-        prints = [_packed(ones[edges + long] - ones[edges] > (long >> 1).astype(kind)[:, None])]
-        if len(inner):
-            prints.append(_packed(ones[length::stride] - ones[: len(ids) - length + 1 : stride] > kind(length >> 1)))
-        place, items = block.candidates(np.concatenate(prints), length)
+        stride = block.strides[length]
+        long = np.minimum(sizes, length)
+        edges, long = np.concatenate([starts, ends - long]), np.concatenate([long, long])
+        prints = _packed(ones[edges + long] - ones[edges] > (long >> 1).astype(kind)[:, None])
+        if len(ids) >= length:
+            prints = np.concatenate([prints, _packed(ones[length::stride] - ones[: len(ids) - length + 1 : stride] > kind(length >> 1))])
+        place, items = block.candidates(prints, length)
         if not len(place):
             continue
-        at = np.concatenate([edges, inner])[place]
-        size = np.r_[long, np.full(len(inner), length)][place]
+        edge = np.minimum(place, len(edges) - 1)
+        inner = place >= len(edges)
+        at = np.where(inner, (place - len(edges)) * stride, edges[edge])
+        size = np.where(inner, length, long[edge])
         text = own[at]
         first, last = np.maximum(at - stride, starts[text]), np.minimum(at + stride + size, ends[text])
         # exact: no window around a candidate is similar enough if the region has too few shingles of any item
