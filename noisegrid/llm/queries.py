@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisegrid.llm import decontaminate, langid, lm, mixing, pii, quality, simhash, toxicity, urlfilter, warc
+from noisegrid.llm import decontaminate, langid, lm, manifest, mixing, pii, quality, simhash, tokens, toxicity, urlfilter, warc
 from noisegrid.llm._common import table
 
 
@@ -50,7 +50,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_toxicity, op4_pii, op5_quality, op6_langid, op7_lm, op8_simhash, op9_mixing, op10_urls)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_toxicity, op4_pii, op5_quality, op6_langid, op7_lm, op8_simhash, op9_mixing, op10_urls, op11_manifest, op13_tokens)}
 
 ORACLES = {
     "op1_warc": """
