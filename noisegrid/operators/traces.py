@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -126,28 +124,130 @@ def dedupe_events(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.sort_array(F.collect_set("runway_end")).alias("runway_ends"), F.count("*").alias("fragments"))
 
 
-def classify_paths(points: DataFrame, runways: DataFrame, path: str = "path_id", across_m: float = 600.0, along_m: float = 6000.0, turn_deg: float = 30.0, low_ft: float = 2000.0, least_points: int = 3) -> DataFrame:
-    """(path, runway_end, operation, reason, ambiguous): a candidate per path and runway end.
+# Fixed values of the runway rules: degrees, metres, knots, feet.
+TRACK_DEG, LATERAL_M, LEAST_INBOUND_M, CORRIDOR_M = 18.0, 350.0, 1000.0, 12_000.0
+TOUCHDOWN_M, GROUND_M, AIRBORNE_KT, LOW_FT, CLIMB_FT, CLIMB_M = (-250.0, 900.0), (-1200.0, 500.0), 45.0, 1600.0, 150.0, 400.0
+BEYOND_M = 1200.0
+
+
+def with_known_heights(points: DataFrame, path: str) -> DataFrame:
+    """Points with their number in the path (idx) and the known heights next to them: `behind` the last up to here,
+    `ahead` the first from here on, each with its number. Points of one time stand by place."""
+    w = W.partitionBy(path).orderBy("epoch", "x", "y")
+    rows = points.withColumn("idx", F.row_number().over(w))
+    known = F.when(F.col("height_ft").isNotNull(), F.struct("idx", F.col("height_ft").alias("ft")))
+    so_far = W.unboundedPreceding, 0
+    return rows.withColumns({"behind": F.last(known, True).over(W.partitionBy(path).orderBy("idx").rowsBetween(*so_far)), "ahead": F.last(known, True).over(W.partitionBy(path).orderBy(F.desc("idx")).rowsBetween(*so_far))})
+
+
+def runway_strips(points: DataFrame, runways: DataFrame, lateral_m: float, back_m: float, ahead_m: float, piece_m: float = 2000.0) -> DataFrame:
+    """Points at most lateral_m beside the axis of a runway (runway_end, rx, ry, heading), with along and across.
 
-    Points in the runway's frame within across_m and along_m, low and aligned, tell: heights that fall towards the
-    threshold make an arrival, that rise beyond it a departure. Rejected candidates name a reason; candidates of one
-    path and operation count each other. Runways are (runway_end, rx, ry, heading); points and runways meet in cells.
+    The axis, from back_m before the threshold to ahead_m beyond it, is cut into pieces whose cells points meet in an
+    equi-join; a point belongs to the piece that its `along` falls on.
     """
-    frame = G.track_frame(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"), F.col("heading"))
-    met = S.within(points, runways.withColumnsRenamed({"rx": "sx", "ry": "sy"}), math.hypot(across_m, along_m) + 1).withColumn("_f", frame)
-    near = (F.abs(F.col("_f.across")) <= across_m) & (F.abs(F.col("_f.along")) <= along_m)
-    low = F.col("alt_ft") <= low_ft
-    along = G.angle_diff(F.col("track_deg"), F.col("heading")) <= turn_deg
-    used = near & low & along
-    sums = met.where(near).groupBy(path, "runway_end").agg(
-        F.count_if(used).alias("n"), F.count_if(low).alias("n_low"), F.count_if(along).alias("n_along"),
-        F.min_by("alt_ft", F.when(used, F.col("epoch"))).alias("first_ft"), F.max_by("alt_ft", F.when(used, F.col("epoch"))).alias("last_ft"), F.avg(F.when(used, F.abs("_f.across"))).alias("offset_m"),
+    sin, cos = F.sin(F.radians("heading")), F.cos(F.radians("heading"))
+    starts = F.sequence(F.lit(int(-back_m // piece_m)), F.lit(int(ahead_m // piece_m)))
+    pieces = runways.select("runway_end", "rx", "ry", "heading", F.explode(starts).alias("_piece"))
+    end = lambda k: [(F.col(o) + (F.col("_piece") + k) * piece_m * d) for o, d in (("rx", sin), ("ry", cos))]
+    (ax, ay), (bx, by) = end(0), end(1)
+    pieces = pieces.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by})
+    met = S.near_segments(points, pieces, lateral_m + 1.0, cell=max(500.0, lateral_m))
+    met = met.withColumn("_f", G.track_frame(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("heading")))
+    met = met.select("*", F.col("_f.along").alias("along"), F.col("_f.across").alias("across"))
+    inside = (F.floor(F.col("along") / piece_m) == F.col("_piece")) & (F.abs("across") <= lateral_m) & F.col("along").between(-back_m, ahead_m)
+    return met.where(inside).drop("_f", "_piece", "ax", "ay", "bx", "by", "distance", "part")
+
+
+def climbs(strips: DataFrame, path: str) -> DataFrame:
+    """(path, runway_end) of paths with a ground point and, later, an aligned fast point CLIMB_M farther along and, between
+    the first and the last known height from the one to the other, CLIMB_FT higher.
+
+    A ground point counts from the moment its first height is known. One window in order of time keeps the least height
+    and the least place of the ground points so far, which settles nearly all: both must be low enough, and if the
+    ground point of either is low enough in both, there is a climb. Only what is still open, possible while a climbing
+    point is less than CLIMB_M beyond the last place of a ground point, meets the ground points of its own path.
+    """
+    keys = [path, "runway_end"]
+    ground = strips.where((F.col("alt_state") == "ground") & F.col("along").between(*GROUND_M) & F.col("ahead").isNotNull())
+    ground = ground.groupBy(*keys, F.col("ahead.idx").alias("pos")).agg(F.min("along").alias("along"), F.first("ahead.ft").alias("ft"))
+    fast = strips.where(F.col("aligned") & F.col("fast") & (F.col("along") <= CORRIDOR_M) & F.col("behind").isNotNull())
+    fast = fast.select(*keys, F.col("idx").alias("pos"), (F.col("along") - CLIMB_M).alias("most_along"), (F.col("behind.ft") - CLIMB_FT).alias("most_ft"))
+    both = ground.withColumn("at", F.struct("along", "ft")).unionByName(fast, allowMissingColumns=True)
+    before = W.partitionBy(*keys).orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+    nearest = F.min("at").over(before)
+    lowest = F.min(F.when(F.col("at").isNotNull(), F.struct("ft", "along"))).over(before)
+    seen = both.withColumns({"_low": lowest, "_near": nearest}).where("most_ft is not null and _low.ft <= most_ft and _near.along <= most_along")
+    seen = seen.withColumn("sure", (F.col("_low.along") <= F.col("most_along")) | (F.col("_near.ft") <= F.col("most_ft")))
+    seen = seen.withColumn("settled", F.max("sure").over(W.partitionBy(*keys)))
+    open_ = seen.where("not settled").select(*keys, F.col("pos").alias("_pos"), "most_along", "most_ft")
+    found = open_.join(ground, keys).where("pos < _pos and along <= most_along and ft <= most_ft").select(*keys)
+    return seen.where("sure").select(*keys).unionByName(found).distinct()
+
+
+def classify_paths(points: DataFrame, runways: DataFrame, path: str = "path_id", back_m: float = 60_000.0) -> DataFrame:
+    """A row for each path and runway end that has a point within LATERAL_M of the other: what it may be, and why not.
+
+    Points are (path, epoch, x, y, track_deg, speed_kt, alt_state, height_ft), where height_ft is a height of one datum
+    or null. An arrival is an aligned fast point at least LEAST_INBOUND_M before the threshold (back_m at most), followed
+    by a ground point in the touchdown zone. A departure is a ground point on the runway, followed by what climbs()
+    finds. Confidences are `high_candidate` or `none`; a rejected one has a reason. `arrivals` and `departures` count
+    the runway ends of the path that have the same candidate: parallel runways can't be told apart.
+
+    Paths are taken whole: counts and first and last numbers by runway come from one grouped pass, the order of events
+    from windows over paths, without a self join.
+    """
+    keys = [path, "runway_end"]
+    strips = runway_strips(with_known_heights(points, path), runways, LATERAL_M, back_m, CORRIDOR_M)
+    aligned = F.coalesce(G.angle_diff(F.col("track_deg"), F.col("heading")) <= TRACK_DEG, F.lit(False))
+    strips = strips.withColumns({"aligned": aligned, "fast": F.coalesce(F.col("speed_kt") >= AIRBORNE_KT, F.lit(False))})
+    corridor = F.col("along").between(-CORRIDOR_M, BEYOND_M)
+    on_ground, inbound = F.coalesce(F.col("alt_state") == "ground", F.lit(False)), F.col("along") <= -LEAST_INBOUND_M
+    first = F.min(F.when(F.col("aligned") & F.col("fast") & inbound, F.col("idx")))
+    last = F.max(F.when(on_ground & F.col("along").between(*TOUCHDOWN_M), F.col("idx")))
+    sums = strips.groupBy(*keys).agg(
+        F.count_if(corridor).alias("corridor"), F.count_if(corridor & F.col("aligned")).alias("aligned"), F.count_if(corridor & on_ground).alias("ground"),
+        F.count_if(corridor & F.col("aligned") & inbound).alias("inbound"), F.count_if(corridor & (F.col("height_ft") < LOW_FT)).alias("low"),
+        F.count_if(on_ground & F.col("along").between(*GROUND_M)).alias("anchors"), F.count_if(corridor & F.col("aligned") & (F.col("along") > 0)).alias("_outbound"),
+        F.coalesce(first < last, F.lit(False)).alias("arrival"),
     )
-    operation = F.when(F.col("first_ft") > F.col("last_ft"), "arrival").when(F.col("first_ft") < F.col("last_ft"), "departure")
-    reason = F.when(F.col("n_low") == 0, "too_high").when(F.col("n_along") == 0, "not_aligned").when(F.col("n") < least_points, "too_few_points").when(F.col("first_ft") == F.col("last_ft"), "level")
-    rows = sums.select(path, "runway_end", operation.alias("operation"), reason.alias("reason"), "offset_m", "n")
-    others = F.count_if(F.col("reason").isNull()).over(W.partitionBy(path, "operation"))
-    return rows.withColumn("ambiguous", F.when(F.col("reason").isNull(), others - 1).otherwise(F.lit(0)))
+    rows = sums.join(climbs(strips, path).withColumn("_climbs", F.lit(True)), keys, "left").withColumn("departure", F.coalesce("_climbs", F.lit(False)))
+    no_touchdown = F.when((F.col("inbound") > 0) & (F.col("low") > 0), "aligned_low_approach_without_touchdown").when(F.col("inbound") > 0, "aligned_approach_ends_before_touchdown")
+    no_climb = F.when(F.col("anchors") > 0, "on_runway_without_aligned_fast_climb").when(F.col("_outbound") > 0, "aligned_outbound_without_ground_anchor")
+    confidence = lambda kind: F.when(F.col(kind), "high_candidate").otherwise("none")
+    rows = rows.withColumns({
+        "arrival_confidence": confidence("arrival"), "departure_confidence": confidence("departure"),
+        "arrival_reason": F.when(~F.col("arrival"), F.coalesce(no_touchdown, F.when(F.col("ground") > 0, "on_ground_without_aligned_approach"), F.lit(NO_ARRIVAL))),
+        "departure_reason": F.when(~F.col("departure"), F.coalesce(no_climb, F.lit(NO_DEPARTURE))),
+    })
+    for kind in ("arrival", "departure"):
+        rows = rows.withColumn(f"{kind}s", F.count_if(kind).over(W.partitionBy(path)))
+    return rows.drop("_climbs", "_outbound")
+
+
+NO_ARRIVAL, NO_DEPARTURE = "no_approach_in_corridor", "no_departure_in_corridor"
+
+
+def path_operations(candidates: DataFrame, path: str = "path_id") -> DataFrame:
+    """(path, operation, runway_ends, assignment): the candidates of classify_paths(), one row for each path and
+    operation. More than one runway end leaves only the axis known."""
+    out = None
+    for kind in ("arrival", "departure"):
+        rows = candidates.where(kind).groupBy(path).agg(F.sort_array(F.collect_list("runway_end")).alias("runway_ends")).withColumn("operation", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("assignment", F.when(F.size("runway_ends") > 1, "axis_only").otherwise("single_end"))
+
+
+def rejection_counts(points: DataFrame, candidates: DataFrame, runways: DataFrame, path: str = "path_id") -> DataFrame:
+    """(reasons, paths): how many paths without a candidate share each combination of reasons. A runway end that no
+    point of a path comes near gives both reasons of an empty corridor."""
+    ends = runways.select("runway_end").distinct().agg(F.count("*").alias("ends"))
+    per = candidates.groupBy(path).agg(F.collect_set("arrival_reason").alias("_a"), F.collect_set("departure_reason").alias("_d"), F.count("*").alias("_n"), F.max(F.col("arrival") | F.col("departure")).alias("_is"))
+    rows = points.select(path).distinct().join(per, path, "left").where("_is is null or not _is").join(F.broadcast(ends))
+    missed = F.when(F.coalesce("_n", F.lit(0)) < F.col("ends"), F.array(F.lit(NO_ARRIVAL), F.lit(NO_DEPARTURE))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    reasons = F.array_sort(F.array_distinct(F.concat(F.coalesce("_a", none), F.coalesce("_d", none), missed)))
+    return rows.groupBy(F.array_join(reasons, ";").alias("reasons")).agg(F.count("*").alias("paths"))
 
 
 def proximity_counts(points: DataFrame, x: float, y: float, radii: list[float], path: str = "ident", kind: str = "type_code") -> DataFrame:

@@ -665,13 +665,49 @@ def loss_rules(spark, sf_dir):
     return rules.validate_losses(rows, ["air", "ground"]).unionByName(rules.validate_directivity(rows))
 
 
-@query(ctes("trace") + """, w(e, rx, ry, h) AS (VALUES ('09', 354000.0::DOUBLE, 3786000.0::DOUBLE, 90.0::DOUBLE), ('36', 353000.0::DOUBLE, 3785000.0::DOUBLE, 0.0::DOUBLE)), p AS (SELECT ident, t_s, alt_ft, e, (x - rx) * sin(radians(h)) + (y - ry) * cos(radians(h)) AS along, (x - rx) * cos(radians(h)) - (y - ry) * sin(radians(h)) AS across, coalesce(alt_ft <= 2000, false) AS low, CASE WHEN abs(track_deg - h) > 180 THEN 360 - abs(track_deg - h) ELSE abs(track_deg - h) END <= 30 AS aligned FROM trace CROSS JOIN w),
-s AS (SELECT ident, e, count(CASE WHEN low AND aligned THEN 1 END) AS n, count(CASE WHEN low THEN 1 END) AS nl, count(CASE WHEN aligned THEN 1 END) AS na, arg_min(alt_ft, t_s) FILTER (WHERE low AND aligned) AS a, arg_max(alt_ft, t_s) FILTER (WHERE low AND aligned) AS b FROM p WHERE abs(across) <= 600.5 AND abs(along) <= 1500.5 GROUP BY 1, 2),
-r AS (SELECT ident, e, n, CASE WHEN a > b THEN 'arrival' WHEN a < b THEN 'departure' END AS operation, CASE WHEN nl = 0 THEN 'too_high' WHEN na = 0 THEN 'not_aligned' WHEN n < 2 THEN 'too_few_points' WHEN a = b THEN 'level' END AS reason FROM s)
-SELECT ident, e AS runway_end, operation, reason, n, CASE WHEN reason IS NULL THEN count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY ident, operation) - 1 ELSE 0 END AS ambiguous FROM r""")
+_RUNWAYS = [("09", 354000.0, 3786000.0, 90.0), ("10", 353990.0, 3786120.0, 90.0), ("36", 353000.0, 3785000.0, 0.0)]
+_TRIES = """, w(e, rx, ry, h) AS (VALUES ('09', 354000.0::DOUBLE, 3786000.0::DOUBLE, 90.0::DOUBLE), ('10', 353990.0::DOUBLE, 3786120.0::DOUBLE, 90.0::DOUBLE), ('36', 353000.0::DOUBLE, 3785000.0::DOUBLE, 0.0::DOUBLE)),
+o AS (SELECT ident, x, y, row_number() OVER (PARTITION BY ident ORDER BY t_s) AS i, alt_state = 'ground' AS g, alt_ft + 600 AS ft, track_deg, speed_kt >= 45 AS fast FROM trace),
+b AS (SELECT *, CASE WHEN abs(track_deg - h) > 180 THEN 360 - abs(track_deg - h) ELSE abs(track_deg - h) END <= 18 AS al, (x - rx) * sin(radians(h)) + (y - ry) * cos(radians(h)) AS s, (x - rx) * cos(radians(h)) - (y - ry) * sin(radians(h)) AS c FROM o CROSS JOIN w),
+p AS (SELECT * FROM b WHERE abs(c) <= 350),
+arr AS (SELECT DISTINCT a.ident, a.e FROM p AS a JOIN p AS t ON t.ident = a.ident AND t.e = a.e AND t.i > a.i WHERE a.al AND a.fast AND a.s <= -1000 AND t.g AND t.s BETWEEN -250 AND 900),
+dep AS (SELECT DISTINCT g.ident, g.e FROM p AS g JOIN p AS f ON f.ident = g.ident AND f.e = g.e AND f.i > g.i
+        WHERE g.g AND g.s BETWEEN -1200 AND 500 AND f.al AND f.fast AND f.s BETWEEN g.s + 400 AND 12000
+          AND (SELECT arg_max(q.ft, q.i) - arg_min(q.ft, q.i) FROM o AS q WHERE q.ident = g.ident AND q.i BETWEEN g.i AND f.i AND q.ft IS NOT NULL) >= 150),
+n AS (SELECT ident, e, count(*) FILTER (s BETWEEN -12000 AND 1200) AS corridor, count(*) FILTER (s BETWEEN -12000 AND 1200 AND al) AS aligned, count(*) FILTER (s BETWEEN -12000 AND 1200 AND g) AS ground, count(*) FILTER (s BETWEEN -12000 AND -1000 AND al) AS inbound,
+        count(*) FILTER (s BETWEEN -12000 AND 1200 AND ft < 1600) AS low, count(*) FILTER (g AND s BETWEEN -1200 AND 500) AS anchors, count(*) FILTER (s BETWEEN 1e-9 AND 1200 AND al) AS outbound FROM p GROUP BY 1, 2),
+r AS (SELECT n.*, arr.e IS NOT NULL AS arrival, dep.e IS NOT NULL AS departure,
+        CASE WHEN arr.e IS NULL THEN CASE WHEN inbound > 0 AND low > 0 THEN 'aligned_low_approach_without_touchdown' WHEN inbound > 0 THEN 'aligned_approach_ends_before_touchdown' WHEN ground > 0 THEN 'on_ground_without_aligned_approach' ELSE 'no_approach_in_corridor' END END AS arrival_reason,
+        CASE WHEN dep.e IS NULL THEN CASE WHEN anchors > 0 THEN 'on_runway_without_aligned_fast_climb' WHEN outbound > 0 THEN 'aligned_outbound_without_ground_anchor' ELSE 'no_departure_in_corridor' END END AS departure_reason
+      FROM n LEFT JOIN arr USING (ident, e) LEFT JOIN dep USING (ident, e))"""
+
+
+def _path_tries(spark, sf_dir):
+    points = view(spark, sf_dir, "trace").withColumnRenamed("t_s", "epoch").withColumn("height_ft", c("alt_ft") + 600)
+    runways = spark.createDataFrame(_RUNWAYS, "runway_end string, rx double, ry double, heading double")
+    return points, runways, traces.classify_paths(points, runways, "ident")
+
+
+@query(ctes("trace") + _TRIES + """ SELECT ident, e AS runway_end, corridor, aligned, ground, inbound, low, anchors, arrival, departure, arrival_reason, departure_reason,
+       CASE WHEN arrival THEN 'high_candidate' ELSE 'none' END AS arrival_confidence, CASE WHEN departure THEN 'high_candidate' ELSE 'none' END AS departure_confidence,
+       count(*) FILTER (arrival) OVER (PARTITION BY ident) AS arrivals, count(*) FILTER (departure) OVER (PARTITION BY ident) AS departures FROM r""")
 def path_candidates(spark, sf_dir):
     """Arrivals and departures that paths may be, with the reasons of those they are not."""
-    points = view(spark, sf_dir, "trace").withColumnRenamed("t_s", "epoch")
-    runways = spark.createDataFrame([("09", 354000.0, 3786000.0, 90.0), ("36", 353000.0, 3785000.0, 0.0)], "runway_end string, rx double, ry double, heading double")
-    out = traces.classify_paths(points, runways, "ident", 600.5, 1500.5, least_points=2)
-    return out.select("ident", "runway_end", "operation", "reason", "n", c("ambiguous").cast("long").alias("ambiguous"))
+    return _path_tries(spark, sf_dir)[2]
+
+
+@query(ctes("trace") + _TRIES + """, k AS (SELECT ident, 'arrival' AS operation, string_agg(e, ',' ORDER BY e) AS runway_ends, count(*) AS n FROM r WHERE arrival GROUP BY 1 UNION ALL SELECT ident, 'departure', string_agg(e, ',' ORDER BY e), count(*) FROM r WHERE departure GROUP BY 1)
+SELECT operation, runway_ends, CASE WHEN n > 1 THEN 'axis_only' ELSE 'single_end' END AS assignment, count(*) AS paths FROM k GROUP BY 1, 2, 3""")
+def operations_of_paths(spark, sf_dir):
+    """How many paths may be arrivals or departures of which runway ends, and whether only the axis is known."""
+    out = traces.path_operations(_path_tries(spark, sf_dir)[2], "ident")
+    return out.groupBy("operation", F.array_join("runway_ends", ",").alias("runway_ends"), "assignment").agg(F.count("*").alias("paths"))
+
+
+@query(ctes("trace") + _TRIES + """, k AS (SELECT i.ident, coalesce(r.arrival OR r.departure, false) AS ok, coalesce(arrival_reason, CASE WHEN r.e IS NULL THEN 'no_approach_in_corridor' END) AS a, coalesce(departure_reason, CASE WHEN r.e IS NULL THEN 'no_departure_in_corridor' END) AS d
+        FROM (SELECT DISTINCT ident, w.e FROM trace CROSS JOIN w) AS i LEFT JOIN r ON r.ident = i.ident AND r.e = i.e),
+m AS (SELECT ident, array_to_string(list_sort(list_distinct(list(a) || list(d))), ';') AS reasons FROM k GROUP BY ident HAVING NOT bool_or(ok)) SELECT reasons, count(*) AS paths FROM m GROUP BY 1""")
+def rejected_paths(spark, sf_dir):
+    """Paths without a candidate by their combination of reasons."""
+    points, runways, tries = _path_tries(spark, sf_dir)
+    return traces.rejection_counts(points, tries, runways, "ident")
