@@ -103,44 +103,53 @@ def _broadcast(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float = 0.9, most_common: int = 100_000, most_broadcast: int = 200_000, most_copies: int = 1_000_000) -> DataFrame:
-    """Terms that disclose an entity of their text: (digest, term, removes).
+def lower_chance(hits: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a chance of which `hits` of `n` cases were seen."""
+    n, p = n.cast("double"), hits / n.cast("double")
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
 
-    Each distinct text counts once, as a whole. With n_t of all N texts that hold the term, n_e that hold the entity
-    and n_te that hold both, the chance of the entity given the term is (n_te + n_e / N) / (n_t + 1): one more text
-    with the term is assumed, as likely to hold the entity as any. Its pointwise mutual information log2(chance N / n_e)
-    is compared with the entity's information content log2(N / n_e). A ratio of `generalise` or more generalises the
-    term in the texts that hold the entity, of `remove` or more removes it. Entities in all texts have no information
-    to disclose. A copy adds no evidence.
+def disclosing_terms(scanned: DataFrame, generalise: float = 0.75, remove: float = 0.9, chance: float = 0.5, z: float = 1.645, most_common: int = 100_000, most_broadcast: int = 200_000, most_copies: int = 1_000_000) -> DataFrame:
+    """Terms that disclose an entity of their text: (digest, term, removes).
 
-    Entities that the same texts hold have the same counts and are taken as one, by two hashes over their texts. Of the
-    terms too common to disclose anything, up to most_common are dropped before pairs meet.
+    Each distinct text counts once, as a whole; a copy adds no evidence. With n_t of all N texts that hold the term, n_e
+    that hold the entity and n_te that hold both, the chance of the entity given the term is taken as no more than
+    the corpus shows: the lower end of Wilson's interval for n_te of n_t (z = 1.645, so right in 95 of 100 cases). The
+    term's pointwise mutual information log2(chance N / n_e) is compared with the entity's information content
+    log2(N / n_e): a ratio of `generalise` or more generalises the term in the texts that hold the entity, of `remove` or
+    more removes it, where the chance is `chance` or more. Entities in all texts have no information to disclose.
+
+    It follows from the interval that a term and an entity that meet in fewer than z^2 chance / (1 - chance) texts,
+    here 3, never pass; such entities, and terms too rare or too common, are left out before pairs meet (of the common
+    ones up to most_common). Entities that the same texts hold have the same counts and are taken as one, by two hashes
+    over their texts.
     """
     first = checkpoint(scanned.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
     total = float(first.count())
+    least = z * z * chance / (1 - chance)
     copies = scanned.select("row").join(first, "row", "left_anti")
     kept = scanned.join(_broadcast(checkpoint(copies), most_copies), "row", "left_anti")
-    of_term = checkpoint(kept.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
     value = lambda s: F.when(s["k"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"]))
     entities = F.array_distinct(F.transform("spans", lambda s: F.concat(s["k"].cast("string"), F.lit(":"), value(s))))
     texts = checkpoint(kept.where(F.size("spans") > 0).select("digest", entities.alias("entities"), "words"))
     holds = texts.select("digest", F.explode("entities").alias("entity"))
     mark = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-    of_entity = checkpoint(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *mark, F.min("digest").alias("digest")))
-    several = _broadcast(of_entity.where(F.col("n_e") > 1).drop("digest"), most_broadcast)
+    of_entity = checkpoint(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *mark).where(F.col("n_e") >= least))
     group = ["n_e", "h1", "h2"]
-    held = of_entity.where(F.col("n_e") == 1).select("digest", *group).union(holds.join(several, "entity").select("digest", *group)).distinct()
-    most = of_entity.agg(F.max("n_e")).first()[0] or 1
-    common = most_frequent(of_term.where(F.col("n_t") + 1 > most * (1 + 1 / total) * (total / most) ** (1 - generalise)), "n_t", most_common) if total else of_term
-    words = texts.select("digest", F.explode("words").alias("term")).join(F.broadcast(common.select("term")), "term", "left_anti")
-    near = checkpoint(held.join(words, "digest"))
+    held = checkpoint(holds.join(_broadcast(of_entity, most_broadcast), "entity").select("digest", *group).distinct())
+    most = of_entity.agg(F.max("n_e")).first()[0] or 0
+    of_term = checkpoint(kept.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= least))
+    common = most_frequent(of_term.where(F.col("n_t") > most / chance), "n_t", most_common)
+    words = texts.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode("words").alias("term"))
+    near = checkpoint(held.join(words.join(F.broadcast(common.select("term")), "term", "left_anti"), "digest"))
     information = F.log2(F.lit(total) / F.col("n_e"))
-    mutual = F.log2((F.col("n_te") + F.col("n_e") / F.lit(total)) / (F.col("n_t") + 1) * F.lit(total) / F.col("n_e"))
+    low = lower_chance(F.col("n_te"), F.col("n_t"), z)
+    mutual = F.log2(low * F.lit(total) / F.col("n_e"))
     told = (
         near.groupBy(*group, "term")
         .agg(F.count("*").alias("n_te"))
         .join(of_term, "term")
-        .where((information > 0) & (mutual >= generalise * information))
+        .where((information > 0) & (low >= chance) & (mutual >= generalise * information))
         .select(*group, "term", F.when(mutual >= remove * information, 1).otherwise(0).alias("removes"))
     )
     told = _broadcast(checkpoint(told), most_broadcast)
@@ -173,14 +182,20 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
+def _few(terms: DataFrame, most: int) -> bool:
+    """Whether all texts together have at most `most` terms, of a few dozen bytes each."""
+    return (terms.agg(F.sum(F.size("gone") + F.size("hidden"))).first()[0] or 0) <= most
+
+
+def find(docs: DataFrame, broadcast_terms: int = 500_000) -> DataFrame:
     """Counts of base spans, the hash of their list, and all spans, for every document.
 
     A null text is empty; texts without personal data have empty lists. Spans of a text depend on the corpus through
     the terms alone.
     """
     scanned = scan(docs)
-    terms = _broadcast(_by_text(disclosing_terms(scanned)), most_broadcast)
+    terms = _by_text(disclosing_terms(scanned))
+    terms = F.broadcast(terms) if _few(terms, broadcast_terms) else terms
     short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
     rows = scanned.select("doc_id", "digest", "rest", short("spans").alias("base"))
     some = rows.where(F.size("base") > 0).join(terms, "digest", "left")
@@ -211,7 +226,7 @@ def sanitise(docs: DataFrame, broadcast_terms: int = 500_000) -> DataFrame:
     """
     text, own, mine, gone, hidden = F.col("text"), *[private(docs, f"_{name}") for name in ("base", "digest", "gone", "hidden")]
     terms = _by_text(disclosing_terms(scan(docs)))
-    few = (terms.agg(F.sum(F.size("gone") + F.size("hidden"))).first()[0] or 0) <= broadcast_terms
+    few = _few(terms, broadcast_terms)
     terms = terms.select(F.col("digest").alias(mine), F.col("gone").alias(gone), F.col("hidden").alias(hidden))
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit("mark").alias("action")))
     marked = docs.withColumn(own, F.coalesce(base, F.array().cast("array<struct<start:int,k:int,end:int,action:string>>")))

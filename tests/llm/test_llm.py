@@ -225,39 +225,59 @@ def test_pii_base_spans(spark, real):
 
 
 def test_pii_terms_disclose(spark):
-    rows = [(i, f"please note number{i} that captain zorblax writes from captain@ship.org about item {i}") for i in range(4)]
-    rows += [(10 + i, f"please note other{i} that people write from user{i}@host.org about item {i}") for i in range(40)]
+    rows = [(i, f"please note number{i} that captain zorblax writes from captain@ship.org about item {i}") for i in range(8)]
+    rows += [(1000 + i, f"please note other{i} that people write from user{i}@host.org about item {i}") for i in range(120)]
     rows += [(100, "captain zorblax sails without an address"), (101, None)]
     out = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
     texts = dict(rows)
     words = {d: {texts[d][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for d, r in out.items()}
-    assert all({"number", "captain", "zorblax", "writes"} == words[i] for i in range(4))
+    assert all({"number", "captain", "zorblax", "writes"} == words[i] for i in range(8))
     assert not any(words[d] for d in words if d >= 10)
     clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
     assert "zorblax" not in clean[0] and "captain" not in clean[0] and "<EMAIL>" in clean[0] and clean[0].startswith("please note")
-    assert clean[100] == texts[100] and clean[101] is None and "@" not in clean[12]
+    assert clean[100] == texts[100] and clean[101] is None and "@" not in clean[1002]
 
 
-def test_pii_terms_of_entities_in_one_text(spark):
-    rows = [(i, f"some people write notes from user{i}@host.org today") for i in range(40)]
-    rows += [(50, "some people write notes with zorblax from captain@ship.org today"), (51, "some people write notes without address today")]
+def test_pii_needs_evidence(spark):
+    """A word beside an entity in one or two texts is no evidence; beside it in three it is, other words in none."""
+    rows = [(i, f"some people write notes from user{i}@host.org today about single{chr(97 + i)}") for i in range(20)]
+    rows += [(50 + i, f"some people write twice from second@ship.org today {i}") for i in range(2)]
+    rows += [(60 + i, f"some people write notes with zorblax from captain@ship.org today {i}") for i in range(3)]
+    rows += [(70 + i, f"some people write notes with no address from today {i}") for i in range(30)]
+    texts = dict(rows)
     out = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
-    at = rows[40][1].index("zorblax")
-    assert f"term:{at}:{at + 7}" in out[50].spans.split(",")
-    assert not any("term" in r.spans for d, r in out.items() if d != 50)
+    found = {d: {texts[d][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for d, r in out.items()}
+    assert {d for d in found if found[d]} == {60, 61, 62} and all(found[d] == {"zorblax"} for d in (60, 61, 62))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
-    assert "zorblax" not in clean[50] and clean[51] == rows[41][1] and clean[3] == "some people write notes from <EMAIL> today"
+    assert "zorblax" not in clean[60] and clean[71] == texts[71] and clean[3] == texts[3].replace("user3@host.org", "<EMAIL>") and clean[50] == "some people write twice from <EMAIL> today 0"
+
+
+def test_pii_finds_planted_names_among_noise(spark):
+    """Of 30 planted names, each beside its own entity in four texts, all are told, and no word that stands there by
+    chance: precision and recall over 600 texts of random words."""
+    rng = np.random.default_rng(11)
+    words = [f"{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}word" for k in range(3000)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(600)]
+    names = [f"planted{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
+    for k, name in enumerate(names):
+        for j in range(4):
+            texts[4 * k + j] += f" {name} p{k}@x.org"
+    for k in range(120, 200):
+        texts[k] += f" only{k}@y.org"
+    told = {(r.term) for r in pii.disclosing_terms(pii.scan(docs_of(spark, list(enumerate(texts))))).select("term").distinct().collect()}
+    assert told == set(names)
 
 
 def test_pii_terms_far_from_the_entity(spark):
     far = "some people write notes today " * 10
     rows = [(i, f"some people write notes from user{i}@host.org today") for i in range(40)]
+    rows += [(52 + i, f"zorblax {i} captain@ship.org") for i in range(3)]
     rows += [(50, f"Zorblax {far}captain@ship.org {far}zorblax"), (51, "zorblaxian people write notes")]
     out = {r.doc_id: r for r in pii.find(docs_of(spark, rows)).collect()}
-    text = rows[40][1]
+    text = rows[43][1]
     assert {f"term:{a}:{a + 7}" for a in (0, len(text) - 7)} <= set(out[50].spans.split(",")) and not out[51].spans
     clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
-    assert "orblax" not in clean[50] and clean[50].count("people") == 20 and clean[51] == rows[41][1]
+    assert "orblax" not in clean[50] and clean[50].count("people") == 20 and clean[51] == rows[44][1]
 
 
 def test_pii_terms_equal_brute_force(spark):
@@ -269,6 +289,8 @@ def test_pii_terms_equal_brute_force(spark):
     for k in range(0, 40):
         texts[k] += f" {mails[k % 4 if k < 24 else 4]} {'name' + 'abcd'[k % 4] if k < 24 else ''}"
     texts[60:62] = [t + " named" for t in texts[60:62]]
+    texts += [f"{t} many{k}qz rare@x.org rareqz" for k, t in enumerate(texts[40:60])]
+    texts += [f"aaqz abqz {k} acqz filler" for k in range(60)]
     texts += texts[:7]
     rows = [(k, t) for k, t in enumerate(texts)]
     distinct = sorted(set(texts))
@@ -281,8 +303,10 @@ def test_pii_terms_equal_brute_force(spark):
     for t in distinct:
         for e in found[t]:
             for w in terms[t]:
-                told = math.log2((n_te[e, w] + n_e[e] / n) / (n_t[w] + 1) * n / n_e[e]) / math.log2(n / n_e[e])
-                if told >= 0.75:
+                p, m, z = n_te[e, w] / n_t[w], n_t[w], 1.645
+                low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+                told = math.log2(low * n / n_e[e]) / math.log2(n / n_e[e])
+                if low >= 0.5 and told >= 0.75:
                     want[t, w] = max(want.get((t, w), 0), int(told >= 0.9))
     scanned = pii.scan(docs_of(spark, rows))
     text_of = {r.digest: texts[r.doc_id] for r in scanned.select("digest", "doc_id").collect()}
