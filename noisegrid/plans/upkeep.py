@@ -9,6 +9,7 @@ from noisegrid.operators import field, stored
 from noisegrid.plans.queries import _BINS, _blur_sql, _round_all, query
 from noisegrid.plans.views import ctes, view
 from noisegrid.shared import new_path
+from noisegrid.streaming import jobs, release, stateful
 
 c = F.col
 
@@ -43,3 +44,70 @@ def refreshed_pyramid(spark, sf_dir):
         dirty = stored.refresh_surface(points, surface, means, 1000.0, 40.0, "v1", ["pk", "laeq"])
         stored.refresh_pyramid(dirty, surface, path, stored.metre_tiling(4, 1000.0, 40.0, 16), 2, 16)
     return stored.read_pyramid(spark, path).select("z", "x", "y", "px", "py", "value")
+
+
+def _runs_of_orders(spark, sf_dir):
+    k = c("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("t"), (c("o_custkey") % 40).cast("string")).alias("tile_id"), (k % 3).cast("int").alias("rank"), k.alias("ended"), F.floor("o_totalprice").cast("double").alias("level"), (k % 5).alias("part"))
+
+
+@query("""WITH r AS (SELECT 't' || (o_custkey % 40) AS tile_id, CAST(o_orderkey % 3 AS INT) AS rank, o_orderkey AS ended, CAST(floor(o_totalprice) AS DOUBLE) AS level FROM orders),
+m AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY rank DESC, ended DESC) AS k FROM r) SELECT tile_id, rank, ended, level FROM m WHERE k = 1""")
+def released_tiles(spark, sf_dir):
+    """What readers see after runs of tiles came in five parts: each tile's best run."""
+    runs, source, target = _runs_of_orders(spark, sf_dir), new_path(spark, "runs"), new_path(spark, "release")
+    schema, state = runs.drop("part").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), new_path(spark, "stream")
+    for part in range(5):
+        runs.where(c("part") == part).drop("part").write.mode("append").parquet(source)
+        release.stream_release(spark, source, schema, target, state, lambda b: b, lambda b: b.where("level < 0")).awaitTermination()
+    return release.read_release(spark, target).select("tile_id", "rank", "ended", "level")
+
+
+def _live(spark, parts, build, mode="append"):
+    """Write the parts one by one and let the stream that build() makes of them run after each; what it has given."""
+    source, target, state = (new_path(spark, n) for n in ("parts", "live", "stream"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        out = build(spark.readStream.schema(part.schema).parquet(source))
+        out.writeStream.outputMode(mode).format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(target)
+
+
+@query(ctes("trace") + """, n AS (SELECT ident, t_s, CASE WHEN t_s - lag(t_s) OVER w <= 300 THEN 0 ELSE 1 END AS new FROM trace WINDOW w AS (PARTITION BY ident ORDER BY t_s)), p AS (SELECT ident, t_s, sum(new) OVER (PARTITION BY ident ORDER BY t_s) AS k FROM n)
+SELECT CAST(ident AS VARCHAR) AS ident, min(t_s) + 1000000 AS start, max(t_s) + 1000000 AS "end", count(*) AS points FROM p GROUP BY ident, k HAVING max(t_s) + 300 <= (SELECT max(t_s) FROM trace) - 900""")
+def live_paths(spark, sf_dir):
+    """Paths of points that came in three parts, some before earlier ones: those that have ended."""
+    rows = view(spark, sf_dir, "trace").select(c("ident").cast("string").alias("ident"), (c("t_s") + 1e6).alias("epoch"), F.timestamp_seconds(c("t_s") + 1e6).alias("ts"), (c("t_s") + c("pt_id") * 7919 % 800).alias("came"))
+    last = rows.agg(F.max("came")).first()[0]
+    parts = [rows.where((c("came") > last * k / 3) & (c("came") <= last * (k + 1) / 3) if k else c("came") <= last / 3).drop("came") for k in range(3)]
+    return _live(spark, parts, lambda s: stateful.stream_paths(s, 300.0, "900 seconds"))
+
+
+_LIVE_EVENTS = ctes("obs") + """, e AS (SELECT obs_id AS k, CAST(receiver_id % 20 AS VARCHAR) AS site, epoch(ts) AS t, floor(epoch(ts) / 3600) * 3600 AS start, laeq, obs_id % 3 AS part FROM obs),
+z AS (SELECT s.site, p.part, (SELECT max(t) FROM e WHERE e.site = s.site AND e.part <= p.part) - 600 AS closed FROM (SELECT DISTINCT site FROM e) s CROSS JOIN (VALUES (0), (1), (2)) p(part)),
+f AS (SELECT e.*, start + 3600 <= coalesce((SELECT closed FROM z WHERE z.site = e.site AND z.part = e.part - 1), -1) AS late, start + 3600 <= (SELECT closed FROM z WHERE z.site = e.site AND z.part = 2) AS done FROM e)"""
+
+
+def _live_events(spark, sf_dir):
+    rows = view(spark, sf_dir, "obs").select((c("receiver_id") % 20).cast("string").alias("site"), c("obs_id").cast("string").alias("event_id"), c("ts").cast("timestamp").alias("ts"), c("laeq").alias("sel"), (c("obs_id") % 3).alias("part"))
+    return _live(spark, [rows.where(c("part") == k).drop("part") for k in range(3)], stateful.stream_levels)
+
+
+@query(_LIVE_EVENTS + " SELECT site, CAST(start AS BIGINT) AS start, round(10 * log10(sum(pow(10.0::DOUBLE, laeq / 10)) / 3600), 6) AS laeq, count(*) AS n FROM f WHERE done AND NOT late GROUP BY site, f.start")
+def live_levels(spark, sf_dir):
+    """Hourly levels of events that came in three parts: those of hours that have closed."""
+    return _round_all(stateful.levels_of(_live_events(spark, sf_dir)).withColumn("start", F.unix_seconds("start")), 6)
+
+
+@query(_LIVE_EVENTS + " SELECT site, CAST(k AS VARCHAR) AS event_id, laeq AS sel FROM f WHERE late")
+def late_events(spark, sf_dir):
+    """The very events that came after their hour had closed."""
+    return stateful.left_out(_live_events(spark, sf_dir)).select("site", "event_id", "sel")
+
+
+@query(ctes("obs") + """, r AS (SELECT ts, CAST(receiver_id % 5 AS VARCHAR) AS host, obs_id % 100 AS receivers, 1 + obs_id % 7 AS seconds FROM obs), w AS (SELECT *, CAST(floor(epoch(ts) / 600) * 600 + 600 * k AS BIGINT) AS "at" FROM r CROSS JOIN range(1, 19) g(k))
+SELECT "at", host, sum(receivers)::DOUBLE / sum(seconds) AS per_second, count(*) AS runs FROM w WHERE "at" <= (SELECT max(epoch(ts)) FROM obs) - 3600 GROUP BY 1, 2""")
+def live_throughput(spark, sf_dir):
+    """Receivers a second by host over three hours, every ten minutes, once the watermark has passed."""
+    runs = view(spark, sf_dir, "obs").select(c("ts").cast("timestamp").alias("ended"), (c("receiver_id") % 5).cast("string").alias("host"), (c("obs_id") % 100).alias("receivers"), (1 + c("obs_id") % 7).alias("seconds"))
+    return _live(spark, [runs], jobs.stream_throughput).withColumn("at", F.unix_seconds("at"))

@@ -1,15 +1,10 @@
-"""Streams: releases in batches, hourly levels, paths with a gap rule, rolling throughput."""
+"""Streams of built-in operators: hourly levels and rolling throughput. Stateful ones are in `stateful`, releases in
+`release`."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noisegrid.functions import levels as L
 
@@ -26,71 +21,3 @@ def stream_throughput(runs: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Receivers a second per host over three hours, every ten minutes."""
     w = F.window("ended", "3 hours", "10 minutes")
     return runs.withWatermark("ended", watermark).groupBy(w, "host").agg((F.sum("receivers") / F.sum("seconds")).alias("per_second"), F.count("*").alias("runs")).select(F.col("window.end").alias("at"), "host", "per_second", "runs")
-
-
-def stream_late(events: DataFrame, watermark_s: float = 600.0) -> DataFrame:
-    """(site, late, seen) after each batch: how many events (site, ts) came more than watermark_s behind the newest one
-    before their batch, which stream_laeq leaves out. State is three numbers a site."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, late, seen = state.get if state.exists else (0.0, 0, 0)
-        times = pd.concat([b["ts"] for b in batches]).map(lambda t: t.timestamp())
-        late += int((times < newest - watermark_s).sum())
-        state.update((max(newest, float(times.max())), late, seen + len(times)))
-        yield pd.DataFrame([(key[0], late, seen + len(times))], columns=["site", "late", "seen"])
-
-    return events.groupBy("site").applyInPandasWithState(run, "site string, late long, seen long", "newest double, late long, seen long", "update", GroupStateTimeout.NoTimeout)
-
-
-PATHS = "ident string, start double, end double, points long"
-
-
-def stream_paths(points: DataFrame, gap_s: float = 90.0) -> DataFrame:
-    """Finished paths of live points (ident, ts, epoch in seconds): a gap over gap_s ends a path, in the points or once
-    the watermark has passed it.
-
-    State is one open path per trace, and none once its path has timed out; a path is known by its trace and start.
-    Points of a batch are taken in order of time; those before the path's end or the watermark are late and count for
-    nothing.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, n = state.get if state.exists else (0.0, 0.0, 0)
-        done = []
-        if state.hasTimedOut:
-            done.append((key[0], start, end, n))
-            state.remove()
-        else:
-            least = max(end, state.getCurrentWatermarkMs() / 1000) if n or state.getCurrentWatermarkMs() > 0 else -math.inf
-            for t in sorted(t for b in batches for t in b["epoch"].tolist()):
-                if t < least:
-                    continue
-                if n and t - end > gap_s:
-                    done.append((key[0], start, end, n))
-                    n = 0
-                start, end, n = (start if n else t), t, n + 1
-            if n:
-                state.update((start, end, n))
-                state.setTimeoutTimestamp(max(int((end + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["ident", "start", "end", "points"])
-
-    live = points.withWatermark("ts", f"{int(gap_s)} seconds")
-    return live.groupBy("ident").applyInPandasWithState(run, PATHS, "start double, end double, n long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_release(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Process the files that are new, then stop: a batch is built, checked and only then published, under its number.
-
-    `check` gives the rows that break a rule; a batch with any fails before anything is written, and is tried again by
-    the next run. A batch that is written twice replaces itself.
-    """
-
-    def publish(batch: DataFrame, number: int) -> None:
-        layers = build(batch)
-        broken = check(layers).limit(3).collect()
-        if broken:
-            raise ValueError(f"batch {number} is not published: {broken}")
-        layers.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -113,38 +113,6 @@ def test_stream_levels_equal_batch(spark, tmp_path):
     assert {n for _, n in got.values()} == {2, 1} and min(v for v, _ in got.values()) == pytest.approx(63.0103 - 35.563, abs=1e-3)
 
 
-def test_stream_paths_end_at_gaps(spark, tmp_path):
-    rows = [("a", t) for t in (10.0, 60.0, 110.0, 310.0, 360.0, 910.0)] + [("b", 5000.0)]
-    df = spark.createDataFrame(rows, "ident string, epoch double").withColumn("ts", F.timestamp_micros((F.col("epoch") * 1e6).cast("long")))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = jobs.stream_paths(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    drain(stream.writeStream.outputMode("append").format("memory").queryName("paths").option("checkpointLocation", str(tmp_path / "ck")))
-    assert sorted((r.start, r.end, r.points) for r in spark.table("paths").collect()) == [(10.0, 110.0, 3), (310.0, 360.0, 2), (910.0, 910.0, 1)]
-
-
-def test_stream_counts_late_events(spark, tmp_path):
-    late = lambda *rows: spark.createDataFrame(rows, "site string, t int").withColumn("ts", F.timestamp_seconds("t")).coalesce(1)
-    schema = late(("s", 0)).schema
-    for rows in ((("s", 10_000), ("s", 100)), (("s", 9_000), ("s", 9_900), ("u", 5)), (("s", 8_000), ("u", 1))):
-        late(*rows).write.mode("append").parquet(str(tmp_path / "in"))
-        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        drain(jobs.stream_late(events).writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")))
-    got = spark.read.parquet(str(tmp_path / "out")).groupBy("site").agg(F.max("late").alias("late"), F.max("seen").alias("seen")).collect()
-    assert {(r.site, r.late, r.seen) for r in got} == {("s", 2, 5), ("u", 0, 2)}
-
-
-def test_stream_release_publishes_only_what_passes(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    spark.createDataFrame([(1,)], "k int").write.parquet(src)
-    run = lambda: jobs.stream_release(spark, src, "k int", out, ck, lambda b: b, lambda b: b.where("k < 0"))
-    run().awaitTermination(60)
-    assert spark.read.parquet(out).count() == 1
-    spark.createDataFrame([(-1,)], "k int").write.mode("append").parquet(src)
-    with pytest.raises(Exception, match="not published"):
-        run().awaitTermination(60)
-    assert spark.read.parquet(out).count() == 1
-
-
 def test_stream_throughput(spark, tmp_path):
     df = spark.createDataFrame([("h", 0, 100, 10), ("h", 600, 200, 10), ("h", 90_000, 1, 1)], "host string, t int, receivers int, seconds int").withColumn("ended", F.timestamp_seconds("t"))
     df.write.parquet(str(tmp_path / "in"))
