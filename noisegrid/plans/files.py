@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noisegrid.functions import geometry as G
+from noisegrid.operators import outlines
 from noisegrid.plans.queries import _orders, _rings, _round_all, query
 from noisegrid.plans.views import ctes, view
 from noisegrid.shared import new_path
@@ -205,13 +206,45 @@ def written_rail(spark, sf_dir):
     return spark.read.parquet(path).select(c("tile_id").cast("long").alias("tile_id"), "receiver_key", "rail_d", "rail_n")
 
 
-@query(ctes("obs") + " SELECT 'counts' AS name, count(DISTINCT receiver_id)::BIGINT AS n, round(sum(laeq), 3) AS total FROM obs UNION ALL SELECT 'receipts', 2, NULL FROM (SELECT 1)")
+_COVERED = ctes("pts") + """, c AS (SELECT DISTINCT CAST(floor(x / 100) AS BIGINT) AS e, CAST(floor(y / 100) AS BIGINT) AS n FROM pts WHERE (CAST(floor(x / 100) AS BIGINT) * 7919 + CAST(floor(y / 100) AS BIGINT) * 104729) % 11 > 3),
+b AS (SELECT e, n, e AS le, n AS ln FROM c UNION SELECT c.e, c.n, b.le, b.ln FROM b JOIN c ON abs(c.e - b.e) + abs(c.n - b.n) = 1),
+l AS (SELECT e, n, min(le * 10000000 + ln) AS k FROM b GROUP BY e, n)"""
+
+
+def _covered(spark, sf_dir):
+    cells = view(spark, sf_dir, "pts").select(G.cell_of(c("x"), c("y"), 100.0).alias("c")).select("c.*")
+    return cells.where((c("cell_e").cast("long") * 7919 + c("cell_n").cast("long") * 104729) % 11 > 3).distinct()
+
+
+@query(_COVERED.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT k, e + i AS x, n + j AS y, count(*) AS m, count(DISTINCT i) AS di, count(DISTINCT j) AS dj FROM l CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) GROUP BY k, x, y),
+q AS (SELECT k, count(*) FILTER (m = 1) AS q1, count(*) FILTER (m = 3) AS q3, count(*) FILTER (m = 2 AND di = 2 AND dj = 2) AS qd FROM v GROUP BY k),
+s AS (SELECT k, count(*) AS cells, 4 * count(*) - sum((SELECT count(*) FROM l o WHERE o.k = l.k AND abs(o.e - l.e) + abs(o.n - l.n) = 1)) AS perimeter FROM l GROUP BY k)
+SELECT cells * 10000.0::DOUBLE AS area, CAST(perimeter AS DOUBLE) * 100 AS perimeter, CAST(1 - (q1 - q3 - 2 * qd) / 4 AS BIGINT) AS holes, CAST(q1 + q3 + 2 * qd AS BIGINT) AS corners FROM s JOIN q USING (k)""")
+def coverage_polygons(spark, sf_dir):
+    """Polygons around covered cells: area without holes, length of all rings, holes, corners."""
+    rings, sides = outlines.coverage_rings(_covered(spark, sf_dir), 100.0)
+    length = sides.groupBy("ring").agg(F.sum(F.abs(c("x2") - c("x1")) + F.abs(c("y2") - c("y1"))).alias("length"))
+    out = rings.join(length, "ring").groupBy("polygon").agg(F.sum("area").alias("area"), F.sum("length").alias("perimeter"), F.count_if(~c("outer")).alias("holes"), F.sum("sides").alias("corners"))
+    return out.drop("polygon")
+
+
+@query(_COVERED.replace("WITH ", "WITH RECURSIVE ", 1) + """ SELECT 'coverage' AS name, count(DISTINCT k)::BIGINT AS n, count(*) * 10000.0::DOUBLE AS total FROM l
+UNION ALL SELECT 'percentiles', 101, round(sum(v), 3) FROM (SELECT unnest(quantile_cont(laeq, """ + str([k / 100 for k in range(101)]) + """)) AS v FROM pts)
+UNION ALL SELECT 'counts', count(DISTINCT receiver_id)::BIGINT, round(sum(CAST(35 AS DOUBLE) + CAST(event_id % 400 AS DOUBLE) / CAST(10 AS DOUBLE)), 3) FROM (SELECT user_id AS receiver_id, event_id FROM events) UNION ALL SELECT 'receipts', 2, NULL FROM (SELECT 1)""")
 def written_index(spark, sf_dir):
-    """Counts in the layer index, and receipts that don't depend on order."""
-    obs = view(spark, sf_dir, "obs")
-    path = new_path(spark, "index")
+    """The layer index read back: areas from the rings of its features, percentiles, counts, and receipts that don't
+    depend on order."""
+    obs, path = view(spark, sf_dir, "obs"), new_path(spark, "index")
+    rings, sides = outlines.coverage_rings(_covered(spark, sf_dir), 100.0)
+    percentiles = view(spark, sf_dir, "pts").agg(F.percentile("laeq", [k / 100 for k in range(101)]).alias("v")).select(F.posexplode("v").alias("percent", "level"))
     counts = obs.groupBy("receiver_id").agg(F.sum("laeq").alias("total"))
-    writers.write_layer_index(path, counts.limit(0), counts.limit(0), counts)
+    writers.write_layer_index(path, outlines.polygons(rings, sides), percentiles, counts)
     writers.write_receipt(f"{path}/receipt", one=obs, two=obs.repartition(5))
+    cross = lambda r, i: F.get(r, i)[0] * F.get(r, i + 1)[1] - F.get(r, i + 1)[0] * F.get(r, i)[1]
+    doubled = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda a, i: a + cross(r, i))
+    area = F.aggregate(F.transform("geometry.coordinates", doubled), F.lit(0.0), lambda a, v: a + v) / 2
+    features = spark.read.json(f"{path}/coverage").agg(F.lit("coverage").alias("name"), F.count("*").alias("n"), F.sum(area).alias("total"))
+    levels = spark.read.json(f"{path}/percentiles").agg(F.lit("percentiles").alias("name"), F.count("*").alias("n"), F.sum("level").alias("total"))
+    sums = spark.read.json(f"{path}/counts").agg(F.lit("counts").alias("name"), F.count("*").alias("n"), F.sum("total").alias("total"))
     same = spark.read.json(f"{path}/receipt").groupBy("sha256").agg(F.lit("receipts").alias("name"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total")).drop("sha256")
-    return _round_all(spark.read.json(f"{path}/counts").agg(F.lit("counts").alias("name"), F.count("*").alias("n"), F.sum("total").alias("total")).union(same), 3)
+    return _round_all(features.union(levels).union(sums).union(same), 3)

@@ -59,9 +59,15 @@ def write_receipt(path: str, **dfs: DataFrame) -> None:
     receipt(**dfs).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_layer_index(path: str, outline: DataFrame, percentiles: DataFrame, counts: DataFrame) -> None:
-    """Coverage sides, percentile tables and counts beside the layers."""
-    for name, df in (("coverage", outline), ("percentiles", percentiles), ("counts", counts)):
+def coverage_features(polygons: DataFrame) -> DataFrame:
+    """Polygons (polygon, area, coordinates) as GeoJSON features, one a row."""
+    geometry = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    return polygons.select(F.lit("Feature").alias("type"), F.struct("polygon", "area").alias("properties"), geometry.alias("geometry"))
+
+
+def write_layer_index(path: str, coverage: DataFrame, percentiles: DataFrame, counts: DataFrame) -> None:
+    """Coverage polygons as features, percentile tables and counts beside the layers."""
+    for name, df in (("coverage", coverage_features(coverage)), ("percentiles", percentiles), ("counts", counts)):
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
