@@ -53,82 +53,157 @@ def mesh_points(points: DataFrame, segments: DataFrame, on_road_m: float = 8.0,
     return points.join(near.select(key), key, "left_anti")
 
 
+def along_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The order of points along a Z-curve, so that neighbours follow each other."""
+    span = max(np.ptp(x), np.ptp(y), 1e-9)
+
+    def spread(v: np.ndarray) -> np.ndarray:
+        v = ((v - v.min()) / span * 65535).astype(np.uint64)
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = (v | (v << np.uint64(shift))) & np.uint64(mask)
+        return v
+
+    return np.argsort(spread(x) | (spread(y) << np.uint64(1)), kind="stable")
+
+
 def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of distinct points (indices, three a row), by adding points one by one.
+    """Delaunay triangles of distinct points (indices, three a row, counter-clockwise).
 
-    A cavity is found from the circles that hold the new point; its border is joined to it.
+    Points are added along a curve. Each is found by walking from the triangle made last, so in a few steps; triangles
+    whose circle holds it, spreading from there over shared sides, leave a hollow, whose border is joined to it.
     """
     n = len(x)
     if n < 3:
         return np.zeros((0, 3), np.int64)
-    cx, cy, r = x.mean(), y.mean(), 4 * max(np.ptp(x), np.ptp(y), 1.0)
-    px = np.r_[x - cx, -8 * r, 8 * r, 0.0]
-    py = np.r_[y - cy, -8 * r, -8 * r, 8 * r]
-
-    def circles(t: np.ndarray) -> np.ndarray:
-        ax, ay, bx, by, dx, dy = px[t[:, 0]], py[t[:, 0]], px[t[:, 1]], py[t[:, 1]], px[t[:, 2]], py[t[:, 2]]
-        d = 2 * (ax * (by - dy) + bx * (dy - ay) + dx * (ay - by))
-        d = np.where(d == 0, 1e-300, d)
-        a2, b2, d2 = ax * ax + ay * ay, bx * bx + by * by, dx * dx + dy * dy
-        ux = (a2 * (by - dy) + b2 * (dy - ay) + d2 * (ay - by)) / d
-        uy = (a2 * (dx - bx) + b2 * (ax - dx) + d2 * (bx - ax)) / d
-        return np.stack([ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2], axis=1)
-
-    done: list[np.ndarray] = []
-    open_t = np.array([[n, n + 1, n + 2]])
-    open_c = circles(open_t)
-    for i in np.argsort(px[:n], kind="stable"):
-        # circles that end left of the sweep are final
-        gone = open_c[:, 0] + np.sqrt(open_c[:, 2]) < px[i]
-        if gone.any():
-            done.append(open_t[gone])
-            open_t, open_c = open_t[~gone], open_c[~gone]
-        hit = (px[i] - open_c[:, 0]) ** 2 + (py[i] - open_c[:, 1]) ** 2 < open_c[:, 2] * (1 + 1e-12)
-        bad = open_t[hit]
-        sides = np.sort(np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]]), axis=1)
-        border, times = np.unique(sides, axis=0, return_counts=True)
-        border = border[times == 1]
-        new = np.column_stack([border, np.full(len(border), i)])
-        area = (px[new[:, 1]] - px[new[:, 0]]) * (py[i] - py[new[:, 0]]) - (px[i] - px[new[:, 0]]) * (py[new[:, 1]] - py[new[:, 0]])
-        new = new[area != 0]
-        open_t, open_c = np.concatenate([open_t[~hit], new]), np.concatenate([open_c[~hit], circles(new)])
-    out = np.concatenate([*done, open_t])
+    cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
+    far = 64.0 * max(np.ptp(x), np.ptp(y), 1.0)
+    px = [*(x - cx).tolist(), -2 * far, 2 * far, 0.0]
+    py = [*(y - cy).tolist(), -far, -far, 2 * far]
+    # a triangle t has corners at[3t..3t+2]; beyond[3t+i] is the triangle over the side from corner i to the next
+    at, beyond = [n, n + 1, n + 2], [-1, -1, -1]
+    last = 0
+    for p in along_curve(x, y).tolist():
+        u, v = px[p], py[p]
+        t, came = last, -1
+        while True:
+            k = 3 * t
+            a, b, c = at[k], at[k + 1], at[k + 2]
+            ax, ay, bx, by, dx, dy = px[a], py[a], px[b], py[b], px[c], py[c]
+            if (bx - ax) * (v - ay) < (by - ay) * (u - ax) and beyond[k] != came:
+                came, t = t, beyond[k]
+            elif (dx - bx) * (v - by) < (dy - by) * (u - bx) and beyond[k + 1] != came:
+                came, t = t, beyond[k + 1]
+            elif (ax - dx) * (v - dy) < (ay - dy) * (u - dx) and beyond[k + 2] != came:
+                came, t = t, beyond[k + 2]
+            else:
+                break
+        hollow, todo, border = {t}, [t], []
+        while todo:
+            k = 3 * todo.pop()
+            for i in (k, k + 1, k + 2):
+                o = beyond[i]
+                if o in hollow:
+                    continue
+                a, b = at[i], at[i + 1 if i < k + 2 else k]
+                if o >= 0:
+                    j = 3 * o
+                    ax, ay, bx, by, dx, dy = px[at[j]] - u, py[at[j]] - v, px[at[j + 1]] - u, py[at[j + 1]] - v, px[at[j + 2]] - u, py[at[j + 2]] - v
+                    inside = (ax * ax + ay * ay) * (bx * dy - dx * by) - (bx * bx + by * by) * (ax * dy - dx * ay) + (dx * dx + dy * dy) * (ax * by - bx * ay)
+                    if inside > 0 or (px[b] - px[a]) * (v - py[a]) <= (py[b] - py[a]) * (u - px[a]):
+                        hollow.add(o)
+                        todo.append(o)
+                        continue
+                border.append((a, b, o))
+        border = [(a, b, o) for a, b, o in border if o not in hollow]
+        free, starts = list(hollow), {}
+        for a, b, o in border:
+            if free:
+                t = free.pop()
+                k = 3 * t
+                at[k], at[k + 1], at[k + 2] = a, b, p
+                beyond[k] = o
+            else:
+                t = len(at) // 3
+                k = 3 * t
+                at += (a, b, p)
+                beyond += (o, -1, -1)
+            starts[a] = t
+            if o >= 0:
+                j = 3 * o
+                if at[j] == b:
+                    beyond[j] = t
+                elif at[j + 1] == b:
+                    beyond[j + 1] = t
+                else:
+                    beyond[j + 2] = t
+        for t in starts.values():
+            after = starts[at[3 * t + 1]]
+            beyond[3 * t + 1], beyond[3 * after + 2] = after, t
+        last = t
+    out = np.array(at, np.int64).reshape(-1, 3)
     return out[(out < n).all(axis=1)]
 
 
-def mesh_surface(points: DataFrame, step: float = 5.0, most_edge: float = 40.0, size: float = 1000.0, value: str = "laeq") -> DataFrame:
+def fill_triangles(corners: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, x0: float, y0: float, step: float, n: int) -> np.ndarray:
+    """An n x n grid of the values in triangles at cell centres, linear between corners; nan outside.
+
+    All triangles at once: each is cut into the rows that it crosses, each row into the columns between its sides.
+    """
+    out = np.full((n, n), np.nan)
+    if not len(corners):
+        return out
+    tx, ty, tv = (x[corners] - x0) / step - 0.5, (y[corners] - y0) / step - 0.5, v[corners]
+    slack = 1e-9
+    first = np.clip(np.ceil(ty.min(axis=1) - slack), 0, n).astype(int)
+    count = np.clip(np.floor(ty.max(axis=1) + slack), -1, n - 1).astype(int) - first + 1
+    tri = np.repeat(np.arange(len(corners)), np.maximum(count, 0))
+    start = np.cumsum(np.maximum(count, 0)) - np.maximum(count, 0)
+    row = first[tri] + np.arange(len(tri)) - start[tri]
+    lo, hi = np.full(len(tri), np.inf), np.full(len(tri), -np.inf)
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        ay, by, ax, bx = ty[tri, i], ty[tri, j], tx[tri, i], tx[tri, j]
+        flat = np.abs(by - ay) < slack
+        part = np.where(flat, 0.0, (row - ay) / np.where(flat, 1.0, by - ay))
+        on = (part >= -slack) & (part <= 1 + slack) & (~flat | (np.abs(row - ay) <= slack))
+        at = ax + part * (bx - ax)
+        lo = np.where(on, np.minimum(lo, np.where(flat, np.minimum(ax, bx), at)), lo)
+        hi = np.where(on, np.maximum(hi, np.where(flat, np.maximum(ax, bx), at)), hi)
+    some = lo <= hi
+    tri, row, lo, hi = tri[some], row[some], lo[some], hi[some]
+    left = np.clip(np.ceil(lo - slack), 0, n).astype(int)
+    width = np.maximum(np.clip(np.floor(hi + slack), -1, n - 1).astype(int) - left + 1, 0)
+    cell = np.repeat(np.arange(len(tri)), width)
+    col = left[cell] + np.arange(len(cell)) - (np.cumsum(width) - width)[cell]
+    tri, row = tri[cell], row[cell]
+    (ax, bx, dx), (ay, by, dy) = tx[tri].T, ty[tri].T
+    size = (by - dy) * (ax - dx) + (dx - bx) * (ay - dy)
+    wa = ((by - dy) * (col - dx) + (dx - bx) * (row - dy)) / size
+    wb = ((dy - ay) * (col - dx) + (ax - dx) * (row - dy)) / size
+    out[row, col] = wa * tv[tri, 0] + wb * tv[tri, 1] + (1 - wa - wb) * tv[tri, 2]
+    return out
+
+
+def mesh_surface(points: DataFrame, step: float = 5.0, most_edge: float = 40.0, size: float = 1000.0, value: str = "laeq", grain: float = 0.5) -> DataFrame:
     """(cell_e, cell_n, row, col, value): linear inside Delaunay triangles whose edges are most_edge at most.
 
     Points carry home_e, home_n: with_neighbours() or a halo join has given each cell the points around it, so groups
-    are the points of a cell and its halo. Rows and columns count from the cell's corner.
+    are the points of a cell and its halo. Points in one square of `grain` metres become their mean before the shuffle,
+    so that a group has no more than its area holds of them, however many points it has. Rows and columns count
+    from the cell's corner.
     """
     n = int(size / step)
+    at = lambda c: F.floor(F.col(c) / grain)
+    means = points.groupBy("home_e", "home_n", at("x").alias("_x"), at("y").alias("_y")).agg(*[F.avg(c).alias(c) for c in ("x", "y", value)]).drop("_x", "_y")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.groupby(["x", "y"], as_index=False)[value].mean()
         x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", value))
-        x0, y0 = key[0] * size, key[1] * size
-        out = np.full((n, n), np.nan)
-        for a, b, c in triangulate(x, y):
-            long = max(math.hypot(x[p] - x[q], y[p] - y[q]) for p, q in ((a, b), (b, c), (c, a)))
-            if long > most_edge:
-                continue
-            cols = np.arange(max(0, math.ceil((min(x[a], x[b], x[c]) - x0) / step - 0.5)), min(n - 1, math.floor((max(x[a], x[b], x[c]) - x0) / step - 0.5)) + 1)
-            rows = np.arange(max(0, math.ceil((min(y[a], y[b], y[c]) - y0) / step - 0.5)), min(n - 1, math.floor((max(y[a], y[b], y[c]) - y0) / step - 0.5)) + 1)
-            if not len(cols) or not len(rows):
-                continue
-            gx, gy = np.meshgrid(x0 + (cols + 0.5) * step, y0 + (rows + 0.5) * step)
-            d = (y[b] - y[c]) * (x[a] - x[c]) + (x[c] - x[b]) * (y[a] - y[c])
-            wa = ((y[b] - y[c]) * (gx - x[c]) + (x[c] - x[b]) * (gy - y[c])) / d
-            wb = ((y[c] - y[a]) * (gx - x[c]) + (x[a] - x[c]) * (gy - y[c])) / d
-            wc = 1 - wa - wb
-            inside = (wa >= -1e-9) & (wb >= -1e-9) & (wc >= -1e-9)
-            r, k = np.nonzero(inside)
-            out[rows[r], cols[k]] = (wa * v[a] + wb * v[b] + wc * v[c])[r, k]
+        t = triangulate(x, y)
+        long = np.max([np.hypot(x[t[:, i]] - x[t[:, j]], y[t[:, i]] - y[t[:, j]]) for i, j in ((0, 1), (1, 2), (2, 0))], axis=0) if len(t) else np.zeros(0)
+        out = fill_triangles(t[long <= most_edge], x, y, v, key[0] * size, key[1] * size, step, n)
         r, k = np.nonzero(~np.isnan(out))
         return pd.DataFrame({"cell_e": np.int32(key[0]), "cell_n": np.int32(key[1]), "row": r.astype(np.int32), "col": k.astype(np.int32), "value": out[r, k]})
 
-    return points.select("home_e", "home_n", "x", "y", value).groupBy("home_e", "home_n").applyInPandas(run, "cell_e int, cell_n int, row int, col int, value double")
+    return means.groupBy("home_e", "home_n").applyInPandas(run, "cell_e int, cell_n int, row int, col int, value double")
 
 
 def ground_smooth(grid: DataFrame, inside: DataFrame, sigma: float = 4.0, step: float = 5.0) -> DataFrame:

@@ -638,6 +638,19 @@ def mesh_surface(spark, sf_dir):
     return mesh.groupBy("cell_e", "cell_n").agg(F.count("*").alias("n"), _r(F.avg("value"), 2).alias("mean"))
 
 
+@query("""SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round((c + 0.5) * 20 * 0.5 - (r + 0.5) * 20 * 0.25 + 50, 4) AS value FROM range(10, 190) a(r) CROSS JOIN range(10, 190) b(c) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def mesh_plane(spark, sf_dir):
+    """The triangulated surface of all points on a tilted plane, away from the border: the plane itself."""
+    x, y = F.col("x") - 352000, F.col("y") - 3784000
+    pts = view(spark, sf_dir, "pts").select(x.alias("x"), y.alias("y"), (x * 0.5 - y * 0.25 + 50).alias("laeq"))
+    around = S.with_neighbours(pts.withColumns({"cell_e": F.floor(F.col("x") / 500).cast("int"), "cell_n": F.floor(F.col("y") / 500).cast("int")}))
+    e, n = F.col("home_e") * 500, F.col("home_n") * 500
+    halo = around.where(F.col("x").between(e - 200, e + 700) & F.col("y").between(n - 200, n + 700))
+    mesh = field.mesh_surface(halo, 20.0, 1e9, 500.0)
+    rows = mesh.select((F.col("cell_n") * 25 + F.col("row")).alias("row"), (F.col("cell_e") * 25 + F.col("col")).alias("col"), _r("value", 4).alias("value"))
+    return rows.where(F.col("row").between(10, 189) & F.col("col").between(10, 189))
+
+
 @query()
 def height_model(spark, sf_dir):
     rows = heights.block_split(heights.height_features(_rings(spark, sf_dir)), size=500.0)
