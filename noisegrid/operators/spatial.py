@@ -36,18 +36,6 @@ def nearest_segment(points: DataFrame, segments: DataFrame, max_m: float, key: s
     return pairs.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{seg}").alias(seg), F.col("b.distance").alias("distance"))
 
 
-def nearest_segment_any(points: DataFrame, segments: DataFrame, start_m: float = 250.0, key: str = "pk", seg: str = "seg_id", most_m: float = 1e6) -> DataFrame:
-    """As nearest_segment without a limit: points that find nothing try again with four times the reach."""
-    found, reach, left = None, start_m, points
-    while True:
-        near = nearest_segment(left, segments, reach, key, seg, cell=reach)
-        found = near if found is None else found.unionByName(near)
-        left = left.join(near.select(key), key, "left_anti")
-        if reach >= most_m or left.isEmpty():
-            return found
-        reach *= 4
-
-
 def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """All pairs of points (x, y, ...) and sites (sx, sy, ...) within a radius, with distance."""
     c = F.col

@@ -13,7 +13,7 @@ from noisegrid.functions import levels as L
 from noisegrid.functions import text as X
 from noisegrid.functions import timefns as T
 from noisegrid.functions import traffic
-from noisegrid.operators import compare, events, field, heights, lidar, roads, rules, tiles, traces
+from noisegrid.operators import compare, events, field, heights, lidar, nearest, roads, rules, tiles, traces
 from noisegrid.operators import spatial as S
 from noisegrid.plans.views import ctes, view
 
@@ -188,6 +188,21 @@ h AS (SELECT *, CAST(floor(x / {m}) AS BIGINT) AS ce, CAST(floor(y / {m}) AS BIG
 w AS (SELECT h.pk, g.bld_id, g.kind, g.height_m, sqrt(pow(h.x - g.cx, 2) + pow(h.y - g.cy, 2)) AS d FROM h CROSS JOIN (VALUES (-1), (0), (1)) AS i(i) CROSS JOIN (VALUES (-1), (0), (1)) AS j(j) JOIN g ON g.ce = h.ce + i.i AND g.cn = h.cn + j.j)"""
 
 
+@query(ctes("pts", "segs") + """, d AS (SELECT pk, seg_id, sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2)) AS d FROM (SELECT *, CASE WHEN bx = ax AND by_ = ay THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) END AS t FROM pts CROSS JOIN segs))
+SELECT pk, round(min(d), 3) AS distance FROM d GROUP BY pk""")
+def nearest_segment_any(spark, sf_dir):
+    """The distance to the nearest segment, however far."""
+    return _round_all(nearest.nearest_segment_any(view(spark, sf_dir, "pts"), view(spark, sf_dir, "segs")).select("pk", "distance"), 3)
+
+
+@query(ctes("pts", "segs") + """, d AS (SELECT pk, seg_id AS site_id, sqrt(pow(x - ax, 2) + pow(y - ay, 2)) AS d FROM pts CROSS JOIN segs)
+SELECT pk, site_id, round(d, 3) AS distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY d, site_id) AS k FROM d) WHERE k <= 3""")
+def nearest_sites_any(spark, sf_dir):
+    """The three nearest of the segments' starts to each point, however far."""
+    sites = view(spark, sf_dir, "segs").select(F.col("seg_id").alias("site_id"), F.col("ax").alias("sx"), F.col("ay").alias("sy"))
+    return _round_all(nearest.nearest_sites(view(spark, sf_dir, "pts"), sites, 3), 3)
+
+
 @query(ctes("pts", "blds") + _SITES.format(m=200) + ", r AS (SELECT pk, bld_id AS site_id, round(d, 3) AS distance, CAST(row_number() OVER (PARTITION BY pk ORDER BY d, bld_id) AS INTEGER) AS rank FROM w WHERE d <= 200) SELECT * FROM r WHERE rank <= 3")
 def knn_sites(spark, sf_dir):
     sites = view(spark, sf_dir, "blds").select(F.col("bld_id").alias("site_id"), F.col("cx").alias("sx"), F.col("cy").alias("sy"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noisegrid.operators import compare, events, field, heights, lidar, roads, rules, tiles, traces
+from noisegrid.operators import compare, events, field, heights, lidar, nearest, roads, rules, tiles, traces
 from noisegrid.operators.quantiles import percentiles
 from noisegrid.operators import spatial as S
 
@@ -17,7 +17,7 @@ def test_nearest_without_limit_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     pts = [(i, *map(float, rng.uniform(0, 5000, 2))) for i in range(60)]
     segs = [(i, *map(float, rng.uniform(0, 900, 4))) for i in range(5)]
-    found = S.nearest_segment_any(spark.createDataFrame(pts, "pk int, x double, y double"), spark.createDataFrame(segs, "seg_id int, ax double, ay double, bx double, by double")).collect()
+    found = nearest.nearest_segment_any(spark.createDataFrame(pts, "pk int, x double, y double"), spark.createDataFrame(segs, "seg_id int, ax double, ay double, bx double, by double")).collect()
 
     def far(p, s):
         a, b, q = np.array(s[1:3]), np.array(s[3:5]), np.array(p[1:])

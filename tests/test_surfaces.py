@@ -1,12 +1,14 @@
 """Triangles and surfaces against their definitions."""
 
+import math
 import random
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from noisegrid.operators import field
+from noisegrid.operators import field, nearest
 
 
 def empty_circles(x, y, triangles):
@@ -82,3 +84,42 @@ def test_a_crowded_cell_is_met_by_means(spark):
     frame = spark.createDataFrame(rows, "home_e int, home_n int, x double, y double, laeq double")
     got = field.mesh_surface(frame, 5.0, 60.0, 100.0).collect()
     assert got and max(r.value for r in got) <= 55.0 + 1e-9
+
+
+# Nearest without a limit
+
+
+def brute_nearest(points, sites, k):
+    out = set()
+    for p, x, y in points:
+        near = sorted((math.hypot(x - sx, y - sy), s) for s, sx, sy in sites)[:k]
+        out |= {(p, s, round(d, 6), r + 1) for r, (d, s) in enumerate(near)}
+    return out
+
+
+def nearest_of(spark, points, sites, k, **more):
+    frames = spark.createDataFrame(points, "pk int, x double, y double"), spark.createDataFrame(sites, "site_id int, ix double, iy double")
+    away = lambda: F.hypot(F.col("x") - F.col("ix"), F.col("y") - F.col("iy"))
+    return nearest.k_nearest(*frames, k, away, "pk", "site_id", **more)
+
+
+def test_k_nearest_on_uneven_ground(spark):
+    """A crowded block, a thin plain and a far outlier, on both sides of the origin; most points in one place."""
+    rnd = random.Random(5)
+    sites = [(k, rnd.uniform(0, 40), rnd.uniform(0, 40)) for k in range(150)] + [(200 + k, rnd.uniform(-9e3, 9e3), rnd.uniform(-9e3, 9e3)) for k in range(60)] + [(999, 4e6, -3e6)]
+    points = [(k, rnd.uniform(-1e4, 1e4), rnd.uniform(-1e4, 1e4)) for k in range(60)] + [(100 + k, 20.0 + k % 7, 20.0) for k in range(90)] + [(300, 3e6, -3e6), (301, 41.0, 0.0)]
+    for k in (1, 5):
+        got = {(r.pk, r.site_id, round(r.distance, 6), r.rank) for r in nearest_of(spark, points, sites, k, crowd=16, most=8).collect()}
+        assert got == brute_nearest(points, sites, k)
+    few = [(1, 5.0, 5.0), (2, -700.0, 1e5)]
+    assert {(r.pk, r.site_id, round(r.distance, 6), r.rank) for r in nearest_of(spark, points[:5], few, 4).collect()} == brute_nearest(points[:5], few, 4)
+    assert nearest_of(spark, points, [(1, 0.0, 0.0)], 1).count() == len(points) and nearest_of(spark, [(1, None, 2.0)], few, 1).count() == 0
+
+
+def test_a_crowded_cell_is_dealt_out(spark):
+    """All points in one small cell: no key that points meet leaves by has more than a hand of them."""
+    points = [(k, 10.0 + k % 5, 10.0) for k in range(3000)]
+    got = nearest_of(spark, points, [(1, 0.0, 0.0), (2, 30.0, 30.0)], 1, crowd=100)
+    assert got.count() == 3000
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hand" in text and "Cartesian" not in text
