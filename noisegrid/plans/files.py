@@ -9,7 +9,7 @@ from noisegrid.operators import outlines
 from noisegrid.plans.queries import _orders, _rings, _round_all, query
 from noisegrid.plans.views import ctes, view
 from noisegrid.shared import new_path
-from noisegrid.sources import readers, writers
+from noisegrid.sources import readers, shapefile, writers
 
 c = F.col
 
@@ -248,3 +248,16 @@ def written_index(spark, sf_dir):
     sums = spark.read.json(f"{path}/counts").agg(F.lit("counts").alias("name"), F.count("*").alias("n"), F.sum("total").alias("total"))
     same = spark.read.json(f"{path}/receipt").groupBy("sha256").agg(F.lit("receipts").alias("name"), F.count("*").alias("n"), F.lit(None).cast("double").alias("total")).drop("sha256")
     return _round_all(features.union(levels).union(sums).union(same), 3)
+
+
+@query(ctes("segs") + " SELECT CAST(seg_id AS VARCHAR) AS \"SEG\", CASE WHEN seg_id % 3 = 0 THEN NULL ELSE 'road ' || seg_id % 3 END AS \"NAME\", ax, ay, bx, by_ AS \"by\" FROM segs")
+def shapefile_records(spark, sf_dir):
+    """Lines through shapefiles whose records are read in runs."""
+    path, i = new_path(spark, "shapes"), c("seg_id")
+    ends = F.array(F.struct(c("ax").alias("x"), c("ay").alias("y")), F.struct(c("bx").alias("x"), c("by").alias("y")))
+    rows = view(spark, sf_dir, "segs").select(ends.alias("geom"), i.cast("string").alias("SEG"), F.when(i % 3 != 0, F.concat(F.lit("road "), (i % 3).cast("string"))).alias("NAME"))
+    shapefile.register(spark)
+    rows.repartition(2).write.format("shapefile").mode("append").option("records", 40).save(path)
+    back = readers.read_shapefiles(spark, f"{path}/part*", ["SEG", "NAME"], 15)
+    at = lambda k, o: c("geom")[k][o]
+    return back.select("SEG", F.nullif("NAME", F.lit("")).alias("NAME"), at(0, "x").alias("ax"), at(0, "y").alias("ay"), at(1, "x").alias("bx"), at(1, "y").alias("by"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +9,7 @@ from pyspark.sql import types as T
 
 from noisegrid.functions import acoustics, text
 from noisegrid.functions import geometry as G
+from noisegrid.sources import shapefile
 
 POINT = "struct<x:double,y:double>"
 
@@ -137,50 +134,14 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path_id", F.posexplode("points").alias("idx", "p")).select("path_id", "idx", "p.*")
 
 
-def _shapes(shp: bytes, dbf: bytes) -> Iterator[tuple[list[dict], dict[str, str]]]:
-    """Polylines and text attributes of a shapefile pair; deleted and null records are skipped."""
-    count, head, size = struct.unpack("<IHH", dbf[4:12])
-    fields, at = [], 32
-    while dbf[at] != 0x0D:
-        fields.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
-        at += 32
-    place, k = 100, 0
-    while place + 8 <= len(shp) and k < count:
-        (words,) = struct.unpack(">I", shp[place + 4 : place + 8])
-        body = shp[place + 8 : place + 8 + 2 * words]
-        record = dbf[head + k * size : head + (k + 1) * size]
-        place, k = place + 8 + 2 * words, k + 1
-        kind = struct.unpack("<I", body[:4])[0]
-        if record[:1] == b"*" or kind % 10 not in (3, 5):
-            continue
-        parts, points = struct.unpack("<II", body[36:44])
-        starts = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
-        xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-        values, o = {}, 1
-        for name, width in fields:
-            values[name] = record[o : o + width].decode("latin-1").strip()
-            o += width
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield [{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)], values
-
-
-def read_shapefiles(spark: SparkSession, glob: str, attributes: list[str]) -> DataFrame:
+def read_shapefiles(spark: SparkSession, glob: str, attributes: list[str], records: int = 50_000) -> DataFrame:
     """(file, geom, attributes) of all .shp under glob (a pattern without extension), each with its .dbf.
 
-    A pair is one task's work: the format isn't split-able.
+    Where a pair has an index (.shx), every `records` records are one task's work; else the pair is.
     """
-    files = spark.read.format("binaryFile").load([f"{glob}.shp", f"{glob}.dbf"])
-    stem, kind = F.regexp_extract("path", r"^(.*)\.(shp|dbf)$", 1), F.regexp_extract("path", r"^(.*)\.(shp|dbf)$", 2)
-    pairs = files.groupBy(stem.alias("file")).agg(F.max(F.when(kind == "shp", F.col("content"))).alias("shp"), F.max(F.when(kind == "dbf", F.col("content"))).alias("dbf")).where("shp is not null and dbf is not null")
-    schema = f"file string, geom array<{POINT}>, " + ", ".join(f"`{a}` string" for a in attributes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, shp, dbf in zip(pdf["file"], pdf["shp"], pdf["dbf"], strict=True):
-                rows = [(file, geom, *[v.get(a) for a in attributes]) for geom, v in _shapes(shp, dbf)]
-                yield pd.DataFrame(rows, columns=["file", "geom", *attributes])
-
-    return pairs.mapInPandas(run, schema)
+    shapefile.register(spark)
+    rows = spark.read.format("shapefile").option("attributes", ",".join(attributes)).option("records", records).load(glob)
+    return rows.select("file", "geom", *attributes)
 
 
 def read_ascii_grid(spark: SparkSession, glob: str) -> DataFrame:

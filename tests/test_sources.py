@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from noisegrid.sources import readers, writers
+from noisegrid.sources import readers, shapefile, writers
 from noisegrid.streaming import jobs
 
 
@@ -71,6 +71,34 @@ def test_shapefile(spark, tmp_path):
     assert r.NAME == "Main St" and [(p.x, p.y) for p in r.geom] == points
 
 
+def test_shapefiles_are_read_in_runs(spark, tmp_path):
+    """What the data source writes it reads back, in runs of records; deleted records and points are skipped."""
+    lines = [[(float(k), float(i * k)) for i in range(2 + k % 4)] for k in range(57)]
+    rows = [(line, f"n{k}", None if k % 5 == 0 else "é") for k, line in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "geom array<struct<x:double,y:double>>, NAME string, NOTE string").repartition(2)
+    shapefile.register(spark)
+    frame.write.format("shapefile").mode("append").option("records", 20).save(str(tmp_path / "s"))
+    stems = {p.stem for p in (tmp_path / "s").glob("*.shp")}
+    assert len(stems) >= 3
+    for glob, records in (("part*", 7), ("part*", 50_000)):
+        back = readers.read_shapefiles(spark, str(tmp_path / "s" / glob), ["NAME", "NOTE"], records)
+        assert back.rdd.getNumPartitions() >= (57 // 7 if records == 7 else len(stems))
+        assert {(tuple((p.x, p.y) for p in r.geom), r.NAME, r.NOTE) for r in back.collect()} == {(tuple(g), n, o or "") for g, n, o in rows}
+    assert spark.read.format("shapefile").load(str(tmp_path / "s" / "part*")).columns == ["file", "record", "geom", "NAME", "NOTE"]
+    one = next(p for p in (tmp_path / "s").glob("*.dbf"))
+    data = bytearray(one.read_bytes())
+    head, width = struct.unpack("<HH", data[8:12])
+    data[head + 2 * width] = ord("*")
+    one.write_bytes(data)
+    again = readers.read_shapefiles(spark, str(tmp_path / "s" / "part*"), ["NAME"], 7)
+    assert again.count() == 56
+    (tmp_path / "s" / f"{one.stem}.shx").unlink()
+    assert readers.read_shapefiles(spark, str(tmp_path / "s" / "part*"), ["NAME"], 7).count() == 56
+    assert readers.read_shapefiles(spark, str(tmp_path / "s" / "none*"), ["NAME"]).count() == 0
+    with pytest.raises(Exception, match="longer than"):
+        frame.limit(1).withColumn("NAME", F.lit("x" * 70)).write.format("shapefile").mode("append").save(str(tmp_path / "long"))
+
+
 def test_grids(spark, tmp_path):
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, 4.0)], "row int, col int, z double")
     writers.write_ascii_grid(cells, str(tmp_path / "g"), 100.0, 200.0, 10.0, 2, 2)
