@@ -47,6 +47,11 @@ def gaussian_surface(bins: DataFrame, step: float = 5.0, fine: float = 9.0, wide
     return b.join(a, ["row", "col"], "full_outer").select("row", "col", F.coalesce("_a", "_b").alias("value"))
 
 
+def glow_surface(bins: DataFrame, step: float = 5.0, sigma: float = 24.0, thin: float = 0.02) -> DataFrame:
+    """One blur of middling width where there are some points, for the glow under the surface."""
+    return blur(bins, sigma, step).where(F.col("weight") > thin).select("row", "col", "value")
+
+
 def mesh_points(points: DataFrame, segments: DataFrame, on_road_m: float = 8.0, least_aadt: float = 5000.0, key: str = "pk") -> DataFrame:
     """Receivers without those that stand on quiet roads."""
     near = S.nearest_segment(points, segments.where(F.col("aadt") < least_aadt), on_road_m, key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noisegrid.functions import geometry as G
-from noisegrid.operators import outlines
+from noisegrid.operators import lidar, outlines
 from noisegrid.plans.queries import _orders, _rings, _round_all, query
 from noisegrid.plans.views import ctes, view
 from noisegrid.shared import new_path
@@ -261,3 +261,15 @@ def shapefile_records(spark, sf_dir):
     back = readers.read_shapefiles(spark, f"{path}/part*", ["SEG", "NAME"], 15)
     at = lambda k, o: c("geom")[k][o]
     return back.select("SEG", F.nullif("NAME", F.lit("")).alias("NAME"), at(0, "x").alias("ax"), at(0, "y").alias("ay"), at(1, "x").alias("bx"), at(1, "y").alias("by"))
+
+
+@query(ctes("pts") + """, h AS (SELECT pk, x, y, laeq AS z, pk * 7919 % 1000003 AS h FROM pts),
+d AS (SELECT *, row_number() OVER (PARTITION BY floor(x / 256), floor(y / 256), floor(z / 256) ORDER BY h, pk) AS a, row_number() OVER (PARTITION BY floor(x / 128), floor(y / 128), floor(z / 128) ORDER BY h, pk) AS b,
+       row_number() OVER (PARTITION BY floor(x / 64), floor(y / 64), floor(z / 64) ORDER BY h, pk) AS c, row_number() OVER (PARTITION BY floor(x / 32), floor(y / 32), floor(z / 32) ORDER BY h, pk) AS e FROM h)
+SELECT pk, x, y, z, CAST(CASE WHEN a = 1 THEN 0 WHEN b = 1 THEN 1 WHEN c = 1 THEN 2 WHEN e = 1 THEN 3 ELSE 4 END AS INTEGER) AS depth FROM d
+WHERE (a = 1 OR b = 1 OR c = 1) AND x BETWEEN 352500 AND 354100 AND y BETWEEN 3784700 AND 3786100""")
+def points_at_depth(spark, sf_dir):
+    """Points of a box at the three coarsest depths, from a table written by depth and cell."""
+    path, pts = new_path(spark, "points"), view(spark, sf_dir, "pts").withColumnRenamed("laeq", "z")
+    lidar.write_points(pts, path, "pk", 256.0, 4, c("pk") * 7919 % 1000003)
+    return lidar.scan_points(spark.read.parquet(path), 352500.0, 3784700.0, 354100.0, 3786100.0, 2).select("pk", "x", "y", "z", "depth")

@@ -509,6 +509,12 @@ def gaussian_surface(spark, sf_dir):
     return _round_all(field.gaussian_surface(bins, 40.0, 72.0, 240.0, 0.0500001, 0.0200001), 3)
 
 
+@query(_BINS.format(s=40) + f""", k1(o, w) AS {_blur_sql(192.0, 40.0)}, a AS (SELECT r + i.o AS r, c + j.o AS c, sum(s * i.w * j.w) AS s, sum(n * i.w * j.w) AS n FROM b CROSS JOIN k1 i CROSS JOIN k1 j GROUP BY 1, 2)
+SELECT r AS "row", c AS col, round(s / n, 3) AS value FROM a WHERE n > 0.0200001""")
+def glow_surface(spark, sf_dir):
+    return _round_all(field.glow_surface(field.bin_points(view(spark, sf_dir, "pts"), 40.0), 40.0, 192.0, 0.0200001), 3)
+
+
 @query(ctes("pts") + """, p AS (SELECT 5 AS z, CAST(floor((x - 352000) / 10) AS INT) AS wx, CAST(floor((y - 3784000) / 10) AS INT) AS wy, CAST(sum(CAST(round(laeq * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(laeq) AS v FROM pts GROUP BY 2, 3),
 q AS (SELECT 4 AS z, wx // 2 AS wx, wy // 2 AS wy, CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(v) AS v FROM p GROUP BY 2, 3), s AS (SELECT 3 AS z, wx // 2 AS wx, wy // 2 AS wy, CAST(sum(CAST(round(v * 1000000) AS BIGINT)) AS DOUBLE) / 1e6 / count(v) AS v FROM q GROUP BY 2, 3), u AS (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT * FROM s)
 SELECT z, CAST(wx // 256 AS INT) AS x, CAST(wy // 256 AS INT) AS y, CAST(wx % 256 AS INT) AS px, CAST(wy % 256 AS INT) AS py, v AS value FROM u""")

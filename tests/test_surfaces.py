@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noisegrid.operators import field, nearest
+from noisegrid.operators import field, lidar, nearest
 
 
 def empty_circles(x, y, triangles):
@@ -123,3 +123,37 @@ def test_a_crowded_cell_is_dealt_out(spark):
     assert got.count() == 3000
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_hand" in text and "Cartesian" not in text
+
+
+# Points by depth
+
+
+def test_point_table_by_depth(spark, tmp_path):
+    """All depths hold each point once; a depth and those before it have one point of each voxel; a box reads only the
+    partitions that it touches."""
+    rnd = random.Random(7)
+    rows = [(k, rnd.uniform(-500, 2500), rnd.uniform(0, 1500), rnd.uniform(0, 30)) for k in range(3000)] + [(5000 + k, 10.0, 10.0, 1.0) for k in range(500)]
+    points = spark.createDataFrame(rows, "pk int, x double, y double, z double")
+    path = str(tmp_path / "points")
+    lidar.write_points(points, path, "pk", 256.0, 4, points_a_file=200)
+    table = spark.read.parquet(path)
+    stored = table.collect()
+    assert sorted((r.pk, r.x, r.y, r.z) for r in stored) == sorted(rows)
+    for depth, size in enumerate((256.0, 128.0, 64.0, 32.0)):
+        voxel = lambda x, y, z: tuple(math.floor(v / size) for v in (x, y, z))  # noqa: B023, E731
+        seen = [voxel(r.x, r.y, r.z) for r in stored if r.depth <= depth]
+        assert len(seen) == len(set(seen)) and set(seen) == {voxel(*r[1:]) for r in rows}
+    box = lidar.scan_points(table, 1100.0, 100.0, 1900.0, 900.0, 2)
+    assert {r.pk for r in box.collect()} == {r.pk for r in stored if r.depth <= 2 and 1100 <= r.x <= 1900 and 100 <= r.y <= 900}
+    read = {"/".join(r[0].split("/")[-4:-1]) for r in box.select(F.input_file_name()).distinct().collect()}
+    assert read == {f"depth={d}/cell_e=1/cell_n=0" for d in range(3)}
+    plan = box._jdf.queryExecution()
+    leaf = plan.executedPlan().collectLeaves().apply(0)
+    plan.executedPlan().executeCollect()
+    assert leaf.metrics().apply("numFiles").value() == len(list((tmp_path / "points").glob("depth=[012]/cell_e=1/cell_n=0/*.parquet")))
+
+
+def test_curve_keeps_neighbours_together(spark):
+    rows = spark.range(64).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y")).withColumn("p", lidar.curve_place(F.col("x"), F.col("y"), 3)).collect()
+    assert sorted(r.p for r in rows) == list(range(64))
+    assert {(r.x, r.y) for r in rows if r.p < 16} == {(x, y) for x in range(4) for y in range(4)}
