@@ -279,9 +279,9 @@ def circular_mean(df: DataFrame, key: str, place: str, value: str, n: int, k: in
 def interpolate_gaps(df: DataFrame, key: str, order: str, value: str, hold: bool = False) -> DataFrame:
     """Unknown values between known ones by their order column; ends stay unknown, or with `hold` keep the nearest."""
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(key).orderBy(order).rowsBetween(0, W.unboundedFollowing)
+    after = W.partitionBy(key).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    rows = df.withColumns({"_a": F.last(known, True).over(before), "_b": F.first(known, True).over(after)})
+    rows = df.withColumns({"_a": F.last(known, True).over(before), "_b": F.last(known, True).over(after)})
     part = F.when(F.col("_b.o") > F.col("_a.o"), (F.col(order) - F.col("_a.o")) / (F.col("_b.o") - F.col("_a.o"))).otherwise(0.0)
     ends = [F.col("_a.v"), F.col("_b.v")] if hold else []
     return rows.withColumn(value, F.coalesce(value, G.lerp(F.col("_a.v"), F.col("_b.v"), part), *ends)).drop("_a", "_b")

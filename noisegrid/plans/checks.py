@@ -9,7 +9,7 @@ from noisegrid.functions import levels as L
 from noisegrid.functions import timefns as T
 from noisegrid.operators import compare, events, field, heights, lidar, roads, rules, tiles, traces
 from noisegrid.operators import spatial as S
-from noisegrid.plans.queries import _orders, _rings, _round_all, _sel, query
+from noisegrid.plans.queries import _BINS, _blur_sql, _orders, _rings, _round_all, _sel, query
 from noisegrid.plans.views import ctes, view
 
 
@@ -188,7 +188,12 @@ def open_receivers(spark, sf_dir):
     return out.groupBy("spacing_m", F.floor(F.col("x") / 100).alias("e"), F.floor(F.col("y") / 100).alias("n")).agg(F.count("*").alias("receivers"))
 
 
-@query()
+@query((_BINS.format(s=20) + f""", k1(o, w) AS {_blur_sql(40.0, 20.0)}, k2(o, w) AS {_blur_sql(60.0, 20.0)}, i AS (SELECT DISTINCT CAST(floor(cy / 20) AS INT) AS r, CAST(floor(cx / 20) AS INT) AS c FROM blds),
+g AS (SELECT r, c, s / n AS v FROM b ANTI JOIN i USING (r, c)), t AS (SELECT g.r + e.o AS r, g.c + f.o AS c, sum(v * e.w * f.w) / sum(e.w * f.w) AS v FROM g CROSS JOIN k1 e CROSS JOIN k1 f GROUP BY 1, 2), m AS (SELECT g.r, g.c, t.v FROM g JOIN t USING (r, c)),
+w AS (SELECT b.r + e.o AS r, b.c + f.o AS c, sum(s * e.w * f.w) / sum(n * e.w * f.w) AS v FROM b CROSS JOIN k2 e CROSS JOIN k2 f GROUP BY 1, 2),
+d AS (SELECT i.r, i.c, m.r - i.r AS y, m.c - i.c AS x, m.v FROM i JOIN m ON m.r BETWEEN i.r - 3 AND i.r + 3 AND m.c BETWEEN i.c - 3 AND i.c + 3),
+n AS (SELECT r, c, arg_min(v, (y * y + x * x) * 100 + (y + 3) * 10 + x + 3) AS v FROM d WHERE y * y + x * x <= 9 GROUP BY r, c)
+SELECT w.r AS "row", w.c AS col, round(coalesce(m.v, n.v, w.v), 3) AS value FROM w LEFT JOIN m USING (r, c) LEFT JOIN n USING (r, c)""").replace("WITH ", "WITH " + ctes("blds").removeprefix("WITH ") + ", ", 1))
 def surface_fill(spark, sf_dir):
     """The surface of the points with footprints filled from the ground around."""
     pts, rings = view(spark, sf_dir, "pts"), _rings(spark, sf_dir)
