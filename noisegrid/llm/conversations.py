@@ -201,21 +201,16 @@ def with_faults(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, digest, faults): faults has the bits of a row's first fault, without copies within a turn.
 
     The first turn of what a conversation says more than once is found by a grouped minimum before the shuffle; rows
-    join only what is repeated.
+    join only what is repeated, and leave their texts behind.
     """
-    rows = rows.withColumn("digest", F.unhex(identity()))
+    seen = F.rtrim("text", F.lit(BLANKS))
+    own = F.when(F.col("dropped"), DROPPED).when(seen == "", BLANK).when(~F.right(seen, F.lit(1)).isin(".", "!", "?"), CUT).otherwise(0)
+    rows = rows.select("conv_id", "turn", "role", F.unhex(identity()).alias("digest"), own.cast("int").alias("own"))
     at = F.struct(F.col("turn").isNotNull().alias("has"), F.col("turn").alias("turn"))
-    said = rows.where(~F.col("dropped")).groupBy(F.col("conv_id").alias("c"), F.col("digest").alias("d")).agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    said = rows.where(F.col("own") != DROPPED).groupBy(F.col("conv_id").alias("c"), F.col("digest").alias("d")).agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("d")), "left")
-    seen = F.rtrim("text", F.lit(BLANKS))
-    faults = (
-        F.when(F.col("dropped"), DROPPED)
-        .when(seen == "", BLANK)
-        .when(F.coalesce(F.col("first") < at, F.lit(False)), DUPLICATE)
-        .when(~F.right(seen, F.lit(1)).isin(".", "!", "?"), CUT)
-        .otherwise(0)
-    )
-    return rows.select("conv_id", "turn", "role", "digest", faults.cast("int").alias("faults"))
+    again = F.col("own").isin(0, CUT) & F.coalesce(F.col("first") < at, F.lit(False))
+    return rows.select("conv_id", "turn", "role", "digest", F.when(again, DUPLICATE).otherwise(F.col("own")).cast("int").alias("faults"))
 
 
 def in_order(rows: DataFrame, *first: str) -> DataFrame:
