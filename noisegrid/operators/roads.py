@@ -169,6 +169,11 @@ def filter_edges(df: DataFrame, box: tuple[float, float, float, float], classes:
     return clip_roads(df.where(F.col("mtfcc").isin(*(classes or list(traffic.CLASS_DEFAULTS)))), box, least_m)
 
 
+def busy_edges(edges: DataFrame, least_aadt: float = 5000.0) -> DataFrame:
+    """Edges with traffic whose two-way flow, both carriageways together, is least_aadt or more a day."""
+    return edges.where(F.col("aadt_assigned") / F.col("split") >= least_aadt)
+
+
 def prepare_footprints(df: DataFrame, least_m2: float = 4.0) -> DataFrame:
     """Footprints (ring) that are closed, whose edges don't cross, of least_m2 at least, with their area."""
     ring, area = F.col("ring"), G.ring_stats(F.col("ring"))["area"]

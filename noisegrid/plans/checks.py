@@ -188,6 +188,17 @@ def open_receivers(spark, sf_dir):
     return out.groupBy("spacing_m", F.floor(F.col("x") / 100).alias("e"), F.floor(F.col("y") / 100).alias("n")).agg(F.count("*").alias("receivers"))
 
 
+@query(ctes("pts", "blds", "segs") + """, c AS (SELECT DISTINCT CAST(floor(x / 1000) AS INT) AS e, CAST(floor(y / 1000) AS INT) AS n FROM pts), g AS (SELECT e * 1000 + (i + 0.5) * s AS x, n * 1000 + (j + 0.5) * s AS y, s FROM c CROSS JOIN (VALUES (20.0::DOUBLE), (10.0::DOUBLE)) v(s) CROSS JOIN range(100) a(i) CROSS JOIN range(100) b(j) WHERE i < 1000 / s AND j < 1000 / s),
+r AS (SELECT ax, ay, bx - ax AS dx, by_ - ay AS dy FROM segs WHERE aadt / CASE WHEN seg_id % 3 = 0 THEN 0.5 ELSE 1 END >= 20000), f AS (SELECT * FROM g WHERE s = 20 OR EXISTS (SELECT 1 FROM r WHERE pow(x - ax - greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) * dx, 2) + pow(y - ay - greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) * dy, 2) <= 2500))
+SELECT s AS spacing_m, CAST(floor(x / 100) AS BIGINT) AS e, CAST(floor(y / 100) AS BIGINT) AS n, count(*) AS receivers FROM f WHERE NOT EXISTS (SELECT 1 FROM blds b WHERE abs(x - b.cx) < b.half_w + 2 AND abs(y - b.cy) < b.half_h + 2 AND pow(greatest(abs(x - b.cx) - b.half_w, 0), 2) + pow(greatest(abs(y - b.cy) - b.half_h, 0), 2) < 4) GROUP BY 1, 2, 3""")
+def busy_lattice(spark, sf_dir):
+    """The lattices of all cells, denser near busy roads, without what stands in or at a footprint."""
+    cells = view(spark, sf_dir, "pts").select(F.floor(F.col("x") / 1000).cast("int").alias("cell_e"), F.floor(F.col("y") / 1000).cast("int").alias("cell_n")).distinct()
+    edges = view(spark, sf_dir, "segs").withColumnRenamed("aadt", "aadt_assigned").withColumn("split", F.when(F.col("seg_id") % 3 == 0, 0.5).otherwise(1.0))
+    out = tiles.open_receivers(cells, roads.busy_edges(edges, 20000.0), _rings(spark, sf_dir).select("ring"), near_m=50.0)
+    return out.groupBy("spacing_m", F.floor(F.col("x") / 100).alias("e"), F.floor(F.col("y") / 100).alias("n")).agg(F.count("*").alias("receivers"))
+
+
 @query((_BINS.format(s=20) + f""", k1(o, w) AS {_blur_sql(40.0, 20.0)}, k2(o, w) AS {_blur_sql(60.0, 20.0)}, i AS (SELECT DISTINCT CAST(floor(cy / 20) AS INT) AS r, CAST(floor(cx / 20) AS INT) AS c FROM blds),
 g AS (SELECT r, c, s / n AS v FROM b ANTI JOIN i USING (r, c)), t AS (SELECT g.r + e.o AS r, g.c + f.o AS c, sum(v * e.w * f.w) / sum(e.w * f.w) AS v FROM g CROSS JOIN k1 e CROSS JOIN k1 f GROUP BY 1, 2), m AS (SELECT g.r, g.c, t.v FROM g JOIN t USING (r, c)),
 w AS (SELECT b.r + e.o AS r, b.c + f.o AS c, sum(s * e.w * f.w) / sum(n * e.w * f.w) AS v FROM b CROSS JOIN k2 e CROSS JOIN k2 f GROUP BY 1, 2),
