@@ -105,17 +105,19 @@ def prove_whole(strings, ranks: dict[tuple[str, str], int]) -> frozenset[str]:
 
 
 class Merged(dict):
-    """Pre-token -> its number of tokens, for those that are no whole tokens; emptied when it holds many."""
+    """Pre-token -> its number of tokens, for those that are no whole tokens. When `most` are held they become the older
+    half, from which what is met again comes back; the older half before them is let go."""
 
-    most, longest = 200_000, 100
+    most, longest = 400_000, 100
 
     def __init__(self, ranks: dict[tuple[str, str], int]):
-        self.ranks, self.chars = ranks, byte_alphabet()
+        self.ranks, self.chars, self.older = ranks, byte_alphabet(), {}
 
     def __missing__(self, piece: str) -> int:
-        n = merge_count("".join([self.chars[b] for b in piece.encode()]), self.ranks)
+        n = self.older.get(piece) or merge_count("".join([self.chars[b] for b in piece.encode()]), self.ranks)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = n
         return n
@@ -173,6 +175,13 @@ class Counter:
         return len(set(words)), 0, len(words)
 
 
+def counter_of(vocabulary: Vocabulary) -> Counter:
+    """The counter of a vocabulary in this process, with what earlier tasks have merged."""
+    if not hasattr(vocabulary, "counter"):
+        vocabulary.counter = Counter(vocabulary)
+    return vocabulary.counter
+
+
 def counts(text: Column, vocabulary: Vocabulary, session) -> Column:
     """struct(n_pieces, n_whole, n_tokens) of a text, null as empty. The vocabulary is broadcast: it is as large as its
     file, whatever the number of texts."""
@@ -180,7 +189,7 @@ def counts(text: Column, vocabulary: Vocabulary, session) -> Column:
 
     @F.pandas_udf("n_pieces long, n_whole long, n_tokens long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = Counter(sent.value)
+        counter = counter_of(sent.value)
         for texts in batches:
             yield pd.DataFrame([counter.count(t) for t in texts], columns=["n_pieces", "n_whole", "n_tokens"], dtype="int64")
 
@@ -193,7 +202,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     `path` names the vocabulary file, by default that of the installed package. A null text is empty: no bytes, no
     tokens. Rows that repeat an id are counted one by one, rows without an id too; an empty table gives no rows; other
     columns are left out. Special strings inside texts are one token each. Nothing is shuffled; a task holds one batch
-    and at most `Merged.most` merged pre-tokens.
+    and at most twice `Merged.most` merged pre-tokens.
     """
     if path is None:
         import public_tokenizers
