@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noisegrid.operators import field, lidar, nearest
+from noisegrid.operators import field, lidar, nearest, spatial
 
 
 def empty_circles(x, y, triangles):
@@ -125,6 +125,40 @@ def test_a_crowded_cell_is_dealt_out(spark):
     assert "_hand" in text and "Cartesian" not in text
 
 
+def most_rows(spark, df):
+    """The largest number of rows that a step of the plan gives out, and the rows."""
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = df.collect()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    last = store.executionsList().apply(int(store.executionsCount()) - 1)
+    assert store.executionsCount() > before
+    values = store.executionMetrics(last.executionId())
+    for k in range(last.metrics().size()):
+        metric = last.metrics().apply(k)
+        if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+            most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, got
+
+
+@pytest.mark.parametrize("kind", ["sites", "segments", "copies"])
+def test_points_meet_few_items_on_dense_ground(spark, kind):
+    """4,000 points and 3,000 items in 200 m: a step gives out far fewer rows than the 12 million pairs."""
+    rnd = random.Random(11)
+    points = [(k, rnd.uniform(0, 200), rnd.uniform(0, 200)) for k in range(4000)]
+    frame = spark.createDataFrame(points, "pk int, x double, y double")
+    if kind == "segments":
+        rows = [(k, *a, a[0] + rnd.uniform(-3, 3), a[1] + rnd.uniform(-3, 3)) for k in range(3000) for a in [(rnd.uniform(0, 200), rnd.uniform(0, 200))]]
+        most, got = most_rows(spark, spatial.nearest_segment(frame, spark.createDataFrame(rows, "seg_id int, ax double, ay double, bx double, by double"), 300.0))
+    else:
+        spots = [(rnd.uniform(0, 200), rnd.uniform(0, 200)) for _ in range(3000 if kind == "sites" else 20)]
+        rows = [(k, *spots[k % len(spots)]) for k in range(3000)]
+        most, got = most_rows(spark, spatial.knn(frame, spark.createDataFrame(rows, "site_id int, sx double, sy double"), 3, 200.0))
+        want = brute_nearest(points[:200], rows, 3)
+        assert {(r.pk, r.site_id, round(r.distance, 6), r.rank) for r in got if r.pk < 200} == {w for w in want if w[2] <= 200}
+    assert len({r.pk for r in got}) == 4000 and most < 300_000
+
+
 # Points by depth
 
 
