@@ -82,11 +82,11 @@ def path_points(frags: DataFrame, ident: str = "ident") -> DataFrame:
     return paths.select(F.sha2(F.concat_ws("|", F.col(ident).cast("string"), F.col("path_no").cast("string")), 256).alias("path_id"), start.alias("start"), "points")
 
 
-def reclip_paths(points: DataFrame, box: tuple[float, float, float, float], ident: str = "path_id") -> DataFrame:
-    """Paths cut to a smaller box: leaving and coming back makes two, edges without length go."""
+def reclip_paths(points: DataFrame, box: tuple[float, float, float, float], ident: str = "path_id", standing: bool = False) -> DataFrame:
+    """Paths cut to a smaller box: leaving and coming back makes two, edges without length go unless `standing`."""
     frags = clip_pairs(trace_pairs(points, ident), box)
     moved = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi"))
-    return assemble_paths(frags.where(moved), ident)
+    return assemble_paths(frags if standing else frags.where(moved), ident)
 
 
 def ground_episodes(points: DataFrame, ident: str = "ident", gap_s: float = 60.0, apart: float = 0.004) -> DataFrame:

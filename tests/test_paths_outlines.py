@@ -144,3 +144,10 @@ def test_a_long_ring_isn_t_walked(spark):
 def test_no_cells_give_no_rings(spark):
     rings, sides = outlines.coverage_rings(spark.createDataFrame([], "cell_e int, cell_n int"))
     assert rings.count() == sides.count() == 0
+
+
+def test_cut_paths_may_keep_standing_edges(spark):
+    rows = [(1, 0.0, 5.0, 5.0), (1, 10.0, 5.0, 5.0), (1, 20.0, 9.0, 5.0), (2, 0.0, -5.0, 5.0), (2, 10.0, -5.0, 5.0)]
+    points = spark.createDataFrame(rows, "path_id int, epoch double, x double, y double")
+    cut = lambda **how: sorted((r.path_id, r.epoch_lo, r.epoch_hi) for r in traces.reclip_paths(points, (0.0, -1e9, 1e9, 1e9), **how).collect())
+    assert cut() == [(1, 10.0, 20.0)] and cut(standing=True) == [(1, 0.0, 10.0), (1, 10.0, 20.0)]
