@@ -4,6 +4,7 @@ import math
 import random
 
 
+from noisegrid.plans import registry
 from noisegrid.operators import outlines, traces
 
 POINTS = "path_id string, epoch double, x double, y double, track_deg double, speed_kt double, alt_state string, height_ft double"
@@ -151,3 +152,19 @@ def test_cut_paths_may_keep_standing_edges(spark):
     points = spark.createDataFrame(rows, "path_id int, epoch double, x double, y double")
     cut = lambda **how: sorted((r.path_id, r.epoch_lo, r.epoch_hi) for r in traces.reclip_paths(points, (0.0, -1e9, 1e9, 1e9), **how).collect())
     assert cut() == [(1, 10.0, 20.0)] and cut(standing=True) == [(1, 0.0, 10.0), (1, 10.0, 20.0)]
+
+
+def test_points_on_a_wall_are_not_near_it(spark, tmp_path):
+    """All whole metres around some footprints: a distance is 0 on a wall, though its sum may be 1e-16."""
+    blds = [(k, s) for k, s in ((1, 1), (2, 9), (3, 14), (4, 33), (5, 20), (6, 47))]
+    spark.createDataFrame(blds, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rows = []
+    for k, s in blds:
+        cx, cy, w, h = k * 7907 % 4000, k * 6271 % 4000, 6 + s % 10, 5 + s % 7
+        for x, y in {(cx + i, cy + j) for i in (-w, w) for j in range(-h, h + 1)} | {(cx + i, cy + j) for j in (-h, h) for i in range(-w, w + 1)} | {(cx + w + 3, cy)}:
+            o = len(rows) + 1
+            part = next(p for p in range(4000) if (p * 53 + o * 37 + 11 - x) % 4000 == 0)
+            supp = next(p for p in range(4000) if (p * 101 + o * 59 + 7 - y) % 4000 == 0)
+            rows.append((o, 1, part, supp))
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [r.distance for r in registry.QUERIES["points_at_walls"](spark, str(tmp_path)).collect()] == [3.0] * len(blds)
