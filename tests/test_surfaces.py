@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noisegrid.operators import field, lidar, nearest, spatial
+from noisegrid.operators import compare, field, lidar, nearest, spatial
 
 
 def empty_circles(x, y, triangles):
@@ -159,6 +159,18 @@ def test_points_meet_few_items_on_dense_ground(spark, kind):
     assert len({r.pk for r in got}) == 4000 and most < 300_000
 
 
+def test_sites_in_one_place_look_around_once(spark):
+    """400 sites in 4 places and 3,000 receivers around them: 1.2 million pairs."""
+    rnd = random.Random(3)
+    results = [(k, rnd.uniform(0, 100), rnd.uniform(0, 100), 40.0 + k % 30) for k in range(3000)]
+    sites = [(k, 40.0 + k % 4, 50.0, 0.0) for k in range(400)]
+    most, got = most_rows(spark, compare.match_monitors(spark.createDataFrame(sites, "site_id int, x double, y double, uncertainty_m double"), spark.createDataFrame(results, "pk int, x double, y double, level double"), 100.0))
+    for r in got:
+        near = sorted((math.hypot(x - 40.0 - r.site_id % 4, y - 50.0), level) for _, x, y, level in results)[:3]
+        assert r.model == pytest.approx(sorted(level for _, level in near)[1]) and r.distance == pytest.approx(near[0][0])
+    assert len(got) == 400 and most < 100_000
+
+
 # Points by depth
 
 
