@@ -127,7 +127,7 @@ def dedupe_events(events: DataFrame, keys: list[str]) -> DataFrame:
 # Fixed values of the runway rules: degrees, metres, knots, feet.
 TRACK_DEG, LATERAL_M, LEAST_INBOUND_M, CORRIDOR_M = 18.0, 350.0, 1000.0, 12_000.0
 TOUCHDOWN_M, GROUND_M, AIRBORNE_KT, LOW_FT, CLIMB_FT, CLIMB_M = (-250.0, 900.0), (-1200.0, 500.0), 45.0, 1600.0, 150.0, 400.0
-BEYOND_M = 1200.0
+BEYOND_M, AT_THRESHOLD_M = 1200.0, 1e-9  # a point abeam the threshold is off it by rounding only
 
 
 def with_known_heights(points: DataFrame, path: str) -> DataFrame:
@@ -165,14 +165,15 @@ def climbs(strips: DataFrame, path: str) -> DataFrame:
 
     A ground point counts from the moment its first height is known. One window in order of time keeps the least height
     and the least place of the ground points so far, which settles nearly all: both must be low enough, and if the
-    ground point of either is low enough in both, there is a climb. Only what is still open, possible while a climbing
+    ground point of either is low enough in both, there is a climb. `along` of a ground point is where a climb from it
+    begins, so that 400 m sharp are rounded once. Only what is still open, possible while a climbing
     point is less than CLIMB_M beyond the last place of a ground point, meets the ground points of its own path.
     """
     keys = [path, "runway_end"]
     ground = strips.where((F.col("alt_state") == "ground") & F.col("along").between(*GROUND_M) & F.col("ahead").isNotNull())
-    ground = ground.groupBy(*keys, F.col("ahead.idx").alias("pos")).agg(F.min("along").alias("along"), F.first("ahead.ft").alias("ft"))
+    ground = ground.groupBy(*keys, F.col("ahead.idx").alias("pos")).agg((F.min("along") + CLIMB_M).alias("along"), F.first("ahead.ft").alias("ft"))
     fast = strips.where(F.col("aligned") & F.col("fast") & (F.col("along") <= CORRIDOR_M) & F.col("behind").isNotNull())
-    fast = fast.select(*keys, F.col("idx").alias("pos"), (F.col("along") - CLIMB_M).alias("most_along"), (F.col("behind.ft") - CLIMB_FT).alias("most_ft"))
+    fast = fast.select(*keys, F.col("idx").alias("pos"), F.col("along").alias("most_along"), (F.col("behind.ft") - CLIMB_FT).alias("most_ft"))
     both = ground.withColumn("at", F.struct("along", "ft")).unionByName(fast, allowMissingColumns=True)
     before = W.partitionBy(*keys).orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
     nearest = F.min("at").over(before)
@@ -208,7 +209,7 @@ def classify_paths(points: DataFrame, runways: DataFrame, path: str = "path_id",
     sums = strips.groupBy(*keys).agg(
         F.count_if(corridor).alias("corridor"), F.count_if(corridor & F.col("aligned")).alias("aligned"), F.count_if(corridor & on_ground).alias("ground"),
         F.count_if(corridor & F.col("aligned") & inbound).alias("inbound"), F.count_if(corridor & (F.col("height_ft") < LOW_FT)).alias("low"),
-        F.count_if(on_ground & F.col("along").between(*GROUND_M)).alias("anchors"), F.count_if(corridor & F.col("aligned") & (F.col("along") > 0)).alias("_outbound"),
+        F.count_if(on_ground & F.col("along").between(*GROUND_M)).alias("anchors"), F.count_if(corridor & F.col("aligned") & (F.col("along") >= AT_THRESHOLD_M)).alias("_outbound"),
         F.coalesce(first < last, F.lit(False)).alias("arrival"),
     )
     rows = sums.join(climbs(strips, path).withColumn("_climbs", F.lit(True)), keys, "left").withColumn("departure", F.coalesce("_climbs", F.lit(False)))

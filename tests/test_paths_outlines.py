@@ -52,6 +52,14 @@ def test_approach_then_touchdown_and_ground_then_climb(spark):
     assert got["unknown"].departure_reason == "on_runway_without_aligned_fast_climb" and got["parked"].arrival_reason == "on_ground_without_aligned_approach"
 
 
+def test_rounding_of_a_runway_frame_decides_nothing(spark):
+    """The cosine of 90 degrees is 6e-17: a point abeam the threshold is not beyond it, and 400 m along are 400 m."""
+    abeam = [at("abeam", 0, 200, track=90.0)]
+    climb = [at("climb", 0, 200, "ground", 1000.0, 5.0, 90.0), at("climb", 1, 0, ft=1200.0, track=90.0, east=400.0)]
+    got = {r.path_id: r for r in traces.classify_paths(spark.createDataFrame(abeam + climb, POINTS), spark.createDataFrame([("09", 0.0, 0.0, 90.0)], RUNWAY)).collect()}
+    assert got["abeam"].departure_reason == traces.NO_DEPARTURE and got["climb"].departure
+
+
 def test_candidates_equal_trying_all_pairs(spark):
     """Random paths along two parallel runways and one across; many rotate on the runway, where heights and places decide
     together."""
