@@ -41,6 +41,13 @@ def test_conflation_prefers_the_aligned_line(spark):
     assert roads.assign_traffic(edge, recs).collect() == [(1, 13, 1.0)]
 
 
+def test_conflation_of_lines_on_one_line_prefers_the_record_that_is_not_longer(spark):
+    """A short edge lies wholly on the record of a longer one, too, and that has the lesser id."""
+    edges = spark.createDataFrame([(1, 0, 0.0, 0.0, 250.0, 150.0, False), (2, 0, 0.0, 0.0, 50.0, 30.0, False)], SEG + ", freeway boolean")
+    recs = spark.createDataFrame([(11, 0, 0.25, 0.25, 250.25, 150.25, False, 0.0), (12, 0, 0.25, 0.25, 50.25, 30.25, False, 0.0)], "other_id int, seq int, ax double, ay double, bx double, by double, freeway boolean, aadt double")
+    assert sorted(roads.assign_traffic(edges, recs, 1.0).collect()) == [(1, 11, 1.0), (2, 12, 1.0)]
+
+
 def test_bridges_and_crossings(spark):
     edge = spark.createDataFrame([(1, 0, 0.0, 0.0, 20.0, 0.0)], SEG)
     deck = spark.createDataFrame([(5, 0, 0.0, 1.0, 0.0, 20.0, 1.0, 10.0)], "deck_id int, seq int, ax double, ay double, az double, bx double, by double, bz double")
