@@ -179,7 +179,7 @@ def footprints_in_metres(spark, sf_dir):
     ring = lambda s: F.array(*[p(i, j, s) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
     rows = view(spark, sf_dir, "blds").select("bld_id", "half_w", "half_h", F.array(F.when(k % 4 == 0, F.array(ring(0.05), ring(0.01))).otherwise(F.array(ring(1.0), ring(0.2)))).alias("coordinates"))
     kept = readers.footprint_rings(rows)
-    exact = F.abs(G.ring_stats(c("ring"))["area"] / (4 * c("half_w") * c("half_h")) - 1) < 0.02
+    exact = F.abs(G.ring_area(c("ring")) / (4 * c("half_w") * c("half_h")) - 1) < 0.02
     return kept.select("bld_id", F.size("holes").alias("holes"), exact.alias("kept"))
 
 

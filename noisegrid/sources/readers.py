@@ -212,4 +212,4 @@ def footprint_rings(df: DataFrame, least_m2: float = 4.0) -> DataFrame:
     ring = F.transform(F.col("_p")[0], lambda p: G.lonlat_to_utm(p[0], p[1]))
     holes = F.transform(F.slice("_p", 2, 1 << 20), lambda r: F.transform(r, lambda p: G.lonlat_to_utm(p[0], p[1])))
     rows = rows.withColumns({"ring": ring, "holes": holes}).drop("_p", "coordinates")
-    return rows.where((F.size("ring") >= 4) & (G.ring_stats(F.col("ring"))["area"] >= least_m2))
+    return rows.where((F.size("ring") >= 4) & (G.ring_area(F.col("ring")) >= least_m2))
