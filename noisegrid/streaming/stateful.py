@@ -89,10 +89,11 @@ def stream_paths(points: DataFrame, gap_s: float = 90.0, late: str | None = None
 
 class LevelProcessor(StatefulProcessor):
     """Energy by window until the site's clock, its newest event less a delay, has passed the window's end. Events of
-    windows that are closed come out as they are."""
+    windows that are closed come out as they are. A batch's ids are held, most_held at once, and only those of windows
+    that stay open go to the state."""
 
-    def __init__(self, window_s: float, delay_s: float, idle_s: float | None):
-        self.window_s, self.delay_s, self.idle_s = window_s, delay_s, idle_s
+    def __init__(self, window_s: float, delay_s: float, idle_s: float | None, most_held: int = 1_000_000):
+        self.window_s, self.delay_s, self.idle_s, self.most_held = window_s, delay_s, idle_s, most_held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -102,22 +103,36 @@ class LevelProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest, closed, alarm = self.clock.get() if self.clock.exists() else (-math.inf, -math.inf, 0)
+        sums = {start: tuple(value) for (start,), value in self.windows.iterator()}
+        stored, touched, fresh, held = set(sums), set(), {}, 0  # stored: windows whose ids the state has
         for chunk in rows:
             starts = (chunk["epoch"] // self.window_s) * self.window_s
             late = starts + self.window_s <= closed
             if late.any():
                 out = chunk[late]
                 yield _rows(kind="late", site=key[0], start=starts[late], event_id=out["event_id"], epoch=out["epoch"], sel=out["sel"])
-            for start, event, sel in zip(starts[~late], chunk.loc[~late, "event_id"], chunk.loc[~late, "sel"], strict=True):
-                if event is not None and self.ids.containsKey((start, event)):
-                    continue
+            for start, event, sel in zip(starts[~late].tolist(), chunk.loc[~late, "event_id"], chunk.loc[~late, "sel"].tolist(), strict=True):
                 if event is not None:
-                    self.ids.updateValue((start, event), (True,))
-                energy, n = self.windows.getValue((start,)) if self.windows.containsKey((start,)) else (0.0, 0)
-                self.windows.updateValue((start,), (energy + 10 ** (sel / 10), n + 1))
+                    seen = fresh.setdefault(start, set())
+                    if event in seen or (start in stored and self.ids.containsKey((start, event))):
+                        continue
+                    seen.add(event)
+                    held += 1
+                energy, n = sums.get(start, (0.0, 0))
+                sums[start] = (energy + 10 ** (sel / 10), n + 1)
+                touched.add(start)
             newest = max(newest, chunk["epoch"].max())
+            if held > self.most_held:
+                stored |= self._store(fresh)
+                fresh, held = {}, 0
         closed = max(closed, newest - self.delay_s)
-        yield from self._close(key[0], closed)
+        done = {start for start in sums if start + self.window_s <= closed}
+        self._forget(done & stored)
+        self._store({start: seen for start, seen in fresh.items() if start not in done})
+        for start in touched - done:
+            self.windows.updateValue((start,), sums[start])
+        if done:
+            yield self._levels(key[0], sorted((start, *sums[start]) for start in done))
         if self.idle_s is not None:
             alarm = timerValues.getCurrentProcessingTimeInMs() + int(self.idle_s * 1000)
             self.handle.registerTimer(alarm)
@@ -132,15 +147,28 @@ class LevelProcessor(StatefulProcessor):
 
     def _close(self, site: str, closed: float) -> Iterator[pd.DataFrame]:
         done = sorted((start, *value) for (start,), value in self.windows.iterator() if start + self.window_s <= closed)
-        if not done:
+        if done:
+            self._forget({start for start, _, _ in done})
+            yield self._levels(site, done)
+
+    def _store(self, fresh: dict[float, set[str]]) -> set[float]:
+        for start, seen in fresh.items():
+            for event in seen:
+                self.ids.updateValue((start, event), (True,))
+        return set(fresh)
+
+    def _forget(self, starts: set[float]) -> None:
+        if not starts:
             return
-        starts = {start for start, _, _ in done}
         for start in starts:
-            self.windows.removeKey((start,))
+            if self.windows.containsKey((start,)):
+                self.windows.removeKey((start,))
         for start, event in [k for k in self.ids.keys() if k[0] in starts]:
             self.ids.removeKey((start, event))
+
+    def _levels(self, site: str, done: list[tuple[float, float, int]]) -> pd.DataFrame:
         laeq = [10 * math.log10(energy / self.window_s) for _, energy, _ in done]
-        yield _rows(kind="level", site=site, start=[s for s, _, _ in done], laeq=laeq, n=[n for _, _, n in done])
+        return _rows(kind="level", site=site, start=[s for s, _, _ in done], laeq=laeq, n=[n for _, _, n in done])
 
     def close(self) -> None:
         pass
