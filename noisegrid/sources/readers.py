@@ -120,10 +120,13 @@ def calendar_days(calendar: DataFrame) -> DataFrame:
 def read_traces(spark: SparkSession, glob: str) -> DataFrame:
     """Points of aircraft trace documents (one gzipped JSON each): ident, type and the typed fields of each row.
 
-    A document that can't be read gives one row with `corrupt` and no point.
+    A document that can't be read gives one row with `corrupt` and no point. A folder's documents are listed at once,
+    not one by one.
     """
+    folder, _, name = glob.rpartition("/")
     schema = "icao string, t string, timestamp double, trace string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(glob)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    rows = rows.option("pathGlobFilter", name).json(folder) if folder and "*" in name and not set(folder) & set("*?[{") else rows.json(glob)
     each = rows.select(F.col("icao").alias("ident"), F.col("t").alias("type_code"), "timestamp", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.posexplode_outer(F.from_json("trace", "array<array<string>>")).alias("idx", "row"))
     return each.select("ident", "type_code", "corrupt", "idx", acoustics.point_record(F.col("row"), F.col("timestamp")).alias("p")).select("ident", "type_code", "corrupt", "idx", "p.*")
 
