@@ -14,16 +14,16 @@ def write_features(df: DataFrame, path: str, x: str = "x", y: str = "y") -> None
 
 
 def write_tile_documents(df: DataFrame, path: str, metadata: DataFrame | None = None) -> None:
-    """A folder per tile; metadata is a table of its own."""
-    df.repartition("tile_id").write.mode("overwrite").partitionBy("tile_id").json(f"{path}/tiles")
+    """A folder per tile, several files in that of a large tile; metadata is a table of its own."""
+    df.hint("rebalance", "tile_id").write.mode("overwrite").partitionBy("tile_id").json(f"{path}/tiles")
     if metadata is not None:
         metadata.write.mode("overwrite").json(f"{path}/metadata")
 
 
 def write_cells(df: DataFrame, path: str) -> None:
-    """A folder per cell; rows carry `cells`, and are repeated in each."""
+    """A folder per cell, several files in that of a large cell; rows carry `cells`, and are repeated in each."""
     rows = df.withColumn("c", F.explode("cells")).select("*", "c.cell_e", "c.cell_n").drop("c", "cells")
-    rows.repartition("cell_e", "cell_n").write.mode("overwrite").partitionBy("cell_e", "cell_n").parquet(path)
+    rows.hint("rebalance", "cell_e", "cell_n").write.mode("overwrite").partitionBy("cell_e", "cell_n").parquet(path)
 
 
 def write_pyramid(df: DataFrame, path: str) -> None:
@@ -74,7 +74,7 @@ def write_layer_index(path: str, coverage: DataFrame, percentiles: DataFrame, co
 def write_rail_results(df: DataFrame, path: str) -> None:
     """Rail levels pivoted to d, e, n, by tile."""
     wide = df.groupBy("tile_id", "receiver_key").agg(*[F.max(F.when(F.col("period") == p, F.col("laeq"))).alias(f"rail_{p.lower()}") for p in "DEN"])
-    wide.repartition("tile_id").write.mode("overwrite").partitionBy("tile_id").parquet(path)
+    wide.hint("rebalance", "tile_id").write.mode("overwrite").partitionBy("tile_id").parquet(path)
 
 
 def write_ascii_grid(df: DataFrame, path: str, corner_x: float, corner_y: float, size: float, n_cols: int, n_rows: int) -> None:
