@@ -12,11 +12,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from operator import itemgetter
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from numpy.lib.stride_tricks import as_strided
 from pyspark import Broadcast, TaskContext
@@ -77,101 +77,116 @@ def new_parameters(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarra
     return p
 
 
-_LAG = np.clip(SPAN + np.arange(SPAN)[:, None] - np.arange(2 * SPAN)[None, :], 0, 2 * SPAN - 1)
-_LATER = np.arange(2 * SPAN)[None, :] > SPAN + np.arange(SPAN)[:, None]
+#: Positions that attend together, two spans; the distances of what they may see, and what they may not.
+_BLOCK = 2 * SPAN
+_I, _J = np.arange(_BLOCK)[:, None], np.arange(_BLOCK + SPAN)[None, :]
+_LAG = np.clip(SPAN + _I - _J, 0, 2 * SPAN - 1)
+_UNSEEN = (_J > SPAN + _I) | (_J < _I // SPAN * SPAN)
 _K, _V, _H = QUERY, 2 * QUERY, 2 * QUERY + WIDTH + 1
 
 
 def _with_before(z: np.ndarray) -> np.ndarray:
-    """(windows, spans + 1, SPAN, d) seen as (windows, spans, 2 SPAN, d): each span after the one before it."""
-    n, spans, size, d = z.shape
-    return as_strided(z, (n, spans - 1, 2 * size, d), z.strides)
+    """(windows, positions, d) seen as (windows, blocks, _BLOCK + SPAN, d): each block after the span before it."""
+    n, long, d = z.shape
+    return as_strided(z, (n, long // _BLOCK, _BLOCK + SPAN, d), (z.strides[0], _BLOCK * z.strides[1], *z.strides[1:]))
 
 
-def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
+def _blocks(z: np.ndarray) -> np.ndarray:
+    """(windows, positions, d) seen as (windows, blocks, _BLOCK, d)."""
+    return z.reshape(len(z), -1, _BLOCK, z.shape[-1])
+
+
+def forward(p: dict[str, np.ndarray], vocabulary: Vocabulary, x: np.ndarray, y: np.ndarray, keep: bool = False, scored: np.ndarray | None = None) -> tuple[np.ndarray, tuple | None]:
     """Natural log probabilities of the rows y (n, spans SPAN), which follow the last spans SPAN of the rows x
-    (n, (spans + 1) SPAN), and what backward needs. Only ids up to a position bear on the row that follows it."""
-    row = p["rows"].take(x, axis=0).reshape(len(x), -1, SPAN, _H + WIDTH)
-    q, k, v = row[:, 1:, :, :_K], _with_before(row[..., _K:_V]), _with_before(row[..., _V:_H])
+    (n, (spans + 1) SPAN), and what backward needs. Only ids up to a position bear on the row that follows it.
+
+    Where `scored` is given, the others get 0 and no softmax. Positions go through both softmaxes class by class, in
+    order of their targets.
+    """
+    row = p["rows"].take(x, axis=0)
+    q, k, v = _blocks(row[:, SPAN:, :_K]) * np.float32(QUERY**-0.5), _with_before(row[..., _K:_V]), _with_before(row[..., _V:_H])
     e = q @ k.swapaxes(-1, -2)
-    e *= np.float32(QUERY**-0.5)
-    e += np.where(_LATER, np.float32(-200), p["lag"][_LAG])
+    e += np.where(_UNSEEN, np.float32(-200), p["lag"][_LAG])
     np.exp(e, out=e)
-    u = (e @ v).reshape(-1, WIDTH + 1)
-    total = u[:, WIDTH:]
-    u = u[:, :WIDTH] / total
-    h = np.ones((len(u), WIDTH + 1), np.float32)
-    np.matmul(u, p["mixed"], out=h[:, :WIDTH])
-    h[:, :WIDTH] += row[:, 1:, :, _H:].reshape(-1, WIDTH)
+    order = np.argsort(y.ravel(), kind="stable")
+    if scored is not None and not scored.all():
+        order = order[scored.ravel()[order]]
+    target = y.ravel()[order]
+    u = (e @ v).reshape(-1, WIDTH + 1).take(order, axis=0)
+    total = u[:, WIDTH].copy()
+    z = p["mixed"].T @ u[:, :WIDTH].T
+    z /= total
+    h = np.ones((WIDTH + 1, len(order)), np.float32)
+    np.add(z, row[:, SPAN:, _H:].reshape(-1, WIDTH).take(order, axis=0).T, out=h[:WIDTH])
     np.clip(h, 0, MOST, out=h)
-    target = y.ravel()
-    of, place = vocabulary.classes[target], np.arange(len(target))
-    a = p["classes"] @ h.T
-    out = a[of, place]
-    np.exp(a, out=a)
-    sums = a.sum(axis=0)
-    out -= np.log(sums)
-    order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=CLASSES)).tolist()
-    sorted_h, sorted_target = h.take(order, axis=0), target[order]
-    picked, totals, kept, start = np.zeros(len(target), np.float32), np.ones(len(target), np.float32), [], 0
-    for c, end in enumerate(ends):
-        low, high = vocabulary.bounds[c : c + 2]
-        if end > start and high > low + 1:
-            b = p["members"][low:high] @ sorted_h[start:end].T
-            picked[start:end] = b[sorted_target[start:end] - low, place[: end - start]]
+    ends = np.searchsorted(target, vocabulary.bounds)
+    many = np.diff(ends)
+    at = (target + np.repeat(CLASSES - np.array(vocabulary.bounds[:-1]), many)) * np.repeat(many, many) + np.arange(len(order)) - np.repeat(ends[:-1], many)
+    out, sums, totals, parts = *np.empty((3, len(order)), np.float32), []
+    for c, (start, end) in enumerate(pairwise(ends.tolist())):
+        if end > start:
+            low, high = vocabulary.bounds[c : c + 2]
+            weights = np.concatenate((p["classes"], p["members"][low:high]))
+            b = weights @ h[:, start:end]
+            np.add(b[c], b.take(at[start:end]), out=out[start:end])
             np.exp(b, out=b)
-            b.sum(axis=0, out=totals[start:end])
+            b[:CLASSES].sum(axis=0, out=sums[start:end])
+            b[CLASSES:].sum(axis=0, out=totals[start:end])
             if keep:
-                b /= totals[start:end]
-                kept.append((low, high, start, end, b))
-        start = end
-    picked -= np.log(totals)
-    out[order] += picked
-    if not keep:
-        return out.reshape(y.shape), None
-    a /= sums
-    return out.reshape(y.shape), (x, row, q, k, v, e, u, total, h, a, of, order, sorted_h, sorted_target, kept)
+                parts.append((c, low, high, start, end, weights, b))
+    out -= np.log(sums)
+    out -= np.log(totals)
+    logs = np.zeros(y.size, np.float32)
+    logs[order] = out
+    return logs.reshape(y.shape), (x, q, k, v, e, u, z, total, h, sums, totals, order, at, parts) if keep else None
 
 
 def backward(p: dict[str, np.ndarray], kept: tuple, weight: np.ndarray) -> dict[str, np.ndarray | tuple]:
     """Gradients of the mean cross entropy, weighted by position; for rows, the rows seen and their gradients."""
-    x, row, q, k, v, e, u, total, h, a, of, order, sorted_h, sorted_target, parts = kept
-    w = weight.ravel().astype(np.float32)
+    x, q, k, v, e, u, z, total, h, sums, totals, order, at, parts = kept
+    w = weight.ravel()[order].astype(np.float32)
     w /= max(w.sum(), 1)
-    place = np.arange(len(w))
-    a[of, place] -= 1
-    a *= w
-    g: dict = {"classes": a @ h, "members": np.zeros_like(p["members"])}
-    dh, sorted_w, sorted_dh = a.T @ p["classes"][:, :WIDTH], w[order], np.zeros((len(w), WIDTH), np.float32)
-    for low, high, start, end, b in parts:
-        b[sorted_target[start:end] - low, place[: end - start]] -= 1
-        b *= sorted_w[start:end]
-        np.matmul(b, sorted_h[start:end], out=g["members"][low:high])
-        np.matmul(b.T, p["members"][low:high, :WIDTH], out=sorted_dh[start:end])
-    dh[order] += sorted_dh
-    dh *= (h[:, :WIDTH] > 0) & (h[:, :WIDTH] < MOST)
-    g["mixed"] = u.T @ dh
-    du = np.empty((len(dh), WIDTH + 1), np.float32)
-    np.divide(dh @ p["mixed"].T, total, out=du[:, :WIDTH])
-    du[:, WIDTH] = -np.einsum("ij,ij->i", du[:, :WIDTH], u)
-    du = du.reshape(*q.shape[:3], WIDTH + 1)
+    of_class, of_row = w / sums, w / totals
+    g: dict = {"classes": np.zeros_like(p["classes"]), "members": np.zeros_like(p["members"])}
+    dh = np.empty((WIDTH, len(order)), np.float32)
+    for c, low, high, start, end, weights, b in parts:
+        b[:CLASSES] *= of_class[start:end]
+        b[CLASSES:] *= of_row[start:end]
+        b[c] -= w[start:end]
+        b.reshape(-1)[at[start:end]] -= w[start:end]
+        both = b @ h[:, start:end].T
+        g["classes"] += both[:CLASSES]
+        g["members"][low:high] = both[CLASSES:]
+        np.matmul(weights[:, :WIDTH].T, b, out=dh[:, start:end])
+    dh *= (h[:WIDTH] > 0) & (h[:WIDTH] < MOST)
+    dz = dh / total
+    g["mixed"] = u[:, :WIDTH].T @ dz.T
+    back = np.empty((len(order), 2 * WIDTH + 1), np.float32)
+    np.matmul(dz.T, p["mixed"].T, out=back[:, :WIDTH])
+    z *= dz
+    np.negative(z.sum(axis=0), out=back[:, WIDTH])
+    back[:, WIDTH + 1 :] = dh.T
+    du = np.zeros((len(x), x.shape[1] - SPAN, 2 * WIDTH + 1), np.float32)
+    du.reshape(-1, 2 * WIDTH + 1)[order] = back
+    dhidden, du = du[..., WIDTH + 1 :], _blocks(du)[..., : WIDTH + 1]
     de = du @ v.swapaxes(-1, -2)
     de *= e
     g["lag"] = np.bincount(_LAG.ravel(), de.sum(axis=(0, 1)).ravel(), 2 * SPAN).astype(np.float32)
-    de *= np.float32(QUERY**-0.5)
-    dk, dv = de.swapaxes(-1, -2) @ q, e.swapaxes(-1, -2) @ du[..., :WIDTH]
-    d = np.zeros_like(row)
-    d[:, 1:, :, :_K] = de @ k
-    d[:, 1:, :, _H:] = dh.reshape(*q.shape[:3], WIDTH)
-    for grad, at in ((dk, slice(_K, _V)), (dv, slice(_V, _H - 1))):
-        d[:, :-1, :, at] = grad[:, :, :SPAN]
-        d[:, 1:, :, at] += grad[:, :, SPAN:]
-    seen = x.ravel()
-    by_row = np.argsort(seen, kind="stable")
-    seen = seen[by_row]
-    firsts = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-    g["rows"] = seen[firsts], np.add.reduceat(d.reshape(len(seen), -1).take(by_row, axis=0), firsts, axis=0)
+    dkv = np.empty((*k.shape[:3], QUERY + WIDTH), np.float32)
+    np.matmul(de.swapaxes(-1, -2), q, out=dkv[..., :QUERY])
+    np.matmul(e.swapaxes(-1, -2), du[..., :WIDTH], out=dkv[..., QUERY:])
+    d = np.zeros((*x.shape, _H + WIDTH + 1), np.float32)
+    np.multiply(de @ k, np.float32(QUERY**-0.5), out=_blocks(d[:, SPAN:, :_K]))
+    by_block, last = _blocks(d[:, :-SPAN, _K : _H - 1]), d[:, -SPAN:, _K : _H - 1]
+    by_block[:] = dkv[:, :, :_BLOCK]
+    by_block[:, 1:, :SPAN] += dkv[:, :-1, _BLOCK:]
+    last[:] = dkv[:, -1, _BLOCK:]
+    d[:, SPAN:, _H:-1] = dhidden
+    by_row = np.argsort(x.ravel(), kind="stable")
+    times = np.bincount(x.ravel(), minlength=ROWS)
+    seen = np.flatnonzero(times)
+    d = d.reshape(x.size, -1).take(by_row, axis=0).view(np.complex64)  # two columns are added as one
+    g["rows"] = seen, np.add.reduceat(d, (np.cumsum(times) - times)[seen], axis=0).view(np.float32)[:, :-1]
     return g
 
 
@@ -234,13 +249,12 @@ class Pieces(dict):
         self.encoding, self.begins, self.new = encoding, begins, []
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
-
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.array(itemgetter(*words)(self) if len(words) > 1 else [self[words[0]]], np.int64)
+        """The numbers of different words; those not seen before get the next ones."""
+        new = [w for w in words if w not in self]
+        self.update(zip(new, count(len(self))))
+        self.new += new
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def settle(self) -> None:
         """Take up the words seen since the last call.
@@ -252,7 +266,7 @@ class Pieces(dict):
         words = ["" if w == END else w.decode("utf-8", "replace") for w in self.new]
         text = " ".join(["", *filter(None, words)])
         if len(text.split()) == sum(map(bool, words)):
-            flat = np.array(self.encoding.encode_ordinary(text), np.uint16)
+            flat = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
             at = np.flatnonzero(self.begins[flat])
             if END in self.new:
                 k = self.new.index(END)
@@ -278,7 +292,24 @@ def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 500_000) -> DataFrame:
+def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` bytes: (place of the first, place after the last)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // most
+    return pairwise([*np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)]).tolist(), len(texts)])
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of texts, A-Z in lower case: (place of each word's spelling, the different spellings, words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty string there
+    sizes = np.diff(np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))][np.r_[0, ends]])
+    codes = words.filter(some).dictionary_encode()
+    return codes.indices.to_numpy(), codes.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), sizes
+
+
+def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 500_000, most_bytes: int = 1 << 22) -> DataFrame:
     """Rows (doc_id, held_out, ids) for the documents and rows (word, n) that count words of training documents; a
     word is given by its ids, as is the end. ids are 16-bit numbers. A table in the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -296,15 +327,16 @@ def tokenise(docs: DataFrame, tokenizer: Broadcast, most_held: int = 500_000) ->
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                numbers = [pieces.numbers([*(t.as_py() or b"").lower().split(), END]) for t in part.column("text").cast(pa.binary())]
+            for at, end in _parts(batch.column("text"), most_bytes):
+                part = batch.slice(at, end - at)
+                places, words, many = split_words(part.column("text"))
+                numbers = pieces.numbers([END, *words])
                 pieces.settle()
-                flat = np.concatenate(numbers)
-                trains = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), [len(x) for x in numbers])
+                flat = np.insert(numbers[1:][places], np.cumsum(many), numbers[0])
+                trains = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), many + 1)
                 counts = np.r_[counts, np.zeros(len(pieces) - len(counts), np.int64)]
                 counts += np.bincount(flat[trains], minlength=len(counts))
-                sizes = np.add.reduceat(pieces.sizes[flat], np.cumsum([0, *map(len, numbers[:-1])]))
+                sizes = np.add.reduceat(pieces.sizes[flat], np.cumsum(many + 1) - many - 1)
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), _binary(pieces.ids(flat), sizes).cast(pa.binary()), none(n, pa.binary()), none(n, pa.int64())], names)
                 if len(pieces) > most_held:
@@ -377,7 +409,7 @@ def train(ids: DataFrame, vocabulary: Vocabulary, rounds: int = 2, batch: int =
                 x, y, w = (np.concatenate(z) for z in zip(*held, strict=True))
                 held.clear()
                 for at in np.array_split(np.random.default_rng(seen).permutation(len(x)), -(-len(x) // batch)):
-                    _, kept = forward(params, vocabulary, x[at], y[at], keep=True)
+                    _, kept = forward(params, vocabulary, x[at], y[at], keep=True, scored=w[at])
                     learn(params, sums, backward(params, kept, w[at]), rate)
                 seen += len(x)
 
@@ -409,7 +441,8 @@ def log10_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.
     x, y, scored, text = windows(vocabulary.rows[ids], sizes, vocabulary.rows[END_ID])
     out = np.empty(len(x))
     for k in range(0, len(x), at_once):
-        out[k : k + at_once] = np.where(scored[k : k + at_once], forward(p, vocabulary, x[k : k + at_once], y[k : k + at_once])[0], 0).sum(axis=1, dtype=np.float64)
+        part = slice(k, k + at_once)
+        out[part] = forward(p, vocabulary, x[part], y[part], scored=scored[part])[0].sum(axis=1, dtype=np.float64)
     inside = np.add.reduceat(vocabulary.inside[ids], np.cumsum(sizes) - sizes) if len(sizes) else 0
     return (np.bincount(text, out, len(sizes)) + inside) / np.log(10)
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from urllib.parse import urljoin, urlsplit
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -528,6 +529,41 @@ def test_lm_finds_words_by_their_ids():
     assert not none.find(np.array([5, 6], np.uint16), np.array([2]))[1].any()
 
 
+def test_lm_scored_positions_alone_pass_the_softmaxes():
+    rng = np.random.default_rng(5)
+    v = random_vocabulary(rng)
+    p = lm.new_parameters(v)
+    long = lm.SPAN * lm.SPANS
+    x, y = rng.integers(0, lm.ROWS, (3, long + lm.SPAN)), rng.integers(0, lm.ROWS, (3, long))
+    scored = np.arange(long) < np.array([[long], [37], [1]])
+    every, kept_every = lm.forward(p, v, x, y, keep=True)
+    some, kept = lm.forward(p, v, x, y, keep=True, scored=scored)
+    assert np.allclose(some, np.where(scored, every, 0), atol=1e-5)
+    assert sum(part[-1].shape[1] for part in kept[-1]) == scored.sum()
+    want, got = lm.backward(p, kept_every, scored), lm.backward(p, kept, scored)
+    for name in want:
+        for a, b in zip(want[name], got[name], strict=True) if name == "rows" else [(want[name], got[name])]:
+            assert np.allclose(a, b, atol=1e-6), name
+
+
+def test_lm_words_of_arrow_texts():
+    odd = [None, "", " ", "\n", " \tA b\x0b c\x1cd\x85 ", "x Y  z\u00c9\u0130", "Never never\r\nNEVER", None]
+    places, words, many = lm.split_words(pa.array([*odd, "tail"]).slice(0, len(odd)))
+    assert len(set(words)) == len(words)
+    want = [(t or "").encode().lower().split() for t in odd]
+    assert many.tolist() == list(map(len, want)) and [words[k] for k in places] == [w for part in want for w in part]
+    none = lm.split_words(pa.array([None, ""], pa.string()))
+    assert len(none[0]) == len(none[1]) == 0 and none[2].tolist() == [0, 0]
+
+
+def test_lm_parts_hold_few_bytes():
+    texts = pa.array(["a" * 60, None, "b" * 50, "", "c" * 500, "d", "e" * 99, "f"])
+    parts = list(lm._parts(texts, 100))
+    assert [i for a, b in parts for i in range(a, b)] == list(range(len(texts)))
+    assert all(sum(len(t or "") for t in texts.slice(a, b - 1 - a).to_pylist()) < 100 for a, b in parts) and len(parts) > 2
+    assert list(lm._parts(texts.slice(0, 0), 100)) == []
+
+
 def test_lm_learns_from_every_document(spark):
     v = lm.Vocabulary.of(np.ones(lm.IDS))
     start, tokenizer = lm.new_parameters(v), lm.tokenizer_of(spark)
