@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, pairwise
+from itertools import chain, count, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,12 @@ _UNSEEN = (_J > SPAN + _I) | (_J < _I // SPAN * SPAN)
 _K, _V, _H = QUERY, 2 * QUERY, 2 * QUERY + WIDTH + 1
 
 
+#: Largest absolute value of each parameter, in its shape: minimum and maximum of whole arrays cost least.
+_BOUNDS = {"rows": np.full((ROWS, _H + WIDTH), np.inf, np.float32), "lag": np.float32(10), "mixed": np.float32(10), "classes": np.ones((CLASSES, WIDTH + 1), np.float32), "members": np.ones((ROWS, WIDTH + 1), np.float32)}
+_BOUNDS["rows"][:, :_V] = MOST
+_BOUNDS["classes"][:, -1] = _BOUNDS["members"][:, -1] = np.inf
+
+
 def _with_before(z: np.ndarray) -> np.ndarray:
     """(windows, positions, d) seen as (windows, blocks, _BLOCK + SPAN, d): each block after the span before it."""
     n, long, d = z.shape
@@ -199,16 +205,15 @@ def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], gradients: dict
     for name, g in gradients.items():
         if name == "rows":
             at, g = g
-            total = sums[name][at] + g * g
-            sums[name][at] = total
-            row = p[name][at] - rate * g / np.sqrt(total + 1e-12)
-            row[:, :_V] = np.clip(row[:, :_V], -MOST, MOST)
-            p[name][at] = row
+            total, values, most = sums[name].take(at, axis=0), p[name].take(at, axis=0), _BOUNDS[name][: len(at)]
         else:
-            sums[name] += g * g
-            p[name] -= rate * g / np.sqrt(sums[name] + 1e-12)
-            weights = p[name][:, :-1] if name in ("classes", "members") else p[name]
-            np.clip(weights, *((-1, 1) if name in ("classes", "members") else (-10, 10)), out=weights)
+            total, values, most = sums[name], p[name], _BOUNDS[name]
+        total += g * g
+        values -= rate * g / np.sqrt(total + 1e-12)
+        np.minimum(values, most, out=values)
+        np.maximum(values, -most, out=values)
+        if name == "rows":
+            sums[name][at], p[name][at] = total, values
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,14 +224,14 @@ def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     """
     long = SPAN * SPANS
     counts = -(-sizes // long)
-    starts = np.cumsum(SPAN + 1 + counts * long) - (SPAN + 1 + counts * long)
-    full = np.full(int((SPAN + 1 + counts * long).sum()), end, ids.dtype)
-    full[np.arange(len(ids)) + np.repeat(starts + SPAN + 1 - (np.cumsum(sizes) - sizes), sizes)] = ids
     text = np.repeat(np.arange(len(sizes)), counts)
     first = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * long
-    at = first + starts[text]
-    both = full[at[:, None] + np.arange(SPAN + 1 + long)]
-    return both[:, :-1], both[:, SPAN + 1 :], np.arange(long) < (sizes[text] - first)[:, None], text
+    scored = np.arange(long) < (sizes[text] - first)[:, None]
+    both = np.full((len(text), SPAN + 1 + long), end, ids.dtype)
+    both[:, SPAN + 1 :][scored] = ids
+    later = np.flatnonzero(first)
+    both[later, : SPAN + 1] = both[later - 1, long:]
+    return both[:, :-1], both[:, SPAN + 1 :], scored, text
 
 
 def tokenizer_of(spark: SparkSession) -> Broadcast:
@@ -251,10 +256,13 @@ class Pieces(dict):
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of different words; those not seen before get the next ones."""
-        new = [w for w in words if w not in self]
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(numbers < 0)
+        numbers[unseen] = np.arange(len(self), len(self) + len(unseen))
+        new = [words[k] for k in unseen.tolist()]
         self.update(zip(new, count(len(self))))
         self.new += new
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def settle(self) -> None:
         """Take up the words seen since the last call.
@@ -263,9 +271,9 @@ class Pieces(dict):
         """
         if not self.new:
             return
-        words = ["" if w == END else w.decode("utf-8", "replace") for w in self.new]
-        text = " ".join(["", *filter(None, words)])
-        if len(text.split()) == sum(map(bool, words)):
+        words = [w for w in self.new if w != END]
+        text = b" ".join([b"", *words]).decode("utf-8", "replace")
+        if len(text.split()) == len(words):
             flat = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
             at = np.flatnonzero(self.begins[flat])
             if END in self.new:
@@ -275,7 +283,7 @@ class Pieces(dict):
                 flat, at = np.insert(flat, place, END_ID), np.r_[at[:k], place, at[k:-1] + 1]
             sizes = np.diff(np.r_[at, len(flat)])
         else:
-            each = [[END_ID] if w == END else self.encoding.encode_ordinary(" " + t) for w, t in zip(self.new, words, strict=True)]
+            each = [[END_ID] if w == END else self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in self.new]
             flat, sizes = np.fromiter(chain.from_iterable(each), np.uint16), np.fromiter(map(len, each), np.int64, len(each))
         self.starts, self.sizes = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
         self.flat, self.new = np.r_[self.flat, flat], []
