@@ -1,9 +1,13 @@
 """What decides memory and time on larger tables: what is computed once, met once and never broadcast by a guess."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from noisegrid.functions import geometry as G
-from noisegrid.operators import compare, events, field, heights, lidar, roads, tiles
+from noisegrid.operators import compare, events, field, heights, lidar, nearest, roads, tiles
 from noisegrid.operators import spatial as S
 from noisegrid.streaming import stateful
 
@@ -192,3 +196,31 @@ def test_ids_of_windows_that_close_in_their_batch_stay_out_of_the_state():
     held, spilt = run(1_000_000), run(100)
     assert held[0] == spilt[0] and [r for r in held[0] if r[0] == "level"] == [("level", 0.0, 360), ("level", 3600.0, 360), ("level", 7200.0, 360)]
     assert held[1] < 1500 and held[2] == spilt[2] == 1
+
+
+@pytest.mark.parametrize("kind", ["sites", "segments", "kinds"])
+def test_plans_of_the_nearest_dont_grow_with_their_steps(spark, kind):
+    """2,000 places in a few small cells, of which each is split several times, and two points in each; the plan that is
+    left has a few shuffles."""
+    rnd = random.Random(2)
+    at = [(rnd.uniform(0, 90), rnd.uniform(0, 90)) for _ in range(2000)]
+    points = spark.createDataFrame([(k, *at[k % 2000]) for k in range(4000)], "pk int, x double, y double")
+    ends = [(k, x, y, x + k % 4, y) for k in range(400) for x, y in [(rnd.randint(0, 60), rnd.randint(0, 60))]]
+    segments = spark.createDataFrame([(k, *map(float, e)) for k, *e in ends], "site_id long, ax double, ay double, bx double, by double")
+    sites = segments.select("site_id", F.col("ax").alias("sx"), F.col("ay").alias("sy"), F.lit("a").alias("kind"))
+    if kind == "sites":
+        found = nearest.nearest_sites(points, sites, 3)
+        want = {(p, s) for p, (x, y) in enumerate(at) for _, s in sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), k) for k, a, b, *_ in ends)[:3]}
+    elif kind == "segments":
+        found = S.nearest_segment(points, segments, 15.0, seg="site_id")
+        far = lambda x, y, a, b, c: math.sqrt((x - min(max(x, a), c)) ** 2 + (y - b) ** 2)
+        near = [(p, *min((far(x, y, *e[:3]), k) for k, *e in ends)) for p, (x, y) in enumerate(at)]
+        want = {(p, s) for p, d, s in near if d <= 15.0}
+    else:
+        found = S.nearby_places(points, sites.unionByName(sites.withColumn("kind", F.lit("b"))), {"a": 20.0, "b": 5.0, "c": 9.0}).where("kind = 'b'")
+        near = [(p, *min((math.sqrt((x - a) ** 2 + (y - b) ** 2), k) for k, a, b, *_ in ends)) for p, (x, y) in enumerate(at)]
+        want = {(p, s) for p, d, s in near if d <= 5.0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 16 and "Window" not in plan
+    got = {(r.pk, r.site_id) for r in found.collect()}
+    assert got == want | {(p + 2000, s) for p, s in want}
