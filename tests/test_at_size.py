@@ -224,3 +224,38 @@ def test_plans_of_the_nearest_dont_grow_with_their_steps(spark, kind):
     assert plan.count("Exchange") <= 16 and "Window" not in plan
     got = {(r.pk, r.site_id) for r in found.collect()}
     assert got == want | {(p + 2000, s) for p, s in want}
+
+
+def test_ceilings_make_no_row_of_a_pair(spark):
+    """400 places and 300 segments of which some end just at the reach of some places, some are points, some copies."""
+    rnd = random.Random(9)
+    at = [(float(rnd.randint(-300, 300)), float(rnd.randint(-300, 300))) for _ in range(398)] + [(300.0, 400.0), (4000.0, 0.0)]
+    ends = [(0.0, 0.0, -70.0, 0.0, 2.0), (5.0, 5.0, 5.0, 5.0, 7.0), (20.0, 0.0, 0.0, 0.0, None)]
+    ends += [(float(a), float(b), float(a + rnd.randint(-9, 9)), b + 7.0, rnd.uniform(1, 9)) for a, b in ((rnd.randint(-500, 500), rnd.randint(-500, 500)) for _ in range(297))]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(at)] + [(900, None, 1.0)], "pk int, x double, y double")
+    segments = spark.createDataFrame(ends * 2, "ax double, ay double, bx double, by double, power double")
+    want = {}
+    for k, (x, y) in enumerate(at):
+        total = 0.0
+        for ax, ay, bx, by, power in ends:
+            long = math.hypot(bx - ax, by - ay)
+            if long and power:
+                dot = (x - ax) * (bx - ax) + (y - ay) * (by - ay)
+                part = min(1.0, max(0.0, dot / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay))))
+                if math.sqrt((x - ax - part * (bx - ax)) ** 2 + (y - ay - part * (by - ay)) ** 2) <= 500.0:
+                    h = max(1.0, abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / long)
+                    total += 2 * power * (math.atan((long - dot / long) / h) + math.atan(dot / long / h)) / h
+        if total:
+            want[k] = 10 * math.log10(total / (2 * math.pi))
+    for together in (8192, 16):
+        found = compare.ceiling_level(points, segments, 500.0, together=together)
+        got = dict(found.collect())
+        assert set(got) == set(want) and got == pytest.approx(want, abs=1e-9) and met_rows(found) <= 400
+    only = compare.ceiling_level(points.where("pk = 398"), segments.limit(1), 500.0).collect()
+    assert len(only) == 1
+
+
+def test_a_ceiling_report_computes_its_levels_once(spark):
+    rows = spark.range(100).select(F.col("id").cast("double").alias("level"), F.lit(90.0).alias("ceiling")).withColumn("level", F.col("level") + F.rand() * 0)
+    report = compare.ceiling_report(rows)
+    assert "rand" not in report._jdf.queryExecution().optimizedPlan().toString() and report.first().n == 100
