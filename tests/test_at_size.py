@@ -259,3 +259,13 @@ def test_a_ceiling_report_computes_its_levels_once(spark):
     rows = spark.range(100).select(F.col("id").cast("double").alias("level"), F.lit(90.0).alias("ceiling")).withColumn("level", F.col("level") + F.rand() * 0)
     report = compare.ceiling_report(rows)
     assert "rand" not in report._jdf.queryExecution().optimizedPlan().toString() and report.first().n == 100
+
+
+def test_a_facade_point_stops_at_the_first_wall(spark):
+    """20 and 60 footprints beside each other, three copies of each: a point on the inner sides is near many walls."""
+    rings = [square(-0.001 * k, 0.0) for k in range(20)] + [square(12.5 + 0.001 * k, 0.0) for k in range(60)]
+    buildings = spark.createDataFrame([(1000 * i + k, r) for i in range(3) for k, r in enumerate(rings)], "bld_id long, " + RING)
+    found = tiles.facade_receivers(buildings)
+    got = found.collect()
+    assert len(got) == 3 * 80 * 3 and len({r.receiver_key for r in got}) == len(got) and not [r for r in got if 5.0 < r.x < 7.5]
+    assert {r.receiver_key.split(":")[1] for r in got} == {str(1000 * i + k) for i in range(3) for k in range(80)} and met_rows(found) <= 720
