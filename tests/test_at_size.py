@@ -269,3 +269,39 @@ def test_a_facade_point_stops_at_the_first_wall(spark):
     got = found.collect()
     assert len(got) == 3 * 80 * 3 and len({r.receiver_key for r in got}) == len(got) and not [r for r in got if 5.0 < r.x < 7.5]
     assert {r.receiver_key.split(":")[1] for r in got} == {str(1000 * i + k) for i in range(3) for k in range(80)} and met_rows(found) <= 720
+
+
+def test_deck_heights_make_no_row_of_a_pair(spark):
+    """40 decks of two segments over 600 places, across a border of cells: each station has the median of its places."""
+    rnd = random.Random(4)
+    at = [(rnd.uniform(230, 270), rnd.uniform(-6, 6), rnd.choice([5.0, 6.0, 6.5])) for _ in range(600)]
+    decks = [(d, s, *e) for d in range(40) for s, e in enumerate([(232.0, d / 99, 250.0, d / 99), (250.0, d / 99, 267.0, 2.0)])]
+    points = spark.createDataFrame([(*p, 17) for p in at] + [(240.0, 0.0, 99.0, 2)], "x double, y double, z double, cls int")
+    found = lidar.deck_profile(points, spark.createDataFrame(decks, "edge_id long, seq int, ax double, ay double, bx double, by double"))
+    got = {(r.edge_id, r.station): r.z for r in found.collect()}
+    assert met_rows(found) <= 600 and len({d for d, _ in got}) == 40
+    for d in range(0, 40, 13):
+        heights = {}
+        for x, y, z in at:
+            before = 0.0
+            for _, _, ax, ay, bx, by in [e for e in decks if e[0] == d]:
+                long = math.hypot(bx - ax, by - ay)
+                part = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / long**2))
+                if math.hypot(x - ax - part * (bx - ax), y - ay - part * (by - ay)) <= 4.0:
+                    heights.setdefault(math.floor((before + part * long) / 5.0 + 0.5) * 5.0, []).append(z)
+                before += long
+        for k in heights:
+            mid = sorted(heights[k])
+            if (d, k) in got and len(mid) >= 3:
+                assert got[d, k] == pytest.approx((mid[(len(mid) - 1) // 2] + mid[len(mid) // 2]) / 2)
+
+
+def test_cells_without_places_or_without_anything_near(spark):
+    """Items far from all points, points far from all items, and no items at all."""
+    points = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(60)], "pk int, x double, y double")
+    sites = spark.createDataFrame([(k, 100.0 * k + 3.0, 4.0) for k in range(50, 300)], "site_id int, sx double, sy double")
+    assert {(r.pk, r.site_id, r.distance) for r in S.knn(points, sites, 2, 5.0).collect()} == {(k, k, 5.0) for k in range(50, 60)}
+    assert S.knn(points, sites.where("site_id < 0"), 2, 5.0).count() == 0 and S.knn(points.where("pk < 0"), sites, 2, 5.0).count() == 0
+    far = points.select("x", "y", F.lit(1.0).alias("z"), F.lit(17).alias("cls"))
+    deck = spark.createDataFrame([(1, 0, 9e4, 9e4, 9e4, 90010.0)], "edge_id int, seq int, ax double, ay double, bx double, by double")
+    assert [r.z for r in lidar.deck_profile(far, deck).collect()] == [None] * 3
